@@ -75,7 +75,13 @@ def document_term_counts(df: DataFrame, id_col: str, text_col: str, keep: Sequen
 
 def term_frequency(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf)."""
-    return document_term_counts(df, id_col, text_col).select(id_col, F.inline("counts"))
+    # The outer form keeps the optimiser from copying the whole term expression
+    # into a size filter, where it would be evaluated once per element.
+    return (
+        document_term_counts(df, id_col, text_col)
+        .select(id_col, F.inline_outer("counts"))
+        .where(F.col("term").isNotNull())
+    )
 
 
 def document_frequency(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,7 +143,7 @@ def known_terms(
     marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
     exploded = (
         document_term_counts(df, id_col, text_col, keep)
-        .select(id_col, *keep, F.inline(F.concat("counts", marker)))
+        .select(id_col, *keep, F.inline_outer(F.concat("counts", marker)))
     )
     vocabulary = vocabulary.withColumn("__known", F.lit(True))
     return (

@@ -6,10 +6,12 @@ of a table are scored in the same pass over the texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from reviewloom.functions.scoring import label_name, sigmoid
 from reviewloom.operators.features import TfidfSettings, known_terms
@@ -64,7 +66,7 @@ def vector_margins(
         F.arrays_zip("indices", "values"),
         F.array(F.struct(F.lit(None).cast("int").alias("indices"), F.lit(0.0).alias("values"))),
     )
-    exploded = rows.select(id_col, *keep, F.inline(entries).alias("idx", "v"))
+    exploded = rows.select(id_col, *keep, F.inline_outer(entries).alias("idx", "v"))
     # Only the id and two numbers per model are shuffled, after map-side sums.
     sums = (
         exploded.join(F.broadcast(coefficients), "idx", "left")
@@ -128,17 +130,24 @@ def dispatch(
     )
 
 
-def batch_scores(df: DataFrame, input_cols: Sequence[str], make_predict, batch_size: int = 32,
-                 return_type="array<double>", output_col: str = "logits") -> DataFrame:
-    """Score with a user's model in batches.
+def batch_scores(
+    df: DataFrame,
+    input_cols: Sequence[str],
+    make_predict: Callable,
+    batch_size: int = 32,
+    input_shapes: Sequence[Sequence[int] | None] | None = None,
+    output_col: str = "logits",
+) -> DataFrame:
+    """Add the logits of a user's model, evaluated in batches.
 
     ``make_predict`` loads the model once per Python worker and returns a
-    function from numpy arrays to numpy arrays.
+    function from numpy arrays to a numpy array (rows, classes).
+    ``input_shapes`` gives the row shape of each array column.
     """
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import _parse_datatype_string
-
     udf = predict_batch_udf(
-        make_predict, return_type=_parse_datatype_string(return_type), batch_size=batch_size
+        make_predict,
+        return_type=ArrayType(DoubleType()),
+        batch_size=batch_size,
+        input_tensor_shapes=input_shapes,
     )
     return df.withColumn(output_col, udf(*input_cols))

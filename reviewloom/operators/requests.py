@@ -116,12 +116,12 @@ def linear_scorer(
 
 def batch_model_scorer(
     make_predict: Callable, prepare: Callable[[DataFrame], DataFrame], input_cols: Sequence[str],
-    tag: str, id_col: str = "request_id", batch_size: int = 32,
+    tag: str, id_col: str = "request_id", batch_size: int = 32, input_shapes=None,
 ) -> Scorer:
     """Scorer for a user's model that turns prepared columns into two logits."""
 
     def score(valid: DataFrame) -> DataFrame:
-        logits = batch_scores(prepare(valid), input_cols, make_predict, batch_size)
+        logits = batch_scores(prepare(valid), input_cols, make_predict, batch_size, input_shapes)
         return logits_to_prediction(logits, "logits", tag).select(
             id_col, "input_length", "sentiment", "confidence", "model"
         )
