@@ -138,10 +138,10 @@ def sql_hash_coefficient(model: str, term: str) -> str:
 def sql_margins(name: str, source: str, id_col: str, models=HASH_MODELS) -> str:
     """CTE <name>_m (id, model, margin) for every row of ``source`` on top of <name>_w."""
     values = ", ".join(f"('{m}', {HASH_INTERCEPTS[m]})" for m in models)
-    return f"""models(model, intercept) AS (VALUES {values}),
-    coefs AS (SELECT model, term, {sql_hash_coefficient('model', 'term')} AS coef FROM vocab, models),
+    return f"""hash_models(model, intercept) AS (VALUES {values}),
+    coefs AS (SELECT model, term, {sql_hash_coefficient('model', 'term')} AS coef FROM vocab, hash_models),
     {name}_dot AS (SELECT w.{id_col}, c.model, sum(w.w * c.coef) AS dot
                    FROM {name}_w w JOIN coefs c ON w.term = c.term GROUP BY ALL),
     {name}_m AS (SELECT s.{id_col}, m.model, coalesce(d.dot, 0) + m.intercept AS margin
-                 FROM {source} s CROSS JOIN models m
+                 FROM {source} s CROSS JOIN hash_models m
                  LEFT JOIN {name}_dot d ON d.{id_col} = s.{id_col} AND d.model = m.model)"""

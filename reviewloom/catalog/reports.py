@@ -1,2 +1,142 @@
-QUERIES = {}
-ORACLES = {}
+"""Comparison tables built from measured rows.
+
+The models here are the languages of the corpus: F1 of one scorer on the
+labelled documents of the language, size of its texts, and mean value of one
+event type as timing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reviewloom.catalog.inputs import table
+from reviewloom.catalog.scoring import SQL_COUNTS, SQL_EVALUATED, SQL_METRICS, _evaluated
+from reviewloom.operators import comparison as cmp
+from reviewloom.operators.evaluation import classification_metrics
+from reviewloom.operators.ranking import timing_statistics
+from reviewloom.sources.reports import MODEL_REPORT_SCHEMA, model_rows, read_report, write_report
+from reviewloom.storage import scratch_path
+
+MODELS = ["en", "fr", "de", "es", "it"]
+BASELINE = "en"
+UNSCORED = ["es"]
+TIMED_BY = {"en": "click", "fr": "view", "de": "purchase", "es": "signup"}
+
+
+def _reports(spark, sf_dir):
+    """(model_name, test_metrics, test_latency_ms, model_size_mb) per language."""
+    scored = _evaluated(spark, sf_dir).where("model = 'logreg'")
+    metrics = classification_metrics(scored, ["lang"])
+    sizes = table(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.round(F.sum("n_chars") / (1024 * 1024), 3).alias("model_size_mb")
+    )
+    names = F.create_map(*[F.lit(x) for lang, event in TIMED_BY.items() for x in (event, lang)])
+    timings = timing_statistics(table(spark, sf_dir, "events"), ["event_type"], "value").withColumn(
+        "lang", F.element_at(names, F.col("event_type"))
+    )
+    latency = ["n_measured", "mean_ms", "median_ms", "p95_ms", "min_ms", "max_ms"]
+    return (
+        metrics.join(sizes, "lang")
+        .join(timings.where(F.col("lang").isNotNull()), "lang")
+        .select(
+            F.col("lang").alias("model_name"),
+            F.struct("accuracy", "precision", "recall", "f1", "confusion_matrix").alias("test_metrics"),
+            F.struct(*latency).alias("test_latency_ms"),
+            "model_size_mb",
+        )
+    )
+
+
+def _models(spark, sf_dir):
+    return cmp.expected_models(model_rows(_reports(spark, sf_dir)), MODELS)
+
+
+def model_verdict(spark, sf_dir):
+    return cmp.verdict(_models(spark, sf_dir), BASELINE)
+
+
+def _variants(spark, sf_dir):
+    return cmp.variant_summary(_models(spark, sf_dir), BASELINE, UNSCORED)
+
+
+def variant_summary(spark, sf_dir):
+    return _variants(spark, sf_dir).drop("pos")
+
+
+def report_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "reports")
+    write_report(_reports(spark, sf_dir), path)
+    report = read_report(spark, path, MODEL_REPORT_SCHEMA)
+    return model_rows(report).join(
+        report.select(F.col("model_name").alias("model"), F.col("test_latency_ms.p95_ms").alias("p95_ms")), "model"
+    )
+
+
+QUERIES = {
+    "model_verdict": model_verdict,
+    "variant_summary": variant_summary,
+    "best_variant": lambda s, d: cmp.best_variant(_variants(s, d)),
+    "markdown_rows": lambda s, d: cmp.comparison_rows(_models(s, d)),
+    "variant_markdown_rows": lambda s, d: cmp.variant_rows(_variants(s, d)),
+    "chart_rows": lambda s, d: cmp.chart_rows(_models(s, d)),
+    "report_round_trip": report_round_trip,
+}
+
+_WANTED = ", ".join(f"('{m}', {i})" for i, m in enumerate(MODELS))
+_EVENT = " ".join(f"WHEN '{event}' THEN '{lang}'" for lang, event in TIMED_BY.items())
+_MODELS = f"""{SQL_EVALUATED},
+    c AS (SELECT lang, {SQL_COUNTS} FROM p WHERE model = 'logreg' GROUP BY lang),
+    quality AS (SELECT lang AS model, {SQL_METRICS} FROM c),
+    sizes AS (SELECT lang AS model, round(sum(n_chars) / 1048576, 3) AS size_mb FROM documents GROUP BY lang),
+    timed AS (SELECT CASE event_type {_EVENT} END AS model, value, row_number() OVER
+              (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n
+              FROM events),
+    timings AS (SELECT model, round(avg(value), 3) AS latency_ms,
+                round(max(value) FILTER (k = least(n * 95 // 100, n - 1)), 3) AS p95_ms FROM timed GROUP BY model),
+    measured AS (SELECT * FROM quality JOIN sizes USING (model) JOIN timings USING (model)),
+    wanted(model, pos) AS (VALUES {_WANTED}),
+    models AS (SELECT *, CASE WHEN f1 IS NULL THEN 'NOT YET MEASURED' ELSE 'measured' END AS status
+               FROM wanted LEFT JOIN measured USING (model)),
+    base AS (SELECT f1 AS base_f1, size_mb AS base_size_mb, latency_ms AS base_latency_ms
+             FROM models WHERE model = '{BASELINE}')"""
+_VERDICT = f"""v AS (SELECT model, status, round(f1 - base_f1, 4) AS f1_delta,
+    round(size_mb / base_size_mb, 1) AS size_ratio, round(latency_ms / base_latency_ms, 1) AS latency_ratio
+    FROM models, base WHERE model <> '{BASELINE}')"""
+_SUMMARY = f"""d AS (SELECT model, pos, f1, size_mb, latency_ms, base_latency_ms,
+        round(f1 - base_f1, 4) AS f1_delta, round((1 - size_mb / base_size_mb) * 100, 1) AS size_reduction_pct,
+        round(base_latency_ms / latency_ms, 2) AS speedup
+        FROM models, base WHERE model <> '{BASELINE}' AND f1 IS NOT NULL),
+    variants AS (SELECT *, CASE WHEN model NOT IN ('{"', '".join(UNSCORED)}') THEN f1_delta > -0.01
+        AND (size_reduction_pct > 5 OR speedup > 1.1) END AS worthwhile FROM d)"""
+
+
+def _shown(column):
+    return f"CASE WHEN {column} IS NULL THEN '—' ELSE printf('%.4f', {column}) END AS {column}"
+
+
+ORACLES = {
+    "model_verdict": f"""WITH {_MODELS}, {_VERDICT}
+        SELECT model, status, f1_delta, f1_delta > 0 AS beats_baseline, size_ratio, latency_ratio,
+        CASE WHEN status <> 'measured' THEN model || ' was NOT YET MEASURED in this comparison.'
+        ELSE printf('%s %s the {BASELINE} baseline on the held-out test set (F1 delta: %+.4f), '
+            || 'at %.1fx the model size and %.1fx the mean latency.', model,
+            CASE WHEN f1_delta > 0 THEN 'improves on' ELSE 'does not improve on' END, f1_delta,
+            size_ratio, latency_ratio) END AS summary FROM v""",
+    "variant_summary": f"WITH {_MODELS}, {_SUMMARY} SELECT * EXCLUDE pos FROM variants",
+    "best_variant": f"""WITH {_MODELS}, {_SUMMARY}, b AS (SELECT * FROM variants WHERE worthwhile
+        ORDER BY latency_ms, pos LIMIT 1)
+        SELECT model AS recommended_variant, CASE WHEN model IS NULL
+        THEN 'None of the variants shows a measurable, worthwhile benefit.'
+        ELSE printf('''%s'' is the recommended variant: F1 delta %+.4f, size reduced %.1f%%, '
+            || 'mean latency %.1fms (vs. original %.1fms).', model, f1_delta, size_reduction_pct, latency_ms,
+            base_latency_ms) END AS decision FROM (SELECT 1) LEFT JOIN b ON true""",
+    "markdown_rows": f"""WITH {_MODELS} SELECT pos, CASE WHEN status = 'measured'
+        THEN printf('| %s | %.4f | %.4f | %.3f | %.3f |', model, accuracy, f1, size_mb, latency_ms)
+        ELSE '| ' || model || ' | NOT YET MEASURED | NOT YET MEASURED | -- | -- |' END AS line FROM models""",
+    "variant_markdown_rows": f"""WITH {_MODELS}, {_SUMMARY} SELECT pos,
+        printf('| %s | %+.4f | %.1f%% | %.1f | %s |', model, f1_delta, size_reduction_pct, latency_ms,
+        CASE WHEN worthwhile THEN 'Yes' WHEN NOT worthwhile THEN 'No' ELSE 'N/A' END) AS line FROM variants""",
+    "chart_rows": f"""WITH {_MODELS} SELECT model, printf('%.4f', accuracy) AS accuracy, {_shown('f1')},
+        {_shown('size_mb')}, {_shown('latency_ms')} FROM models WHERE accuracy IS NOT NULL""",
+    "report_round_trip": f"WITH {_MODELS} SELECT model, accuracy, f1, size_mb, latency_ms, p95_ms FROM measured",
+}

@@ -1,2 +1,92 @@
-QUERIES = {}
-ORACLES = {}
+"""Readers, manifests and stored splits.
+
+Round trips write the given tables in the layout the reader expects and read
+them back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reviewloom.catalog.inputs import (
+    SQL_LABELLED, documents, labelled, sql_classical, sql_transformer, sql_word_count, table,
+)
+from reviewloom.functions.cleaning import add_clean_columns, word_count
+from reviewloom.sinks.tables import write_split_csv, write_splits
+from reviewloom.sources.corpus import scan_csv_splits, scan_labelled_directory, scan_processed
+from reviewloom.sources.manifest import artifact_sizes, checksums, file_manifest
+from reviewloom.storage import scratch_path
+
+TABLES = [
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+    "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
+]
+
+
+def directory_scan(spark, sf_dir):
+    """Labelled documents as one file per row below split/class, scanned back."""
+    root = scratch_path(spark, "tree")
+    rows = labelled(spark, sf_dir).where(F.col("label").isin(0, 1))
+    for split in ("train", "test"):
+        for folder, label in (("pos", 1), ("neg", 0)):
+            # The text sink ends every file with a line break.
+            rows.where((F.col("split") == split) & (F.col("label") == label)).select("text").write.option(
+                "maxRecordsPerFile", 1
+            ).text(f"{root}/{split}/{folder}")
+    return scan_labelled_directory(spark, root, "docs").select("text_raw", "label", "split")
+
+
+def csv_scan(spark, sf_dir):
+    folder = scratch_path(spark, "csv")
+    docs = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    for split in ("train", "test"):
+        part = docs.where(F.col("split") == split)
+        write_split_csv(
+            part.select(F.col("text").alias("sentence"), F.col("quality").alias("label"), "doc_id"),
+            f"{folder}/{split}.csv",
+        )
+    return scan_csv_splits(spark, folder).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text_raw", "label", "split"
+    )
+
+
+def write_read_splits(spark, sf_dir):
+    path = scratch_path(spark, "splits")
+    rows = labelled(spark, sf_dir).select(
+        "doc_id", F.col("text").alias("text_raw"), "label", F.col("lang").alias("dataset"), "split"
+    )
+    write_splits(add_clean_columns(rows).withColumn("word_count", word_count(F.col("text_raw"))), path)
+    return scan_processed(spark, path, split="test").select(
+        "doc_id", "label", "dataset", "split", "text_clean_classical", "text_clean_transformer", "word_count"
+    )
+
+
+def manifest(spark, sf_dir):
+    """Parquet files of the given tables against one expected file per table."""
+    scale = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    parent = sf_dir.rstrip("/").rsplit("/", 1)[0].rsplit("/", 1)[-1]
+    return file_manifest(spark, sf_dir, {(parent, scale): len(TABLES), (parent, "absent"): 1}, "*.parquet")
+
+
+QUERIES = {
+    "directory_scan": directory_scan,
+    "csv_scan": csv_scan,
+    "write_read_splits": write_read_splits,
+    "file_manifest": manifest,
+    "checksums": lambda s, d: checksums(s, d, "*.parquet"),
+    "artifact_size": lambda s, d: artifact_sizes(
+        s, {"text": [f"{d}/documents.parquet", f"{d}/pages.parquet"], "labels": [f"{d}/labels.parquet"]}
+    ),
+}
+
+ORACLES = {
+    "directory_scan": f"""WITH {SQL_LABELLED} SELECT
+        regexp_replace(text, '\\r\\n?', chr(10), 'g') || chr(10) AS text_raw, label, split
+        FROM labelled WHERE label IN (0, 1)""",
+    "csv_scan": """SELECT doc_id, text AS text_raw, quality AS label, CASE WHEN
+        substr(md5('split:' || doc_id), 1, 1) < '8' THEN 'train' ELSE 'test' END AS split
+        FROM documents LEFT JOIN labels USING (doc_id)""",
+    "write_read_splits": f"""WITH {SQL_LABELLED} SELECT doc_id, label, lang AS dataset, split,
+        {sql_classical('text')} AS text_clean_classical, {sql_transformer('text')} AS text_clean_transformer,
+        {sql_word_count('text')} AS word_count FROM labelled WHERE split = 'test'""",
+}

@@ -1,2 +1,68 @@
-QUERIES = {}
-ORACLES = {}
+"""Fits on the labelled documents. Iterative, so no SQL twin; see the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reviewloom.catalog.inputs import cleaned, labelled, table
+from reviewloom.operators.evaluation import classification_metrics
+from reviewloom.operators.leakage import remove_leaked_rows
+from reviewloom.operators.splitting import stratified_split
+from reviewloom.operators.training import calibrate, calibrated_probabilities, fit_linear, Problem
+from reviewloom.plans.training import KINDS, build_features, evaluate_models, tune_models
+
+
+def _splits(spark, sf_dir):
+    """Train, validation and test of the labelled documents, leaks removed."""
+    rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "label", "split")
+    test = rows.where("split = 'test'").drop("split")
+    train = remove_leaked_rows(rows.where("split = 'train'").drop("split"), test, "text")
+    parts = stratified_split(train)
+    frames = {
+        "train": parts.where("split = 'train'").drop("split"),
+        "validation": parts.where("split = 'validation'").drop("split"),
+        "test": test,
+    }
+    return {name: cleaned(frame) for name, frame in frames.items()}
+
+
+def _features(spark, sf_dir, names=("train", "validation")):
+    splits = _splits(spark, sf_dir)
+    return build_features({n: splits[n] for n in names}, text_col="clean")
+
+
+def _one_fit(spark, sf_dir, kind):
+    features = _features(spark, sf_dir, ("train",))
+    fit = fit_linear(features.rows["train"], [Problem("C=1", 1.0)], kind, features.n_features)[0]
+    top = sorted(enumerate(fit.weights), key=lambda p: -abs(p[1]))[:20]
+    weights = spark.createDataFrame([(i, float(w)) for i, w in top], "idx int, coef double")
+    return features.vocabulary.join(F.broadcast(weights), "idx").select("term", "idf", "coef")
+
+
+def grid_results(spark, sf_dir):
+    tuned = tune_models(_features(spark, sf_dir))
+    frames = [t.grid.withColumn("model", F.lit(name)) for name, t in tuned.items()]
+    return frames[0].unionByName(frames[1])
+
+
+def tuned_test_metrics(spark, sf_dir):
+    """Both models tuned on validation, then measured once on test."""
+    features = _features(spark, sf_dir, ("train", "validation", "test"))
+    return evaluate_models(tune_models(features), features.rows["test"])
+
+
+def calibrated(spark, sf_dir):
+    features = _features(spark, sf_dir)
+    model = calibrate(features.rows["train"], 1.0, features.n_features)
+    scored = calibrated_probabilities(features.rows["validation"], model, keep=["label"])
+    return classification_metrics(scored.withColumn("model", F.lit("svm_calibrated")), ["model"])
+
+
+QUERIES = {
+    "lr_fit": lambda s, d: _one_fit(s, d, KINDS["logreg"]),
+    "svm_fit": lambda s, d: _one_fit(s, d, KINDS["svm"]),
+    "grid_results": grid_results,
+    "tuned_test_metrics": tuned_test_metrics,
+    "calibrated": calibrated,
+}
+ORACLES: dict[str, str] = {}

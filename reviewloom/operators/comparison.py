@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reviewloom.functions.scoring import delta, ratio, reduction_pct
 
@@ -23,12 +24,16 @@ def expected_models(measured: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def with_baseline(models: DataFrame, baseline: str) -> DataFrame:
-    """Add base_f1, base_size_mb, base_latency_ms from the one baseline row."""
-    row = models.where(F.col("model") == baseline)
+    """Add base_f1, base_size_mb, base_latency_ms from the one baseline row.
+
+    The table has one row per expected model, so one task sees all of it.
+    """
+    whole = Window.partitionBy()
+    is_base = F.col("model") == baseline
     return models.select(
         "*",
         *[
-            row.select(c).scalar().alias(f"base_{c}")  # fails if there are two baselines
+            F.max(F.when(is_base, F.col(c))).over(whole).alias(f"base_{c}")
             for c in ("f1", "size_mb", "latency_ms")
         ],
     )

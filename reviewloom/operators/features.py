@@ -154,23 +154,29 @@ def known_terms(
     )
 
 
+def _unit_rows(df, vocabulary, id_col, text_col, max_terms, keep, fields) -> DataFrame:
+    """(id, *keep, e ARRAY<STRUCT<idx, ..., w>>, norm): entries in index order."""
+    entry = F.when(F.col("w").isNotNull(), F.struct(*fields))
+    return (
+        known_terms(df, vocabulary.select("term", "idx", "idf"), id_col, text_col, max_terms, keep)
+        .groupBy(id_col, *keep)
+        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        .withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])))
+    )
+
+
 def tfidf_vectors(
     df: DataFrame,
     vocabulary: DataFrame,
     id_col: str,
     text_col: str,
     max_terms: int = TfidfSettings.max_features,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, indices ARRAY<INT>, values ARRAY<DOUBLE>): unit-length sparse rows."""
-    entry = F.when(F.col("w").isNotNull(), F.struct("idx", "w"))
-    rows = (
-        known_terms(df, vocabulary.select("term", "idx", "idf"), id_col, text_col, max_terms)
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        .withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])))
-    )
-    return rows.select(
+    """(id, *keep, indices ARRAY<INT>, values ARRAY<DOUBLE>): unit-length sparse rows."""
+    return _unit_rows(df, vocabulary, id_col, text_col, max_terms, keep, ["idx", "w"]).select(
         id_col,
+        *keep,
         F.col("e.idx").alias("indices"),
         F.transform("e.w", lambda w: w / F.col("norm")).alias("values"),
     )
@@ -184,13 +190,7 @@ def tfidf_weights(
     max_terms: int = TfidfSettings.max_features,
 ) -> DataFrame:
     """Long form: (id, term, w) with unit rows."""
-    entry = F.when(F.col("w").isNotNull(), F.struct("idx", "term", "w"))
-    rows = (
-        known_terms(df, vocabulary.select("term", "idx", "idf"), id_col, text_col, max_terms)
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        .withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])))
-    )
+    rows = _unit_rows(df, vocabulary, id_col, text_col, max_terms, (), ["idx", "term", "w"])
     return rows.select(id_col, "norm", F.explode("e").alias("x")).select(
         id_col, F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("w")
     )

@@ -76,14 +76,16 @@ def validate_requests(
     )
     checked = parsed.withColumn("__outcome", outcome.otherwise(valid))
     ok = F.col("__outcome.status") == 200
-    return checked.select(
-        *df.columns,
-        F.col("__outcome.status").alias("status"),
-        F.col("__outcome.error").alias("error"),
-        F.col("__outcome.message").alias("message"),
+    row = F.struct(
+        "__outcome.status",
+        "__outcome.error",
+        "__outcome.message",
         F.when(ok, text).alias("text"),
         F.when(ok, F.coalesce("requested", F.lit(DEFAULT_MODEL))).alias("requested"),
     )
+    # As a one-row generator the outcome is computed once: filters on it stay
+    # above and do not repeat the parsing.
+    return checked.select(*df.columns, F.inline_outer(F.array(row)))
 
 
 Scorer = Callable[[DataFrame], DataFrame]

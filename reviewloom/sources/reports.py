@@ -20,10 +20,9 @@ MODEL_REPORT_SCHEMA = (
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """One pretty JSON text per row, overwriting; reports are a few rows."""
-    report.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.mode(
-        "overwrite"
-    ).text(path)
+    """One pretty JSON array with an object per row, overwriting; reports are a few rows."""
+    document = report.agg(F.to_json(F.collect_list(F.struct("*")), {"pretty": "true"}).alias("value"))
+    document.write.mode("overwrite").text(path)
 
 
 def read_report(spark: SparkSession, path: str, schema: str = MODEL_REPORT_SCHEMA, required: bool = True):
