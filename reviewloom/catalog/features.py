@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
     SETTINGS, SQL_DOCUMENTS, cleaned, documents, sql_classical, sql_terms, sql_vocabulary, sql_weights,
-    table, train_vocabulary,
+    text_table, train_vocabulary,
 )
 from reviewloom.operators import features as ft
 
@@ -21,12 +21,12 @@ def _clean_docs(spark, sf_dir, split=None):
 
 
 def tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", ft.tokenize(F.col("text")).alias("t"))
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", ft.tokenize(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 def ngrams(spark, sf_dir):
-    terms = ft.document_terms(table(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = ft.document_terms(text_table(spark, sf_dir, "documents", "doc_id"), "doc_id", "text")
     return terms.select("doc_id", F.size("terms").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.cleaning import COMMON_REFERENCES, SPACE_CLASS, WORD_CLASS, clean_for_classical
 from reviewloom.operators.features import TfidfSettings, fit_vocabulary
+from reviewloom.storage import spread
 
 # Stand-in linear models: coefficients are hashes of the terms.
 HASH_MODELS = ("logreg", "distilbert")
@@ -18,12 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table whose texts are worked on, spread over the cores if need be."""
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 def split_of(id_col: Column) -> Column:
     first = F.substring(F.md5(F.concat(F.lit("split:"), id_col.cast("string"))), 1, 1)
     return F.when(first < "8", "train").otherwise("test")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_table(spark, sf_dir, "documents", "doc_id").withColumn("split", split_of(F.col("doc_id")))
+
+
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for counts that do not look at the texts."""
     return table(spark, sf_dir, "documents").withColumn("split", split_of(F.col("doc_id")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
-    SQL_DOCUMENTS, SQL_LABELLED, documents, labelled, sql_blank, sql_word_count, table,
+    SQL_DOCUMENTS, SQL_LABELLED, document_rows, documents, label_rows, split_of, sql_blank, sql_word_count, table,
 )
 from reviewloom.operators import inspection as ins
 from reviewloom.operators.leakage import leak_counts, remove_leaked_rows
@@ -18,6 +18,10 @@ def _with_optional_label(spark, sf_dir):
     return documents(spark, sf_dir).join(labels, "doc_id", "left")
 
 
+def labelled_rows(spark, sf_dir):
+    return label_rows(spark, sf_dir).withColumn("split", split_of(F.col("doc_id")))
+
+
 def cross_split_overlap(spark, sf_dir):
     return leak_counts(documents(spark, sf_dir), "text", "split").select("shared_texts")
 
@@ -34,14 +38,15 @@ def leak_free_train(spark, sf_dir):
 
 def unlabelled_split_check(spark, sf_dir):
     """Splits by source: labels only where the table has them, else -1."""
-    rows = _with_optional_label(spark, sf_dir).select(
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.col("source").alias("split"), F.coalesce("label", F.lit(-1)).alias("label")
     )
     return ins.unlabelled_splits(rows)
 
 
 def source_status(spark, sf_dir):
-    counts = documents(spark, sf_dir).groupBy(F.col("split").alias("source")).agg(F.count("*").alias("n_rows"))
+    counts = document_rows(spark, sf_dir).groupBy(F.col("split").alias("source")).agg(F.count("*").alias("n_rows"))
     return ins.source_status(counts, SPLITS, found=["train", "test"])
 
 
@@ -50,9 +55,9 @@ def inspection_summary(spark, sf_dir):
 
 
 QUERIES = {
-    "split_sizes": lambda s, d: ins.split_sizes(documents(s, d)),
-    "class_balance": lambda s, d: ins.class_balance(labelled(s, d)),
-    "duplicates_total": lambda s, d: ins.duplicate_rows(table(s, d, "documents"), "text"),
+    "split_sizes": lambda s, d: ins.split_sizes(document_rows(s, d)),
+    "class_balance": lambda s, d: ins.class_balance(labelled_rows(s, d)),
+    "duplicates_total": lambda s, d: ins.duplicate_rows(documents(s, d), "text"),
     "duplicates_by_split": lambda s, d: ins.duplicate_rows(documents(s, d), "text", ["split"]),
     "missing_texts": lambda s, d: ins.missing_texts(documents(s, d), "text", ["split"]),
     "source_status": source_status,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
     HASH_INTERCEPTS, SETTINGS, hash_coefficients, sql_blank, sql_classical, sql_margins, sql_vocabulary,
-    sql_weights, table, train_vocabulary,
+    sql_weights, text_table, train_vocabulary,
 )
 from reviewloom.catalog.scoring import sql_prediction
 from reviewloom.operators.requests import MODEL_TAGS, linear_scorer, log_rows, score_requests, validate_requests
@@ -19,7 +19,7 @@ _RESPONSE = ["request_id", "status", "error", "message", "sentiment", "confidenc
 
 def request_bodies(spark, sf_dir):
     """(request_id, method, body): well-formed requests and every kind of bad one."""
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text")
+    turns = text_table(spark, sf_dir, "conversations", "conv_id", "turn").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text")
     digest = F.md5(F.concat(F.lit("kind:"), "request_id"))
     kind, sub = F.substring(digest, 1, 1), F.substring(digest, 2, 1)
 

@@ -4,31 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.catalog.inputs import cleaned, labelled, table
+from reviewloom.catalog.inputs import labelled
 from reviewloom.operators.evaluation import classification_metrics
-from reviewloom.operators.leakage import remove_leaked_rows
-from reviewloom.operators.splitting import stratified_split
-from reviewloom.operators.training import calibrate, calibrated_probabilities, fit_linear, Problem
+from reviewloom.operators.training import Problem, calibrate, calibrated_probabilities, fit_linear
+from reviewloom.plans.splits import build_corpus_splits
 from reviewloom.plans.training import KINDS, build_features, evaluate_models, tune_models
-
-
-def _splits(spark, sf_dir):
-    """Train, validation and test of the labelled documents, leaks removed."""
-    rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "label", "split")
-    test = rows.where("split = 'test'").drop("split")
-    train = remove_leaked_rows(rows.where("split = 'train'").drop("split"), test, "text")
-    parts = stratified_split(train)
-    frames = {
-        "train": parts.where("split = 'train'").drop("split"),
-        "validation": parts.where("split = 'validation'").drop("split"),
-        "test": test,
-    }
-    return {name: cleaned(frame) for name, frame in frames.items()}
+from reviewloom.sources.corpus import scan_processed
+from reviewloom.storage import scratch_path
 
 
 def _features(spark, sf_dir, names=("train", "validation")):
-    splits = _splits(spark, sf_dir)
-    return build_features({n: splits[n] for n in names}, text_col="clean")
+    """Stored splits of the labelled documents, leaks removed, then features."""
+    rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("text_raw"), "label", "split")
+    path = scratch_path(spark, "splits")
+    build_corpus_splits(rows, "documents", path)
+    return build_features({n: scan_processed(spark, path, split=n) for n in names})
 
 
 def _one_fit(spark, sf_dir, kind):

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import html
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Java's \s is ASCII only, so the Unicode whitespace class is spelled out.
 SPACE_CLASS = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
-# Word characters in the Unicode sense.
-WORD_CLASS = r"\p{L}\p{N}_"
+# Word characters in the Unicode sense; the ASCII ranges are there for speed.
+WORD_CLASS = r"a-z0-9_\p{L}\p{N}"
 
 # HTML references decoded natively. The ampersand comes last, so
 # the chain of replacements equals one left-to-right pass.
@@ -42,9 +42,11 @@ COMMON_REFERENCES = {
 NEGATION_WORDS = ("not", "never", "no", "n't", "cannot", "neither", "nor")
 
 
-@F.pandas_udf(T.StringType())
-def _decode_references(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _decode_references(texts: pa.Array) -> pa.Array:
+    if texts.null_count == len(texts):
+        return texts
+    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def html_unescape(text: Column, exact: bool = True) -> Column:
@@ -59,7 +61,7 @@ def html_unescape(text: Column, exact: bool = True) -> Column:
     if not exact:
         return decoded
     names = "|".join(r[1:-1] for r in COMMON_REFERENCES)
-    uncommon = text.rlike(f"&(?!(?:{names});)[A-Za-z#]")
+    uncommon = text.contains("&") & text.rlike(f"&(?!(?:{names});)[A-Za-z#]")
     # Rows that need no decoder reach Python as nulls, not as text.
     by_library = _decode_references(F.when(uncommon, text))
     return F.when(uncommon, by_library).otherwise(decoded)
@@ -70,7 +72,9 @@ def strip_tags(text: Column) -> Column:
 
 
 def remove_html(text: Column, exact: bool = True) -> Column:
-    return strip_tags(html_unescape(text, exact))
+    # Most texts hold neither tags nor references; a byte search finds out.
+    marked = text.contains("<") | text.contains("&")
+    return F.when(marked, strip_tags(html_unescape(text, exact))).otherwise(text)
 
 
 def normalize_whitespace(text: Column) -> Column:

@@ -160,8 +160,10 @@ def _unit_rows(df, vocabulary, id_col, text_col, max_terms, keep, fields) -> Dat
     return (
         known_terms(df, vocabulary.select("term", "idx", "idf"), id_col, text_col, max_terms, keep)
         .groupBy(id_col, *keep)
-        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        .withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])))
+        .agg(
+            F.array_sort(F.collect_list(entry)).alias("e"),
+            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+        )
     )
 
 

@@ -24,6 +24,8 @@ from reviewloom.operators.splitting import FOLDS, LABELS, SEED, stratified_folds
 # The grid, and the iteration limits of the two models.
 C_GRID = (0.01, 0.1, 1.0, 10.0, 30.0, 100.0, 300.0)
 MAX_ITERATIONS = {"logistic": 1000, "squared_hinge": 5000}
+# Gradient norm relative to the start, about the default of common solvers.
+TOLERANCE = 5e-5
 # Few partitions are added on the driver; more go through a tree.
 DIRECT_SUM_PARTITIONS = 16
 
@@ -57,23 +59,37 @@ def _losses(kind: str, signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gap * gap, -2.0 * gap
 
 
-def _partial_sums(kind: str, held_out: Sequence[int | None], weights, has_fold: bool) -> Callable:
-    """Function for mapInArrow: (loss, gradient, intercept gradient) per problem of one partition."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sparse rows as plain buffers: one row per Arrow batch."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        lengths = np.diff(batch.column("indices").offsets.to_numpy())
+        buffers = {
+            "y": np.where(batch.column("label").to_numpy() == 1, 1.0, -1.0),
+            "fold": batch.column("fold").to_numpy().astype(np.int32),
+            "row": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths),
+            "idx": batch.column("indices").flatten().to_numpy(),
+            "val": batch.column("values").flatten().to_numpy(),
+        }
+        yield pa.RecordBatch.from_pydict(
+            {name: pa.array([b.tobytes()], pa.binary()) for name, b in buffers.items()}
+        )
+
+
+def _unpack(block) -> tuple[np.ndarray, ...]:
+    kinds = (("y", np.float64), ("fold", np.int32), ("row", np.int32), ("idx", np.int32), ("val", np.float64))
+    return tuple(np.frombuffer(block[name], kind) for name, kind in kinds)
+
+
+def _partial_sums(kind: str, held_out: Sequence[int | None], weights) -> Callable:
+    """(loss, gradient, intercept gradient) per problem, summed over one partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks) -> Iterator[np.ndarray]:
         w = weights.value  # (problems, d + 1), intercept last
         d = w.shape[1] - 1
         total = np.zeros((w.shape[0], d + 2))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            offsets = batch.column("indices").offsets.to_numpy()
-            lengths = np.diff(offsets)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            idx = batch.column("indices").flatten().to_numpy()
-            val = batch.column("values").flatten().to_numpy()
-            y = np.where(batch.column("label").to_numpy() == 1, 1.0, -1.0)
-            fold = batch.column("fold").to_numpy() if has_fold else None
+        for y, fold, row, idx, val in map(_unpack, blocks):
             for p in range(w.shape[0]):
                 margin = np.bincount(row, weights=val * w[p][idx], minlength=len(y)) + w[p][d]
                 loss, slope = _losses(kind, y * margin)
@@ -84,35 +100,25 @@ def _partial_sums(kind: str, held_out: Sequence[int | None], weights, has_fold:
                 total[p, 0] += loss.sum()
                 total[p, 1 : d + 1] += np.bincount(idx, weights=val * pull[row], minlength=d)
                 total[p, d + 1] += pull.sum()
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+        yield total
 
     return run
 
 
-def _evaluate(
-    rows: DataFrame, n_partitions: int, kind: str, problems: Sequence[Problem], points: np.ndarray
-) -> np.ndarray:
-    """(problems, d + 2): data loss and gradient of each problem at its point."""
-    sc = rows.sparkSession.sparkContext
-    weights = sc.broadcast(points)
-    has_fold = "fold" in rows.columns
-    parts = rows.mapInArrow(
-        _partial_sums(kind, [p.held_out for p in problems], weights, has_fold), "sums binary"
-    )
-    shape = (points.shape[0], points.shape[1] + 1)
-    try:
-        if n_partitions <= DIRECT_SUM_PARTITIONS:
-            return np.sum([np.frombuffer(r[0]) for r in parts.collect()], axis=0).reshape(shape)
-        vectors = parts.rdd.map(lambda r: np.frombuffer(r[0]))
-        return vectors.treeReduce(np.add, depth=2 if n_partitions <= 1024 else 3).reshape(shape)
-    finally:
-        weights.destroy()
+def _add_up(blocks, run: Callable) -> np.ndarray:
+    """Sum of the partitions' vectors: on the driver if few, else by a tree."""
+    parts = blocks.mapPartitions(run)
+    n = parts.getNumPartitions()
+    if n <= DIRECT_SUM_PARTITIONS:
+        return np.sum(parts.collect(), axis=0)
+    return parts.treeReduce(np.add, depth=2 if n <= 1024 else 3)
 
 
 class _Lbfgs:
     """State of one minimisation, advanced one evaluation at a time."""
 
-    MEMORY = 10
+    # Long memory: a pass over the data costs far more than a vector on the driver.
+    MEMORY = 30
 
     def __init__(self, problem: Problem, penalised: np.ndarray, tolerance: float, max_iterations: int):
         self.problem = problem
@@ -158,7 +164,7 @@ class _Lbfgs:
             self.direction = -self.gradient
             self.slope = -float(self.gradient @ self.gradient)
         self.low, self.high = 0.0, np.inf
-        self.step = 1.0 if self.history else 1.0 / max(1.0, np.linalg.norm(self.gradient))
+        self.step = 1.0 if self.history else 1.0 / max(1.0, float(np.linalg.norm(self.gradient)))
         self.trial = self.point + self.step * self.direction
 
     def feed(self, sums: np.ndarray) -> None:
@@ -211,7 +217,7 @@ def fit_linear(
     problems: Sequence[Problem],
     kind: str,
     n_features: int,
-    tolerance: float = 1e-5,
+    tolerance: float = TOLERANCE,
     max_iterations: int | None = None,
 ) -> list[Fit]:
     """Minimise ``0.5 |w|^2 + C * sum(loss)`` for every problem.
@@ -225,18 +231,25 @@ def fit_linear(
     if kind == "logistic":
         penalised[-1] = 0.0
     limit = max_iterations or MAX_ITERATIONS[kind]
-    searches = [_Lbfgs(p, penalised, tolerance, limit) for p in problems]
-    columns = ["label", "indices", "values"] + (["fold"] if "fold" in rows.columns else [])
-    cached = rows.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    if "fold" not in rows.columns:
+        rows = rows.withColumn("fold", F.lit(0))
+    packed = rows.select("label", "fold", "indices", "values").mapInArrow(
+        _pack, "y binary, fold binary, row binary, idx binary, val binary"
+    )
+    # The loop runs per partition on plain buffers; lost blocks come back from the stored rows.
+    blocks = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    sc = rows.sparkSession.sparkContext
     try:
-        n_partitions = cached.rdd.getNumPartitions()
+        searches = [_Lbfgs(p, penalised, tolerance, limit) for p in problems]
         while open_ := [s for s in searches if not s.done]:
-            points = np.array([s.trial for s in open_])
-            sums = _evaluate(cached, n_partitions, kind, [s.problem for s in open_], points)
+            weights = sc.broadcast(np.array([s.trial for s in open_]))
+            held_out = [s.problem.held_out for s in open_]
+            sums = _add_up(blocks, _partial_sums(kind, held_out, weights))
+            weights.unpersist()
             for search, part in zip(open_, sums):
                 search.feed(part)
     finally:
-        cached.unpersist()
+        blocks.unpersist()
     return [s.result() for s in searches]
 
 
@@ -303,7 +316,7 @@ def tune(
     n_features: int,
     grid: Sequence[float] = C_GRID,
     id_col: str = "id",
-    tolerance: float = 1e-5,
+    tolerance: float = TOLERANCE,
     max_iterations: int | None = None,
 ) -> Tuning:
     """Fit every C on train, score all of them on validation, keep the best F1.
@@ -403,7 +416,7 @@ class Calibrated:
 
 def calibrate(
     train: DataFrame, c: float, n_features: int, id_col: str = "id", folds: int = FOLDS,
-    seed: int = SEED, labels: Sequence[int] = LABELS, tolerance: float = 1e-5,
+    seed: int = SEED, labels: Sequence[int] = LABELS, tolerance: float = TOLERANCE,
 ) -> Calibrated:
     """Per fold: an SVM on the other folds and a sigmoid on this one."""
     rows = stratified_folds(train, id_col, "label", folds, seed, labels)

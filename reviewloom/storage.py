@@ -44,6 +44,19 @@ def materialise(df: DataFrame, purpose: str, path: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a stored table that arrives in fewer splits than cores.
+
+    Text work is CPU-bound, so a small table in one file is worth a shuffle. A
+    large table has more splits than cores and is returned as it is. Only for
+    plain scans: asking a plan with shuffles for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
