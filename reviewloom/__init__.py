@@ -1,3 +1,11 @@
 """Labelled-text analytics as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run in Python workers travel with their code, so the
+# executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
