@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.cleaning import COMMON_REFERENCES, SPACE_CLASS, WORD_CLASS, clean_for_classical
 from reviewloom.operators.features import TfidfSettings, fit_vocabulary
-from reviewloom.storage import spread
+from reviewloom.storage import materialise, spread
 
 # Stand-in linear models: coefficients are hashes of the terms.
 HASH_MODELS = ("logreg", "distilbert")
@@ -58,6 +58,11 @@ def train_vocabulary(spark: SparkSession, sf_dir: str, settings: TfidfSettings =
     return fit_vocabulary(train, "doc_id", "clean", settings)
 
 
+def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted vocabulary as a stored table, for queries that read it more than once."""
+    return materialise(train_vocabulary(spark, sf_dir), "vocabulary")
+
+
 def hash_coefficients(vocabulary: DataFrame, models=HASH_MODELS) -> DataFrame:
     """(model, term, coef): six hex digits of a hash, shifted to -0.5 .. 0.5."""
     named = vocabulary.select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "term")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
     HASH_INTERCEPTS, SETTINGS, hash_coefficients, sql_blank, sql_classical, sql_margins, sql_vocabulary,
-    sql_weights, text_table, train_vocabulary,
+    sql_weights, stored_vocabulary, text_table,
 )
 from reviewloom.catalog.scoring import sql_prediction
 from reviewloom.operators.requests import MODEL_TAGS, linear_scorer, log_rows, score_requests, validate_requests
 from reviewloom.sinks.tables import append_log
-from reviewloom.storage import materialise, scratch_path
+from reviewloom.storage import scratch_path
 from reviewloom.streaming.requests import REQUEST_SCHEMA, read_requests, start_request_stream
 
 _RESPONSE = ["request_id", "status", "error", "message", "sentiment", "confidence", "model"]
@@ -53,7 +53,7 @@ def validate(spark, sf_dir):
 
 
 def _scorers(spark, sf_dir):
-    vocabulary = train_vocabulary(spark, sf_dir)
+    vocabulary = stored_vocabulary(spark, sf_dir)
     scorer = linear_scorer(
         vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS, max_terms=SETTINGS.max_features
     )
@@ -78,7 +78,7 @@ def request_stream(spark, sf_dir):
     incoming = scratch_path(spark, "incoming")
     request_bodies(spark, sf_dir).write.parquet(incoming)
     # Fitted once; every micro-batch reads the stored table.
-    vocabulary = materialise(train_vocabulary(spark, sf_dir), "vocabulary")
+    vocabulary = stored_vocabulary(spark, sf_dir)
     scorer = linear_scorer(
         vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS, max_terms=SETTINGS.max_features
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
     HASH_INTERCEPTS, HASH_MODELS, SETTINGS, SQL_LABELLED, cleaned, documents, hash_coefficients, labelled,
-    sql_classical, sql_margins, sql_vocabulary, sql_weights, table, train_vocabulary,
+    sql_classical, sql_margins, sql_vocabulary, sql_weights, stored_vocabulary, table,
 )
 from reviewloom.functions.scoring import display_percent, logits_to_prediction
 from reviewloom.operators.evaluation import best_setting, classification_metrics, confusion_counts
@@ -23,7 +23,7 @@ OFFSET_STEP = 0.05
 
 def score_documents(spark, sf_dir, rows, keep=()):
     """Margins of the hash models for (doc_id, text, *keep)."""
-    vocabulary = train_vocabulary(spark, sf_dir)
+    vocabulary = stored_vocabulary(spark, sf_dir)
     return term_scores(
         cleaned(rows), vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS, "doc_id", "clean",
         SETTINGS.max_features, keep,
@@ -59,7 +59,7 @@ def dispatch_predictions(spark, sf_dir):
     rows = cleaned(documents(spark, sf_dir).select("doc_id", "text")).withColumn(
         "requested", F.when(even, HASH_MODELS[0]).otherwise(HASH_MODELS[1])
     )
-    vocabulary = train_vocabulary(spark, sf_dir)
+    vocabulary = stored_vocabulary(spark, sf_dir)
     return dispatch(
         rows, "requested", MODEL_TAGS, vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS,
         "doc_id", "clean", SETTINGS.max_features,

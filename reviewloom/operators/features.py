@@ -121,11 +121,6 @@ def fit_vocabulary(
     )
 
 
-def small_table(table: DataFrame, max_rows: int, limit: int = BROADCAST_TERMS) -> DataFrame:
-    """Broadcast hint for a table known to hold at most ``max_rows`` rows."""
-    return F.broadcast(table) if max_rows <= limit else table
-
-
 def known_terms(
     df: DataFrame,
     vocabulary: DataFrame,
@@ -139,18 +134,22 @@ def known_terms(
     Every document also has one row with a null term, so documents without
     any known term stay in the result.
     """
-    # Null term: the marker row of a document.
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
-    exploded = (
-        document_term_counts(df, id_col, text_col, keep)
-        .select(id_col, *keep, F.inline_outer(F.concat("counts", marker)))
-    )
+    counts = document_term_counts(df, id_col, text_col, keep)
     vocabulary = vocabulary.withColumn("__known", F.lit(True))
-    return (
-        exploded.join(small_table(vocabulary, max_terms), "term", "left")
-        .where(F.col("__known") | F.col("term").isNull())
-        .withColumn("w", F.when(F.col("__known"), (1 + F.log("tf")) * F.col("idf")))
-        .drop("__known", "tf")
+    if max_terms <= BROADCAST_TERMS:
+        # Null term: the marker row of a document.
+        marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
+        joined = (
+            counts.select(id_col, *keep, F.inline_outer(F.concat("counts", marker)))
+            .join(F.broadcast(vocabulary), "term", "left")
+            .where(F.col("__known") | F.col("term").isNull())
+        )
+    else:
+        # Shuffled by term; the markers stay out of it, or they would all meet in one task.
+        known = counts.select(id_col, *keep, F.inline_outer("counts")).join(vocabulary, "term")
+        joined = known.unionByName(df.select(id_col, *keep), allowMissingColumns=True)
+    return joined.withColumn("w", F.when(F.col("__known"), (1 + F.log("tf")) * F.col("idf"))).drop(
+        "__known", "tf"
     )
 
 

@@ -12,6 +12,8 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.storage import materialise
+
 # A digest row takes about 100 bytes as broadcast; this keeps it below 128 MB.
 BROADCAST_DIGESTS = 1_000_000
 SALTS = 32
@@ -48,8 +50,13 @@ def drop_digests(df: DataFrame, digests: DataFrame, text_col: str, how: str = "l
 
 
 def remove_leaked_rows(train: DataFrame, test: DataFrame, text_col: str = "text_raw") -> DataFrame:
-    """Train rows whose text is in no test row; copies within train stay."""
-    return drop_digests(train, shared_digests(train, test, text_col), text_col)
+    """Train rows whose text is in no test row; copies within train stay.
+
+    The shared digests are written first: counting and joining them then reads
+    that table and not the texts again.
+    """
+    shared = materialise(shared_digests(train, test, text_col), "shared-digests")
+    return drop_digests(train, shared, text_col)
 
 
 def leak_counts(df: DataFrame, text_col: str, split_col: str) -> DataFrame:
