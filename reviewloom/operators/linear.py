@@ -61,17 +61,16 @@ def vector_margins(
     order of ``intercepts``; at most one row per vocabulary term.
     """
     models = list(intercepts)
-    # The marker keeps rows without any entry.
-    entries = F.concat(
-        F.arrays_zip("indices", "values"),
-        F.array(F.struct(F.lit(None).cast("int").alias("indices"), F.lit(0.0).alias("values"))),
+    products = (
+        rows.select(id_col, *keep, F.inline_outer(F.arrays_zip("indices", "values")).alias("idx", "v"))
+        .join(coefficients, "idx")
+        .select(id_col, *keep, "v", "c")
     )
-    exploded = rows.select(id_col, *keep, F.inline_outer(entries).alias("idx", "v"))
-    # Only the id and two numbers per model are shuffled, after map-side sums.
-    sums = (
-        exploded.join(F.broadcast(coefficients), "idx", "left")
-        .groupBy(id_col, *keep)
-        .agg(*[F.sum(F.col("v") * F.col("c")[i]).alias(f"d{i}") for i in range(len(models))])
+    # Every row again without entries, so that rows with no known term stay.
+    products = products.unionByName(rows.select(id_col, *keep), allowMissingColumns=True)
+    # Only the id and a number per model are shuffled, after map-side sums.
+    sums = products.groupBy(id_col, *keep).agg(
+        *[F.sum(F.col("v") * F.col("c")[i]).alias(f"d{i}") for i in range(len(models))]
     )
     pairs = []
     for i, m in enumerate(models):

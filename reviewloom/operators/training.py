@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.evaluation import best_setting, classification_metrics
+from reviewloom.operators.features import BROADCAST_TERMS
 from reviewloom.operators.linear import long_predictions, vector_margins
 from reviewloom.operators.splitting import FOLDS, LABELS, SEED, stratified_folds
 
@@ -271,7 +272,10 @@ def fit_hinge_ml(train: DataFrame, c: float, n_rows: int, max_iterations: int =
 
 
 def coefficient_table(spark, fits: Sequence[Fit]) -> DataFrame:
-    """(idx, c ARRAY<DOUBLE>): one row per vocabulary term, one entry per fit."""
+    """(idx, c ARRAY<DOUBLE>): one row per vocabulary term, one entry per fit.
+
+    Marked for broadcast when the number of terms allows it.
+    """
     stacked = np.stack([f.weights for f in fits], axis=1)
     table = pa.table(
         {
@@ -281,7 +285,8 @@ def coefficient_table(spark, fits: Sequence[Fit]) -> DataFrame:
             ),
         }
     )
-    return spark.createDataFrame(table)
+    frame = spark.createDataFrame(table)
+    return F.broadcast(frame) if stacked.shape[0] <= BROADCAST_TERMS else frame
 
 
 def model_table(spark, fits: Sequence[Fit], vocabulary: DataFrame) -> DataFrame:
