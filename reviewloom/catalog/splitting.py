@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reviewloom.catalog.inputs import SQL_DOCUMENTS, documents, label_rows, table
 from reviewloom.operators.leakage import remove_leaked_rows, shared_digests
 from reviewloom.operators.splitting import stratified_folds, stratified_sample, stratified_split
+from reviewloom.storage import materialise
 
 SAMPLE_SIZE = 120
 
@@ -33,7 +34,8 @@ def split_hygiene(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     train, test = docs.where("split = 'train'").drop("split"), docs.where("split = 'test'").drop("split")
     kept = remove_leaked_rows(train, test, "text").join(labels, "doc_id")
-    parts = stratified_split(kept, "doc_id", keys=kept.select("doc_id", "label"))
+    # Read by six checks below, so it is written once.
+    parts = materialise(stratified_split(kept, "doc_id", keys=kept.select("doc_id", "label")), "parts")
     part = {s: parts.where(F.col("split") == s) for s in ("train", "validation")}
     part["test"] = test
 
