@@ -5,15 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.common import table
+from reviewloom.llm.decontamination import contaminated
+from reviewloom.llm.personal_data import find_personal_data, train
+from reviewloom.llm.quality import fit_quality, quality_scores
 from reviewloom.llm.simhash_dedup import simhash_components
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), size=4, max_bits=4)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, train(docs))
+
+
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op8_personal_data": op8_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
