@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.common import table
 from reviewloom.llm.decontamination import contaminated
+from reviewloom.llm.packing import pack_documents
 from reviewloom.llm.personal_data import find_personal_data, train
 from reviewloom.llm.quality import fit_quality, quality_scores
 from reviewloom.llm.simhash_dedup import simhash_components
@@ -20,6 +21,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), size=4, max_bits=4)
 
@@ -32,6 +37,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_packing": op4_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_personal_data": op8_personal_data,
 }
