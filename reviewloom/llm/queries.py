@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
 from reviewloom.llm.decontamination import contaminated
@@ -10,6 +11,7 @@ from reviewloom.llm.packing import pack_documents
 from reviewloom.llm.personal_data import find_personal_data, train
 from reviewloom.llm.quality import fit_quality, quality_scores
 from reviewloom.llm.simhash_dedup import simhash_components
+from reviewloom.llm.substring_dedup import remove_repeats
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +36,18 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(docs, train(docs))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_personal_data": op8_personal_data,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
