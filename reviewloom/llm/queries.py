@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
 from reviewloom.llm.decontamination import contaminated
+from reviewloom.llm.language_id import fit_language_id, predict_language
+from reviewloom.llm.language_model import score_texts
 from reviewloom.llm.packing import pack_documents
 from reviewloom.llm.personal_data import find_personal_data, train
 from reviewloom.llm.quality import fit_quality, quality_scores
@@ -14,6 +16,11 @@ from reviewloom.llm.simhash_dedup import simhash_components
 from reviewloom.llm.substring_dedup import remove_repeats
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_language(docs, fit_language_id(docs))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,17 +43,23 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(docs, train(docs))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_personal_data": op8_personal_data,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
