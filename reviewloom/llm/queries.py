@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
 from reviewloom.llm.decontamination import contaminated
+from reviewloom.llm.embedding_dedup import vector_components
 from reviewloom.llm.language_id import fit_language_id, predict_language
 from reviewloom.llm.language_model import score_texts
 from reviewloom.llm.packing import pack_documents
@@ -38,6 +39,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), size=4, max_bits=4)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return find_personal_data(docs, train(docs))
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_personal_data": op8_personal_data,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
