@@ -15,6 +15,7 @@ from reviewloom.llm.personal_data import find_personal_data, train
 from reviewloom.llm.quality import fit_quality, quality_scores
 from reviewloom.llm.simhash_dedup import simhash_components
 from reviewloom.llm.substring_dedup import remove_repeats
+from reviewloom.llm.warc import read_archives, write_collection
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Write the pages as archives and read the records back through the capture index."""
+    folder, directory = write_collection(pages.sparkSession, pages, least_bytes=least_bytes)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    found = read_archives(directory, folder, kind)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), size=4, max_bits=4)
 
@@ -62,6 +75,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_personal_data": op8_personal_data,
