@@ -29,6 +29,7 @@ from reviewloom.llm.common import byte_column
 
 TABLE_BITS = 22
 CHUNK = 1 << 20
+SHIFT = 1 << 22  # keeps diagonals positive
 BLOCK_CHARACTERS = 4_000_000
 
 
@@ -66,7 +67,7 @@ class Patterns:
     least: int
 
 
-def build(items: list[tuple], q: int = 8, length: int = 96, rate: float = 0.08) -> Patterns | None:
+def build(items: list[tuple], q: int = 10, length: int = 96, rate: float = 0.05) -> Patterns | None:
     """Patterns of (item_id, text) rows; edits allowed: ``rate`` of the characters, fewer where the bound would vanish."""
     item, codes, starts, short = [], [], [], []
     for item_id, text in items:
@@ -92,10 +93,9 @@ def build(items: list[tuple], q: int = 8, length: int = 96, rate: float = 0.08)
     order = np.argsort(gram, kind="stable")
     known = np.zeros(1 << TABLE_BITS, bool)
     known[gram >> np.uint32(32 - TABLE_BITS)] = True
-    # A match of m characters covers at most m + e of text; its densest window of the
-    # smallest pattern's length holds at least this part of the shared q-grams.
-    window = int((m + edits).min())
-    least = int(np.min(np.ceil(bound / np.ceil((m + edits) / window))))
+    # A match of m characters covers at most m + e of text: a window that long from its
+    # start holds all shared q-grams, whatever the pattern.
+    window, least = int((m + edits).max()), int(bound.min())
     return Patterns(item, codes, np.array(starts), edits, bound, gram[order], pattern[order], offset[order], known, short, q, window, max(1, least))
 
 
@@ -110,10 +110,10 @@ def candidates(codes: np.ndarray, p: Patterns) -> list[tuple[int, int, int]]:
     dense = np.flatnonzero(total[ends] - total[: len(gram)] >= p.least)
     if not len(dense):
         return []
-    # Positions inside any dense window, widened by a window on both sides.
+    # Positions inside any dense window.
     change = np.zeros(len(gram) + 1, np.int64)
-    np.add.at(change, np.maximum(dense - p.window, 0), 1)
-    np.add.at(change, np.minimum(dense + 2 * p.window, len(gram)), -1)
+    np.add.at(change, dense, 1)
+    np.add.at(change, np.minimum(dense + p.window, len(gram)), -1)
     at = np.flatnonzero((np.cumsum(change[:-1]) > 0) & hit)
     low, high = np.searchsorted(p.gram, gram[at], "left"), np.searchsorted(p.gram, gram[at], "right")
     n = high - low
@@ -123,19 +123,17 @@ def candidates(codes: np.ndarray, p: Patterns) -> list[tuple[int, int, int]]:
     entry = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     pattern = p.pattern[entry]
     diagonal = row - p.offset[entry]
-    step = p.edits[pattern] + 1
-    shift = 1 << 22
-    cell = (diagonal + shift) // step
-    # A q-gram of the pattern counts once in each band it touches.
-    where = np.unique(np.stack([pattern, cell, p.offset[entry]]), axis=1)
-    cells, count = np.unique(where[:2], axis=1, return_counts=True)
-    found = {(int(a), int(b)): int(c) for a, b, c in zip(*cells, count, strict=True)}
-    out = []
-    for (a, b), c in found.items():
-        bound = p.bound[a]
-        if c + found.get((a, b + 1), 0) >= bound:
-            out.append((a, b * int(p.edits[a] + 1) - shift, 2 * int(p.edits[a] + 1)))
-    return out
+    cell = (diagonal + SHIFT) // (p.edits[pattern] + 1)
+    # A q-gram of the pattern counts once in each cell, half a band wide.
+    key = np.sort((pattern << 40) | (cell << 12) | p.offset[entry])
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] >> 12
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    key, count = key[first], np.diff(np.concatenate((first, [len(key)])))
+    # Two neighbouring cells are a band.
+    after = np.where(np.concatenate((key[1:] == key[:-1] + 1, [False])), np.concatenate((count[1:], [0])), 0)
+    reached = np.flatnonzero(count + after >= p.bound[key >> 28])
+    found = [(int(k) >> 28, int(k) & ((1 << 28) - 1)) for k in key[reached]]
+    return [(a, b * int(p.edits[a] + 1) - SHIFT, 2 * int(p.edits[a] + 1)) for a, b in found]
 
 
 def align(codes: np.ndarray, pattern: np.ndarray, low: int, width: int, edits: int) -> tuple[int, int] | None:
@@ -170,7 +168,7 @@ def align(codes: np.ndarray, pattern: np.ndarray, low: int, width: int, edits: i
 def matches(codes: np.ndarray, p: Patterns) -> list[tuple]:
     """(item, begin in text, end in text, edits, characters matched) of every item found in a text."""
     found: dict = {}
-    overlap = 4 * max((len(c) for c in p.codes), default=0)
+    overlap = 4 * p.window
     for start in range(0, max(1, len(codes)), CHUNK):
         part = codes[start : start + CHUNK + overlap]
         for a, low, width in candidates(part, p):
