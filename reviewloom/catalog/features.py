@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
-    SETTINGS, SQL_DOCUMENTS, cleaned, documents, sql_classical, sql_terms, sql_vocabulary, sql_weights,
-    text_table, train_vocabulary,
+    SQL_DOCUMENTS, cleaned, documents, sql_classical, sql_terms, sql_vocabulary, sql_weights,
+    stored_vocabulary, text_table, train_vocabulary,
 )
 from reviewloom.operators import features as ft
 
@@ -48,14 +48,14 @@ def vocabulary_size(spark, sf_dir):
 
 def _weights(spark, sf_dir, split):
     weights = ft.tfidf_weights(
-        _clean_docs(spark, sf_dir, split), train_vocabulary(spark, sf_dir), "doc_id", "clean", SETTINGS.max_features
+        _clean_docs(spark, sf_dir, split), stored_vocabulary(spark, sf_dir), "doc_id", "clean"
     )
     return weights.withColumn("w", F.round("w", 6))
 
 
 def sparse_vector_stats(spark, sf_dir):
     rows = ft.tfidf_vectors(
-        _clean_docs(spark, sf_dir, "test"), train_vocabulary(spark, sf_dir), "doc_id", "clean", SETTINGS.max_features
+        _clean_docs(spark, sf_dir, "test"), stored_vocabulary(spark, sf_dir), "doc_id", "clean"
     )
     square = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x * x)
     # Position of every entry times its weight: ties indices and values together.

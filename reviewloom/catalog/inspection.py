@@ -51,7 +51,9 @@ def source_status(spark, sf_dir):
 
 
 def inspection_summary(spark, sf_dir):
-    return ins.inspection_summary(_with_optional_label(spark, sf_dir), "text", SPLITS)
+    rows = ins.inspection_summary(_with_optional_label(spark, sf_dir), "text", SPLITS)
+    labels = [F.coalesce(F.element_at("class_balance", F.lit(x)), F.lit(0)).alias(f"label_{x}") for x in ("0", "1", "none")]
+    return rows.select("*", *labels).drop("class_balance")
 
 
 QUERIES = {
@@ -81,12 +83,14 @@ def _sql_summary():
             count_if(blank) AS missing_texts, min(w) AS min_words, max(w) AS max_words,
             round(avg(w), 1) AS mean_words, median(w) AS median_words,
             count(DISTINCT text) FILTER (text IN (SELECT text FROM shared)) AS cross_split_texts,
-            count_if(label = 0) AS label_0, count_if(label = 1) AS label_1 FROM both_levels GROUP BY split),
+            count_if(label = 0) AS label_0, count_if(label = 1) AS label_1,
+            count_if(label IS NULL) AS label_none FROM both_levels GROUP BY split),
     wanted(split) AS (VALUES ('train'), ('test'), ('validation'), ('total'))
     SELECT split, coalesce(n_rows, 0) AS n_rows, coalesce(duplicate_texts, 0) AS duplicate_texts,
            CAST(coalesce(missing_texts, 0) AS BIGINT) AS missing_texts, min_words, max_words, mean_words,
            median_words, coalesce(cross_split_texts, 0) AS cross_split_texts,
            CAST(coalesce(label_0, 0) AS BIGINT) AS label_0, CAST(coalesce(label_1, 0) AS BIGINT) AS label_1,
+           CAST(coalesce(label_none, 0) AS BIGINT) AS label_none,
            CASE WHEN n_rows > 0 THEN 'ok' ELSE 'missing' END AS status
     FROM wanted LEFT JOIN agg USING (split)"""
 

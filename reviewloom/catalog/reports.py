@@ -117,18 +117,17 @@ def _shown(column):
 ORACLES = {
     "model_verdict": f"""WITH {_MODELS}, {_VERDICT}
         SELECT model, status, f1_delta, f1_delta > 0 AS beats_baseline, size_ratio, latency_ratio,
-        CASE WHEN status <> 'measured' THEN model || ' was NOT YET MEASURED in this comparison.'
-        ELSE printf('%s %s the {BASELINE} baseline on the held-out test set (F1 delta: %+.4f), '
-            || 'at %.1fx the model size and %.1fx the mean latency.', model,
-            CASE WHEN f1_delta > 0 THEN 'improves on' ELSE 'does not improve on' END, f1_delta,
+        CASE WHEN status <> 'measured' THEN model || ': no figures so far.'
+        ELSE printf('%s against {BASELINE}: F1 %s (%+.4f), size times %.1f, mean time times %.1f.', model,
+            CASE WHEN f1_delta > 0 THEN 'higher' ELSE 'not higher' END, f1_delta,
             size_ratio, latency_ratio) END AS summary FROM v""",
     "variant_summary": f"WITH {_MODELS}, {_SUMMARY} SELECT * EXCLUDE pos FROM variants",
     "best_variant": f"""WITH {_MODELS}, {_SUMMARY}, b AS (SELECT * FROM variants WHERE worthwhile
         ORDER BY latency_ms, pos LIMIT 1)
         SELECT model AS recommended_variant, CASE WHEN model IS NULL
-        THEN 'None of the variants shows a measurable, worthwhile benefit.'
-        ELSE printf('''%s'' is the recommended variant: F1 delta %+.4f, size reduced %.1f%%, '
-            || 'mean latency %.1fms (vs. original %.1fms).', model, f1_delta, size_reduction_pct, latency_ms,
+        THEN 'Keep the original: no variant pays off.'
+        ELSE printf('Take %s: F1 changes by %+.4f, %.1f%% smaller, mean time %.1f ms instead of %.1f ms.',
+            model, f1_delta, size_reduction_pct, latency_ms,
             base_latency_ms) END AS decision FROM (SELECT 1) LEFT JOIN b ON true""",
     "markdown_rows": f"""WITH {_MODELS} SELECT pos, CASE WHEN status = 'measured'
         THEN printf('| %s | %.4f | %.4f | %.3f | %.3f |', model, accuracy, f1, size_mb, latency_ms)

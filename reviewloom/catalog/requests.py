@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
-    HASH_INTERCEPTS, SETTINGS, hash_coefficients, sql_blank, sql_classical, sql_margins, sql_vocabulary,
+    HASH_INTERCEPTS, hash_coefficients, sql_blank, sql_classical, sql_margins, sql_vocabulary,
     sql_weights, stored_vocabulary, text_table,
 )
 from reviewloom.catalog.scoring import sql_prediction
@@ -55,7 +55,7 @@ def validate(spark, sf_dir):
 def _scorers(spark, sf_dir):
     vocabulary = stored_vocabulary(spark, sf_dir)
     scorer = linear_scorer(
-        vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS, max_terms=SETTINGS.max_features
+        vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS
     )
     return {tuple(MODEL_TAGS): scorer}
 
@@ -80,7 +80,7 @@ def request_stream(spark, sf_dir):
     # Fitted once; every micro-batch reads the stored table.
     vocabulary = stored_vocabulary(spark, sf_dir)
     scorer = linear_scorer(
-        vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS, max_terms=SETTINGS.max_features
+        vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS
     )
     results = scratch_path(spark, "responses")
     stream = start_request_stream(

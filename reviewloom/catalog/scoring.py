@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
-    HASH_INTERCEPTS, HASH_MODELS, SETTINGS, SQL_LABELLED, cleaned, documents, hash_coefficients, labelled,
+    HASH_INTERCEPTS, HASH_MODELS, SQL_LABELLED, cleaned, documents, hash_coefficients, labelled,
     sql_classical, sql_margins, sql_vocabulary, sql_weights, stored_vocabulary, table,
 )
 from reviewloom.functions.scoring import display_percent, logits_to_prediction
@@ -26,7 +26,7 @@ def score_documents(spark, sf_dir, rows, keep=()):
     vocabulary = stored_vocabulary(spark, sf_dir)
     return term_scores(
         cleaned(rows), vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS, "doc_id", "clean",
-        SETTINGS.max_features, keep,
+        keep,
     )
 
 
@@ -62,7 +62,7 @@ def dispatch_predictions(spark, sf_dir):
     vocabulary = stored_vocabulary(spark, sf_dir)
     return dispatch(
         rows, "requested", MODEL_TAGS, vocabulary, hash_coefficients(vocabulary), HASH_INTERCEPTS,
-        "doc_id", "clean", SETTINGS.max_features,
+        "doc_id", "clean",
     )
 
 
@@ -77,7 +77,10 @@ def _two_sums():
 
 def batch_udf_scores(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    width = vectors.select(F.size("v").alias("w")).first()["w"]
+    least, width = vectors.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != width:
+        raise ValueError(f"vectors have between {least} and {width} entries; the model takes one width")
+    width = width or 2
     return batch_scores(vectors, ["v"], _two_sums, input_shapes=[[width]]).select(
         "vec_id", F.round(F.col("logits")[0], 5).alias("logit_0"), F.round(F.col("logits")[1], 5).alias("logit_1")
     )

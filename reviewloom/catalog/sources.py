@@ -56,7 +56,7 @@ def write_read_splits(spark, sf_dir):
         "doc_id", F.col("text").alias("text_raw"), "label", F.col("lang").alias("dataset"), "split"
     )
     write_splits(add_clean_columns(rows).withColumn("word_count", word_count(F.col("text_raw"))), path)
-    return scan_processed(spark, path, split="test").select(
+    return scan_processed(spark, path).select(
         "doc_id", "label", "dataset", "split", "text_clean_classical", "text_clean_transformer", "word_count"
     )
 
@@ -88,5 +88,5 @@ ORACLES = {
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "write_read_splits": f"""WITH {SQL_LABELLED} SELECT doc_id, label, lang AS dataset, split,
         {sql_classical('text')} AS text_clean_classical, {sql_transformer('text')} AS text_clean_transformer,
-        {sql_word_count('text')} AS word_count FROM labelled WHERE split = 'test'""",
+        {sql_word_count('text')} AS word_count FROM labelled""",
 }

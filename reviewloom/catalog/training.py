@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import labelled
 from reviewloom.operators.evaluation import classification_metrics
-from reviewloom.operators.training import Problem, calibrate, calibrated_probabilities, fit_linear
+from reviewloom.operators.training import Problem, calibrate, calibrated_probabilities, fit_linear, model_table
 from reviewloom.plans.splits import build_corpus_splits
 from reviewloom.plans.training import KINDS, build_features, evaluate_models, tune_models
 from reviewloom.sources.corpus import scan_processed
@@ -24,9 +24,9 @@ def _features(spark, sf_dir, names=("train", "validation")):
 def _one_fit(spark, sf_dir, kind):
     features = _features(spark, sf_dir, ("train",))
     fit = fit_linear(features.rows["train"], [Problem("C=1", 1.0)], kind, features.n_features)[0]
-    top = sorted(enumerate(fit.weights), key=lambda p: -abs(p[1]))[:20]
-    weights = spark.createDataFrame([(i, float(w)) for i, w in top], "idx int, coef double")
-    return features.vocabulary.join(F.broadcast(weights), "idx").select("term", "idf", "coef")
+    terms = features.vocabulary.select("term", "idf")
+    # The intercept has no term.
+    return model_table(spark, [fit], features.vocabulary).join(terms, "term", "left").select("term", "idf", "coef")
 
 
 def grid_results(spark, sf_dir):

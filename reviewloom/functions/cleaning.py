@@ -83,7 +83,8 @@ def normalize_whitespace(text: Column) -> Column:
 
 def cap_repeated_punctuation(text: Column) -> Column:
     """Runs of three or more of ``!?.`` become three copies of the last one."""
-    return F.regexp_replace(text, "[!?.]{2,}([!?.])", "$1$1$1")
+    # Fixed pattern: which marks count, and how many of them.
+    return F.regexp_replace(text, "([!?.]){3,}", "$1$1$1")
 
 
 def _finish(without_html: Column) -> Column:

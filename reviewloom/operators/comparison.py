@@ -44,17 +44,12 @@ def verdict(models: DataFrame, baseline: str) -> DataFrame:
     gain = F.col("f1_delta")
     sentence = F.when(
         F.col("status") == NOT_MEASURED,
-        F.format_string("%s was " + NOT_MEASURED + " in this comparison.", F.col("model")),
+        F.format_string("%s: no figures so far.", F.col("model")),
     ).otherwise(
         F.format_string(
-            "%s %s the %s baseline on the held-out test set (F1 delta: %+.4f), "
-            "at %.1fx the model size and %.1fx the mean latency.",
-            F.col("model"),
-            F.when(gain > 0, "improves on").otherwise("does not improve on"),
-            F.lit(baseline),
-            gain,
-            F.col("size_ratio"),
-            F.col("latency_ratio"),
+            "%s against %s: F1 %s (%+.4f), size times %.1f, mean time times %.1f.",
+            F.col("model"), F.lit(baseline), F.when(gain > 0, "higher").otherwise("not higher"), gain,
+            F.col("size_ratio"), F.col("latency_ratio"),
         )
     )
     return (
@@ -103,12 +98,9 @@ def best_variant(variants: DataFrame) -> DataFrame:
         F.struct("latency_ms", "pos"),
     )
     best = variants.where("worthwhile").agg(pick.alias("b")).select("b.*")
-    decision = F.when(
-        F.col("model").isNull(), "None of the variants shows a measurable, worthwhile benefit."
-    ).otherwise(
+    decision = F.when(F.col("model").isNull(), "Keep the original: no variant pays off.").otherwise(
         F.format_string(
-            "'%s' is the recommended variant: F1 delta %+.4f, size reduced %.1f%%, "
-            "mean latency %.1fms (vs. original %.1fms).",
+            "Take %s: F1 changes by %+.4f, %.1f%% smaller, mean time %.1f ms instead of %.1f ms.",
             "model", "f1_delta", "size_reduction_pct", "latency_ms", "base_latency_ms",
         )
     )

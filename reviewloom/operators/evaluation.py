@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def confusion_counts(df: DataFrame, by: Sequence[str], label_col: str = "label", pred_col: str = "pred") -> DataFrame:
-    """(by, tn, fp, fn, tp)."""
-    y, p = F.col(label_col), F.col(pred_col)
+    """(by, tn, fp, fn, tp). A label or prediction other than 0 and 1 (or null) is an error."""
+    y, p = (
+        F.when(F.col(c).isin(0, 1), F.col(c)).otherwise(
+            F.raise_error(F.concat(F.lit(f"{c} must be 0 or 1, found "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+        )
+        for c in (label_col, pred_col)
+    )
     return df.groupBy(*by).agg(
         F.count_if((y == 0) & (p == 0)).alias("tn"),
         F.count_if((y == 0) & (p == 1)).alias("fp"),

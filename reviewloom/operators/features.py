@@ -2,7 +2,7 @@
 
 Terms of a document are counted inside its row, so no shuffle is keyed by
 (document, term). The only large shuffle of a fit is the one by term, after
-map-side sums; a transform shuffles one compact row per document.
+map-side sums; a transform is map-only while the vocabulary fits in a task.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reviewloom.functions.cleaning import WORD_CLASS
 
-# A vocabulary row takes about 100 bytes as broadcast.
+# A vocabulary row takes about 50 bytes in a task.
 BROADCAST_TERMS = 1_000_000
 
 
@@ -121,80 +124,127 @@ def fit_vocabulary(
     )
 
 
+@dataclass(frozen=True)
+class TermTable:
+    """A vocabulary held by the tasks: terms in index order, their idf and extra numbers."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    extra: np.ndarray
+
+
+def term_table(vocabulary: DataFrame, extra: Sequence[str] = (), most: int = BROADCAST_TERMS) -> TermTable | None:
+    """The vocabulary as arrays if it has at most ``most`` terms (counted), else None."""
+    if vocabulary.count() > most:
+        return None
+    table = vocabulary.select("term", "idx", "idf", *extra).toArrow().sort_by("idx").combine_chunks()
+    columns = [table[c].to_numpy() for c in extra]
+    return TermTable(
+        table["term"].combine_chunks() if table.num_rows else pa.array([], pa.string()),
+        table["idf"].to_numpy(),
+        np.nan_to_num(np.stack(columns)) if columns else np.zeros((0, table.num_rows)),
+    )
+
+
+def _known_weights(tokens: pa.ListArray, table: TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position in the vocabulary, weight) of the known terms of a batch, in that order."""
+    lengths = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.int64)
+    words, row = tokens.flatten(), np.repeat(np.arange(len(tokens)), lengths)
+    found, rows = [words], [row]
+    if len(words) > 1:
+        same = row[1:] == row[:-1]
+        left, right = (words.slice(i, len(words) - 1).filter(pa.array(same)) for i in (0, 1))
+        found.append(pc.binary_join_element_wise(left, right, " "))
+        rows.append(row[1:][same])
+    place = np.concatenate([pc.index_in(f, value_set=table.terms).fill_null(-1).to_numpy() for f in found]).astype(np.int64)
+    row, size = np.concatenate(rows), max(1, len(table.terms))
+    key, tf = np.unique((row * size + place)[place >= 0], return_counts=True)
+    return key // size, key % size, (1 + np.log(tf)) * table.idf[key % size]
+
+
+def map_rows(df: DataFrame, table: TermTable, id_col: str, text_col: str, keep: Sequence[str], output, schema: str) -> DataFrame:
+    """Map-only pass: ``output(n, row, place, weight)`` gives the arrays named in ``schema`` for n rows."""
+    kept = list(dict.fromkeys([id_col, *keep]))
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def work(batches):
+        for batch in batches:
+            tokens = batch.column(batch.schema.get_field_index("__tokens"))
+            arrays = output(batch.num_rows, *_known_weights(tokens, shared.value), shared.value)
+            names = [*kept, *[part.strip().split()[0] for part in schema.split("; ")]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *arrays], names=names)
+
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    tokens = tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("__tokens")
+    return df.select(*kept, tokens).mapInArrow(work, f"{fields}, {schema.replace('; ', ', ')}")
+
+
+def _row_lists(n: int, row: np.ndarray, *values) -> list[pa.ListArray]:
+    offsets = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+
 def known_terms(
-    df: DataFrame,
-    vocabulary: DataFrame,
-    id_col: str,
-    text_col: str,
-    max_terms: int = TfidfSettings.max_features,
-    keep: Sequence[str] = (),
+    df: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), row_col: str = "__row"
 ) -> DataFrame:
-    """(id, *keep, <vocabulary columns>, w): unnormalised weights of known terms.
+    """(row, id, *keep, <vocabulary columns>, w): unnormalised weights of known terms.
 
-    Every document also has one row with a null term, so documents without
-    any known term stay in the result.
+    The form for vocabularies too large for a task: shuffled by term. ``row_col`` numbers
+    the rows, so that rows with equal ids stay apart. Every document also has one row with a
+    null term, so documents without any known term stay in the result.
     """
+    df = df.withColumn(row_col, F.monotonically_increasing_id())
+    keep = [*keep, row_col]
     counts = document_term_counts(df, id_col, text_col, keep)
-    vocabulary = vocabulary.withColumn("__known", F.lit(True))
-    if max_terms <= BROADCAST_TERMS:
-        # Null term: the marker row of a document.
-        marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
-        joined = (
-            counts.select(id_col, *keep, F.inline_outer(F.concat("counts", marker)))
-            .join(F.broadcast(vocabulary), "term", "left")
-            .where(F.col("__known") | F.col("term").isNull())
-        )
-    else:
-        # Shuffled by term; the markers stay out of it, or they would all meet in one task.
-        known = counts.select(id_col, *keep, F.inline_outer("counts")).join(vocabulary, "term")
-        joined = known.unionByName(df.select(id_col, *keep), allowMissingColumns=True)
-    return joined.withColumn("w", F.when(F.col("__known"), (1 + F.log("tf")) * F.col("idf"))).drop(
-        "__known", "tf"
+    # One marker for each row, under a term of its own that no text has, so that markers spread over the tasks.
+    marker = F.array(F.struct(F.concat(F.lit("\0"), F.col(row_col).cast("string")).alias("term"), F.lit(0).alias("tf")))
+    joined = (
+        counts.select(id_col, *keep, F.inline_outer(F.concat("counts", marker)))
+        .join(vocabulary.withColumn("__known", F.lit(True)), "term", "left")
+        .where(F.col("__known") | F.col("term").startswith("\0"))
+        .withColumn("term", F.when(F.col("__known"), F.col("term")))
     )
+    return joined.withColumn("w", F.when(F.col("__known"), (1 + F.log("tf")) * F.col("idf"))).drop("__known", "tf")
 
 
-def _unit_rows(df, vocabulary, id_col, text_col, max_terms, keep, fields) -> DataFrame:
-    """(id, *keep, e ARRAY<STRUCT<idx, ..., w>>, norm): entries in index order."""
-    entry = F.when(F.col("w").isNotNull(), F.struct(*fields))
-    return (
-        known_terms(df, vocabulary.select("term", "idx", "idf"), id_col, text_col, max_terms, keep)
-        .groupBy(id_col, *keep)
-        .agg(
-            F.array_sort(F.collect_list(entry)).alias("e"),
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        )
+def _unit_rows(df, vocabulary, id_col, text_col, keep) -> DataFrame:
+    """(id, *keep, indices, values) by a shuffle, for a vocabulary too large for a task."""
+    entry = F.when(F.col("w").isNotNull(), F.struct("idx", "w"))
+    rows = (
+        known_terms(df, vocabulary.select("term", "idx", "idf"), id_col, text_col, keep)
+        .groupBy("__row", id_col, *keep)
+        .agg(F.array_sort(F.collect_list(entry)).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    )
+    return rows.select(
+        id_col, *keep, F.col("e.idx").alias("indices"), F.transform("e.w", lambda w: w / F.col("norm")).alias("values")
     )
 
 
 def tfidf_vectors(
-    df: DataFrame,
-    vocabulary: DataFrame,
-    id_col: str,
-    text_col: str,
-    max_terms: int = TfidfSettings.max_features,
-    keep: Sequence[str] = (),
+    df: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), broadcast_terms: int = BROADCAST_TERMS
 ) -> DataFrame:
-    """(id, *keep, indices ARRAY<INT>, values ARRAY<DOUBLE>): unit-length sparse rows."""
-    return _unit_rows(df, vocabulary, id_col, text_col, max_terms, keep, ["idx", "w"]).select(
-        id_col,
-        *keep,
-        F.col("e.idx").alias("indices"),
-        F.transform("e.w", lambda w: w / F.col("norm")).alias("values"),
-    )
+    """(id, *keep, indices ARRAY<INT>, values ARRAY<DOUBLE>): unit-length sparse rows.
+
+    Map-only up to ``broadcast_terms`` terms (counted), a shuffle by term beyond.
+    """
+    table = term_table(vocabulary, most=broadcast_terms)
+    if table is None:
+        return _unit_rows(df, vocabulary, id_col, text_col, keep)
+
+    def unit(n, row, place, weight, _):
+        norm = np.sqrt(np.bincount(row, weight * weight, n))
+        return _row_lists(n, row, place.astype(np.int32), weight / norm[row])
+
+    return map_rows(df, table, id_col, text_col, keep, unit, "indices array<int>; values array<double>")
 
 
 def tfidf_weights(
-    df: DataFrame,
-    vocabulary: DataFrame,
-    id_col: str,
-    text_col: str,
-    max_terms: int = TfidfSettings.max_features,
+    df: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, broadcast_terms: int = BROADCAST_TERMS
 ) -> DataFrame:
     """Long form: (id, term, w) with unit rows."""
-    rows = _unit_rows(df, vocabulary, id_col, text_col, max_terms, (), ["idx", "term", "w"])
-    return rows.select(id_col, "norm", F.explode("e").alias("x")).select(
-        id_col, F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("w")
-    )
+    rows = tfidf_vectors(df, vocabulary, id_col, text_col, broadcast_terms=broadcast_terms)
+    entries = rows.select(id_col, F.inline(F.arrays_zip("indices", "values")).alias("idx", "w"))
+    return entries.join(vocabulary.select("idx", "term"), "idx").select(id_col, "term", "w")
 
 
 def ml_vectors(rows: DataFrame, size: int, path: str) -> DataFrame:

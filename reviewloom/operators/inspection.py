@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.cleaning import is_blank, word_count
 from reviewloom.operators.leakage import digest
 
-TOTAL = "total"
+TOTAL, OTHER = "total", "other"
 
 
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
@@ -109,58 +109,62 @@ def inspection_summary(
     splits: Sequence[str],
     split_col: str = "split",
     label_col: str | None = "label",
-    labels: Sequence[int] = (0, 1),
+    found: Sequence[str] | None = None,
+    null_as_word: bool = False,
+    blanks: bool = True,
+    median: bool = True,
 ) -> DataFrame:
-    """One row per expected split and one for the total, from a single shuffle."""
-    names = list(splits)
+    """A row for each expected split, one for all other rows (``other``), one for the total.
 
-    def per_split(cond):
-        return F.array(*[F.count_if((F.col(split_col) == s) & cond) for s in names])
+    One shuffle by text digest, and a small one for the labels, which does not read the
+    texts. ``other`` takes rows of unexpected splits and rows without a split; the
+    total has every row. ``class_balance`` maps each label that occurs (``none`` for null)
+    to its rows. ``found`` names splits whose source exists, see ``source_status``.
+    """
+    names = [*splits, OTHER]
+    place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in splits]), F.col(split_col)), F.lit(0))
+    slot = F.when(place > 0, place - 1).otherwise(len(splits))
+    label = F.coalesce(F.col(label_col).cast("string"), F.lit("none")) if label_col else F.lit("none")
+    missing = is_blank(F.col(text_col)) if blanks else F.col(text_col).isNull()
 
-    aggregates = [
-        per_split(F.lit(True)).alias("n"),
+    rows = df.select(
+        digest(F.col(text_col)).alias("digest"), word_count(F.col(text_col), null_as_word).alias("words"), missing.alias("blank"),
+        slot.alias("slot"), label.alias("label"),
+    )
+    per_text = rows.groupBy("digest").agg(
+        F.array(*[F.count_if(F.col("slot") == i) for i in range(len(names))]).alias("n"),
         F.first("words").alias("words"),
         F.first("blank").alias("blank"),
-    ]
-    for label in labels if label_col else ():
-        aggregates.append(per_split(F.col(label_col) == label).alias(f"n_{label}"))
-    per_text = (
-        df.where(F.col(split_col).isin(*names))
-        .withColumn("digest", digest(F.col(text_col)))
-        .withColumn("words", word_count(F.col(text_col)))
-        .withColumn("blank", is_blank(F.col(text_col)))
-        .groupBy("digest")
-        .agg(*aggregates)
     )
 
-    def block(name, n, label_n, overlap):
+    def block(name, n, overlap):
         has = n > 0
-        fields = [
+        words = F.col("words")
+        return F.struct(
             F.lit(name).alias("split"),
             F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"),
             F.coalesce(F.sum(n) - F.count_if(has), F.lit(0)).alias("duplicate_texts"),
             F.coalesce(F.sum(F.when(F.col("blank"), n)), F.lit(0)).alias("missing_texts"),
-            F.min(F.when(has, F.col("words"))).alias("min_words"),
-            F.max(F.when(has, F.col("words"))).alias("max_words"),
-            F.round(F.try_divide(F.sum(F.col("words") * n), F.sum(F.when(F.col("words").isNotNull(), n))), 1).alias(
-                "mean_words"
-            ),
-            F.percentile("words", 0.5, n).alias("median_words"),
+            F.min(F.when(has, words)).alias("min_words"),
+            F.max(F.when(has, words)).alias("max_words"),
+            F.round(F.try_divide(F.sum(words * n), F.sum(F.when(words.isNotNull(), n))), 1).alias("mean_words"),
+            (F.percentile("words", 0.5, n) if median else F.lit(None).cast("double")).alias("median_words"),
             overlap.alias("cross_split_texts"),
-        ]
-        for label in labels if label_col else ():
-            fields.append(F.coalesce(F.sum(label_n(label)), F.lit(0)).alias(f"label_{label}"))
-        return F.struct(*fields)
-
-    def summed(column):
-        return F.aggregate(F.col(column), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        )
 
+    total = F.aggregate(F.col("n"), F.lit(0).cast("long"), lambda acc, x: acc + x)
     in_many = F.col("digest").isNotNull() & (F.size(F.filter("n", lambda x: x > 0)) > 1)
-    blocks = [
-        block(s, F.get("n", F.lit(i)), lambda lab, i=i: F.get(f"n_{lab}", F.lit(i)),
-              F.count_if(in_many & (F.get("n", F.lit(i)) > 0)))
-        for i, s in enumerate(names)
-    ]
-    blocks.append(block(TOTAL, summed("n"), lambda lab: summed(f"n_{lab}"), F.count_if(in_many)))
-    rows = per_text.agg(F.array(*blocks).alias("rows")).select(F.inline("rows"))
-    return rows.withColumn("status", F.when(F.col("n_rows") > 0, "ok").otherwise("missing"))
+    blocks = [block(s, F.get("n", F.lit(i)), F.count_if(in_many & (F.get("n", F.lit(i)) > 0))) for i, s in enumerate(names)]
+    blocks.append(block(TOTAL, total, F.count_if(in_many)))
+    measured = per_text.agg(F.array(*blocks).alias("rows")).select(F.inline("rows"))
+    if label_col:
+        position = F.posexplode(F.concat(F.array(*[F.lit(s) for s in names]), F.array(F.lit(TOTAL))))
+        counted = rows.groupBy("slot", "label").agg(F.count("*").alias("n"))
+        counted = counted.select("label", "slot", "n", position.alias("i", "split")).where("slot = i or i = %d" % len(names))
+        counted = counted.groupBy("split", "label").agg(F.sum("n").alias("n"))
+        balance = counted.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("class_balance"))
+        measured = measured.join(balance, "split", "left")
+    present = F.col("split").isin(*(found or ())) if found else F.lit(False)
+    status = F.when(F.col("n_rows") > 0, "ok").when(present, "empty").otherwise("missing")
+    # The row for unexpected splits appears only if there are any.
+    return measured.withColumn("status", status).where((F.col("split") != OTHER) | (F.col("n_rows") > 0))

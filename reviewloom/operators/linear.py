@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from reviewloom.functions.scoring import label_name, sigmoid
-from reviewloom.operators.features import TfidfSettings, known_terms
+from reviewloom.operators.features import BROADCAST_TERMS, known_terms, map_rows, term_table
 
 
 def term_scores(
@@ -24,58 +27,73 @@ def term_scores(
     intercepts: dict[str, float],
     id_col: str,
     text_col: str,
-    max_terms: int = TfidfSettings.max_features,
     keep: Sequence[str] = (),
+    broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """(id, *keep, margins MAP<model, DOUBLE>).
+    """(id, *keep, margins MAP<model, DOUBLE>), a row for every row of ``df``.
 
-    ``coefficients``: (model, term, coef). The dot product and the norm are two
-    sums of the same aggregate, so no vector is built for scoring.
+    ``coefficients``: (model, term, coef). Map-only while the vocabulary (counted) fits in a
+    task. Dot product and norm are two sums of the same pass, so no vector is built.
     """
-    models = list(intercepts)
+    models, bias = list(intercepts), list(intercepts.values())
+    columns = [f"c{i}" for i in range(len(models))]
     per_term = coefficients.groupBy("term").agg(
-        *[F.sum(F.when(F.col("model") == m, F.col("coef"))).alias(f"c{i}") for i, m in enumerate(models)]
+        *[F.sum(F.when(F.col("model") == m, F.col("coef"))).alias(c) for c, m in zip(columns, models, strict=True)]
     )
-    weighted = vocabulary.select("term", "idf").join(per_term, "term", "left")
+    weighted = vocabulary.select("term", "idx", "idf").join(per_term, "term", "left")
+    table = term_table(weighted, columns, broadcast_terms)
+    if table is not None:
+
+        def margins(n, row, place, weight, held):
+            norm = np.sqrt(np.bincount(row, weight * weight, n))
+            norm[norm == 0] = 1.0
+            return [margin_maps(models, [np.bincount(row, weight * c[place], n) / norm + b for c, b in zip(held.extra, bias, strict=True)])]
+
+        return map_rows(df, table, id_col, text_col, keep, margins, "margins map<string,double>")
     sums = (
-        known_terms(df, weighted, id_col, text_col, max_terms, keep)
-        .groupBy(id_col, *keep)
+        known_terms(df, weighted, id_col, text_col, keep)
+        .groupBy("__row", id_col, *keep)
         .agg(
             F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-            *[F.sum(F.col("w") * F.col(f"c{i}")).alias(f"d{i}") for i in range(len(models))],
+            *[F.sum(F.col("w") * F.col(c)).alias(f"d{c}") for c in columns],
         )
     )
     entries = []
-    for i, m in enumerate(models):
-        dot = F.coalesce(F.try_divide(F.col(f"d{i}"), F.col("norm")), F.lit(0.0))
-        entries += [F.lit(m), dot + F.lit(float(intercepts[m]))]
+    for c, m, b in zip(columns, models, bias, strict=True):
+        dot = F.coalesce(F.try_divide(F.col(f"d{c}"), F.col("norm")), F.lit(0.0))
+        entries += [F.lit(m), dot + F.lit(float(b))]
     return sums.select(id_col, *keep, F.create_map(*entries).alias("margins"))
 
 
 def vector_margins(
-    rows: DataFrame, coefficients: DataFrame, intercepts: dict[str, float], id_col: str, keep: Sequence[str] = ()
+    rows: DataFrame, coefficients: np.ndarray, intercepts: dict[str, float], id_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(id, *keep, margins MAP) from stored sparse rows (indices, values).
+    """(id, *keep, margins MAP) from stored sparse rows (indices, values), without a shuffle.
 
-    ``coefficients``: (idx, c ARRAY<DOUBLE>), one array entry per model in the
-    order of ``intercepts``; at most one row per vocabulary term.
+    ``coefficients``: [terms, models], models in the order of ``intercepts``. The matrix
+    of a fit goes to the tasks as one broadcast variable; it has a row for each vocabulary term.
     """
-    models = list(intercepts)
-    products = (
-        rows.select(id_col, *keep, F.inline_outer(F.arrays_zip("indices", "values")).alias("idx", "v"))
-        .join(coefficients, "idx")
-        .select(id_col, *keep, "v", "c")
-    )
-    # Every row again without entries, so that rows with no known term stay.
-    products = products.unionByName(rows.select(id_col, *keep), allowMissingColumns=True)
-    # Only the id and a number per model are shuffled, after map-side sums.
-    sums = products.groupBy(id_col, *keep).agg(
-        *[F.sum(F.col("v") * F.col("c")[i]).alias(f"d{i}") for i in range(len(models))]
-    )
-    pairs = []
-    for i, m in enumerate(models):
-        pairs += [F.lit(m), F.coalesce(F.col(f"d{i}"), F.lit(0.0)) + F.lit(float(intercepts[m]))]
-    return sums.select(id_col, *keep, F.create_map(*pairs).alias("margins"))
+    models, bias = list(intercepts), list(intercepts.values())
+    kept = list(dict.fromkeys([id_col, *keep]))
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(coefficients.T))
+
+    def work(batches):
+        weights = shared.value
+        for batch in batches:
+            lengths = np.nan_to_num(pc.list_value_length(batch.column("indices")).to_numpy(zero_copy_only=False)).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            idx, val = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("indices", "values"))
+            sums = [np.bincount(row, val * w[idx], batch.num_rows) + b for w, b in zip(weights, bias, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], margin_maps(models, sums)], names=[*kept, "margins"])
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "indices", "values").mapInArrow(work, f"{fields}, margins map<string,double>")
+
+
+def margin_maps(models: Sequence[str], sums: Sequence[np.ndarray]) -> pa.MapArray:
+    n = len(sums[0])
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * len(models))
+    return pa.MapArray.from_arrays(offsets, pa.array(list(models) * n, pa.string()), pa.array(np.stack(sums, axis=1).ravel()))
 
 
 def predicted_label(margin: Column) -> Column:
@@ -110,7 +128,6 @@ def dispatch(
     intercepts: dict[str, float],
     id_col: str,
     text_col: str,
-    max_terms: int = TfidfSettings.max_features,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Score every row with the model it names, in one pass for all models.
@@ -120,7 +137,7 @@ def dispatch(
     """
     named = df.where(F.col(model_col).isin(*intercepts)).withColumn("__requested", F.col(model_col))
     scored = term_scores(
-        named, vocabulary, coefficients, intercepts, id_col, text_col, max_terms, ["__requested", *keep]
+        named, vocabulary, coefficients, intercepts, id_col, text_col, ["__requested", *keep]
     )
     tag = F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])
     margin = F.element_at("margins", F.col("__requested"))

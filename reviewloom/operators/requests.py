@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.cleaning import clean_for_classical, exceeds_length, is_blank
 from reviewloom.functions.scoring import epoch_seconds, logits_to_prediction, new_row_id
-from reviewloom.operators.features import TfidfSettings
 from reviewloom.operators.linear import batch_scores, dispatch
 
 # Names and tags of the two models, the default, and the limit.
@@ -97,20 +96,18 @@ def linear_scorer(
     intercepts: dict[str, float],
     tags: dict[str, str] = MODEL_TAGS,
     clean: bool = True,
-    max_terms: int = TfidfSettings.max_features,
     id_col: str = "request_id",
 ) -> Scorer:
     """Scorer for all linear models of a table, in one pass.
 
-    ``clean=False`` skips the cleaning that training applied, which is how the
-    reference service behaves.
+    ``clean=False`` scores the text as it came, without the cleaning of the training texts.
     """
 
     def score(valid: DataFrame) -> DataFrame:
         rows = valid.withColumn("__features", clean_for_classical(F.col("text")) if clean else F.col("text"))
         return dispatch(
             rows, "requested", tags, vocabulary, coefficients, intercepts, id_col, "__features",
-            max_terms, keep=["input_length"],
+            keep=["input_length"],
         )
 
     return score

@@ -7,32 +7,37 @@ label) are joined back by broadcast, and the last pass is map-only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reviewloom.operators.ranking import order_hash, rank_cuts
+from reviewloom.storage import materialise
 
 SEED = 42
 VALIDATION_FRACTION = 0.10
-LABELS = (0, 1)
 FOLDS = 5
 
 
-def _keyed(df: DataFrame, id_col: str, label_col: str, labels: Sequence[int], seed: int) -> DataFrame:
-    return df.where(F.col(label_col).isin(*labels)).select(
+def _stored_keys(df: DataFrame, id_col: str, label_col: str, keys: DataFrame | None) -> DataFrame:
+    """(id, label) of all rows; written once, because sizes and cuts read it several times."""
+    return keys if keys is not None else materialise(df.select(id_col, label_col), "split-keys")
+
+
+def _keyed(keys: DataFrame, id_col: str, label_col: str, seed: int) -> DataFrame:
+    return keys.select(
         F.col(label_col).alias("grp"), order_hash(F.col(id_col), seed).alias("h"), F.col(id_col).alias("id")
     )
 
 
-def _label_sizes(df: DataFrame, label_col: str, labels: Sequence[int]) -> DataFrame:
-    return (
-        df.where(F.col(label_col).isin(*labels))
-        .groupBy(F.col(label_col).alias("grp"))
-        .agg(F.count("*").alias("size"))
-    )
+def _label_sizes(keys: DataFrame, label_col: str) -> DataFrame:
+    """(grp, size), a row for each label that occurs; a null label is an error."""
+    sizes = keys.groupBy(F.col(label_col).alias("grp")).agg(F.count("*").alias("size"))
+    rows = sizes.collect()
+    unlabelled = sum(r["size"] for r in rows if r["grp"] is None)
+    if unlabelled:
+        raise ValueError(f"{unlabelled} rows have no label; give them one or leave them out before the split")
+    return keys.sparkSession.createDataFrame(rows, sizes.schema)
 
 
 def validation_quota(sizes: DataFrame, fraction: float) -> DataFrame:
@@ -69,19 +74,19 @@ def stratified_split(
     label_col: str = "label",
     fraction: float = VALIDATION_FRACTION,
     seed: int = SEED,
-    labels: Sequence[int] = LABELS,
     keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: 'validation' for an exact share of every label, else 'train'.
 
     ``keys`` may hold the (id, label) columns of the same rows when a narrower
-    table of them exists. Rows whose label is not in ``labels`` are dropped.
+    stored table of them exists. Every label that occurs is split; rows without a label
+    raise an error.
     """
-    narrow = keys if keys is not None else df.select(id_col, label_col)
-    quota = validation_quota(_label_sizes(narrow, label_col, labels), fraction)
+    keys = _stored_keys(df, id_col, label_col, keys)
+    quota = validation_quota(_label_sizes(keys, label_col), fraction)
     ranks = quota.select("grp", F.lit(1).alias("cut"), "k")
-    cuts = rank_cuts(_keyed(narrow, id_col, label_col, labels, seed), ranks)
-    wide = _with_cuts(df.where(F.col(label_col).isin(*labels)), cuts, id_col, label_col, seed)
+    cuts = rank_cuts(_keyed(keys, id_col, label_col, seed), ranks)
+    wide = _with_cuts(df, cuts, id_col, label_col, seed)
     chosen = F.coalesce(F.col("__key") <= F.element_at("__cuts", 1), F.lit(False))
     return wide.withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("__key", "__cuts")
 
@@ -92,18 +97,18 @@ def stratified_sample(
     label_col: str = "label",
     size: int = 3000,
     seed: int = SEED,
-    labels: Sequence[int] = LABELS,
 ) -> DataFrame:
     """At most ``size // 2`` rows of each label, only if there are more than ``size`` rows."""
-    sizes = _label_sizes(df, label_col, labels)
+    keys = _stored_keys(df, id_col, label_col, None)
+    sizes = _label_sizes(keys, label_col)
     n = F.sum("size").over(Window.partitionBy())
     quota = sizes.select(
         "grp",
         F.lit(1).alias("cut"),
         F.when(n > size, F.least(F.col("size"), F.lit(size // 2))).otherwise(F.col("size")).alias("k"),
     )
-    cuts = rank_cuts(_keyed(df.select(id_col, label_col), id_col, label_col, labels, seed), quota)
-    wide = _with_cuts(df.where(F.col(label_col).isin(*labels)), cuts, id_col, label_col, seed)
+    cuts = rank_cuts(_keyed(keys, id_col, label_col, seed), quota)
+    wide = _with_cuts(df, cuts, id_col, label_col, seed)
     return wide.where(F.col("__key") <= F.element_at("__cuts", 1)).drop("__key", "__cuts")
 
 
@@ -113,10 +118,10 @@ def stratified_folds(
     label_col: str = "label",
     folds: int = FOLDS,
     seed: int = SEED,
-    labels: Sequence[int] = LABELS,
 ) -> DataFrame:
     """Add ``fold`` 1..folds; fold sizes of a label differ by at most one row."""
-    sizes = _label_sizes(df, label_col, labels)
+    keys = _stored_keys(df, id_col, label_col, None)
+    sizes = _label_sizes(keys, label_col)
     i = F.col("cut")
     last = i * F.floor(F.col("size") / folds) + F.least(i, F.col("size") % folds)
     ranks = (
@@ -124,7 +129,7 @@ def stratified_folds(
         .select("grp", "cut", last.alias("k"))
         .where("k > 0")
     )
-    cuts = rank_cuts(_keyed(df.select(id_col, label_col), id_col, label_col, labels, seed), ranks)
-    wide = _with_cuts(df.where(F.col(label_col).isin(*labels)), cuts, id_col, label_col, seed)
+    cuts = rank_cuts(_keyed(keys, id_col, label_col, seed), ranks)
+    wide = _with_cuts(df, cuts, id_col, label_col, seed)
     passed = F.size(F.filter(F.col("__cuts"), lambda cut: cut < F.col("__key")))
     return wide.withColumn("fold", F.coalesce(passed, F.lit(0)) + 1).drop("__key", "__cuts")

@@ -8,6 +8,7 @@ driver holds only vectors as long as the vocabulary.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -20,15 +21,13 @@ from pyspark.sql import functions as F
 from reviewloom.operators.evaluation import best_setting, classification_metrics
 from reviewloom.operators.features import BROADCAST_TERMS
 from reviewloom.operators.linear import long_predictions, vector_margins
-from reviewloom.operators.splitting import FOLDS, LABELS, SEED, stratified_folds
+from reviewloom.operators.splitting import FOLDS, SEED, stratified_folds
 
 # The grid, and the iteration limits of the two models.
 C_GRID = (0.01, 0.1, 1.0, 10.0, 30.0, 100.0, 300.0)
 MAX_ITERATIONS = {"logistic": 1000, "squared_hinge": 5000}
 # Gradient norm relative to the start, about the default of common solvers.
 TOLERANCE = 5e-5
-# Few partitions are added on the driver; more go through a tree.
-DIRECT_SUM_PARTITIONS = 16
 
 
 @dataclass(frozen=True)
@@ -107,12 +106,9 @@ def _partial_sums(kind: str, held_out: Sequence[int | None], weights) -> Callabl
 
 
 def _add_up(blocks, run: Callable) -> np.ndarray:
-    """Sum of the partitions' vectors: on the driver if few, else by a tree."""
+    """Sum of the partitions' vectors by a tree."""
     parts = blocks.mapPartitions(run)
-    n = parts.getNumPartitions()
-    if n <= DIRECT_SUM_PARTITIONS:
-        return np.sum(parts.collect(), axis=0)
-    return parts.treeReduce(np.add, depth=2 if n <= 1024 else 3)
+    return parts.treeReduce(np.add, depth=2 if parts.getNumPartitions() <= 1024 else 3)
 
 
 class _Lbfgs:
@@ -234,7 +230,10 @@ def fit_linear(
     limit = max_iterations or MAX_ITERATIONS[kind]
     if "fold" not in rows.columns:
         rows = rows.withColumn("fold", F.lit(0))
-    packed = rows.select("label", "fold", "indices", "values").mapInArrow(
+    label = F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(
+        F.raise_error(F.concat(F.lit("labels of a fit must be 0 or 1, found "), F.coalesce(F.col("label").cast("string"), F.lit("null"))))
+    )
+    packed = rows.select(label.alias("label"), "fold", "indices", "values").mapInArrow(
         _pack, "y binary, fold binary, row binary, idx binary, val binary"
     )
     # The loop runs per partition on plain buffers; lost blocks come back from the stored rows.
@@ -251,6 +250,8 @@ def fit_linear(
                 search.feed(part)
     finally:
         blocks.unpersist()
+    if unfinished := [s.problem.name for s in searches if not s.converged]:
+        warnings.warn(f"not converged: {', '.join(unfinished)}", stacklevel=2)
     return [s.result() for s in searches]
 
 
@@ -271,12 +272,17 @@ def fit_hinge_ml(train: DataFrame, c: float, n_rows: int, max_iterations: int =
     return LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, maxIter=max_iterations).fit(train)
 
 
+def coefficient_matrix(fits: Sequence[Fit]) -> np.ndarray:
+    """[terms, fits], the form ``vector_margins`` takes."""
+    return np.stack([f.weights for f in fits], axis=1)
+
+
 def coefficient_table(spark, fits: Sequence[Fit]) -> DataFrame:
     """(idx, c ARRAY<DOUBLE>): one row per vocabulary term, one entry per fit.
 
     Marked for broadcast when the number of terms allows it.
     """
-    stacked = np.stack([f.weights for f in fits], axis=1)
+    stacked = coefficient_matrix(fits)
     table = pa.table(
         {
             "idx": pa.array(np.arange(stacked.shape[0], dtype=np.int32)),
@@ -332,7 +338,7 @@ def tune(
     problems = [Problem(f"C={c:g}", c) for c in grid]
     fits = fit_linear(train, problems, kind, n_features, tolerance, max_iterations)
     scored = vector_margins(
-        validation, coefficient_table(spark, fits), intercepts_of(fits), id_col, ["label"]
+        validation, coefficient_matrix(fits), intercepts_of(fits), id_col, ["label"]
     )
     metrics = classification_metrics(long_predictions(scored, id_col, ["label"]), ["model"])
     entries = spark.createDataFrame(
@@ -409,8 +415,8 @@ def _platt(scored: DataFrame, max_steps: int = 100, tolerance: float = 1e-10) ->
                     pending.discard(k)
             size /= 2
         if not open_:
-            break
-    return params
+            return params
+    raise RuntimeError(f"sigmoids of folds {sorted(open_)} not finished after {max_steps} steps")
 
 
 @dataclass
@@ -421,14 +427,14 @@ class Calibrated:
 
 def calibrate(
     train: DataFrame, c: float, n_features: int, id_col: str = "id", folds: int = FOLDS,
-    seed: int = SEED, labels: Sequence[int] = LABELS, tolerance: float = TOLERANCE,
+    seed: int = SEED, tolerance: float = TOLERANCE,
 ) -> Calibrated:
     """Per fold: an SVM on the other folds and a sigmoid on this one."""
-    rows = stratified_folds(train, id_col, "label", folds, seed, labels)
+    rows = stratified_folds(train, id_col, "label", folds, seed)
     problems = [Problem(f"fold={k}", c, held_out=k) for k in range(1, folds + 1)]
     fits = fit_linear(rows, problems, "squared_hinge", n_features, tolerance)
     scored = vector_margins(
-        rows, coefficient_table(train.sparkSession, fits), intercepts_of(fits), id_col, ["label", "fold"]
+        rows, coefficient_matrix(fits), intercepts_of(fits), id_col, ["label", "fold"]
     )
     own = F.element_at("margins", F.concat(F.lit("fold="), F.col("fold").cast("string")))
     held_out = scored.select("fold", "label", own.alias("margin")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -443,7 +449,7 @@ def calibrated_probabilities(
 ) -> DataFrame:
     """(id, *keep, probability, pred): mean of the folds' sigmoids."""
     scored = vector_margins(
-        rows, coefficient_table(rows.sparkSession, model.fits), intercepts_of(model.fits), id_col, keep
+        rows, coefficient_matrix(model.fits), intercepts_of(model.fits), id_col, keep
     )
     parts = [
         1.0 / (1.0 + F.exp(F.lit(a) * F.element_at("margins", F.lit(f"fold={k}")) + F.lit(b)))

@@ -12,7 +12,7 @@ from reviewloom.operators.evaluation import classification_metrics
 from reviewloom.operators.features import TfidfSettings, fit_vocabulary, tfidf_vectors
 from reviewloom.operators.linear import long_predictions, vector_margins
 from reviewloom.operators.training import (
-    C_GRID, Fit, Tuning, coefficient_table, intercepts_of, model_table, tune,
+    C_GRID, Fit, Tuning, coefficient_matrix, intercepts_of, model_table, tune,
 )
 from reviewloom.sinks.tables import save_models, save_vocabulary
 from reviewloom.storage import materialise, scratch_path
@@ -46,7 +46,7 @@ def build_features(
     rows = {}
     for name, frame in splits.items():
         # The label travels with the text, so no join is needed afterwards.
-        vectors = tfidf_vectors(frame, vocabulary, id_col, text_col, settings.max_features, keep=["label"])
+        vectors = tfidf_vectors(frame, vocabulary, id_col, text_col, keep=["label"])
         rows[name] = materialise(vectors, f"features-{name}")
     return Features(vocabulary, vocabulary.count(), rows)
 
@@ -79,7 +79,7 @@ def evaluate_models(
     """
     fits = [_named(t.best, name) for name, t in tuned.items()]
     scored = vector_margins(
-        rows, coefficient_table(rows.sparkSession, fits), intercepts_of(fits), id_col, ["label", *by]
+        rows, coefficient_matrix(fits), intercepts_of(fits), id_col, ["label", *by]
     )
     return classification_metrics(long_predictions(scored, id_col, ["label", *by]), ["model", *by])
 
@@ -93,5 +93,5 @@ def evaluate_on_second_corpus(
     Rows with the placeholder label -1 are left out.
     """
     usable = corpus.where(F.col("label").isin(0, 1))
-    rows = tfidf_vectors(usable, features.vocabulary, id_col, text_col, features.n_features, keep=["label"])
+    rows = tfidf_vectors(usable, features.vocabulary, id_col, text_col, keep=["label"])
     return evaluate_models(tuned, rows, id_col)

@@ -15,6 +15,7 @@ def one(spark, expression, text):
     return spark.createDataFrame([(text,)], "t string").select(expression(F.col("t"))).first()[0]
 
 
+# Fixed cases: each pins a rule of the cleaning contract.
 EXACT = [
     (c.normalize_whitespace, "too    many   spaces", "too many spaces"),
     (c.normalize_whitespace, "line one\n\nline two\t\ttabbed", "line one line two tabbed"),
@@ -46,18 +47,18 @@ def test_exact_results(spark, function, text, expected):
 @pytest.mark.parametrize(
     "function,text,inside,outside",
     [
-        (c.clean_for_classical, "The movie was not good.", "not good", None),
-        (c.clean_for_classical, "I never liked this actor.", "never", None),
-        (c.clean_for_classical, "Surprisingly, not terrible.", "not terrible", None),
-        (c.clean_for_classical, "I wouldn't recommend it.", "n't", None),
-        (c.clean_for_transformer, "This was not good at all.", "not good", None),
+        (c.clean_for_classical, "The soup was not warm.", "not warm", None),
+        (c.clean_for_classical, "We never saw that band.", "never", None),
+        (c.clean_for_classical, "Oddly, not expensive.", "not expensive", None),
+        (c.clean_for_classical, "She couldn't hear it.", "n't", None),
+        (c.clean_for_transformer, "It was not loud at all.", "not loud", None),
         (c.clean_for_transformer, "This Was GREAT", "GREAT", None),
-        (c.remove_html, "Great film.<br /><br />Would watch again.", "Great", "br />"),
-        (c.remove_html, "Tom &amp; Jerry was fun.", "&", "&amp;"),
-        (c.remove_html, "<p>Some <b>bold</b> review text</p>", "bold", "<"),
-        (c.clean_for_classical, "Good movie.<br />Would recommend.", "would", "<br"),
-        (c.clean_for_transformer, "Good movie.<br />Would recommend.", "Would", "<br"),
-        (c.clean_for_classical, "terrible!!!!!", "!", "!!!!"),
+        (c.remove_html, "Great tea.<br /><br />More of it.", "Great", "br />"),
+        (c.remove_html, "Salt &amp; pepper only.", "&", "&amp;"),
+        (c.remove_html, "<p>A <b>bold</b> menu</p>", "bold", "<"),
+        (c.clean_for_classical, "Good bread.<br />Would return.", "would", "<br"),
+        (c.clean_for_transformer, "Good bread.<br />Would return.", "Would", "<br"),
+        (c.clean_for_classical, "awful!!!!!", "!", "!!!!"),
     ],
 )
 def test_contains(spark, function, text, inside, outside):

@@ -1,4 +1,4 @@
-"""Metrics, choices and verdicts on published numbers."""
+"""Metrics, choices and verdicts. The counts, grid and model figures are published ones."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,10 +46,10 @@ def test_verdict(spark):
     models = cmp.expected_models(measured, ["logreg", "svm", "transformer"])
     rows = {r["model"]: r for r in cmp.verdict(models, "logreg").collect()}
     assert rows["svm"]["f1_delta"] == -0.001 and rows["svm"]["beats_baseline"] is False
-    assert "does not improve on the logreg baseline" in rows["svm"]["summary"]
+    assert "svm against logreg: F1 not higher" in rows["svm"]["summary"]
     assert "-0.0010" in rows["svm"]["summary"] and rows["svm"]["latency_ratio"] == 1.1
     assert rows["transformer"]["status"] == cmp.NOT_MEASURED
-    assert cmp.NOT_MEASURED in rows["transformer"]["summary"]
+    assert rows["transformer"]["summary"] == "transformer: no figures so far."
     lines = [r["line"] for r in cmp.comparison_rows(models).orderBy("pos").collect()]
     assert lines[0] == "| logreg | 0.8977 | 0.8975 | 2.239 | 0.480 |"
     assert lines[2].startswith("| transformer | NOT YET MEASURED")
@@ -75,9 +75,9 @@ def test_variants(spark):
     assert rows["onnx_int8"]["worthwhile"] is True and rows["onnx_fp32"]["worthwhile"] is None
     best = cmp.best_variant(variants).first()
     assert best["recommended_variant"] == "onnx_int8"
-    assert "F1 delta -0.0060, size reduced 74.9%, mean latency 222.7ms (vs. original 307.1ms)" in best["decision"]
+    assert best["decision"] == "Take onnx_int8: F1 changes by -0.0060, 74.9% smaller, mean time 222.7 ms instead of 307.1 ms."
     none = cmp.best_variant(variants.where("model = 'onnx_fp32'")).first()
-    assert none["recommended_variant"] is None and none["decision"].startswith("None")
+    assert none["recommended_variant"] is None and none["decision"].startswith("Keep the original")
     assert "| onnx_fp32 | -0.0047 | 0.2% | 236.5 | N/A |" in [r["line"] for r in cmp.variant_rows(variants).collect()]
 
 
@@ -92,3 +92,10 @@ def test_logits(spark):
     rows = logits_to_prediction(df, "logits", "tag").collect()
     assert (rows[0]["pred"], rows[0]["sentiment"], rows[0]["confidence"]) == (0, "negative", 0.5)
     assert (rows[1]["pred"], rows[1]["sentiment"], rows[1]["confidence"]) == (1, "positive", 0.9933)
+
+
+@pytest.mark.parametrize("label,pred", [(2, 1), (None, 1), (1, None), (0, -1)])
+def test_labels_outside_the_matrix_are_an_error(spark, label, pred):
+    df = spark.createDataFrame([("m", 1, 1), ("m", label, pred)], "model string, label int, pred int")
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        classification_metrics(df, ["model"]).collect()

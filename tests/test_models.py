@@ -41,19 +41,20 @@ def python_tfidf(train, texts, k):
     return list(idf), rows
 
 
-@pytest.mark.parametrize("k,max_terms", [(50_000, 50_000), (4, 4), (50_000, 10**9)])
-def test_tfidf(spark, k, max_terms):
+@pytest.mark.parametrize("k,most", [(50_000, 1_000_000), (4, 1_000_000), (50_000, 0)])  # 0: shuffled by term
+def test_tfidf(spark, k, most):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string").repartition(3)
     names, want = python_tfidf(TEXTS, TEXTS, k)
     vocabulary = ft.fit_vocabulary(df, "id", "t", ft.TfidfSettings(max_features=k))
     assert [r["term"] for r in vocabulary.orderBy("idx").collect()] == names
-    rows = ft.tfidf_vectors(df, vocabulary, "id", "t", max_terms).collect()
-    assert len(rows) == len(TEXTS)  # also documents without a known term
+    df = df.union(df.where("id = 0"))  # a repeated id stays a row of its own
+    rows = ft.tfidf_vectors(df, vocabulary, "id", "t", broadcast_terms=most).collect()
+    assert len(rows) == len(TEXTS) + 1  # also documents without a known term
     for r in rows:
         got = {names[i]: v for i, v in zip(r["indices"], r["values"])}
         assert got == pytest.approx(want[r["id"]]) and list(r["indices"]) == sorted(r["indices"])
     coefs = vocabulary.select(F.lit("m").alias("model"), "term", (F.col("idx") - 1.5).alias("coef"))
-    for r in term_scores(df, vocabulary, coefs, {"m": 0.25}, "id", "t", max_terms).collect():
+    for r in term_scores(df, vocabulary, coefs, {"m": 0.25}, "id", "t", broadcast_terms=most).collect():
         dot = sum(v * (names.index(t) - 1.5) for t, v in want[r["id"]].items())
         assert r["margins"]["m"] == pytest.approx(dot + 0.25)
 
@@ -166,3 +167,11 @@ def test_whole_flow(spark, tmp_path):
     for r in features.rows["test"].collect():
         z = sum(fit.weights[i] * v for i, v in zip(r["indices"], r["values"])) + fit.intercept
         assert direct[r["id"]]["svm"] == pytest.approx(z)
+
+
+@pytest.mark.parametrize("label", [-1, 2, None])
+def test_labels_outside_the_contract_are_an_error(spark, label):
+    x, y = dense(2, 20)
+    rows = frame(spark, x, y).union(spark.createDataFrame([(99, label, [0], [1.0])], "id int, label int, indices array<int>, values array<double>"))
+    with pytest.raises(Exception, match="labels of a fit must be 0 or 1"):
+        tr.fit_linear(rows, [tr.Problem("c", 1.0)], "logistic", 3)

@@ -45,11 +45,29 @@ def test_split_is_exact_and_reproducible(spark, skewed):
             assert {r["id"] for r in got if r["label"] == c and r["split"] == "validation"} == expected[c]
 
 
-def test_split_drops_placeholder_labels_and_survives_tiny_classes(spark):
-    df = spark.createDataFrame([(1, 0), (2, 1), (3, -1)], "id long, label int")
-    got = {r["id"]: r["split"] for r in stratified_split(df).collect()}
-    assert set(got) == {1, 2} and sorted(got.values()) == ["train", "validation"]
-    assert stratified_split(df.where("id > 9")).count() == 0
+def test_every_label_is_split_and_a_missing_one_is_an_error(spark):
+    rows = [(i, [0, 1, 2, -1][i % 4]) for i in range(91)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    for got in (stratified_split(df), stratified_sample(df, size=1000), stratified_folds(df)):
+        assert sorted((r["id"], r["label"]) for r in got.collect()) == sorted(rows)
+    tiny = {r["id"]: r["split"] for r in stratified_split(df.where("id < 2")).collect()}
+    assert sorted(tiny.values()) == ["train", "validation"]
+    assert stratified_split(df.where("id > 99")).count() == 0
+    with pytest.raises(ValueError, match="2 rows have no label"):
+        stratified_split(df.union(spark.createDataFrame([(200, None), (201, None)], df.schema)))
+
+
+def test_summary_counts_rows_of_any_split_and_label(spark):
+    rows = [("train", 0, "a b"), ("train", 2, "a b"), ("extra", 1, "c"), (None, None, " ")]
+    df = spark.createDataFrame(rows, "split string, label int, text string")
+    got = {r["split"]: r for r in ins.inspection_summary(df, "text", ["train", "test", "dev"], found=["test"]).collect()}
+    assert {k: (r["n_rows"], r["status"]) for k, r in got.items()} == {
+        "train": (2, "ok"), "test": (0, "empty"), "dev": (0, "missing"), "other": (2, "ok"), "total": (4, "ok")
+    }
+    assert got["total"]["class_balance"] == {"0": 1, "1": 1, "2": 1, "none": 1} and got["total"]["missing_texts"] == 1
+    assert got["train"]["duplicate_texts"] == 1
+    plain = ins.inspection_summary(df, "text", ["train"], label_col=None, null_as_word=True, blanks=False, median=False)
+    assert "class_balance" not in plain.columns and plain.where("split = 'total'").first()["missing_texts"] == 0
 
 
 def test_sample_sizes(spark, skewed):
@@ -118,7 +136,7 @@ def test_inspection(spark, leaky):
         assert r["median_words"] == statistics.median(words)
         assert r["mean_words"] == pytest.approx(statistics.mean(words), abs=0.051)
         ids = [i for i, _, s in rows if split in (s, "total")]
-        assert r["label_1"] == sum(i % 3 == 0 for i in ids)
+        assert r["class_balance"].get("1", 0) == sum(i % 3 == 0 for i in ids)
     assert summary["val"]["status"] == "missing" and summary["val"]["n_rows"] == 0
     assert ins.duplicate_rows(df, "text").first()[0] == summary["total"]["duplicate_texts"]
     balance = ins.class_balance_map(df).where("split = 'test'").first()["class_balance"]
