@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.cleaning import clean_for_classical, exceeds_length, is_blank
 from reviewloom.functions.scoring import epoch_seconds, logits_to_prediction, new_row_id
-from reviewloom.operators.linear import batch_scores, dispatch
+from reviewloom.operators.linear import batch_scores, margin_to_prediction, term_scores
 
 # Names and tags of the two models, the default, and the limit.
 MODEL_TAGS = {"logreg": "tfidf-logreg-v1.0", "distilbert": "distilbert-onnx-int8"}
@@ -88,6 +89,35 @@ def validate_requests(
 
 
 Scorer = Callable[[DataFrame], DataFrame]
+_PREDICTED = ("sentiment", "confidence", "model")
+
+
+@dataclass(frozen=True)
+class LinearScorer:
+    """All linear models of a table. Scores in place: every row passes, and no row moves."""
+
+    vocabulary: DataFrame
+    coefficients: DataFrame
+    intercepts: dict[str, float]
+    tags: dict[str, str]
+    clean: bool
+
+    def add(self, rows: DataFrame, names: Sequence[str], id_col: str) -> DataFrame:
+        """Fill sentiment, confidence and model of the valid rows that request one of ``names``."""
+        mine = (F.col("status") == 200) & F.col("requested").isin(*names) & F.col("requested").isin(*self.intercepts)
+        text = clean_for_classical(F.col("text")) if self.clean else F.col("text")
+        keep = [c for c in rows.columns if c != id_col]
+        scored = term_scores(
+            rows.withColumn("__features", F.when(mine, text)), self.vocabulary, self.coefficients, self.intercepts,
+            id_col, "__features", keep,
+        )
+        margin, tag = F.element_at("margins", F.col("requested")), F.create_map(*[F.lit(x) for kv in self.tags.items() for x in kv])
+        new = margin_to_prediction(
+            scored.select(id_col, *[c for c in keep if c not in _PREDICTED], *[F.col(c).alias(f"__{c}") for c in _PREDICTED], "margins"),
+            margin, F.element_at(tag, F.col("requested")),
+        )
+        filled = [F.when(mine, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in _PREDICTED]
+        return new.select(id_col, *[c for c in keep if c not in _PREDICTED], *filled)
 
 
 def linear_scorer(
@@ -96,21 +126,12 @@ def linear_scorer(
     intercepts: dict[str, float],
     tags: dict[str, str] = MODEL_TAGS,
     clean: bool = True,
-    id_col: str = "request_id",
-) -> Scorer:
+) -> LinearScorer:
     """Scorer for all linear models of a table, in one pass.
 
     ``clean=False`` scores the text as it came, without the cleaning of the training texts.
     """
-
-    def score(valid: DataFrame) -> DataFrame:
-        rows = valid.withColumn("__features", clean_for_classical(F.col("text")) if clean else F.col("text"))
-        return dispatch(
-            rows, "requested", tags, vocabulary, coefficients, intercepts, id_col, "__features",
-            keep=["input_length"],
-        )
-
-    return score
+    return LinearScorer(vocabulary, coefficients, intercepts, tags, clean)
 
 
 def batch_model_scorer(
@@ -129,37 +150,33 @@ def batch_model_scorer(
 
 
 def score_requests(
-    validated: DataFrame, scorers: dict[tuple[str, ...], Scorer], id_col: str = "request_id"
+    validated: DataFrame, scorers: dict[tuple[str, ...], Scorer | LinearScorer], id_col: str = "request_id"
 ) -> DataFrame:
     """One response row per request: (id, status, error, message, sentiment, confidence, model, input_length).
 
-    Each scorer sees only the valid requests naming one of its models.
+    Errors and the requests of all linear scorers take one pass over the bodies. Any other
+    scorer sees only the valid requests naming one of its models, in a pass of its own.
+    A valid request for a model without scorer has a null prediction.
     """
-    responses = validated.where(F.col("status") != 200).select(
-        id_col,
-        "status",
-        "error",
-        "message",
-        F.lit(None).cast("string").alias("sentiment"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.lit(None).cast("string").alias("model"),
-        F.lit(None).cast("int").alias("input_length"),
+    valid = F.col("status") == 200
+    elsewhere = [m for names, s in scorers.items() if not isinstance(s, LinearScorer) for m in names]
+    rows = validated.withColumn("input_length", F.when(valid, F.length("text")))
+    responses = rows.where(~(valid & F.col("requested").isin(*elsewhere))) if elsewhere else rows
+    kinds = {"sentiment": "string", "confidence": "double", "model": "string"}
+    responses = responses.select(
+        id_col, "status", "error", "message", "text", "requested", "input_length",
+        *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()],
     )
     for names, scorer in scorers.items():
-        mine = validated.where((F.col("status") == 200) & F.col("requested").isin(*names)).withColumn(
-            "input_length", F.length("text")
-        )
-        scored = scorer(mine).select(
-            id_col,
-            F.lit(200).alias("status"),
-            F.lit(None).cast("string").alias("error"),
-            F.lit(None).cast("string").alias("message"),
-            "sentiment",
-            "confidence",
-            "model",
-            "input_length",
-        )
-        responses = responses.unionByName(scored)
+        if isinstance(scorer, LinearScorer):
+            responses = scorer.add(responses, names, id_col)
+    columns = [id_col, "status", "error", "message", *_PREDICTED, "input_length"]
+    responses = responses.select(*columns)
+    for names, scorer in scorers.items():
+        if not isinstance(scorer, LinearScorer):
+            scored = scorer(rows.where(valid & F.col("requested").isin(*names)))
+            nothing = [F.lit(None).cast("string").alias(c) for c in ("error", "message")]
+            responses = responses.unionByName(scored.select(id_col, F.lit(200).alias("status"), *nothing, *_PREDICTED, "input_length"))
     return responses
 
 
