@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text", "inspection", "splitting", "features", "scoring", "reports", "requests", "sources", "training")
+MODULES = ("text", "inspection", "splitting", "features", "scoring", "reports", "requests", "sources", "training", "small_fits")
 
 
 def _merged(attribute: str) -> dict:

@@ -1,6 +1,6 @@
-"""Linear classifiers fitted by full-batch gradients that Spark computes.
+"""Linear classifiers: logistic by Spark ML, squared hinge by full-batch gradients.
 
-One pass over the stored feature rows yields loss and gradient of every open
+Spark ML has no squared-hinge model. One pass over the stored feature rows yields loss and gradient of every open
 problem at once: all grid values of C, or all calibration folds, share each
 scan. Tasks return one vector per partition; a tree reduction adds them. The
 driver holds only vectors as long as the vocabulary.
@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.evaluation import best_setting, classification_metrics
-from reviewloom.operators.features import BROADCAST_TERMS
+from reviewloom.operators.features import BROADCAST_TERMS, ml_vectors
 from reviewloom.operators.linear import long_predictions, vector_margins
 from reviewloom.operators.splitting import FOLDS, SEED, stratified_folds
+from reviewloom.storage import scratch_path
 
 # The grid, and the iteration limits of the two models.
 C_GRID = (0.01, 0.1, 1.0, 10.0, 30.0, 100.0, 300.0)
@@ -51,10 +52,8 @@ class Fit:
     passes: int = field(default=0)
 
 
-def _losses(kind: str, signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Loss and its derivative by the signed margin y * (w.x + b)."""
-    if kind == "logistic":
-        return np.logaddexp(0.0, -signed), -np.exp(-np.logaddexp(0.0, signed))
+def _losses(signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared hinge loss and its derivative by the signed margin y * (w.x + b)."""
     gap = np.maximum(0.0, 1.0 - signed)
     return gap * gap, -2.0 * gap
 
@@ -82,7 +81,7 @@ def _unpack(block) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(block[name], kind) for name, kind in kinds)
 
 
-def _partial_sums(kind: str, held_out: Sequence[int | None], weights) -> Callable:
+def _partial_sums(held_out: Sequence[int | None], weights) -> Callable:
     """(loss, gradient, intercept gradient) per problem, summed over one partition."""
 
     def run(blocks) -> Iterator[np.ndarray]:
@@ -92,7 +91,7 @@ def _partial_sums(kind: str, held_out: Sequence[int | None], weights) -> Callabl
         for y, fold, row, idx, val in map(_unpack, blocks):
             for p in range(w.shape[0]):
                 margin = np.bincount(row, weights=val * w[p][idx], minlength=len(y)) + w[p][d]
-                loss, slope = _losses(kind, y * margin)
+                loss, slope = _losses(y * margin)
                 if held_out[p] is not None:
                     seen = fold != held_out[p]
                     loss, slope = loss * seen, slope * seen
@@ -209,6 +208,31 @@ class _Lbfgs:
         )
 
 
+def _checked_label():
+    wrong = F.concat(F.lit("labels of a fit must be 0 or 1, found "), F.coalesce(F.col("label").cast("string"), F.lit("null")))
+    return F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(F.raise_error(wrong)).alias("label")
+
+
+def _fit_logistic(
+    rows: DataFrame, problems: Sequence[Problem], n_features: int, tolerance: float, max_iterations: int
+) -> list[Fit]:
+    """Logistic fits by Spark ML on vectors stored once; its blocks stay in the JVM."""
+    path = scratch_path(rows.sparkSession, "vectors")
+    checked = rows.select(_checked_label(), "fold", "indices", "values")
+    vectors = ml_vectors(checked.withColumn("label", F.col("label").cast("double")), n_features, path)
+    counts = {r["fold"]: r["count"] for r in vectors.groupBy("fold").count().collect()}
+    fits = []
+    for p in problems:
+        seen = vectors if p.held_out is None else vectors.where(F.col("fold") != p.held_out)
+        n = sum(v for k, v in counts.items() if k != p.held_out)
+        model = fit_logistic_ml(seen, p.c, n, max_iterations, min(1e-8, tolerance * 1e-4))
+        summary = model.summary
+        loss = p.c * n * float(summary.objectiveHistory[-1])
+        done = summary.totalIterations < max_iterations
+        fits.append(Fit(p.name, p.c, model.coefficients.toArray(), float(model.intercept), loss, summary.totalIterations, done, summary.totalIterations + 1))
+    return fits
+
+
 def fit_linear(
     rows: DataFrame,
     problems: Sequence[Problem],
@@ -225,15 +249,15 @@ def fit_linear(
     if kind not in MAX_ITERATIONS:
         raise ValueError(f"unknown loss {kind!r}")
     penalised = np.ones(n_features + 1)
-    if kind == "logistic":
-        penalised[-1] = 0.0
     limit = max_iterations or MAX_ITERATIONS[kind]
     if "fold" not in rows.columns:
         rows = rows.withColumn("fold", F.lit(0))
-    label = F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(
-        F.raise_error(F.concat(F.lit("labels of a fit must be 0 or 1, found "), F.coalesce(F.col("label").cast("string"), F.lit("null"))))
-    )
-    packed = rows.select(label.alias("label"), "fold", "indices", "values").mapInArrow(
+    if kind == "logistic":
+        fits = _fit_logistic(rows, problems, n_features, tolerance, limit)
+        if unfinished := [f.name for f in fits if not f.converged]:
+            warnings.warn(f"not converged: {', '.join(unfinished)}", stacklevel=2)
+        return fits
+    packed = rows.select(_checked_label(), "fold", "indices", "values").mapInArrow(
         _pack, "y binary, fold binary, row binary, idx binary, val binary"
     )
     # The loop runs per partition on plain buffers; lost blocks come back from the stored rows.
@@ -244,7 +268,7 @@ def fit_linear(
         while open_ := [s for s in searches if not s.done]:
             weights = sc.broadcast(np.array([s.trial for s in open_]))
             held_out = [s.problem.held_out for s in open_]
-            sums = _add_up(blocks, _partial_sums(kind, held_out, weights))
+            sums = _add_up(blocks, _partial_sums(held_out, weights))
             weights.unpersist()
             for search, part in zip(open_, sums):
                 search.feed(part)
@@ -255,13 +279,13 @@ def fit_linear(
     return [s.result() for s in searches]
 
 
-def fit_logistic_ml(train: DataFrame, c: float, n_rows: int, max_iterations: int = 1000):
+def fit_logistic_ml(train: DataFrame, c: float, n_rows: int, max_iterations: int = 1000, tolerance: float = 1e-8):
     """The same logistic model by Spark ML, for a frame with a ``features`` vector."""
     from pyspark.ml.classification import LogisticRegression
 
     return LogisticRegression(
         regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iterations, tol=1e-8,
+        maxIter=max_iterations, tol=tolerance,
     ).fit(train)
 
 
