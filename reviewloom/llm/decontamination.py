@@ -54,7 +54,6 @@ class Patterns:
 
     item: list
     codes: list[np.ndarray]
-    start: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
     gram: np.ndarray
@@ -67,9 +66,13 @@ class Patterns:
     least: int
 
 
-def build(items: list[tuple], q: int = 10, length: int = 96, rate: float = 0.05) -> Patterns | None:
-    """Patterns of (item_id, text) rows; edits allowed: ``rate`` of the characters, fewer where the bound would vanish."""
-    item, codes, starts, short = [], [], [], []
+def build(items: list[tuple], q: int = 8, length: int = 96, rate: float = 0.08) -> list[Patterns]:
+    """Patterns of (item_id, text) rows; edits allowed: ``rate`` of the characters, fewer where the bound would vanish.
+
+    Whole patterns and those of items shorter than one are kept apart: each set has its own
+    filter, whose bound is that of its shortest pattern.
+    """
+    item, codes, short = [], [], []
     for item_id, text in items:
         whole = normal((text or "").encode())
         if 0 < len(whole) < q:
@@ -80,9 +83,18 @@ def build(items: list[tuple], q: int = 10, length: int = 96, rate: float = 0.05)
         ends = list(range(length, len(whole), length // 2)) + [len(whole)]
         for end in ends:
             begin = max(0, end - length)
-            item.append(item_id), codes.append(whole[begin:end]), starts.append(begin)
-    if not item:
-        return Patterns([], [], *[np.zeros(0, np.int64)] * 6, np.zeros(0, bool), short, q, 1, 1) if short else None
+            item.append(item_id), codes.append(whole[begin:end])
+    sets = []
+    for whole in (True, False):
+        own = [i for i, c in enumerate(codes) if (len(c) == length) == whole]
+        if own:
+            sets.append(index([item[i] for i in own], [codes[i] for i in own], q, rate))
+    if short:
+        sets.append(Patterns([], [], *[np.zeros(0, np.int64)] * 5, np.zeros(0, bool), short, q, 1, 1))
+    return sets
+
+
+def index(item: list, codes: list[np.ndarray], q: int, rate: float) -> Patterns:
     m = np.array([len(c) for c in codes])
     edits = np.minimum((rate * m).astype(int), (m - q) // q)
     bound = m + 1 - q - q * edits
@@ -96,7 +108,7 @@ def build(items: list[tuple], q: int = 10, length: int = 96, rate: float = 0.05)
     # A match of m characters covers at most m + e of text: a window that long from its
     # start holds all shared q-grams, whatever the pattern.
     window, least = int((m + edits).max()), int(bound.min())
-    return Patterns(item, codes, np.array(starts), edits, bound, gram[order], pattern[order], offset[order], known, short, q, window, max(1, least))
+    return Patterns(item, codes, edits, bound, gram[order], pattern[order], offset[order], known, [], q, window, max(1, least))
 
 
 def candidates(codes: np.ndarray, p: Patterns) -> list[tuple[int, int, int]]:
@@ -165,34 +177,33 @@ def align(codes: np.ndarray, pattern: np.ndarray, low: int, width: int, edits: i
     return (int(row[k]), first + len(pattern) + k) if row[k] <= edits else None
 
 
-def matches(codes: np.ndarray, p: Patterns) -> list[tuple]:
-    """(item, begin in text, end in text, edits, characters matched) of every item found in a text."""
-    found: dict = {}
-    overlap = 4 * p.window
-    for start in range(0, max(1, len(codes)), CHUNK):
-        part = codes[start : start + CHUNK + overlap]
-        for a, low, width in candidates(part, p):
-            hit = align(part, p.codes[a], low, width, int(p.edits[a]))
-            if hit:
-                end = start + hit[1]
-                old = found.get((a, end // len(p.codes[a])))
-                found[(a, end // len(p.codes[a]))] = min(old or (hit[0], end), (hit[0], end))
+def matches(codes: np.ndarray, sets: list[Patterns]) -> list[tuple]:
+    """(item, begin in text, end in text, edits, patterns matched) of every item found in a text."""
     out: dict = {}
-    for (a, _), (distance, end) in sorted(found.items()):
-        begin = max(0, end - len(p.codes[a]))
-        item = out.setdefault(p.item[a], [begin, end, distance, set()])
-        item[0], item[1] = min(item[0], begin), max(item[1], end)
-        item[2] = min(item[2], distance)
-        item[3].add(a)
-    rows = [(k, v[0], v[1], v[2], len(v[3])) for k, v in out.items()]
-    for item_id, whole in p.short:
-        size = len(whole)
-        if len(codes) >= size:
-            view = np.lib.stride_tricks.sliding_window_view(codes, size)
-            at = np.flatnonzero((view == whole).all(axis=1))
-            if len(at):
-                rows.append((item_id, int(at[0]), int(at[0]) + size, 0, 1))
-    return rows
+    for p in sets:
+        found: dict = {}
+        overlap = 4 * p.window
+        for start in range(0, max(1, len(codes)) if p.codes else 0, CHUNK):
+            part = codes[start : start + CHUNK + overlap]
+            for a, low, width in candidates(part, p):
+                hit = align(part, p.codes[a], low, width, int(p.edits[a]))
+                if hit:
+                    end = start + hit[1]
+                    place = (a, end // len(p.codes[a]))
+                    found[place] = min(found.get(place, (hit[0], end)), (hit[0], end))
+        for (a, _), (distance, end) in sorted(found.items()):
+            begin = max(0, end - len(p.codes[a]))
+            item = out.setdefault(p.item[a], [begin, end, distance, set()])
+            item[0], item[1] = min(item[0], begin), max(item[1], end)
+            item[2] = min(item[2], distance)
+            item[3].add(a)
+        for item_id, whole in p.short:
+            size = len(whole)
+            if len(codes) >= size:
+                at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(codes, size) == whole).all(axis=1))
+                if len(at):
+                    out.setdefault(item_id, [int(at[0]), int(at[0]) + size, 0, {0}])
+    return [(k, v[0], v[1], v[2], len(v[3])) for k, v in out.items()]
 
 
 def pattern_blocks(benchmark: DataFrame, **settings):
@@ -217,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
     item_kind = benchmark.schema["item_id"].dataType
     schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, begin long, end long, edits int, patterns int"
 
-    def scan(patterns: Patterns):
+    def scan(patterns: list[Patterns]):
         def work(batches):
             for batch in batches:
                 ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -241,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """Rows of ``docs``, all columns, whose text holds no benchmark item."""
 
-    def scan(df: DataFrame, patterns: Patterns) -> DataFrame:
+    def scan(df: DataFrame, patterns: list[Patterns]) -> DataFrame:
         def work(batches):
             for batch in batches:
                 clean = [not matches(normal(data), patterns) for data in byte_column(batch, "text")]

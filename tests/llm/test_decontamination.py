@@ -24,7 +24,7 @@ def test_every_pattern_within_the_budget_is_found():
     letters = "abcdefgh "
     for trial in range(12):
         pattern = "".join(rng.choice(list(letters), 100)).strip()
-        p = build([(1, pattern)])
+        p = build([(1, pattern)])[0]
         edited = list(pattern)
         for _ in range(trial):
             k = int(rng.integers(0, len(edited)))
@@ -48,9 +48,8 @@ def test_whole_items_of_the_tables(spark):
     assert kept == set(texts) - {d for d, _ in got}
     # Whatever else is reported really is close to a part of the item.
     for d, i in got - want:
-        p = build([(i, items[i])])
         text = normal(texts[d].encode())
-        assert any(best_distance(text, codes) <= e for codes, e in zip(p.codes, p.edits, strict=True))
+        assert any(best_distance(text, codes) <= e for p in build([(i, items[i])]) for codes, e in zip(p.codes, p.edits, strict=True))
 
 
 def test_odd_rows(spark):
@@ -70,5 +69,5 @@ def test_grams_and_long_text_chunks():
     codes = normal("aB  c\x0bdefgh".encode())
     assert bytes(codes.astype(np.uint8)) == b"ab c defgh" and len(grams(codes, 8)) == 3
     p = build([(9, "the quick brown fox jumps over the lazy dog and runs away from all of it again, quickly")])
-    text = np.concatenate([normal(b"filler " * 149_790), p.codes[0]])
+    text = np.concatenate([normal(b"filler " * 149_790), p[0].codes[0]])
     assert [m[0] for m in matches(text, p)] == [9]
