@@ -234,7 +234,7 @@ def small_set(df: DataFrame, column: str, most: int) -> np.ndarray | None:
     """Sorted values of a stored column if there are at most ``most`` (8 bytes each), else None."""
     if df.count() > most:
         return None
-    return np.sort(df.select(column).toPandas()[column].to_numpy(np.int64))
+    return np.sort(df.select(column).toArrow()[column].to_numpy())
 
 
 def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
