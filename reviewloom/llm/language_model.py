@@ -196,8 +196,8 @@ def fit(docs: DataFrame, frequent: float = FREQUENT, kept: float = KEPT):
 
     counted = materialise(training.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counted.where(F.col("c") >= max(2.0, frequent * total)).toPandas().sort_values("word")
-    hashes, counts = top["word"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    top = counted.where(F.col("c") >= max(2.0, frequent * total)).toArrow().sort_by("word")
+    hashes, counts = top["word"].to_numpy(), top["c"].to_numpy()
     numbers = Automaton(hashes, np.zeros(len(hashes)), 0.0, *[np.zeros(0)] * 6)
 
     if len(hashes) >= int(BASE):
@@ -230,8 +230,8 @@ def fit(docs: DataFrame, frequent: float = FREQUENT, kept: float = KEPT):
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["gram", "c"])
 
         summed = training.mapInArrow(grams, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-        rows = summed.where(F.col("c") >= least).toPandas().sort_values("gram")
-        return rows["gram"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+        rows = summed.where(F.col("c") >= least).toArrow().sort_by("gram")
+        return rows["gram"].to_numpy(), rows["c"].to_numpy()
 
     def named(keys: np.ndarray, count: np.ndarray, order: int) -> dict:
         parts = [(keys >> (21 * (order - 1 - i))) & (int(BASE) - 1) for i in range(order)]
