@@ -9,6 +9,9 @@ from reviewloom.catalog.inputs import (
 )
 from reviewloom.operators import inspection as ins
 from reviewloom.operators.leakage import leak_counts, remove_leaked_rows
+from reviewloom.plans.reports import existing, inspect_csv_corpus
+from reviewloom.sinks.tables import write_split_csv
+from reviewloom.storage import scratch_path
 
 SPLITS = ["train", "test", "validation"]
 
@@ -45,9 +48,39 @@ def unlabelled_split_check(spark, sf_dir):
     return ins.unlabelled_splits(rows)
 
 
+def _with_gaps(spark, sf_dir):
+    """Conversation turns, some made null and some blank by a hash."""
+    key = F.concat(F.lit("gap:"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    digit = F.substring(F.md5(key), 1, 1)
+    text = F.when(digit < "2", F.lit(None)).when(digit < "4", F.lit(" \t\u00a0\n")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("role", text.alias("text"))
+
+
 def source_status(spark, sf_dir):
-    counts = document_rows(spark, sf_dir).groupBy(F.col("split").alias("source")).agg(F.count("*").alias("n_rows"))
-    return ins.source_status(counts, SPLITS, found=["train", "test"])
+    """Sources as files of the folder; good labels above 5 do not exist, so that one is empty."""
+    names = ["documents", "labels", "absent"]
+    counts = [
+        table(spark, sf_dir, name).where(kept).select(F.lit(name).alias("source"))
+        for name, kept in (("documents", "text is not null"), ("labels", "quality > 5"))
+    ]
+    counts = counts[0].union(counts[1]).groupBy("source").agg(F.count("*").alias("n_rows"))
+    found = [f.removesuffix(".parquet") for f in existing(spark, sf_dir, [f"{n}.parquet" for n in names])]
+    return ins.source_status(counts, names, found=found)
+
+
+def second_corpus(spark, sf_dir):
+    """Inspection of CSV splits, some texts null and some rows without label."""
+    folder = scratch_path(spark, "second-corpus")
+    rows = table(spark, sf_dir, "conversations").join(
+        table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality"), "conv_id", "left"
+    )
+    digit = F.substring(F.md5(F.concat(F.lit("null:"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))), 1, 1)
+    rows = rows.withColumn("sentence", F.when(digit >= "2", F.col("text")))
+    for role in ("user", "assistant"):
+        write_split_csv(rows.where(F.col("role") == role).select("sentence", F.col("quality").alias("label")), f"{folder}/{role}.csv")
+    found = inspect_csv_corpus(spark, folder)
+    labels = [F.coalesce(F.element_at("class_balance", F.lit(x)), F.lit(0)).alias(f"label_{x}") for x in ("0", "1", "none")]
+    return found.select("split", "n_rows", "duplicate_texts", "missing_texts", "min_words", "max_words", "mean_words", "status", *labels)
 
 
 def inspection_summary(spark, sf_dir):
@@ -61,8 +94,9 @@ QUERIES = {
     "class_balance": lambda s, d: ins.class_balance(labelled_rows(s, d)),
     "duplicates_total": lambda s, d: ins.duplicate_rows(documents(s, d), "text"),
     "duplicates_by_split": lambda s, d: ins.duplicate_rows(documents(s, d), "text", ["split"]),
-    "missing_texts": lambda s, d: ins.missing_texts(documents(s, d), "text", ["split"]),
+    "missing_texts": lambda s, d: ins.missing_texts(_with_gaps(s, d), "text", ["role"]),
     "source_status": source_status,
+    "second_corpus": second_corpus,
     "inspection_summary": inspection_summary,
     "cross_split_overlap": cross_split_overlap,
     "leak_removed_count": leak_removed_count,
@@ -103,13 +137,20 @@ ORACLES = {
     "duplicates_total": "SELECT count(*) - count(DISTINCT text) AS duplicate_rows FROM documents",
     "duplicates_by_split": f"""WITH {SQL_DOCUMENTS} SELECT split,
         count(*) - count(DISTINCT text) AS duplicate_rows FROM docs GROUP BY split""",
-    "missing_texts": f"""WITH {SQL_DOCUMENTS} SELECT split, CAST(count_if({sql_blank('text')}) AS BIGINT)
-        AS missing_texts FROM docs GROUP BY split""",
-    "source_status": f"""WITH {SQL_DOCUMENTS}, wanted(source, present) AS
-        (VALUES ('train', true), ('test', true), ('validation', false)),
-        c AS (SELECT split AS source, count(*) AS n FROM docs GROUP BY split)
-        SELECT source, coalesce(n, 0) AS n_rows, CASE WHEN n > 0 THEN 'ok' WHEN present THEN 'empty'
-        ELSE 'missing' END AS status FROM wanted LEFT JOIN c USING (source)""",
+    "missing_texts": """SELECT role, CAST(count_if(text IS NULL OR trim(text) = '' OR substr(md5('gap:' || conv_id || '-' || turn), 1, 1) < '4')
+        AS BIGINT) AS missing_texts FROM conversations GROUP BY role""",
+    "source_status": """SELECT 'documents' AS source, count(text) AS n_rows, CASE WHEN count(text) > 0 THEN 'ok' ELSE 'empty' END
+        AS status FROM documents UNION ALL SELECT 'labels', count(*) FILTER (quality > 5),
+        CASE WHEN count(*) FILTER (quality > 5) > 0 THEN 'ok' ELSE 'empty' END FROM labels
+        UNION ALL SELECT 'absent', 0, 'missing'""",
+    "second_corpus": f"""WITH c AS (SELECT role AS split, quality, CASE WHEN substr(md5('null:' || conv_id || '-' || turn), 1, 1) >= '2'
+        THEN text END AS text FROM conversations LEFT JOIN labels ON conv_id = doc_id WHERE role IN ('user', 'assistant')),
+        w AS (SELECT *, coalesce({sql_word_count('text')}, 1) AS words FROM c),
+        b AS (SELECT * FROM w UNION ALL SELECT 'total', * EXCLUDE split FROM w)
+        SELECT split, count(*) AS n_rows, count(*) - count(DISTINCT coalesce(text, '<null>')) AS duplicate_texts,
+        CAST(count_if(text IS NULL) AS BIGINT) AS missing_texts, min(words) AS min_words, max(words) AS max_words,
+        round(avg(words), 1) AS mean_words, 'ok' AS status, CAST(count_if(quality = 0) AS BIGINT) AS label_0,
+        CAST(count_if(quality = 1) AS BIGINT) AS label_1, CAST(count_if(quality IS NULL) AS BIGINT) AS label_none FROM b GROUP BY split""",
     "inspection_summary": _sql_summary(),
     "cross_split_overlap": f"WITH {SQL_DOCUMENTS}, {_SHARED} SELECT count(*) AS shared_texts FROM shared",
     "leak_removed_count": f"""WITH {SQL_DOCUMENTS}, t AS (SELECT text IN

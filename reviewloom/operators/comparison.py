@@ -23,6 +23,26 @@ def expected_models(measured: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
+def evaluated_models(metrics: DataFrame, timings: DataFrame, sizes: DataFrame, measured_on: str) -> DataFrame:
+    """One record per model: metrics, timings, size and where the timings were taken.
+
+    ``metrics``: (model, accuracy, precision, recall, f1, confusion_matrix); ``timings``: (model,
+    n_measured, mean_ms, ...); ``sizes``: (model, size_mb). A model without timings or size keeps
+    its metrics.
+    """
+    quality = [c for c in metrics.columns if c != "model"]
+    timed = [c for c in timings.columns if c != "model"]
+    return (
+        metrics.select(F.col("model"), F.struct(*quality).alias("test_metrics"))
+        .join(timings.select(F.col("model"), F.struct(*timed).alias("test_latency_ms")), "model", "left")
+        .join(sizes.select("model", F.col("size_mb").alias("model_size_mb")), "model", "left")
+        .select(
+            F.col("model").alias("model_name"), "test_metrics", "test_latency_ms", "model_size_mb",
+            F.when(F.col("test_latency_ms").isNotNull(), measured_on).alias("latency_measured_on"),
+        )
+    )
+
+
 def with_baseline(models: DataFrame, baseline: str) -> DataFrame:
     """Add base_f1, base_size_mb, base_latency_ms from the one baseline row.
 
@@ -70,12 +90,20 @@ def is_worthwhile(f1_delta: Column, size_reduction_pct: Column, speedup: Column)
     return (f1_delta > -0.01) & ((size_reduction_pct > 5) | (speedup > 1.1))
 
 
-def variant_summary(models: DataFrame, original: str, unscored: Sequence[str] = ()) -> DataFrame:
+def variant_summary(
+    models: DataFrame, original: str, unscored: Sequence[str] = (), artifacts: DataFrame | None = None
+) -> DataFrame:
     """Deltas of every variant against the original model.
 
-    Variants in ``unscored`` are informational: ``worthwhile`` is null and they
+    ``artifacts``: (model, artifact_path); adds the path, and ``same_machine``: whether the
+    timings come from where the original's do (null if that is unknown). Variants in ``unscored`` are informational: ``worthwhile`` is null and they
     are never recommended.
     """
+    facts = []
+    if artifacts is not None:
+        here = F.max(F.when(F.col("model") == original, F.col("measured_on"))).over(Window.partitionBy())
+        models = models.withColumn("same_machine", F.col("measured_on") == here).join(artifacts, "model", "left")
+        facts = ["same_machine", "artifact_path"]
     scored = is_worthwhile(F.col("f1_delta"), F.col("size_reduction_pct"), F.col("speedup"))
     return (
         with_baseline(models, original)
@@ -86,7 +114,7 @@ def variant_summary(models: DataFrame, original: str, unscored: Sequence[str] =
         .withColumn("worthwhile", F.when(~F.col("model").isin(*unscored), scored) if unscored else scored)
         .select(
             "model", "pos", "f1", "size_mb", "latency_ms", "base_latency_ms",
-            "f1_delta", "size_reduction_pct", "speedup", "worthwhile",
+            "f1_delta", "size_reduction_pct", "speedup", "worthwhile", *facts,
         )
     )
 
@@ -138,3 +166,38 @@ def chart_rows(models: DataFrame) -> DataFrame:
     return models.where(F.col("accuracy").isNotNull()).select(
         "model", F.format_string("%.4f", "accuracy").alias("accuracy"), *shown
     )
+
+
+def _document(spark, head: Sequence[str], rows: DataFrame, tail: DataFrame) -> DataFrame:
+    """(pos, line) in order: fixed head, table rows (pos, line), blank line, closing lines (pos, line)."""
+    start = spark.createDataFrame(list(enumerate(head)), "pos int, line string")
+    first = len(head)
+    body = rows.select((F.col("pos") + first).cast("int").alias("pos"), "line")
+    # A handful of rows: one for each model.
+    end = tail.select((F.col("pos") + 1_000_000).cast("int").alias("pos"), "line")
+    return start.unionByName(body).unionByName(end)
+
+
+def comparison_document(models: DataFrame, verdicts: DataFrame, title: str = "Model comparison") -> DataFrame:
+    """(pos, line) of a Markdown document: table with where timings were taken, and the verdicts.
+
+    ``models`` has a column ``measured_on`` (null: shown as a dash).
+    """
+    head = [
+        f"# {title}", "",
+        "| Model | Accuracy | F1 | Size (MB) | Mean time (ms) | Measured on |", "|---|---|---|---|---|---|",
+    ]
+    place = models.select("pos", F.coalesce("measured_on", F.lit("--")).alias("place"))
+    rows = comparison_rows(models).join(place, "pos").select("pos", F.concat("line", F.lit(" "), "place", F.lit(" |")).alias("line"))
+    order = models.select("model", (F.col("pos") + 10).alias("pos"))
+    closing = models.sparkSession.createDataFrame([(0, ""), (1, "## Verdict"), (2, "")], "pos int, line string")
+    closing = closing.unionByName(verdicts.join(order, "model").select("pos", F.concat(F.lit("- "), "summary").alias("line")))
+    return _document(models.sparkSession, head, rows, closing)
+
+
+def variant_document(variants: DataFrame, best: DataFrame, title: str = "Variants") -> DataFrame:
+    """(pos, line) of a Markdown document: table of the variants and the decision."""
+    head = [f"# {title}", "", "| Variant | F1 change | Size reduction | Mean time (ms) | Worthwhile |", "|---|---|---|---|---|"]
+    closing = variants.sparkSession.createDataFrame([(0, ""), (1, "## Decision"), (2, "")], "pos int, line string")
+    closing = closing.unionByName(best.select(F.lit(3).alias("pos"), F.col("decision").alias("line")))
+    return _document(variants.sparkSession, head, variant_rows(variants), closing)

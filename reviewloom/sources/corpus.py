@@ -21,8 +21,9 @@ def scan_labelled_directory(
     and line ends become ``\\n``. Such a tree is many small files: read it once
     and store Parquet.
     """
-    pattern = f"{root.rstrip('/')}/{{{','.join(splits)}}}/{{pos,neg}}/*.txt"
-    files = spark.read.format("binaryFile").load(pattern)
+    # Folders only: their files are listed by the tasks, not by a glob on the driver.
+    folders = f"{root.rstrip('/')}/{{{','.join(splits)}}}/{{pos,neg}}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folders)
 
     def part(i):
         return F.regexp_extract("path", _FILE, i)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +61,36 @@ def file_manifest(
     )
 
 
-def checksums(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, n_bytes, sha1) of every file below ``root`` (each below 2 GB)."""
-    return _files(spark, root, glob).select(
+LARGE_FILE, CHUNK = 512 * MEGABYTE, 8 * MEGABYTE
+
+
+def _chunked_sha1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            files, name = (
+                (fs.LocalFileSystem(), unquote(urlsplit(path).path)) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+            )
+            digest = hashlib.sha1()
+            with files.open_input_stream(name) as source:
+                while part := source.read(CHUNK):
+                    digest.update(part)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "n_bytes", "sha1"])
+
+
+def checksums(spark: SparkSession, root: str, glob: str | None = None, large: int = LARGE_FILE) -> DataFrame:
+    """(path, n_bytes, sha1) of every file below ``root``.
+
+    Files above ``large`` bytes are read in chunks by the tasks, through a file system that
+    Arrow knows; a smaller one is one row of Spark's reader.
+    """
+    files = _files(spark, root, glob)
+    small = files.where(F.col("length") <= large).select(
         "path", F.col("length").alias("n_bytes"), F.sha1("content").alias("sha1")
     )
+    big = files.where(F.col("length") > large).select("path", F.col("length").alias("n_bytes"))
+    return small.unionByName(big.mapInArrow(_chunked_sha1, "path string, n_bytes long, sha1 string"))
 
 
 def artifact_sizes(spark: SparkSession, artifacts: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -15,7 +15,7 @@ LATENCY_SCHEMA = (
 )
 MODEL_REPORT_SCHEMA = (
     f"model_name string, test_metrics struct<{METRICS_SCHEMA}>, "
-    f"test_latency_ms struct<{LATENCY_SCHEMA}>, model_size_mb double"
+    f"test_latency_ms struct<{LATENCY_SCHEMA}>, model_size_mb double, latency_measured_on string"
 )
 
 
@@ -25,6 +25,18 @@ def write_report(report: DataFrame, path: str) -> None:
     document.write.mode("overwrite").text(path)
 
 
+def write_document(lines: DataFrame, path: str) -> None:
+    """Lines (pos, line) of a document as one text file; documents are a few rows."""
+    lines.orderBy("pos").coalesce(1).select("line").write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line) of a stored document."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+    return whole.select(F.posexplode(lines).alias("pos", "line"))
+
+
 def read_report(spark: SparkSession, path: str, schema: str = MODEL_REPORT_SCHEMA, required: bool = True):
     """The report, or None if it is optional and absent."""
     if not path_exists(spark, path):
@@ -35,11 +47,12 @@ def read_report(spark: SparkSession, path: str, schema: str = MODEL_REPORT_SCHEM
 
 
 def model_rows(report: DataFrame) -> DataFrame:
-    """(model, accuracy, f1, size_mb, latency_ms) of model reports."""
+    """(model, accuracy, f1, size_mb, latency_ms, measured_on) of model reports."""
     return report.select(
         F.col("model_name").alias("model"),
         F.col("test_metrics.accuracy").alias("accuracy"),
         F.col("test_metrics.f1").alias("f1"),
         F.col("model_size_mb").alias("size_mb"),
         F.col("test_latency_ms.mean_ms").alias("latency_ms"),
+        F.col("latency_measured_on").alias("measured_on"),
     )

@@ -77,3 +77,15 @@ def test_reports(spark, tmp_path):
 def test_row_ids(spark):
     rows = spark.range(50).select(new_row_id().alias("i"), epoch_seconds().alias("t")).collect()
     assert len({r["i"] for r in rows}) == 50 and len({r["t"] for r in rows}) == 1
+
+
+def test_checksums_in_chunks(spark, tmp_path):
+    import hashlib
+
+    data = bytes(range(256)) * 90_000  # several chunks
+    (tmp_path / "large file.bin").write_bytes(data)
+    (tmp_path / "small.bin").write_bytes(b"x")
+    from reviewloom.sources.manifest import checksums
+
+    got = {r["n_bytes"]: r["sha1"] for r in checksums(spark, str(tmp_path), large=10).collect()}
+    assert got == {len(data): hashlib.sha1(data).hexdigest(), 1: hashlib.sha1(b"x").hexdigest()}
