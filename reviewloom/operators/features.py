@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reviewloom.functions.cleaning import WORD_CLASS
+from reviewloom.storage import materialise
 
 # A vocabulary row takes about 50 bytes in a task.
 BROADCAST_TERMS = 1_000_000
@@ -107,13 +108,24 @@ def fit_vocabulary(
     """
     # One-row subquery; every document counts, also an empty one.
     n_docs = train.select(F.count("*").alias("n_docs")).scalar()
-    kept = (
+    usable = (
         document_frequency(train, id_col, text_col)
         .withColumn("n_docs", n_docs)
         .where((F.col("df") >= settings.min_df) & (F.col("df") <= F.lit(settings.max_df) * F.col("n_docs")))
-        .orderBy(F.desc("cf"), F.asc("term"))
-        .limit(settings.max_features)
     )
+    # Stored once: read for the histogram of frequencies and for the terms above its cut.
+    usable = materialise(usable, "term-frequencies")
+    # One row for each frequency that occurs; only the terms at the cut itself are ordered.
+    upto = F.sum("n").over(Window.orderBy(F.desc("cf")))
+    reached = usable.groupBy("cf").agg(F.count("*").alias("n")).select("cf", "n", upto.alias("upto"))
+    cut = reached.where(F.col("upto") >= settings.max_features).orderBy(F.desc("cf")).first()
+    if cut is None:
+        kept = usable
+    else:
+        room = settings.max_features - (cut["upto"] - cut["n"])
+        ties = usable.where(F.col("cf") == cut["cf"])
+        ties = ties if room == cut["n"] else ties.orderBy("term").limit(room)
+        kept = usable.where(F.col("cf") > cut["cf"]).unionByName(ties)
     return kept.select(
         "term",
         # One task, on at most max_features rows.

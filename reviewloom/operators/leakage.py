@@ -8,6 +8,7 @@ hot text. The wide train rows do not move when the shared digests are few.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +32,25 @@ def shared_digests(train: DataFrame, test: DataFrame, text_col: str) -> DataFram
 
 
 def drop_digests(df: DataFrame, digests: DataFrame, text_col: str, how: str = "left_anti") -> DataFrame:
-    """Anti (or semi) join of wide rows with a distinct digest table.
+    """Anti (or semi) join of wide rows with a distinct digest table, see ``drop_listed``."""
+    others = [c for c in df.columns if c != text_col]
+    return drop_listed(df.withColumn("digest", digest(F.col(text_col))), digests, others, how).drop("digest")
+
+
+def drop_listed(keyed: DataFrame, digests: DataFrame, basis: Sequence[str], how: str = "left_anti") -> DataFrame:
+    """Anti (or semi) join of rows that carry a ``digest`` with a distinct digest table.
 
     The table is broadcast only after its rows were counted. A larger one is
     joined by shuffle, with every digest repeated per salt so that the copies of
-    a hot text are spread over ``SALTS`` tasks.
+    a hot text are spread over ``SALTS`` tasks. The salt comes from the columns in ``basis``.
     """
-    keyed = df.withColumn("digest", digest(F.col(text_col)))
-    few = digests.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    if few:
-        return keyed.join(F.broadcast(digests), "digest", how).drop("digest")
+    if digests.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        return keyed.join(F.broadcast(digests), "digest", how)
     salted = digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # A salt from the other columns is the same when a task runs again.
-    others = [c for c in df.columns if c != text_col]
-    basis = F.xxhash64(*others) if others else F.monotonically_increasing_id()
-    spread = keyed.withColumn("salt", F.pmod(basis, F.lit(SALTS)).cast("int"))
-    return spread.join(salted, ["digest", "salt"], how).drop("digest", "salt")
+    # A salt from other columns is the same when a task runs again.
+    value = F.xxhash64(*basis) if basis else F.monotonically_increasing_id()
+    spread = keyed.withColumn("salt", F.pmod(value, F.lit(SALTS)).cast("int"))
+    return spread.join(salted, ["digest", "salt"], how).drop("salt")
 
 
 def remove_leaked_rows(train: DataFrame, test: DataFrame, text_col: str = "text_raw") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.cleaning import add_clean_columns, word_count
-from reviewloom.operators.leakage import digest, drop_digests, warn_if_nothing_removed
+from reviewloom.operators.leakage import digest, drop_digests, drop_listed, warn_if_nothing_removed
 from reviewloom.operators.splitting import SEED, VALIDATION_FRACTION, stratified_split
 from reviewloom.sinks.tables import write_splits
 from reviewloom.storage import materialise
@@ -35,7 +35,7 @@ def build_corpus_splits(
     leaked = materialise(leaked, "leaked")
     train_keys = narrow.where(is_train)
     kept_keys = materialise(
-        train_keys.join(leaked, "digest", "left_anti").select("id", "label"), "kept-keys"
+        drop_listed(train_keys, leaked, ["id"]).select("id", "label"), "kept-keys"
     )
     before, after = train_keys.count(), kept_keys.count()
     warn_if_nothing_removed(before - after)
