@@ -32,7 +32,7 @@ from reviewloom.llm.common import byte_column, mix64
 from reviewloom.storage import materialise
 
 ANCHOR = 8
-GROUP_SUFFIXES = 400_000
+GROUP_SUFFIXES, BATCH_TEXTS = 400_000, 4_096
 #: Repeated anchors, and rows of equal texts, up to this number (32 MB) go to every task; more are joined.
 BROADCAST_ROWS = 4_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -138,6 +138,10 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = 20, broad
 
     def emit(rows, ranks, texts, chosen):
         """Suffix rows of a batch (first of equal windows) and stretches settled here."""
+        for a in range(0, len(rows), BATCH_TEXTS):
+            yield from emit_part(rows[a : a + BATCH_TEXTS], ranks[a : a + BATCH_TEXTS], texts[a : a + BATCH_TEXTS], chosen)
+
+    def emit_part(rows, ranks, texts, chosen):
         parts = []
         for row, rank, data in zip(rows, ranks, texts, strict=True):
             hashes = word_hashes(data.split())
@@ -153,7 +157,8 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = 20, broad
         if not parts:
             return
         whole = np.concatenate(parts, axis=1)
-        whole = whole[:, np.lexsort(whole[[5, 4, 3, 2, 1, 0]])]
+        parts.clear()
+        whole = whole[:, np.lexsort(whole[::-1])]
         late = tree_repeats(whole[:3])
         first = np.ones(whole.shape[1], bool)
         first[late] = False
