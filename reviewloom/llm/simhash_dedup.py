@@ -2,8 +2,10 @@
 
 A fingerprint is cut into segments, few enough that of two linked fingerprints at
 least one segment differs by at most one bit (k differing bits: k // 2 + 1 segments).
-Every segment is indexed once for each of its bits with that bit left out; equal
-variants meet by an equality shuffle, and the whole fingerprints are compared there.
+Every segment is indexed whole, and once for each of its bits with that bit left out; equal
+variants meet by an equality shuffle, and the whole fingerprints are compared there: all
+of them where segments are equal, only those on both sides of the left-out bit elsewhere, so
+that copies with equal segments are compared once and not under each of its bits.
 Tasks report a forest of their links, never all pairs of a group.
 
 Rows: null and empty texts have no words and the fingerprint zero; repeated rows and
@@ -95,43 +97,46 @@ def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, i
         for batch in batches:
             own = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns}
             node = own["node"]
-            wide = sum(w for _, _, w in segments)
-            keys, cells, rows = [], [], []
+            keys, cells, rows, sides = [], [], [], []
+
+            def put(key, cell, row, side):
+                keys.append(key), cells.append(cell), rows.append(row), sides.append(side)
+
             base = 0
             for s, (p, shift, width) in enumerate(segments):
                 value = (own[prints[p]].view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                count = np.array([heavy.get((s, v), 0) for v in value.tolist()]) if heavy else None
-                for bit in range(width):
-                    flag = np.uint64(1 << bit)
+                count = np.array([heavy.get((s, v), 0) for v in value.tolist()]) if heavy else np.zeros(len(value), np.int64)
+                for bit in range(width + 1):  # the last one leaves no bit out
+                    flag = np.uint64(1 << bit) if bit < width else np.uint64(0)
                     key = (np.uint64(base + bit) << np.uint64(40)) | (value & ~flag)
-                    if not heavy:
-                        keys.append(key), cells.append(np.zeros(len(key), np.int32)), rows.append(np.arange(len(key)))
-                        continue
-                    other = np.array([heavy.get((s, v), 0) for v in (value ^ flag).tolist()])
-                    blocks = 1 + (count + other) // group_rows
+                    side = ((value & flag) != 0).astype(np.int8) if bit < width else np.full(len(value), 2, np.int8)
+                    total = count
+                    if heavy and bit < width:
+                        total = count + np.array([heavy.get((s, v), 0) for v in (value ^ flag).tolist()])
+                    blocks = 1 + total // group_rows
                     single = np.flatnonzero(blocks == 1)
-                    keys.append(key[single]), cells.append(np.zeros(len(single), np.int32)), rows.append(single)
+                    put(key[single], np.zeros(len(single), np.int32), single, side[single])
                     for i in np.flatnonzero(blocks > 1).tolist():
                         n = int(blocks[i])
                         mine = int(mix64(node[i : i + 1].view(np.uint64))[0] % np.uint64(n))
                         pair = [min(mine, j) * n + max(mine, j) for j in range(n)]
-                        keys.append(np.full(n, key[i])), cells.append(np.array(pair, np.int32)), rows.append(np.full(n, i))
-                base += width
-            assert base == wide
-            key, cell, row = np.concatenate(keys).view(np.int64), np.concatenate(cells), np.concatenate(rows)
+                        put(np.full(n, key[i]), np.array(pair, np.int32), np.full(n, i), np.full(n, side[i]))
+                base += width + 1
+            key, cell, row, side = np.concatenate(keys).view(np.int64), np.concatenate(cells), np.concatenate(rows), np.concatenate(sides)
             for a in range(0, len(key), 1 << 16):
-                part = row[a : a + (1 << 16)]
-                arrays = [key[a : a + (1 << 16)], cell[a : a + (1 << 16)], node[part], *[own[c][part] for c in tested]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "cell", "node_id", *[f"t{i}" for i in range(len(tested))]])
+                to = slice(a, a + (1 << 16))
+                arrays = [key[to], cell[to], side[to], node[row[to]], *[own[c][row[to]] for c in tested]]
+                names = ["key", "cell", "side", "node_id", *[f"t{i}" for i in range(len(tested))]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
-    schema = "key long, cell int, node_id long, " + ", ".join(f"t{i} long" for i in range(len(tested)))
+    schema = "key long, cell int, side byte, node_id long, " + ", ".join(f"t{i} long" for i in range(len(tested)))
 
     def links(batches):
         forest = Forest()
         for whole in runs(batches, ("key", "cell")):
-            key, cell, node = (whole[c].to_numpy() for c in ("key", "cell", "node_id"))
+            key, cell, side, node = (whole[c].to_numpy() for c in ("key", "cell", "side", "node_id"))
             test = np.stack([whole[f"t{i}"].to_numpy().view(np.uint64) for i in range(len(tested))])
-            a, b = linked(key, cell, test, max_bits)
+            a, b = linked(key, cell, side, test, max_bits)
             pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
             new = forest.add(*pairs)
             if new:
@@ -145,8 +150,11 @@ def distance(test: np.ndarray, a, b) -> np.ndarray:
     return sum(np.bitwise_count(test[i][a] ^ test[i][b]).astype(np.int16) for i in range(len(test)))
 
 
-def linked(key: np.ndarray, cell: np.ndarray, test: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal (key, cell): all of them in short runs, a spanning forest in long ones."""
+def linked(key: np.ndarray, cell: np.ndarray, side: np.ndarray, test: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside runs of equal (key, cell): all of them in short runs, a spanning forest in long ones.
+
+    Rows of side 0 are compared with those of side 1, rows of side 2 with each other.
+    """
     n = len(key)
     start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
     size = np.diff(np.concatenate((start, [n])))
@@ -157,18 +165,30 @@ def linked(key: np.ndarray, cell: np.ndarray, test: np.ndarray, max_bits: int) -
     alive = np.flatnonzero(last > np.arange(n) + 1)
     d = 1
     while len(alive):
-        close = distance(test, alive, alive + d) <= max_bits
-        left.append(alive[close]), right.append(alive[close] + d)
+        pair = alive[(side[alive] == 2) | (side[alive] != side[alive + d])]
+        close = distance(test, pair, pair + d) <= max_bits
+        left.append(pair[close]), right.append(pair[close] + d)
         d += 1
         alive = alive[last[alive] > alive + d]
     for s, m in zip(start[~short].tolist(), size[~short].tolist(), strict=True):
-        waiting = np.arange(s, s + m)
-        while len(waiting):
-            front, waiting = [int(waiting[0])], waiting[1:]
-            while front and len(waiting):
+        rows = np.arange(s, s + m)
+        if side[s] == 2:
+            waiting = {2: rows}
+        else:
+            waiting = {k: rows[side[rows] == k] for k in (0, 1)}
+            if not len(waiting[0]) or not len(waiting[1]):
+                continue
+        partner = {0: 1, 1: 0, 2: 2}
+        first = next(iter(waiting))
+        while len(waiting[first]):  # every link has an end on this side
+            front, waiting[first] = [int(waiting[first][0])], waiting[first][1:]
+            while front:
                 x = front.pop()
-                close = distance(test, waiting, x) <= max_bits
-                found, waiting = waiting[close], waiting[~close]
+                k = partner[int(side[x])]
+                if not len(waiting[k]):
+                    continue
+                close = distance(test, waiting[k], x) <= max_bits
+                found, waiting[k] = waiting[k][close], waiting[k][~close]
                 left.append(np.full(len(found), x)), right.append(found)
                 front += found.tolist()
     return np.concatenate(left), np.concatenate(right)
