@@ -1,26 +1,26 @@
 """Language-model scores from a weighted backoff automaton over word n-grams.
 
-Counts. Every word of the training documents is counted, and so is the end token. A
-first pass sums counts by word hash; words at or above the share ``frequent`` of all tokens
-(at most 1 / frequent of them, whatever the corpus) get numbers. Pairs and triples at or
-above the share ``kept`` (at most 1 / kept of each) become the automaton. No part of such a
-pair or triple is rarer than the whole, so that only pairs of words above that share are counted, and
-only triples of kept pairs. Rare words, below ``frequent`` by definition, keep
-their exact counts in the table of all words and are joined by hash, so that no key of that
-join is hot.
+Counts. Every word of the training documents is counted, and so is the end token. Words at
+or above the share ``frequent`` of all tokens (at most 1 / frequent of them, whatever the
+corpus) are looked up inside the tasks. Every pair and triple that occurs twice (or reaches the
+share ``kept``, if one is given) becomes an arc; their tables grow with the corpus.
 
 Automaton. A state is a kept n-gram of up to two words or the empty history. It has an arc
 for each kept continuation, with the discounted probability; its failure arc leads to
 its longest proper suffix that is a state and weighs the mass left over, so that probabilities
 add up to one. The empty state knows every word: (count + 1) / (N + V + 1).
-One pass from left to right carries the state: follow the arc, or failure arcs until
-there is one. Long texts are traversed in pieces side by side; each piece first reads
-the two tokens before it, which fix its state.
+
+Scores. Weights are pushed to the n-grams: an n-gram that is read pays its own state's failure
+arc in advance, and the arc of a kept n-gram pays back the failure arc of its history and what
+the shorter history would have given. The weight of a text is then a plain sum over the words,
+pairs and triples in it. Weights of the n-grams at or above ``frequent`` go to the tasks; the
+others, below it by definition, are a table that the distinct n-grams of each text
+are joined with by hash, so that no key of that join is hot.
 
 Rows: null texts are empty, an empty text has the end token; held-out and null-id
 rows are scored but not learned from; repeated rows count as often as they occur; with
-no training row every word is unknown. Extra columns are ignored. Words are compared by
-64-bit hash.
+no training row every word is unknown. Extra columns are ignored. Words and n-grams are
+compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ from reviewloom.llm.common import bucket_bit, byte_column, mix64
 from reviewloom.storage import materialise
 
 END = np.int64(np.uint64(0x5EED0FEED0FEED01).view(np.int64))  # hash value that stands for the end token
-FREQUENT, KEPT, DISCOUNT, PIECE = 1e-6, 1e-5, 0.5, 128
-BASE = np.int64(1) << np.int64(21)  # word numbers are below this
+FREQUENT, KEPT, DISCOUNT = 1e-6, 0.0, 0.5
+SLICE = 2_048  # texts whose n-grams are held at a time
+LEAST = 1e-12  # mass left over where all has been given out
 
 
 def hashed(data: bytes) -> np.ndarray:
@@ -56,136 +57,53 @@ def batch_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array([len(p) for p in parts], np.int64)
 
 
-@dataclass
-class Automaton:
-    """``words``: sorted hashes of numbered words; ``word_logs``: their log10(count + 1).
+def sliced(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
+def gram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the keys of their first and last parts (words of a pair, pairs of a triple)."""
+    left, right = left.view(np.uint64), right.view(np.uint64)
+    return mix64(mix64(left ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + right).view(np.int64)
+
 
-    ``arcs``: sorted keys state * BASE + word, with target and log10 weight. State 0 is the
-    empty history; ``fail`` and ``backoff`` give each state's failure arc.
-    """
+def batch_grams(tokens: np.ndarray, owner: np.ndarray):
+    """(owner, key, first part, last part) of all pairs, then of all triples."""
+    key, n = tokens, len(tokens)
+    for order in (2, 3):
+        # Keys across the end of a text are made and left out.
+        part, n = key, max(0, len(tokens) - order + 1)
+        key = gram_keys(part[:n], part[1 : n + 1])
+        at = np.flatnonzero(owner[:n] == owner[order - 1 : order - 1 + n])
+        yield order, owner[at], key[at], part[at], part[at + 1]
+
+
+def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in sorted ``keys``, found or not)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+@dataclass
+class Head:
+    """What the tasks hold: sorted hashes of frequent words with counts and failure weights,
+    and sorted keys of frequent pairs and triples with their pushed weights."""
 
     words: np.ndarray
-    word_logs: np.ndarray
+    counts: np.ndarray
+    fails: np.ndarray
+    grams: np.ndarray
+    weights: np.ndarray
     unknown: float
-    arcs: np.ndarray
-    target: np.ndarray
-    weight: np.ndarray
-    fail: np.ndarray
-    backoff: np.ndarray
-    next_of_word: np.ndarray
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers, -1 for words without one."""
-        if not len(self.words):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """New states and log10 weights of one token for many traversals; the empty
-        state's weight of a word without number is added by the caller's join."""
-        score = np.zeros(len(state))
-        result = np.where(word >= 0, self.next_of_word[np.maximum(word, 0)], 0) if len(self.next_of_word) else np.zeros(len(state), np.int64)
-        open_ = np.arange(len(state))
-        while len(open_):
-            s, w = state[open_], word[open_]
-            root = s == 0
-            done = open_[root]
-            score[done] += np.where(w[root] >= 0, self.word_logs[np.maximum(w[root], 0)] if len(self.word_logs) else 0.0, 0.0) - self.unknown
-            open_, s, w = open_[~root], s[~root], w[~root]
-            if not len(open_):
-                break
-            hit = np.zeros(len(open_), bool)
-            at = np.zeros(len(open_), np.int64)
-            if len(self.arcs):
-                key = s * BASE + np.maximum(w, 0)
-                at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-                hit = (self.arcs[at] == key) & (w >= 0)
-            score[open_[hit]] += self.weight[at[hit]]
-            result[open_[hit]] = self.target[at[hit]]
-            score[open_[~hit]] += self.backoff[s[~hit]]
-            state = state.copy()
-            state[open_[~hit]] = self.fail[s[~hit]]
-            open_ = open_[~hit]
-        return result, score
-
-    def traverse(self, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Sum of log10 weights for each text; ``word``: numbers of all tokens, one text after the other."""
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        pieces = -(-lengths // PIECE)
-        owner = np.repeat(np.arange(len(lengths)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = starts[owner] + nth * PIECE
-        stop = np.minimum(begin + PIECE, ends[owner])
-        order = np.argsort(begin - stop, kind="stable")  # longest first: the active ones are a prefix
-        owner, begin, stop, nth = owner[order], begin[order], stop[order], nth[order]
-        state = np.zeros(len(owner), np.int64)
-        for back in (2, 1):  # tokens before the piece fix its state
-            warm = np.flatnonzero(nth > 0)
-            state[warm] = self.step(state[warm], word[begin[warm] - back])[0]
-        score, size = np.zeros(len(owner)), stop - begin
-        for t in range(int(size.max(initial=0))):
-            n = int(np.searchsorted(-size, -t, "left"))
-            state[:n], got = self.step(state[:n], word[begin[:n] + t])
-            score[:n] += got
-        return np.bincount(owner, score, len(lengths))
-
-
-def build(hashes: np.ndarray, counts: np.ndarray, pairs: dict, triples: dict, total: int, distinct: int) -> Automaton:
-    """Automaton from the numbered words (sorted hashes, counts) and kept n-grams of word numbers."""
-    logs = np.log10(counts + 1.0) if len(counts) else np.zeros(0)
-    unknown = float(np.log10(total + distinct + 1))
-    single = (counts + 1.0) / (total + distinct + 1)
-    states: dict[tuple, int] = {(): 0}
-    for gram in [*((u,) for u, _ in pairs), *((u, v) for u, v, _ in triples)]:
-        states.setdefault(gram, len(states))
-    following: dict[tuple, list[tuple[int, int]]] = {}
-    for (u, v), c in pairs.items():
-        following.setdefault((u,), []).append((v, c))
-    for (u, v, w), c in triples.items():
-        following.setdefault((u, v), []).append((w, c))
-    n = len(states)
-    fail, backoff = np.zeros(n, np.int64), np.zeros(n)
-    probability: dict[tuple, float] = {}
-    arcs: list[tuple[int, tuple, float]] = []
-    leftover: dict[tuple, float] = {}
-
-    def lower(history: tuple, w: int) -> float:
-        """Probability of w after a history, by the arcs made so far."""
-        if not history:
-            return float(single[w])
-        if (*history, w) in probability:
-            return probability[(*history, w)]
-        return leftover.get(history, 1.0) * lower(history[1:], w)
-
-    for history in sorted(following, key=len):
-        seen = int(counts[history[0]]) if len(history) == 1 else pairs[history]
-        used = below = 0.0
-        for w, c in following[history]:
-            p = (c - DISCOUNT) / seen
-            used += p
-            below += lower(history[1:], w)
-            probability[(*history, w)] = p
-            arcs.append((states[history], (*history, w), p))
-        # All mass given out would leave nothing for other words.
-        leftover[history] = max(1.0 - used, 1e-12) / max(1.0 - below, 1e-12)
-    for history, s in states.items():
-        if history:
-            suffix = history[1:]
-            fail[s] = states.get(suffix, 0)
-            backoff[s] = np.log10(leftover.get(history, 1.0))
-            # A suffix that is no state passes on to the empty history at no cost.
-    keys = np.array([s * int(BASE) + gram[-1] for s, gram, _ in arcs], np.int64)
-    target = np.array([next((states[gram[i:]] for i in range(max(0, len(gram) - 2), len(gram)) if gram[i:] in states), 0) for _, gram, _ in arcs], np.int64)
-    weight = np.log10(np.array([p for *_, p in arcs]))
-    order = np.argsort(keys)
-    single_state = np.array([states.get((w,), 0) for w in range(len(hashes))], np.int64)
-    return Automaton(hashes, logs, unknown, keys[order], target[order], weight[order], fail, backoff, single_state)
 
 
 def fit(docs: DataFrame, frequent: float = FREQUENT, kept: float = KEPT):
-    """(automaton, table of all words ``word``, ``c``, number of training tokens) from rows outside the held-out part."""
+    """(head, table of the other n-grams ``key``, ``base``, ``extra``, ``known``, number of training tokens) from rows
+    outside the held-out part. ``base``: log10(count + 1) of a word; ``extra``: what the automaton adds for the n-gram."""
     training = docs.where(bucket_bit(modulus=7) != 2).select("text")
 
     def words(batches):
@@ -196,94 +114,130 @@ def fit(docs: DataFrame, frequent: float = FREQUENT, kept: float = KEPT):
 
     counted = materialise(training.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counted.where(F.col("c") >= max(2.0, frequent * total)).toArrow().sort_by("word")
+    least, hot = max(2.0, kept * total), max(2.0, frequent * total)
+    top = counted.where(F.col("c") >= hot).toArrow().sort_by("word")
     hashes, counts = top["word"].to_numpy(), top["c"].to_numpy()
-    numbers = Automaton(hashes, np.zeros(len(hashes)), 0.0, *[np.zeros(0)] * 6)
+    rare = counted.where(F.col("c") < hot)
+
+    def grams(batches):
+        for batch in sliced(batches):
+            tokens, lengths = batch_tokens(byte_column(batch, "text"))
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            at, found = look_up(hashes, tokens)
+            # A kept n-gram has no word rarer than itself; words that are not frequent may have any count below.
+            strong = np.where(found, counts[at] >= least if len(counts) else False, hot > least)
+            weak = np.cumsum(~strong)
+            for order, _, key, left, right in batch_grams(tokens, np.where(strong, owner, -1 - weak)):
+                _, first, count = np.unique(key, return_index=True, return_counts=True)
+                orders = pa.array(np.full(len(first), order, np.int8))
+                yield pa.RecordBatch.from_arrays([orders, pa.array(left[first]), pa.array(right[first]), pa.array(count)], names=["n", "first", "last", "c"])
+
+    summed = training.mapInArrow(grams, "n byte, first long, last long, c long").groupBy("n", "first", "last").agg(F.sum("c").alias("c"))
+
+    def keyed(batches):
+        for batch in batches:
+            key = gram_keys(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "key"])
 
-    if len(hashes) >= int(BASE):
-        raise ValueError("frequent must leave fewer than 2^21 numbered words")
-    least = max(2.0, kept * total)
-    strong = counts >= least
+    known = materialise(summed.where(F.col("c") >= least).mapInArrow(keyed, "n byte, first long, last long, c long, key long"), "lm-grams")
 
-    def keep(order: int, shorter: np.ndarray):
-        """Kept n-grams (keys of word numbers) of one order; all their parts are in ``shorter``."""
+    def with_word(rows: DataFrame, column: str, values: np.ndarray, name: str, others: DataFrame) -> DataFrame:
+        """``rows`` with a value of a word: of frequent ones inside the tasks, of the others by a join with ``word``, ``name``."""
+        kind = others.schema[name].dataType.simpleString()
 
-        def grams(batches):
+        def work(batches):
             for batch in batches:
-                tokens, lengths = batch_tokens(byte_column(batch, "text"))
-                word = numbers.number(tokens)
-                text = np.repeat(np.arange(len(lengths)), lengths)
-                n = len(word) - order + 1
-                if n <= 0 or not len(shorter):
-                    continue
-                good = (word >= 0) & (strong[np.maximum(word, 0)])
-                at = np.flatnonzero((text[:n] == text[order - 1 :]) & good[:n] & good[1 : n + 1])
-                if order == 3:
-                    at = at[good[at + 2]]
-                    for i in (0, 1):
-                        part = word[at + i] * BASE + word[at + i + 1]
-                        at = at[shorter[np.minimum(np.searchsorted(shorter, part), len(shorter) - 1)] == part]
-                key = np.zeros(len(at), np.int64)
-                for i in range(order):
-                    key = key * BASE + word[at + i]
-                value, count = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["gram", "c"])
-
-        summed = training.mapInArrow(grams, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-        rows = summed.where(F.col("c") >= least).toArrow().sort_by("gram")
-        return rows["gram"].to_numpy(), rows["c"].to_numpy()
-
-    def named(keys: np.ndarray, count: np.ndarray, order: int) -> dict:
-        parts = [(keys >> (21 * (order - 1 - i))) & (int(BASE) - 1) for i in range(order)]
-        return dict(zip(zip(*[p.tolist() for p in parts], strict=True), count.tolist(), strict=True))
-
-    pair_keys, pair_counts = keep(2, np.flatnonzero(strong))
-    pairs, triples = named(pair_keys, pair_counts, 2), named(*keep(3, pair_keys), 3)
-    # A kept triple's first two words are at least as frequent, so that its history is a kept pair.
-    return build(hashes, counts, pairs, triples, int(total), int(distinct)), counted, int(total), int(distinct)
+                at, found = look_up(hashes, batch.column(batch.schema.get_field_index(column)).to_numpy())
+                value = pa.array(values[at] if len(values) else np.zeros(len(at), values.dtype), mask=~found)
+                yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, name])
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        found = rows.mapInArrow(work, f"{fields}, {name} {kind}")
+        joined = found.where(F.col(name).isNull()).drop(name).join(others.withColumnRenamed("word", column), column)
+        return found.where(F.col(name).isNotNull()).unionByName(joined)
+
+    def left_over(rows: DataFrame) -> DataFrame:
+        """log10 of the failure weight of each history ``first``, from ``p`` and ``below`` of its arcs."""
+        mass = lambda c: F.greatest(1 - F.sum(c), F.lit(LEAST))
+        return rows.groupBy("first").agg(F.log10(mass("p") / mass("below")).alias("fail"))
+
+    pairs = with_word(known.where("n = 2").drop("n"), "first", counts, "seen", rare.withColumnRenamed("c", "seen"))
+    pairs = with_word(pairs, "last", counts, "single", rare.withColumnRenamed("c", "single"))
+    pairs = pairs.select("first", "key", "c", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), ((F.col("single") + 1.0) / (total + distinct + 1)).alias("below"))
+    pairs = materialise(pairs, "lm-pairs")
+    fail = materialise(left_over(pairs), "lm-word-states")
+
+    # Failure weights of frequent words, in the order of their hashes; no state, no cost.
+    of_rare = rare.join(fail.withColumnRenamed("first", "word"), "word", "left").withColumn("fail", F.coalesce("fail", F.lit(0.0)))
+    of_rare = materialise(of_rare, "lm-rare-words")
+    strong = fail.join(counted.where(F.col("c") >= hot).select(F.col("word").alias("first")), "first").toArrow()
+    fails = np.zeros(len(hashes))
+    fails[look_up(hashes, strong["first"].to_numpy())[0]] = strong["fail"].to_numpy()
+
+    # The first pair of a kept triple is its history, the last pair is kept too.
+    triples = known.where("n = 3").drop("n")
+    triples = triples.join(pairs.select(F.col("key").alias("first"), F.col("c").alias("seen")), "first")
+    triples = triples.join(pairs.select(F.col("key").alias("last"), F.col("p").alias("below")), "last")
+    triples = materialise(triples.select("first", "key", "c", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), "below"), "lm-triples")
+    fail_of_pair = materialise(left_over(triples), "lm-pair-states")
+    pairs = with_word(pairs, "first", fails, "back", of_rare.select("word", F.col("fail").alias("back")))
+    arc = F.log10("p") - F.log10("below") - F.col("back")
+    pairs = pairs.join(fail_of_pair.withColumnRenamed("first", "key"), "key", "left").select(
+        "key", "c", (arc + F.coalesce("fail", F.lit(0.0))).alias("extra")
+    )
+    triples = triples.join(fail_of_pair.withColumnRenamed("fail", "back"), "first").select("key", "c", arc.alias("extra"))
+    weights = materialise(pairs.unionByName(triples), "lm-weights")
+    top = weights.where(F.col("c") >= hot).select("key", "extra").toArrow().sort_by("key")
+    head = Head(hashes, counts, fails, top["key"].to_numpy(), top["extra"].to_numpy(), float(np.log10(total + distinct + 1)))
+    tail = weights.where(F.col("c") < hot).select("key", F.lit(0.0).alias("base"), "extra", F.lit(0).alias("known")).unionByName(
+        of_rare.select(F.col("word").alias("key"), F.log10(F.col("c") + 1).alias("base"), F.col("fail").alias("extra"), F.lit(1).alias("known"))
+    )
+    return head, tail, int(total)
 
 
 def score_texts(docs: DataFrame, frequent: float = FREQUENT, kept: float = KEPT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    automaton, counted, total, distinct = fit(docs, frequent, kept)
+    head, tail, total = fit(docs, frequent, kept)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             tokens, lengths = batch_tokens(byte_column(batch, "text"))
-            word = automaton.number(tokens)
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            known = np.bincount(owner, word >= 0, len(lengths)).astype(np.int64)
-            logs = np.where(word >= 0, automaton.word_logs[np.maximum(word, 0)], 0.0) if len(automaton.words) else np.zeros(len(word))
-            base = np.bincount(owner, logs - automaton.unknown, len(lengths))
-            score = automaton.traverse(word, lengths)
-            # Words without a number, once for each text: their counts come by a join.
-            rare = word < 0
-            pair = np.stack([owner[rare], tokens[rare]])
-            order = np.lexsort(pair[::-1])
-            pair = pair[:, order]
+            at, found = look_up(head.words, tokens)
+            known = np.bincount(owner, found, len(lengths)).astype(np.int64)
+            base = np.bincount(owner[found], np.log10(head.counts[at[found]] + 1.0), len(lengths)) - head.unknown * lengths
+            extra = np.bincount(owner[found], head.fails[at[found]], len(lengths))
+            owners, keys = [owner[~found]], [tokens[~found]]
+            for _, own, key, _, _ in batch_grams(tokens, owner):
+                at, found = look_up(head.grams, key)
+                extra += np.bincount(own[found], head.weights[at[found]], len(lengths))
+                owners.append(own[~found]), keys.append(key[~found])
+            # The others once for each text: their weights come by a join.
+            pair = np.stack([np.concatenate(owners), np.concatenate(keys)])
+            pair = pair[:, np.lexsort(pair[::-1])]
             new = np.ones(pair.shape[1], bool)
             new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
             at = np.flatnonzero(new)
             times = np.diff(np.concatenate((at, [pair.shape[1]]))).astype(np.int32)
             cuts = np.searchsorted(pair[0, at], np.arange(len(lengths) + 1)).astype(np.int32)
             arrays = [
-                batch.column(batch.schema.get_field_index("doc_id")), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score),
+                batch.column(batch.schema.get_field_index("doc_id")), pa.array(lengths), pa.array(known), pa.array(base), pa.array(extra),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(pair[1, at])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times)),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "known", "base", "automaton", "rare", "times"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "in_head", "sum_base", "sum_extra", "keys", "times"])
 
-    schema = f"doc_id {kind}, n_tokens long, known long, base double, automaton double, rare array<long>, times array<int>"
+    schema = f"doc_id {kind}, n_tokens long, in_head long, sum_base double, sum_extra double, keys array<long>, times array<int>"
     scored = docs.select("doc_id", "text").mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id())
     scored = materialise(scored, "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    # Not by words that have a number: those are in the automaton already.
-    found = rare.join(counted.where(F.col("c") < max(2.0, frequent * total)), "word").groupBy("row").agg(
-        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("gain")
+    asked = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    found = asked.join(tail, "key").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("known")).alias("more"), F.sum(F.col("times") * F.col("base")).alias("gain"),
+        F.sum(F.col("times") * F.col("extra")).alias("arcs"),
     )
-    gain = F.coalesce("gain", F.lit(0.0))
-    return scored.drop("rare", "times").join(found, "row", "left").select(
+    gained = F.col("sum_base") + F.coalesce("gain", F.lit(0.0))
+    return scored.drop("keys", "times").join(found, "row", "left").select(
         "doc_id", F.coalesce(bucket_bit(modulus=7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("automaton") + gain).alias("score"),
+        (F.col("in_head") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        gained.alias("base_score"), (gained + F.col("sum_extra") + F.coalesce("arcs", F.lit(0.0))).alias("score"),
     )

@@ -81,3 +81,12 @@ def test_table_and_empty(spark):
     assert score_texts(docs.limit(0)).count() == 0
     automaton, *_ = fit(docs)
     assert END in automaton.words and hashed(b"A a")[0] == hashed(b"a")[0]
+
+
+def test_repeated_grams_count_in_a_large_corpus(spark):
+    """A pair and a triple that occur twice in 300,000 tokens, a share below 1e-5."""
+    rows = [(i, "x y " * 1000) for i in range(170)] + [(1000 + i, "rare word here") for i in (1, 2)] + [(2000, "rare here word")]
+    want, *_ = plain(rows, 1e-6, 0.0)
+    got = [tuple(r) for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    close(got, want)
+    close([tuple(r) for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), 1e-3).collect()], want)
