@@ -60,22 +60,25 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words := data.lower().split()), np.uint64, len(words))
 
 
-def similarity_prints(hashes: np.ndarray, size: int) -> list[int]:
-    """Two prints of the distinct words, three of the distinct shingles of ``size`` words."""
-    distinct = np.unique(hashes)
+def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the distinct shingles of ``size`` words."""
     if len(hashes) > size:
         shingle = np.zeros(len(hashes) - size + 1, np.uint64)
         for j in range(size):
             shingle = mix64(shingle * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(shingle)])
-        shingle = np.unique(shingle)
-    else:
-        shingle = mix64(hashes.sum(keepdims=True)) if len(hashes) else hashes
+        return np.unique(shingle)
+    return mix64(hashes.sum(keepdims=True)) if len(hashes) else hashes
+
+
+def similarity_prints(hashes: np.ndarray, shingle: np.ndarray) -> list[int]:
+    """Two prints of the distinct words, three of the distinct shingles."""
+    distinct = np.unique(hashes)
     salts = [np.uint64(x) for x in (0, 0x1B873593CC9E2D51)], [np.uint64(x) for x in (0, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)]
     return [majority_bits(mix64(distinct ^ s)) for s in salts[0]] + [majority_bits(mix64(shingle ^ s)) for s in salts[1]]
 
 
 def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, int, int]], tests: list[str],
-                max_bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+                max_bits: int, group_rows: int = GROUP_ROWS, apart: tuple[str, str, float] | None = None) -> DataFrame:
     """Links between nodes whose ``tests`` differ in at most ``max_bits`` bits.
 
     ``nodes``: distinct ``node`` with long columns. ``segments``: (index in ``prints``,
@@ -83,6 +86,9 @@ def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, i
     most 2 x segments x nodes / group_rows values, listed on the driver) is cut
     into blocks of nodes; every pair of blocks is a group of its own, so that a group has
     at most about twice ``group_rows`` rows and no pair is lost.
+
+    With ``apart`` (columns of a group and of a set's size, similarity) every such pair of nodes of
+    different groups is returned instead of a forest, if its sizes allow the similarity.
     """
     values = F.array(*[
         F.struct(F.lit(s).alias("s"), F.shiftrightunsigned(F.col(prints[p]), shift).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
@@ -90,8 +96,8 @@ def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, i
     ])
     counted = nodes.select(F.explode(values).alias("x")).groupBy("x.s", "x.v").count().where(F.col("count") > group_rows // 2)
     heavy = {(r[0], r[1]): r[2] for r in counted.collect()}
-    columns = ["node", *dict.fromkeys(prints + tests)]
-    tested = list(dict.fromkeys(tests))
+    columns = ["node", *dict.fromkeys(prints + tests + list(apart[:2] if apart else ()))]
+    tested = [*dict.fromkeys(tests), *(apart[:2] if apart else ())]
 
     def variants(batches):
         for batch in batches:
@@ -136,9 +142,12 @@ def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, i
         for whole in runs(batches, ("key", "cell")):
             key, cell, side, node = (whole[c].to_numpy() for c in ("key", "cell", "side", "node_id"))
             test = np.stack([whole[f"t{i}"].to_numpy().view(np.uint64) for i in range(len(tested))])
-            a, b = linked(key, cell, side, test, max_bits)
+            if apart:
+                a, b = apart_pairs(key, cell, side, test[:-2], max_bits, test[-2], test[-1].view(np.int64), apart[2])
+            else:
+                a, b = linked(key, cell, side, test, max_bits)
             pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-            new = forest.add(*pairs)
+            new = pairs.T.tolist() if apart else forest.add(*pairs)
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], names=["a", "b"])
 
@@ -194,6 +203,39 @@ def linked(key: np.ndarray, cell: np.ndarray, side: np.ndarray, test: np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
+def apart_pairs(key, cell, side, test, max_bits: int, group, size, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside runs of equal (key, cell) that ``linked`` would compare, are close, of different
+    groups and of sizes that allow the similarity."""
+    n = len(key)
+    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
+    runs_of = np.diff(np.concatenate((start, [n])))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def put(x, y):
+        good = (group[x] != group[y]) & ((side[y] == 2) | (side[x] != side[y]))
+        good &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+        x, y = x[good], y[good]
+        close = distance(test, x, y) <= max_bits
+        left.append(x[close]), right.append(y[close])
+
+    short = runs_of <= SMALL_RUN
+    last = np.repeat(np.where(short, start + runs_of, 0), runs_of)
+    alive, d = np.flatnonzero(last > np.arange(n) + 1), 1
+    while len(alive):
+        put(alive, alive + d)
+        d += 1
+        alive = alive[last[alive] > alive + d]
+    for s, m in zip(start[~short].tolist(), runs_of[~short].tolist(), strict=True):
+        rows = np.arange(s, s + m)
+        _, inverse, count = np.unique(group[rows], return_inverse=True, return_counts=True)
+        # One end of every such pair is outside the largest group; two such ends meet once.
+        outside = inverse != count.argmax()
+        for x in rows[outside].tolist():
+            y = rows[~outside | (rows > x)]
+            put(np.full(len(y), x), y)
+    return np.concatenate(left), np.concatenate(right)
+
+
 SEGMENTS_64 = [(0, 0, 22), (0, 22, 21), (0, 43, 21)]
 #: Segments of the two prints of distinct words, 20 bits each.
 SEGMENTS_WORDS = [(0, 0, 20), (0, 20, 20), (1, 0, 20), (1, 20, 20)]
@@ -221,28 +263,67 @@ def simhash_components(docs: DataFrame, size: int = 4, max_bits: int = 4) -> Dat
     )
 
 
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets of shingles have at least the given Jaccard similarity.
+
+    ``nodes``: ``node`` with the ``text_key`` of one of its texts. Only texts of nodes in a pair are
+    sent, each of them once for each batch that holds it.
+    """
+
+    def one_each(batches):
+        for batch in batches:
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            yield batch.take(pa.array(np.sort(first)))
+
+    def sets(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1_000):
+                hashes = [word_hashes(x) for x in byte_column(batch.slice(start, 1_000), "text")]
+                shingles = [shingle_set(x, size).view(np.int64) for x in hashes]
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in hashes], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *map(len, shingles)]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shingles)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), held], names=["node", "shingles"])
+
+    pairs = materialise(pairs.distinct(), "similar-candidates")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = needed.join(nodes, "node").select("text_key")
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(one_each, "text_key long, text string")
+    texts = texts.join(needed, "text_key", "left_semi").select("text").mapInArrow(sets, "node long, shingles array<long>")
+    found = materialise(texts.dropDuplicates(["node"]), "similar-sets")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    # shared / (total - shared) >= similarity
+    both = both.where(shared * (1 + similarity) >= similarity * total - 1e-9)
+    return materialise(both.select("a", "b"), "similar-links")
+
+
 def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id``, ``text_key``, ``root``, ``component_id``: documents alike in their word shingles.
 
     Candidates come from deletion variants of prints of the distinct words, which a few
-    changed words hardly move. They are linked when the 192-bit prints of their distinct
-    shingles differ in no more bits than shingle sets of the given Jaccard similarity
-    do on average. ``text_key`` is Spark's hash of the text, ``root`` names the group; one
-    line for each row.
+    changed words hardly move, and 192-bit prints of the distinct shingles; a link is a candidate whose sets of
+    shingles have the given Jaccard similarity. First a forest of the pairs whose prints
+    differ in no more bits than sets of that similarity do on average is verified; most
+    groups are whole then. Second every pair between the groups so found is verified whose
+    prints differ in up to 3.2 standard deviations more. ``text_key`` is Spark's hash of the
+    text, ``root`` names the group; one line for each row.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    max_bits = int(192 * np.arccos(cosine) / np.pi)
-    names = ["node", "w0", "w1", "s0", "s1", "s2"]
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    mean_bits, most_bits = int(192 * share), int(np.ceil(192 * share + 3.2 * np.sqrt(192 * share * (1 - share))))
+    names = ["node", "w0", "w1", "s0", "s1", "s2", "n"]
 
     def work(batches):
         for batch in batches:
             rows = []
             for data in byte_column(batch, "text"):
                 hashes = word_hashes(data)
+                shingle = shingle_set(hashes, size)
                 node = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
-                rows.append([node, *similarity_prints(hashes, size)])
+                rows.append([node, *similarity_prints(hashes, shingle), len(shingle)])
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key")]
-            values = np.array(rows, np.uint64).reshape(-1, 6).T.view(np.int64)
+            values = np.array(rows, np.uint64).reshape(-1, len(names)).T.view(np.int64)
             arrays = [*kept, *[pa.array(np.ascontiguousarray(v)) for v in values]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", *names])
 
@@ -250,9 +331,15 @@ def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8)
     schema = f"doc_id {kind}, text_key long, " + ", ".join(f"{n} long" for n in names)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     prints = materialise(texts.mapInArrow(work, schema), "similar-prints")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in names[1:]])
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in [*names[1:], "text_key"]])
     nodes = materialise(nodes, "similar-nodes")
-    edges = link_forest(nodes, ["w0", "w1"], SEGMENTS_WORDS, ["s0", "s1", "s2"], max_bits)
+    one_text = nodes.select("node", "text_key")
+    shingle_prints = ["s0", "s1", "s2"]
+    edges = verified(link_forest(nodes, ["w0", "w1"], SEGMENTS_WORDS, shingle_prints, mean_bits), one_text, docs, size, similarity)
+    grouped = nodes.join(components(edges, "simhash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = materialise(grouped, "similar-grouped")
+    pairs = link_forest(grouped, ["w0", "w1"], SEGMENTS_WORDS, shingle_prints, most_bits, apart=("root", "n", similarity))
+    edges = edges.union(verified(pairs, one_text, docs, size, similarity))
     return prints.join(labelled(nodes, edges, "low"), "node").select("doc_id", "text_key", "root", "component_id")
 
 

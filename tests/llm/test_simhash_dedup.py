@@ -98,3 +98,40 @@ def test_one_row_of_each_group_stays(spark):
     kept = keep_first(df, similar_components(df)).collect()
     assert sorted([r.doc_id for r in kept], key=str) == [2, 4, None]
     assert {r.root for r in kept} <= {"b", "c", "g", "e", "f"}
+
+
+def word_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+
+def test_links_are_exact_similarities_on_both_sides(spark):
+    """Groups of texts around the similarity of 0.8: joined at or above it, apart below."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)]
+    texts = []
+    for i in range(120):
+        words = rng.choice(vocabulary, 450).tolist()
+        near = list(words)
+        for at in np.linspace(5, 440, 9 + i % 4).astype(int):  # similarities of 0.82, 0.80, 0.78, 0.76
+            near[at] = "changed"
+        texts += [" ".join(words), " ".join(near)]
+    sets = word_sets(texts)
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 240, 2)]
+    assert {x >= 0.8 for x in alike} == {True, False}
+    joined = [got[2 * i + 1] == 2 * i for i in range(120)]
+    assert not [x for x, j in zip(alike, joined) if j and x < 0.8]
+    assert sum(j for x, j in zip(alike, joined) if x >= 0.8) >= 0.95 * sum(x >= 0.8 for x in alike)
+
+
+def test_pairs_between_groups_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    values = sorted({int(x) for x in rng.integers(0, 1 << 9, 150)})
+    rows = [(v, v, v % 7, 100 + v % 50) for v in values]
+    df = spark.createDataFrame(rows, "node long, fp long, root long, n long")
+    found = link_forest(df, ["fp"], [(0, 20, 22)], ["fp"], 4, group_rows=40, apart=("root", "n", 0.8)).distinct().collect()
+    want = {
+        (a, b) for a in values for b in values
+        if a < b and a % 7 != b % 7 and (a ^ b).bit_count() <= 4 and min(100 + a % 50, 100 + b % 50) >= 0.8 * max(100 + a % 50, 100 + b % 50)
+    }
+    assert {(r.a, r.b) for r in found} == want
