@@ -8,7 +8,8 @@ exist if d(x, p_j) <= d(x, nearest pivot) + 2r, and only if d(x, p_j) <= r + the
 radius; x is copied there (to cells before its own, so that each pair meets once). Cells
 are joined independently. A cell of more than ``cell_rows`` is cut into blocks and every
 pair of blocks is a group of its own: no group is larger than two blocks, no pair is
-lost. Groups report link counts for each vector and a forest of links, not pairs.
+lost. Copies are cut into blocks of their own, each compared with each block of the cell in a
+group that compares home rows with copies only. Groups report link counts for each vector and a forest of links, not pairs.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite values, and
 vectors without label, link with nothing; vectors of different size do not link; a null vec_id
@@ -96,27 +97,47 @@ def range_links(nodes: DataFrame, cosine: float, cell_rows: int, pivots: int) ->
     reach = {(r[0], r[1], r[2]): r[3] for r in stats}
     blocks = {(r[0], r[1], r[2]): max(1, -(-r[4] // cell_rows)) for r in stats}
 
+    def copied(r: dict, d: np.ndarray) -> list[int]:
+        """Cells before its own that a row is copied to."""
+        key = (r["label"], r["size"])
+        return [j for j in range(r["cell"]) if (*key, j) in blocks and d[j] <= r["far"] + 2 * radius and d[j] <= reach[*key, j] + radius]
+
+    def count_copies(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            found: dict = {}
+            for r, d in zip(rows, distances(rows), strict=True):
+                for j in copied(r, d):
+                    found[r["label"], r["size"], j] = found.get((r["label"], r["size"], j), 0) + 1
+            out = {"label": [k[0] for k in found], "size": [k[1] for k in found], "cell": [k[2] for k in found], "n": list(found.values())}
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("label", batch_type(label)), ("size", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())]))
+
+    label = nodes.schema["label"].dataType.simpleString()
+    copies_in = placed.mapInArrow(count_copies, f"label {label}, size int, cell int, n long").groupBy("label", "size", "cell").agg(F.sum("n")).collect()
+    copy_blocks = {(r[0], r[1], r[2]): -(-r[3] // cell_rows) for r in copies_in}
+
     def replicate(batches):
         for batch in batches:
             rows = batch.to_pylist()
             out = {k: [] for k in ("label", "size", "cell", "pair", "own", "node", "copies", "unit")}
             for r, d in zip(rows, distances(rows), strict=True):
                 key = (r["label"], r["size"])
-                targets = [r["cell"]] + [j for j in range(r["cell"]) if (*key, j) in blocks and d[j] <= r["far"] + 2 * radius and d[j] <= reach[*key, j] + radius]
-                for j in targets:
-                    n = blocks[*key, j]
-                    mine = int(mix64(np.array([r["node"]], np.int64).view(np.uint64))[0] % np.uint64(n))
-                    if j == r["cell"]:  # at home: with every block of the cell
-                        pairs = [(min(mine, b), max(mine, b)) for b in range(n)]
-                    else:  # a copy meets each block at its own diagonal group
-                        pairs = [(b, b) for b in range(n)]
-                    for a, b in pairs:
-                        for k, v in zip(out, (r["label"], r["size"], j, a * n + b, (mine if a != b else 0) if j == r["cell"] else -1, r["node"], r["copies"], r["unit"]), strict=True):
+                spread = mix64(np.array([r["node"]], np.int64).view(np.uint64))[0]
+                for j in [r["cell"], *copied(r, d)]:
+                    n, m = blocks[*key, j], copy_blocks.get((*key, j), 0)
+                    mine = int(spread % np.uint64(n))
+                    if j == r["cell"]:  # at home: with every block of the cell, then with every block of copies
+                        pairs = [(min(mine, b) * n + max(mine, b), 0 if mine == b else mine) for b in range(n)]
+                        pairs += [(n * n + mine * m + b, 0) for b in range(m)]
+                    else:  # a copy: its block with every block of the cell
+                        own = int(spread % np.uint64(m))
+                        pairs = [(n * n + a * m + own, -1) for a in range(n)]
+                    for pair, own in pairs:
+                        for k, v in zip(out, (r["label"], r["size"], j, pair, own, r["node"], r["copies"], r["unit"]), strict=True):
                             out[k].append(v)
             for a in range(0, len(out["node"]), 4096):
                 yield pa.RecordBatch.from_pydict({k: v[a : a + 4096] for k, v in out.items()}, schema=target)
 
-    label = nodes.schema["label"].dataType.simpleString()
     schema = f"label {label}, size int, cell int, pair int, own int, node long, copies long, unit array<double>"
     target = pa.schema([
         ("label", batch_type(label)), ("size", pa.int32()), ("cell", pa.int32()), ("pair", pa.int32()), ("own", pa.int32()),
@@ -127,14 +148,15 @@ def range_links(nodes: DataFrame, cosine: float, cell_rows: int, pivots: int) ->
         frame = frame.sort_values("node", ignore_index=True)
         unit, node, copies, own = np.stack(frame["unit"]), frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["own"].to_numpy()
         n = blocks[frame["label"].iloc[0], int(frame["size"].iloc[0]), int(frame["cell"].iloc[0])]
-        diagonal = frame["pair"].iloc[0] // n == frame["pair"].iloc[0] % n
+        pair = frame["pair"].iloc[0]
+        diagonal = pair < n * n and pair // n == pair % n
         count, forest, links = np.zeros(len(frame), np.int64), Forest(), []
         for a in range(0, len(frame), TILE):
             for b in range(a, len(frame), TILE):
                 close = unit[a : a + TILE] @ unit[b : b + TILE].T >= cosine
                 x, y = np.nonzero(close)
                 x, y = x + a, y + b
-                good = (x < y) & ((own[x] >= 0) | (own[y] >= 0))
+                good = x < y
                 if not diagonal:
                     good &= own[x] != own[y]
                 x, y = x[good], y[good]

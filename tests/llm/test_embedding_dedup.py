@@ -68,3 +68,20 @@ def test_table_and_empty(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in vectors.collect()]
     assert got(vectors) == plain(rows)
     assert vector_components(vectors.limit(0)).count() == 0
+
+
+def test_no_group_is_larger_than_two_blocks(spark, monkeypatch):
+    """Also where nearly all vectors are copied to the first cells."""
+    from pyspark.sql.group import GroupedData
+
+    sizes, apply = [], GroupedData.applyInPandas
+
+    def counting(self, *settings):
+        sizes.extend(r["count"] for r in self.count().collect())
+        return apply(self, *settings)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", counting)
+    rng = np.random.default_rng(2)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(rng.normal(size=(600, 24)).astype(np.float32))]
+    assert got(spark.createDataFrame(rows, SCHEMA), cosine=0.9, cell_rows=40, pivots=6) == plain(rows, 0.9)
+    assert max(sizes) <= 2 * 40 * 1.6  # blocks are dealt by a hash
