@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
+from reviewloom.llm.conversation_repair import repair_damaged
 from reviewloom.llm.decontamination import contaminated
 from reviewloom.llm.embedding_dedup import vector_components
 from reviewloom.llm.language_id import fit_language_id, predict_language
 from reviewloom.llm.language_model import score_texts
+from reviewloom.llm.license_scan import scan_licenses
 from reviewloom.llm.packing import pack_documents
 from reviewloom.llm.personal_data import find_personal_data, train
 from reviewloom.llm.quality import fit_quality, quality_scores
 from reviewloom.llm.simhash_dedup import simhash_components
 from reviewloom.llm.substring_dedup import remove_repeats
+from reviewloom.llm.token_alignment import align_tokenizers
 from reviewloom.llm.warc import read_archives, write_collection
 
 
@@ -70,6 +73,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -81,8 +96,12 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_license_scan": op11_license_scan,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+
 def _sql_base32(hex_digits: str) -> str:
     """Base32 of 40 hex digits: five of them are four characters."""
     out = []
