@@ -61,13 +61,14 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the distinct shingles of ``size`` words."""
-    if len(hashes) > size:
-        shingle = np.zeros(len(hashes) - size + 1, np.uint64)
-        for j in range(size):
-            shingle = mix64(shingle * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(shingle)])
-        return np.unique(shingle)
-    return mix64(hashes.sum(keepdims=True)) if len(hashes) else hashes
+    """Hashes of the distinct shingles of ``size`` words; of fewer words, of the whole sequence in its order."""
+    if not len(hashes):
+        return hashes
+    size = min(size, len(hashes))
+    shingle = np.zeros(len(hashes) - size + 1, np.uint64)
+    for j in range(size):
+        shingle = mix64(shingle * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(shingle)])
+    return np.unique(shingle)
 
 
 def similarity_prints(hashes: np.ndarray, shingle: np.ndarray) -> list[int]:
@@ -78,7 +79,7 @@ def similarity_prints(hashes: np.ndarray, shingle: np.ndarray) -> list[int]:
 
 
 def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, int, int]], tests: list[str],
-                max_bits: int, group_rows: int = GROUP_ROWS, apart: tuple[str, str, float] | None = None) -> DataFrame:
+                max_bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links between nodes whose ``tests`` differ in at most ``max_bits`` bits.
 
     ``nodes``: distinct ``node`` with long columns. ``segments``: (index in ``prints``,
@@ -86,9 +87,6 @@ def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, i
     most 2 x segments x nodes / group_rows values, listed on the driver) is cut
     into blocks of nodes; every pair of blocks is a group of its own, so that a group has
     at most about twice ``group_rows`` rows and no pair is lost.
-
-    With ``apart`` (columns of a group and of a set's size, similarity) every such pair of nodes of
-    different groups is returned instead of a forest, if its sizes allow the similarity.
     """
     values = F.array(*[
         F.struct(F.lit(s).alias("s"), F.shiftrightunsigned(F.col(prints[p]), shift).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
@@ -96,8 +94,8 @@ def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, i
     ])
     counted = nodes.select(F.explode(values).alias("x")).groupBy("x.s", "x.v").count().where(F.col("count") > group_rows // 2)
     heavy = {(r[0], r[1]): r[2] for r in counted.collect()}
-    columns = ["node", *dict.fromkeys(prints + tests + list(apart[:2] if apart else ()))]
-    tested = [*dict.fromkeys(tests), *(apart[:2] if apart else ())]
+    columns = ["node", *dict.fromkeys(prints + tests)]
+    tested = list(dict.fromkeys(tests))
 
     def variants(batches):
         for batch in batches:
@@ -142,12 +140,9 @@ def link_forest(nodes: DataFrame, prints: list[str], segments: list[tuple[int, i
         for whole in runs(batches, ("key", "cell")):
             key, cell, side, node = (whole[c].to_numpy() for c in ("key", "cell", "side", "node_id"))
             test = np.stack([whole[f"t{i}"].to_numpy().view(np.uint64) for i in range(len(tested))])
-            if apart:
-                a, b = apart_pairs(key, cell, side, test[:-2], max_bits, test[-2], test[-1].view(np.int64), apart[2])
-            else:
-                a, b = linked(key, cell, side, test, max_bits)
+            a, b = linked(key, cell, side, test, max_bits)
             pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-            new = pairs.T.tolist() if apart else forest.add(*pairs)
+            new = forest.add(*pairs)
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], names=["a", "b"])
 
@@ -203,39 +198,6 @@ def linked(key: np.ndarray, cell: np.ndarray, side: np.ndarray, test: np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
-def apart_pairs(key, cell, side, test, max_bits: int, group, size, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs inside runs of equal (key, cell) that ``linked`` would compare, are close, of different
-    groups and of sizes that allow the similarity."""
-    n = len(key)
-    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-    runs_of = np.diff(np.concatenate((start, [n])))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def put(x, y):
-        good = (group[x] != group[y]) & ((side[y] == 2) | (side[x] != side[y]))
-        good &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
-        x, y = x[good], y[good]
-        close = distance(test, x, y) <= max_bits
-        left.append(x[close]), right.append(y[close])
-
-    short = runs_of <= SMALL_RUN
-    last = np.repeat(np.where(short, start + runs_of, 0), runs_of)
-    alive, d = np.flatnonzero(last > np.arange(n) + 1), 1
-    while len(alive):
-        put(alive, alive + d)
-        d += 1
-        alive = alive[last[alive] > alive + d]
-    for s, m in zip(start[~short].tolist(), runs_of[~short].tolist(), strict=True):
-        rows = np.arange(s, s + m)
-        _, inverse, count = np.unique(group[rows], return_inverse=True, return_counts=True)
-        # One end of every such pair is outside the largest group; two such ends meet once.
-        outside = inverse != count.argmax()
-        for x in rows[outside].tolist():
-            y = rows[~outside | (rows > x)]
-            put(np.full(len(y), x), y)
-    return np.concatenate(left), np.concatenate(right)
-
-
 SEGMENTS_64 = [(0, 0, 22), (0, 22, 21), (0, 43, 21)]
 #: Segments of the two prints of distinct words, 20 bits each.
 SEGMENTS_WORDS = [(0, 0, 20), (0, 20, 20), (1, 0, 20), (1, 20, 20)]
@@ -263,12 +225,114 @@ def simhash_components(docs: DataFrame, size: int = 4, max_bits: int = 4) -> Dat
     )
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets of shingles have at least the given Jaccard similarity.
+#: Shingles of a block of a cluster, what every node adds to them, and the keys that may be broadcast.
+BLOCK_SHINGLES, NODE_WEIGHT, BROADCAST_KEYS = 400_000, 200, 1_000_000
+#: A shingle of so many nodes of a group is counted by a matrix product, a rarer one by listing its pairs.
+COMMON = 32
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of shared shingles of every set of ``left`` with every set of ``right``."""
+    shape = (len(left), len(right))
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    columns = place[: len(rows[0])], place[len(rows[0]) :]
+    held = [np.bincount(c, minlength=len(values)) for c in columns]
+    both = (held[0] > 0) & (held[1] > 0)
+    counts = np.zeros(shape, np.float32)
+    common = np.flatnonzero(both & (np.minimum(*held) > COMMON))
+    for start in range(0, len(common), 2048):
+        part = np.full(len(values), -1)
+        part[common[start : start + 2048]] = np.arange(len(common[start : start + 2048]))
+        sides = []
+        for n, row, column in zip(shape, rows, columns, strict=True):
+            own = part[column] >= 0
+            dense = np.zeros((n, min(2048, len(common) - start)), np.float32)
+            dense[row[own], part[column[own]]] = 1
+            sides.append(dense)
+        counts += sides[0] @ sides[1].T
+    rare = both.copy()
+    rare[common] = False
+    ordered = []
+    for row, column in zip(rows, columns, strict=True):
+        own = np.flatnonzero(rare[column])
+        own = own[np.argsort(column[own], kind="stable")]
+        ordered.append((row[own], column[own]))
+    (row_a, column_a), (row_b, column_b) = ordered
+    first = np.searchsorted(column_b, column_a)
+    partners = held[1][column_a] if len(column_a) else np.zeros(0, np.int64)
+    flat = counts.reshape(-1)
+    for start in range(0, len(row_a), 1 << 15):
+        n = partners[start : start + (1 << 15)]
+        at = np.repeat(first[start : start + (1 << 15)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell, times = np.unique(np.repeat(row_a[start : start + (1 << 15)], n) * shape[1] + row_b[at], return_counts=True)
+        flat[cell] += times
+    return counts
+
+
+def spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """A forest (row, column) of the links between rows and columns of a boolean matrix."""
+    rows, columns = np.ones(links.shape[0], bool), np.ones(links.shape[1], bool)
+    out = []
+    for start in np.flatnonzero(links.any(axis=1)).tolist():
+        if not rows[start]:
+            continue
+        rows[start] = False
+        front = [(0, start)]
+        while front:
+            side, x = front.pop()
+            waiting, line = (columns, links[x]) if side == 0 else (rows, links[:, x])
+            new = np.flatnonzero(line & waiting)
+            waiting[new] = False
+            out += [(x, y) if side == 0 else (y, x) for y in new.tolist()]
+            front += [(1 - side, y) for y in new.tolist()]
+    return out
+
+
+def spanning_within(links: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the links of a symmetric matrix, whose rows and columns are the same nodes."""
+    waiting, out = np.ones(len(links), bool), []
+    for start in range(len(links)):
+        if not waiting[start]:
+            continue
+        waiting[start] = False
+        front = [start]
+        while front:
+            x = front.pop()
+            new = np.flatnonzero(links[x] & waiting).tolist()
+            waiting[new] = False
+            out += [(x, y) for y in new]
+            front += new
+    return out
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets of ``left`` and ``right`` have at least the given Jaccard similarity."""
+    shared = shared_counts(left, right)
+    total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    # shared / (total - shared) >= similarity
+    return shared * (1 + similarity) >= similarity * total - 1e-6
+
 
-    ``nodes``: ``node`` with the ``text_key`` of one of its texts. Only texts of nodes in a pair are
-    sent, each of them once for each batch that holds it.
+def verified(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float,
+             block_shingles: int = BLOCK_SHINGLES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """A forest ``a``, ``b`` of the links: pairs of nodes of one cluster whose sets of shingles have the similarity.
+
+    ``candidates``: edges that join the nodes of a cluster; ``nodes``: ``node``, number of shingles ``n`` and the
+    ``text_key`` of one of its texts. Every pair inside a cluster is compared, and none leaves the task
+    that compares it: a large cluster is cut into blocks of bounded weight, every pair of
+    blocks is a group, and a group reports a spanning forest of its links.
     """
+    clusters = materialise(components(candidates, "similar"), "similar-clusters")
+    weighed = clusters.join(nodes, "node").select("node", F.col("root").alias("cluster"), "text_key", (F.col("n") + NODE_WEIGHT).alias("weight"))
+    weighed = materialise(weighed, "similar-weights")
+    blocks = weighed.groupBy("cluster").agg(F.ceil(F.sum("weight") / block_shingles).cast("int").alias("blocks"))
+    # Stored, so that the join reads two plain tables and a hot cluster can be split.
+    blocks = materialise(blocks.where("blocks > 1"), "similar-blocks")
+    placed = weighed.join(blocks, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
+    placed = placed.select("node", "text_key", "cluster", own.alias("own"), F.explode(pairs).alias("g")).select("node", "text_key", "cluster", "own", "g.i", "g.j")
 
     def one_each(batches):
         for batch in batches:
@@ -277,41 +341,61 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
 
     def sets(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1_000):
-                hashes = [word_hashes(x) for x in byte_column(batch.slice(start, 1_000), "text")]
-                shingles = [shingle_set(x, size).view(np.int64) for x in hashes]
-                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in hashes], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *map(len, shingles)]).astype(np.int32)
-                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shingles)))
-                yield pa.RecordBatch.from_arrays([pa.array(node), held], names=["node", "shingles"])
-
-    pairs = materialise(pairs.distinct(), "similar-candidates")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = needed.join(nodes, "node").select("text_key")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(one_each, "text_key long, text string")
-    texts = texts.join(needed, "text_key", "left_semi").select("text").mapInArrow(sets, "node long, shingles array<long>")
-    found = materialise(texts.dropDuplicates(["node"]), "similar-sets")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    # shared / (total - shared) >= similarity
-    both = both.where(shared * (1 + similarity) >= similarity * total - 1e-9)
-    return materialise(both.select("a", "b"), "similar-links")
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                shingles = [shingle_set(word_hashes(x), size).tobytes() for x in byte_column(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shingles, pa.binary())], names=["text_key", "shingles"])
+
+    needed = weighed.select("text_key").distinct()
+    if weighed.count() <= broadcast_keys:
+        # Eight bytes for each key, counted.
+        needed = F.broadcast(needed)
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(needed, "text_key", "left_semi")
+    texts = texts.mapInArrow(one_each, "text_key long, text string").mapInArrow(sets, "text_key long, shingles binary")
+    found = materialise(texts.dropDuplicates(["text_key"]), "similar-sets")
+
+    def links(batches):
+        group, rows = None, []
+
+        def forest():
+            i, j = group[1:]
+            sides = [[r for r in rows if r[0] == k] for k in (i, j)]
+            left, right = ([np.frombuffer(r[2], np.uint64) for r in side] for side in sides)
+            close = alike(left, right, similarity)
+            new = spanning_within(close) if i == j else spanning(close)
+            return [(sides[0][x][1], sides[1][y][1]) for x, y in new]
+
+        def batch(new):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], names=["a", "b"])
+
+        for part in batches:
+            for cluster, i, j, own, node, shingles in zip(*[part.column(c).to_pylist() for c in range(6)], strict=True):
+                if group != (cluster, i, j):
+                    if len(rows) > 1 and (new := forest()):
+                        yield batch(new)
+                    group, rows = (cluster, i, j), []
+                rows.append((own, node, shingles))
+        if len(rows) > 1 and (new := forest()):
+            yield batch(new)
+
+    grouped = placed.join(found, "text_key").select("cluster", "i", "j", "own", "node", "shingles")
+    grouped = grouped.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return materialise(grouped.mapInArrow(links, "a long, b long"), "similar-links")
 
 
 def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id``, ``text_key``, ``root``, ``component_id``: documents alike in their word shingles.
 
-    Candidates come from deletion variants of prints of the distinct words, which a few
-    changed words hardly move, and 192-bit prints of the distinct shingles; a link is a candidate whose sets of
-    shingles have the given Jaccard similarity. First a forest of the pairs whose prints
-    differ in no more bits than sets of that similarity do on average is verified; most
-    groups are whole then. Second every pair between the groups so found is verified whose
-    prints differ in up to 3.2 standard deviations more. ``text_key`` is Spark's hash of the
+    Clusters of candidates come from deletion variants of prints of the distinct words, which a few
+    changed words hardly move; two nodes are candidates if their 192-bit prints of the distinct shingles differ
+    by at most 3.2 standard deviations more bits than sets of that similarity do on average. Only a
+    forest of the candidates is kept, as it joins the same clusters. Inside a cluster every pair is
+    compared by its exact sets of shingles; a link has at least the given Jaccard similarity. Texts
+    of fewer words than a shingle are one shingle, the whole sequence. ``text_key`` is Spark's hash of the
     text, ``root`` names the group; one line for each row.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    mean_bits, most_bits = int(192 * share), int(np.ceil(192 * share + 3.2 * np.sqrt(192 * share * (1 - share))))
+    most_bits = int(np.ceil(192 * share + 3.2 * np.sqrt(192 * share * (1 - share))))
     names = ["node", "w0", "w1", "s0", "s1", "s2", "n"]
 
     def work(batches):
@@ -333,13 +417,8 @@ def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8)
     prints = materialise(texts.mapInArrow(work, schema), "similar-prints")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in [*names[1:], "text_key"]])
     nodes = materialise(nodes, "similar-nodes")
-    one_text = nodes.select("node", "text_key")
-    shingle_prints = ["s0", "s1", "s2"]
-    edges = verified(link_forest(nodes, ["w0", "w1"], SEGMENTS_WORDS, shingle_prints, mean_bits), one_text, docs, size, similarity)
-    grouped = nodes.join(components(edges, "simhash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = materialise(grouped, "similar-grouped")
-    pairs = link_forest(grouped, ["w0", "w1"], SEGMENTS_WORDS, shingle_prints, most_bits, apart=("root", "n", similarity))
-    edges = edges.union(verified(pairs, one_text, docs, size, similarity))
+    candidates = link_forest(nodes, ["w0", "w1"], SEGMENTS_WORDS, ["s0", "s1", "s2"], most_bits)
+    edges = verified(candidates, nodes.select("node", "n", "text_key"), docs, size, similarity)
     return prints.join(labelled(nodes, edges, "low"), "node").select("doc_id", "text_key", "root", "component_id")
 
 

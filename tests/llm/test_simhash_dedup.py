@@ -1,10 +1,15 @@
 """SimHash links against brute force over all pairs."""
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from reviewloom.llm import simhash_dedup
+from reviewloom.llm.common import table
 from reviewloom.llm.simhash_dedup import (
-    keep_first, link_forest, shingle_fingerprint, similar_components, simhash_components,
+    keep_first, link_forest, shared_counts, shingle_fingerprint, shingle_set, similar_components, simhash_components, verified,
+    word_hashes,
 )
 
 
@@ -124,14 +129,87 @@ def test_links_are_exact_similarities_on_both_sides(spark):
     assert sum(j for x, j in zip(alike, joined) if x >= 0.8) >= 0.95 * sum(x >= 0.8 for x in alike)
 
 
-def test_pairs_between_groups_are_all_found(spark):
-    rng = np.random.default_rng(8)
-    values = sorted({int(x) for x in rng.integers(0, 1 << 9, 150)})
-    rows = [(v, v, v % 7, 100 + v % 50) for v in values]
-    df = spark.createDataFrame(rows, "node long, fp long, root long, n long")
-    found = link_forest(df, ["fp"], [(0, 20, 22)], ["fp"], 4, group_rows=40, apart=("root", "n", 0.8)).distinct().collect()
-    want = {
-        (a, b) for a in values for b in values
-        if a < b and a % 7 != b % 7 and (a ^ b).bit_count() <= 4 and min(100 + a % 50, 100 + b % 50) >= 0.8 * max(100 + a % 50, 100 + b % 50)
-    }
-    assert {(r.a, r.b) for r in found} == want
+def sets_of(texts):
+    return [shingle_set(word_hashes(t.encode()), 5) for t in texts]
+
+
+def jaccard(a, b):
+    a, b = set(a.tolist()), set(b.tolist())
+    return len(a & b) / len(a | b)
+
+
+def test_short_texts_keep_their_order():
+    a, b, c, d = sets_of(["a b c d e", "e d c b a", "a b", "b a"])
+    assert not len(np.intersect1d(a, b)) and not len(np.intersect1d(c, d)) and len(a) == len(c) == 1
+    assert np.array_equal(*sets_of(["A  b", "a b"])) and not len(sets_of([""])[0])
+
+
+def near_copies(rng, n, words=120, changed=9):
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    base = rng.choice(vocabulary, words).tolist()
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.choice(words, int(rng.integers(0, changed))):
+            own[at] = f"x{rng.integers(0, 60)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("common", [0, 5, 1000])
+def test_shared_counts_equal_set_intersections(monkeypatch, common):
+    monkeypatch.setattr(simhash_dedup, "COMMON", common)
+    sets = sets_of([*near_copies(np.random.default_rng(3), 60), "", "one", "one two"])
+    left, right = sets[:40], sets[25:]
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert shared_counts(left, right).astype(int).tolist() == want
+
+
+def components_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"block_shingles": 3000, "broadcast_keys": 0}])
+def test_every_link_of_a_large_group_counts_and_pairs_stay_inside(spark, settings):
+    """One group around the similarity of 0.8: the components of all links, from few rows."""
+    texts = near_copies(np.random.default_rng(5), 250)
+    sets = sets_of(texts)
+    rows = [(i, i, len(s), t) for i, (s, t) in enumerate(zip(sets, texts, strict=True))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    nodes = spark.createDataFrame(rows, "node long, low long, n long, text string").select("node", "n", F.xxhash64("text").alias("text_key"))
+    candidates = spark.createDataFrame([(i, i + 1) for i in range(249)], "a long, b long")
+    found = [tuple(r) for r in verified(candidates, nodes, docs, 5, 0.8, **settings).collect()]
+    want = [(a, b) for a in range(250) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in found)
+    assert components_of(250, found) == components_of(250, want)
+    assert len(want) > 1000 and len(found) < 250 * 12
+
+
+def links_of(sets, similarity):
+    """All pairs of sets at or above a similarity, found through the shingles they share."""
+    holders: dict = {}
+    for i, own in sets.items():
+        for x in own.tolist():
+            holders.setdefault(x, []).append(i)
+    near = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    return [(a, b) for a, b in near if jaccard(sets[a], sets[b]) >= similarity]
+
+
+def test_recall_of_links_on_the_corpus(spark):
+    """All pairs of documents with a similarity of 0.8: both end in one group."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    group = {r.doc_id: r.root for r in similar_components(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {d: s for d, s in zip(texts, sets_of(list(texts.values())), strict=True) if len(s)}
+    pairs = links_of(sets, 0.8)
+    assert len(pairs) > 40
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.95 * len(pairs)
