@@ -122,3 +122,23 @@ def test_preview(spark):
 def test_native_cleaning_has_no_python(spark):
     df = spark.range(1).select(F.lit("a").alias("t")).select(c.clean_for_classical(F.col("t"), exact=False))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_equal_the_standard_decoder(spark):
+    """All names, with and without semicolon, numbers, and random mixtures; no Python node in the plan."""
+    from html.entities import html5
+
+    rng = random.Random(1)
+    names = list(html5)
+    parts = [*"&#xX;a<0 \n\f\té😀129", "&", "&#", "&#x", "amp", "lt", "&amp", "&lt;", "&notit;", "00", "128", "150", "D800", "dfff", "10FFFF", "110000", "fdd0",
+             "FFFE", "feff", "65279", "1F600", "999999999", "&#x80;", "&#0;", "&#13;", "&#11;", "&&", "CounterClockwiseContourIntegral;"]
+    rows = ["".join(rng.choice(parts) if rng.random() < 0.7 else "&" + rng.choice(names) for _ in range(rng.randint(1, 8))) for _ in range(4000)]
+    rows += [f"&{n}{end}" for n in names for end in ("", "x", " ;")] + [f"&{n[:-1]}" for n in names]
+    rows += [f"&#{i};" for i in range(0x300)] + [f"&#x{i:x}" for i in (*range(0xD7F0, 0xE010, 7), *range(0xFDC0, 0xFE00), 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000)]
+    rows += ["", "&", "&" + "a" * 40 + ";", "&" + "😀" * 33 + ";"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").repartition(4).select("i", c.html_unescape(F.col("t")).alias("u"))
+    got = {r.i: r.u for r in df.collect()}
+    assert [r for i, r in enumerate(rows) if got[i] != html.unescape(r)] == []
+    assert one(spark, c.html_unescape, None) is None
+    plan = spark.range(1).select(c.clean_for_classical(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "ArrowEval" not in plan
