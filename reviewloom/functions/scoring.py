@@ -54,17 +54,42 @@ def sigmoid(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-margin))
 
 
+#: Splits a double into two halves whose products are exact.
+_SPLITTER = 134217729.0
+
+
+def round_exact(x: Column, digits: int) -> Column:
+    """Round to ``digits`` decimals the double as it is stored, ties to even.
+
+    ``F.round`` rounds the shortest decimal form half-up: 2.675, stored a little below, becomes 2.68 there
+    and 2.67 here. The product with the power of ten is taken together with its rounding error
+    (an exact product of halves), so a value next to a tie falls on the side it lies on.
+    """
+    x, scale = x.cast("double"), float(10**digits)
+    scale_high = _SPLITTER * scale - (_SPLITTER * scale - scale)
+    scale_low = scale - scale_high
+    product = x * scale
+    high = x * _SPLITTER - (x * _SPLITTER - x)
+    low = x - high
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    nearest = F.rint(product)
+    # Only a product that looks like a tie can hide on which side of it the value lies.
+    tie = F.abs(product - F.floor(product) - 0.5) == 0
+    whole = F.when(tie & (error > 0), F.floor(product) + 1.0).when(tie & (error < 0), F.floor(product) + 0.0).otherwise(nearest)
+    return F.when(F.isnan(x) | (F.abs(product) >= 2.0**52), x).otherwise(whole / scale)
+
+
 def delta(a: Column, b: Column, digits: int = 4) -> Column:
-    return F.round(a - b, digits)
+    return round_exact(a - b, digits)
 
 
 def ratio(a: Column, b: Column, digits: int = 2) -> Column:
-    return F.round(F.try_divide(a, b), digits)
+    return round_exact(F.try_divide(a, b), digits)
 
 
 def reduction_pct(a: Column, b: Column) -> Column:
     """How much smaller ``a`` is than ``b``, in percent, one decimal."""
-    return F.round((1 - F.try_divide(a, b)) * 100, 1)
+    return round_exact((1 - F.try_divide(a, b)) * 100, 1)
 
 
 def display_percent(conf: Column) -> Column:

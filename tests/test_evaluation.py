@@ -99,3 +99,34 @@ def test_labels_outside_the_matrix_are_an_error(spark, label, pred):
     df = spark.createDataFrame([("m", 1, 1), ("m", label, pred)], "model string, label int, pred int")
     with pytest.raises(Exception, match="must be 0 or 1"):
         classification_metrics(df, ["model"]).collect()
+
+
+def test_rounding_is_that_of_the_stored_value(spark):
+    """Ties to even on the exact binary value, as Python rounds."""
+    import random
+
+    from reviewloom.functions.scoring import round_exact
+
+    rng = random.Random(3)
+    values = [rng.choice([1, -1]) * rng.randint(0, 10 ** rng.randint(1, 8)) / rng.choice([8, 16, 1000, 10**5, 3, 7, 200, 2000]) for _ in range(5000)]
+    values += [0.125, 2.675, 0.375, 2.5, 3.5, -0.125, 0.5, 1.005, 0.00005, 0.00015, 1e15, 1e300, 5e-324, -0.0]
+    df = spark.createDataFrame(list(enumerate(map(float, values))), "i int, x double")
+    for digits in (0, 1, 2, 4):
+        got = {r.i: r.r for r in df.select("i", round_exact(F.col("x"), digits).alias("r")).collect()}
+        assert [x for i, x in enumerate(values) if got[i] != round(float(x), digits)] == []
+    odd = df.limit(1).select(round_exact(F.lit(float("nan")), 2).alias("n"), round_exact(F.lit(float("inf")), 2).alias("i"), round_exact(F.lit(None), 2).alias("z")).first()
+    assert odd.n != odd.n and odd.i == float("inf") and odd.z is None
+
+
+def test_ties_in_verdicts_and_variants(spark):
+    from reviewloom.operators import comparison as cmp
+
+    rows = [("base", 0, 0.9, 0.5, 8.0, 8.0), ("tie", 1, 0.9, 0.50005, 1.0, 2.0 / 0.35), ("other", 2, 0.9, 0.51, 8 / 2.25, 8 / 2.675)]
+    models = spark.createDataFrame(rows, "model string, pos int, accuracy double, f1 double, size_mb double, latency_ms double").withColumn(
+        "status", F.lit("measured")).withColumn("measured_on", F.lit("x"))
+    got = {r.model: r for r in cmp.verdict(models, "base").collect()}
+    variants = {r.model: r for r in cmp.variant_summary(models, "base", []).collect()}
+    for name, _, _, f1, size, latency in rows[1:]:
+        assert got[name].f1_delta == round(f1 - 0.5, 4) == variants[name].f1_delta
+        assert (got[name].size_ratio, got[name].latency_ratio) == (round(size / 8.0, 1), round(latency / 8.0, 1))
+        assert (variants[name].size_reduction_pct, variants[name].speedup) == (round((1 - size / 8.0) * 100, 1), round(8.0 / latency, 2))
