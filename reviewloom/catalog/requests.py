@@ -14,6 +14,11 @@ from reviewloom.sinks.tables import append_log
 from reviewloom.storage import scratch_path
 from reviewloom.streaming.requests import REQUEST_SCHEMA, read_requests, start_request_stream
 
+#: Bodies that only a lenient parser takes, and what they mean: the last of repeated keys counts, NaN is a number.
+TWICE, NOT_A_NUMBER = '{"text":"first","x":[1],"text":"The last one counts."}', '{"text":NaN,"model":-Infinity}'
+TWO_MODELS = '{"text":"Fine.","model":"other","model":"distilbert"}'
+MEANT = {TWICE: '{"text":"The last one counts."}', NOT_A_NUMBER: '{"text":0,"model":0}', TWO_MODELS: '{"text":"Fine.","model":"distilbert"}'}
+
 _RESPONSE = ["request_id", "status", "error", "message", "sentiment", "confidence", "model"]
 
 
@@ -35,7 +40,7 @@ def request_bodies(spark, sf_dir):
         .when(kind == "9", body(text=F.col("text"), model=F.lit("logreg")))
         .when(kind == "a", body(text=F.col("text"), model=F.lit("other")))
         .when(kind == "b", F.concat(F.expr("left(to_json(struct(text)), length(to_json(struct(text))) - 1)"), F.lit(',"model":null}')))
-        .when(kind == "c", F.lit('{"text":5}'))
+        .when(kind == "c", F.when(sub < "4", '{"text":5}').when(sub < "8", TWICE).when(sub < "c", NOT_A_NUMBER).otherwise(TWO_MODELS))
         .when(kind == "d", F.lit('{"model":"logreg"}'))
         .when(kind == "e", F.when(sub < "4", F.lit(None)).when(sub < "8", "").when(sub < "c", F.col("text")).otherwise("[5]"))
         .when(sub < "4", plain)
@@ -107,14 +112,18 @@ _BODIES = """turns AS (SELECT conv_id || '-' || turn AS request_id, text,
         WHEN kind = '9' THEN CAST(json_object('text', text, 'model', 'logreg') AS VARCHAR)
         WHEN kind = 'a' THEN CAST(json_object('text', text, 'model', 'other') AS VARCHAR)
         WHEN kind = 'b' THEN CAST(json_object('text', text, 'model', NULL) AS VARCHAR)
-        WHEN kind = 'c' THEN '{"text":5}' WHEN kind = 'd' THEN '{"model":"logreg"}'
+        WHEN kind = 'c' AND sub < '4' THEN '{"text":5}' WHEN kind = 'c' AND sub < '8' THEN '""" + TWICE + """'
+        WHEN kind = 'c' AND sub < 'c' THEN '""" + NOT_A_NUMBER + """' WHEN kind = 'c' THEN '""" + TWO_MODELS + """'
+        WHEN kind = 'd' THEN '{"model":"logreg"}'
         WHEN kind = 'e' AND sub < '4' THEN NULL WHEN kind = 'e' AND sub < '8' THEN ''
         WHEN kind = 'e' AND sub < 'c' THEN text WHEN kind = 'e' THEN '[5]'
         WHEN sub < '4' THEN CAST(json_object('text', text) AS VARCHAR)
         WHEN sub < '8' THEN '{"text":null}' WHEN sub < 'c' THEN '{"text":"  \\n\\t "}'
         ELSE CAST(json_object('text', repeat(text, 60)) AS VARCHAR) END AS body FROM turns)"""
+_MEANT = " ".join(f"WHEN '{body}' THEN '{meant}'" for body, meant in MEANT.items())
 _CHECKED = f"""{_BODIES},
-    parsed AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM bodies),
+    read AS (SELECT * REPLACE (CASE body {_MEANT} ELSE body END AS body) FROM bodies),
+    parsed AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM read),
     fields AS (SELECT *, json_type(j) AS top, json_type(j, '$.text') AS tt, json_type(j, '$.model') AS mt,
                json_extract_string(j, '$.text') AS text, json_extract_string(j, '$.model') AS asked FROM parsed),
     ruled AS (SELECT *, CASE WHEN method <> 'POST' THEN 'method' WHEN body IS NULL THEN 'no_body'

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.functions.cleaning import clean_for_classical, exceeds_length, is_blank
-from reviewloom.functions.scoring import epoch_seconds, logits_to_prediction, new_row_id
+from reviewloom.functions.scoring import epoch_seconds, logits_to_prediction
 from reviewloom.operators.linear import batch_scores, margin_to_prediction, term_scores
 
 # Names and tags of the two models, the default, and the limit.
@@ -31,6 +35,35 @@ ERRORS = {
 }
 
 
+_FIELDS = ("top", "text_type", "text", "model_type", "model")
+
+
+@F.arrow_udf(T.StructType([T.StructField(name, T.StringType()) for name in _FIELDS]))
+def _lenient(bodies: pa.Array) -> pa.Array:
+    """Bodies the strict parser refuses: a repeated key takes its last value, NaN and Infinity are numbers."""
+
+    def kind(value):
+        if isinstance(value, str):
+            return "STRING"
+        return "VOID" if value is None else "OTHER"
+
+    rows = []
+    for body in bodies.to_pylist():
+        row = None
+        if body is not None:
+            try:
+                value = json.loads(body)
+            except (ValueError, RecursionError):
+                value = rows  # no JSON value is this list itself
+            if value is not rows:
+                row = {"top": "OBJECT" if isinstance(value, dict) else "OTHER"}
+                for name in ("text", "model"):
+                    if isinstance(value, dict) and name in value:
+                        row |= {f"{name}_type": kind(value[name]), name: value[name] if isinstance(value[name], str) else None}
+        rows.append(row)
+    return pa.array(rows, pa.struct([(name, pa.string()) for name in _FIELDS]))
+
+
 def validate_requests(
     df: DataFrame, models: Sequence[str] = tuple(MODEL_TAGS), max_length: int = MAX_TEXT_LENGTH
 ) -> DataFrame:
@@ -39,14 +72,20 @@ def validate_requests(
     The first broken rule wins; a valid request has status 200. Works on batch
     and streaming frames alike.
     """
+    strict = F.try_parse_json("body")
+    # Only bodies that may be JSON for a more lenient parser reach it, the others as nulls: those with a
+    # repeated key, or with a number word. Its node sees every row, but takes the text of these alone.
+    again = F.col("body").isNotNull() & F.col("__json").isNull() & F.col("body").rlike(r"^[ \t\r\n]*([\[{]|NaN|-?Infinity)")
     parsed = (
-        df.withColumn("__json", F.try_parse_json("body"))
+        df.withColumn("__json", strict)
         .withColumn("__text", F.try_variant_get("__json", "$.text", "variant"))
         .withColumn("__model", F.try_variant_get("__json", "$.model", "variant"))
-        .withColumn("__text_type", F.schema_of_variant("__text"))
-        .withColumn("__model_type", F.schema_of_variant("__model"))
-        .withColumn("text", F.try_variant_get("__json", "$.text", "string"))
-        .withColumn("requested", F.try_variant_get("__json", "$.model", "string"))
+        .withColumn("__more", _lenient(F.when(again, F.col("body"))))
+        .withColumn("__top", F.when(F.col("__json").isNull(), F.col("__more.top")).when(F.col("body").rlike(r"^[ \t\r\n]*\{"), "OBJECT").otherwise("OTHER"))
+        .withColumn("__text_type", F.coalesce(F.schema_of_variant("__text"), "__more.text_type"))
+        .withColumn("__model_type", F.coalesce(F.schema_of_variant("__model"), "__more.model_type"))
+        .withColumn("text", F.coalesce(F.try_variant_get("__json", "$.text", "string"), "__more.text"))
+        .withColumn("requested", F.coalesce(F.try_variant_get("__json", "$.model", "string"), "__more.model"))
     )
     text, model_type = F.col("text"), F.col("__model_type")
     unknown_model = model_type.isNotNull() & (
@@ -55,8 +94,8 @@ def validate_requests(
     rules = [
         ("method", F.col("method").isNotNull() & (F.col("method") != "") & (F.col("method") != "POST")),
         ("no_body", F.col("body").isNull()),
-        ("not_json", F.col("__json").isNull()),
-        ("not_object", ~F.col("body").rlike(r"^[ \t\r\n]*\{")),
+        ("not_json", F.col("__top").isNull()),
+        ("not_object", F.col("__top") != "OBJECT"),
         ("no_text", F.col("__text_type").isNull() | (F.col("__text_type") == "VOID")),
         ("text_type", F.col("__text_type") != "STRING"),
         ("blank", is_blank(text)),
@@ -180,10 +219,24 @@ def score_requests(
     return responses
 
 
-def log_rows(responses: DataFrame, latency_ms: float | None = None) -> DataFrame:
-    """Prediction log: one row per successful scoring."""
-    return responses.where(F.col("status") == 200).select(
-        new_row_id().alias("prediction_id"),
+def prediction_id(batch: str, request_id: Column) -> Column:
+    """A UUID named by batch and request (version 5 layout of a SHA-1), the same whenever the batch is scored again."""
+    digest = F.sha1(F.concat(F.lit(f"{batch}:"), F.coalesce(request_id.cast("string"), F.lit(""))))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws(
+        "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)),
+        F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12),
+    )
+
+
+def log_rows(responses: DataFrame, latency_ms: float | None = None, batch: str = "", id_col: str = "request_id") -> DataFrame:
+    """Prediction log: one row per successfully scored request.
+
+    The id is derived from ``batch`` and the request's id, so scoring a batch again gives the
+    same rows; a request id that comes twice in a batch is one request.
+    """
+    rows = responses.where(F.col("status") == 200).select(
+        prediction_id(batch, F.col(id_col)).alias("prediction_id"),
         epoch_seconds().alias("timestamp"),
         "sentiment",
         "confidence",
@@ -192,3 +245,4 @@ def log_rows(responses: DataFrame, latency_ms: float | None = None) -> DataFrame
         F.lit(latency_ms).cast("double").alias("latency_ms"),
         F.lit("success").alias("status"),
     )
+    return rows.dropDuplicates(["prediction_id"])

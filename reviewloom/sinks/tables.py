@@ -7,17 +7,15 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.sinks.snapshots import overwrite_partitions
+from reviewloom.storage import path_exists
+
 log = logging.getLogger(__name__)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by dataset and split; only the written partitions are replaced."""
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset", "split")
-        .parquet(path)
-    )
+    """Parquet by dataset and split; the splits in ``df`` replace the old ones together, others stay."""
+    overwrite_partitions(df, path, ("dataset", "split"))
 
 
 def write_split_csv(df: DataFrame, path: str) -> None:
@@ -59,14 +57,19 @@ def load_models(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, fl
 def append_log(rows: DataFrame, path: str, batch_id: int | None = None) -> bool:
     """Append to the log; a failure is reported and never raised.
 
-    With a batch id the rows form their own partition, replaced when the same
-    batch runs again after a failure.
+    Rows whose ``prediction_id`` the log has already are left out, so a batch that is
+    scored again after a failure is logged once. With a batch id the rows form their own
+    partition, replaced when the same batch runs again.
     """
     try:
-        if batch_id is None:
-            rows.write.mode("append").parquet(path)
-        else:
+        if batch_id is not None:
             rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+            return True
+        spark = rows.sparkSession
+        if path_exists(spark, path):
+            known = spark.read.schema("prediction_id string").parquet(path)
+            rows = rows.join(known, "prediction_id", "left_anti")
+        rows.write.mode("append").parquet(path)
         return True
     except Exception:
         log.exception("prediction log not written; the results are not affected")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.scoring import class_label
+from reviewloom.sinks.snapshots import read_partitions
 
 _FILE = r"([^/]+)/(pos|neg)/([^/]+)\.txt$"
 
@@ -76,10 +77,12 @@ def scan_processed(
     spark: SparkSession, path: str, dataset: str | None = None, split: str | None = None,
     text_col: str = "text_clean_classical",
 ) -> DataFrame:
-    """Stored splits; null texts read as ``""``. Filters prune partitions."""
-    df = spark.read.parquet(path)
-    if dataset is not None:
-        df = df.where(F.col("dataset") == dataset)
-    if split is not None:
-        df = df.where(F.col("split") == split)
+    """Stored splits of the newest snapshot; null texts read as ``""``. Other splits are not read."""
+    wanted = {k: v for k, v in (("dataset", dataset), ("split", split)) if v is not None}
+    df = read_partitions(spark, path, wanted)
+    if df is None:
+        # A folder written without snapshots: filters prune its partitions.
+        df = spark.read.parquet(path)
+        for key, value in wanted.items():
+            df = df.where(F.col(key) == value)
     return df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))

@@ -34,7 +34,7 @@ def _handle(scorers: dict[tuple[str, ...], Scorer], results: str, log_path: str)
         responses = batch.sparkSession.read.parquet(out).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n = responses.count()
-            append_log(log_rows(responses, round(elapsed_ms / max(n, 1), 3)), log_path, batch_id)
+            append_log(log_rows(responses, round(elapsed_ms / max(n, 1), 3), str(batch_id)), log_path, batch_id)
         finally:
             responses.unpersist()
 
