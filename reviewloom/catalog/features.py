@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
@@ -9,6 +10,8 @@ from reviewloom.catalog.inputs import (
     stored_vocabulary, text_table, train_vocabulary,
 )
 from reviewloom.operators import features as ft
+from reviewloom.operators.ml_stages import TermVectorizer
+from reviewloom.storage import scratch_path
 
 TOP_K = ft.TfidfSettings(max_features=500)
 
@@ -68,7 +71,19 @@ def sparse_vector_stats(spark, sf_dir):
     )
 
 
+def ml_pipeline_weights(spark, sf_dir):
+    """The vectoriser as a stage of a stored pipeline: fitted, saved, loaded, applied to the test split."""
+    path = scratch_path(spark, "pipeline-model")
+    Pipeline(stages=[TermVectorizer(inputCol="clean")]).fit(_clean_docs(spark, sf_dir, "train")).write().save(path)
+    loaded = PipelineModel.load(path)
+    vectors = loaded.transform(_clean_docs(spark, sf_dir, "test")).select("doc_id", F.unwrap_udt("features").alias("v"))
+    entries = vectors.select("doc_id", F.inline(F.arrays_zip("v.indices", "v.values")).alias("idx", "w"))
+    terms = loaded.stages[0].vocabulary.select("idx", "term")
+    return entries.join(terms, "idx").select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
 QUERIES = {
+    "ml_pipeline_weights": ml_pipeline_weights,
     "tokens": tokens,
     "ngrams": ngrams,
     "term_freq": term_freq,
@@ -98,6 +113,8 @@ ORACLES = {
         SELECT doc_id, term, round(w, 6) AS w FROM x_w""",
     "tfidf_transform_test": f"""WITH {sql_vocabulary()}, {_TEST}, {sql_weights('x', 'test', 'doc_id', 'clean')}
         SELECT doc_id, term, round(w, 6) AS w FROM x_w""",
+    "ml_pipeline_weights": f"""WITH {sql_vocabulary()}, {_TEST}, {sql_weights('x', 'test', 'doc_id', 'clean')}
+        SELECT doc_id, term, round(w, 6) AS w FROM x_w""",
     "sparse_vector_stats": f"""WITH {sql_vocabulary()}, {_TEST}, {sql_weights('x', 'test', 'doc_id', 'clean')}
         SELECT doc_id, CAST(count(idx) AS INTEGER) AS nnz, round(sqrt(coalesce(sum(w * w), 0)), 6) AS norm,
                round(coalesce(sum(idx * w), 0), 3) AS index_moment

@@ -7,8 +7,9 @@ map-side sums; a transform is map-only while the vocabulary fits in a task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -177,12 +178,14 @@ def _known_weights(tokens: pa.ListArray, table: TermTable) -> tuple[np.ndarray,
 def map_rows(df: DataFrame, table: TermTable, id_col: str, text_col: str, keep: Sequence[str], output, schema: str) -> DataFrame:
     """Map-only pass: ``output(n, row, place, weight)`` gives the arrays named in ``schema`` for n rows."""
     kept = list(dict.fromkeys([id_col, *keep]))
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    # Plain arrays: a broadcast, unlike a function, does not carry this package's classes to the workers.
+    shared = df.sparkSession.sparkContext.broadcast((table.terms, table.idf, table.extra))
 
     def work(batches):
+        held = TermTable(*shared.value)
         for batch in batches:
             tokens = batch.column(batch.schema.get_field_index("__tokens"))
-            arrays = output(batch.num_rows, *_known_weights(tokens, shared.value), shared.value)
+            arrays = output(batch.num_rows, *_known_weights(tokens, held), held)
             names = [*kept, *[part.strip().split()[0] for part in schema.split("; ")]]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *arrays], names=names)
 
@@ -196,22 +199,61 @@ def _row_lists(n: int, row: np.ndarray, *values) -> list[pa.ListArray]:
     return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
 
 
+#: Bits a term of the vocabulary takes in the filter, bits set for it, and the filter's most bits (8 MB).
+FILTER_BITS, FILTER_HASHES, MOST_FILTER_BITS = 16, 4, 1 << 26
+
+
+def _filter_places(term: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(term, F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)]
+
+
+def term_filter(vocabulary: DataFrame) -> Callable[[Column], Column]:
+    """A Bloom filter of the vocabulary's terms: true for all of them, and for few others.
+
+    The bits are set by an aggregate and reach the tasks as one array of at most 8 MB,
+    whatever the size of the vocabulary; beyond four million terms more of the others pass.
+    """
+    bits = 64
+    while bits < min(MOST_FILTER_BITS, FILTER_BITS * vocabulary.count()):
+        bits *= 2
+    place = vocabulary.select(F.explode(F.array(*_filter_places(F.col("term"), bits))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    words = place.groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    dense = vocabulary.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    whole = dense.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("w")).select(F.col("w.bits")).scalar()
+
+    def member(term: Column) -> Column:
+        hits = [F.getbit(F.get(whole, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in _filter_places(term, bits)]
+        return reduce(lambda a, b: a & b, hits)
+
+    return member
+
+
+def candidate_terms(df: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, *keep, term, tf): the counted terms of each row that pass the vocabulary's filter, in the mapper.
+
+    Every row also has one marker, a term of its own that no text has, so that markers spread over the tasks.
+    """
+    member, marker = term_filter(vocabulary), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    counts = document_term_counts(df, id_col, text_col, keep)
+    counts = counts.withColumn("counts", F.concat("counts", F.array(F.struct(marker.alias("term"), F.lit(0).alias("tf")))))
+    term = F.col("term")
+    return counts.select(id_col, *keep, F.inline_outer("counts")).where(term.startswith("\0") | member(term))
+
+
 def known_terms(
     df: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), row_col: str = "__row"
 ) -> DataFrame:
     """(row, id, *keep, <vocabulary columns>, w): unnormalised weights of known terms.
 
-    The form for vocabularies too large for a task: shuffled by term. ``row_col`` numbers
-    the rows, so that rows with equal ids stay apart. Every document also has one row with a
+    The form for vocabularies too large for a task: shuffled by term, without the terms that a
+    filter of the vocabulary rules out in the mapper. ``row_col`` numbers the rows, so that rows with equal ids stay apart. Every document also has one row with a
     null term, so documents without any known term stay in the result.
     """
     df = df.withColumn(row_col, F.monotonically_increasing_id())
     keep = [*keep, row_col]
-    counts = document_term_counts(df, id_col, text_col, keep)
-    # One marker for each row, under a term of its own that no text has, so that markers spread over the tasks.
-    marker = F.array(F.struct(F.concat(F.lit("\0"), F.col(row_col).cast("string")).alias("term"), F.lit(0).alias("tf")))
     joined = (
-        counts.select(id_col, *keep, F.inline_outer(F.concat("counts", marker)))
+        candidate_terms(df, vocabulary, id_col, text_col, keep)
         .join(vocabulary.withColumn("__known", F.lit(True)), "term", "left")
         .where(F.col("__known") | F.col("term").startswith("\0"))
         .withColumn("term", F.when(F.col("__known"), F.col("term")))

@@ -2,25 +2,29 @@
 
 Spark ML has no squared-hinge model. One pass over the stored feature rows yields loss and gradient of every open
 problem at once: all grid values of C, or all calibration folds, share each
-scan. Tasks return one vector per partition; a tree reduction adds them. The
-driver holds only vectors as long as the vocabulary.
+scan. A pass takes as many tasks as the rows are worth; tasks return one vector per partition, added up on the way to
+the driver, which holds only vectors as long as the vocabulary. Logistic candidates are independent Spark ML fits, run
+side by side.
 """
 
 from __future__ import annotations
 
+import time
 import warnings
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.evaluation import best_setting, classification_metrics
 from reviewloom.operators.features import BROADCAST_TERMS, ml_vectors
 from reviewloom.operators.linear import long_predictions, vector_margins
+from reviewloom.operators.lineage import refuse_split
 from reviewloom.operators.splitting import FOLDS, SEED, stratified_folds
 from reviewloom.storage import scratch_path
 
@@ -29,6 +33,14 @@ C_GRID = (0.01, 0.1, 1.0, 10.0, 30.0, 100.0, 300.0)
 MAX_ITERATIONS = {"logistic": 1000, "squared_hinge": 5000}
 # Gradient norm relative to the start, about the default of common solvers.
 TOLERANCE = 5e-5
+#: Non-zero features a task works through in a pass; fewer rows get fewer tasks, as a pass lasts milliseconds.
+NONZEROS_PER_TASK = 1_000_000
+#: Up to so many partitions send their sums straight to the driver, more are added up in a tree.
+STRAIGHT = 16
+#: Logistic fits that run at the same time.
+CONCURRENT_FITS = 4
+#: Spark ML's own tolerance for each unit of ours: 1e-6 at the default.
+ML_TOLERANCE = 0.02
 
 
 @dataclass(frozen=True)
@@ -49,13 +61,9 @@ class Fit:
     loss: float
     iterations: int
     converged: bool
-    passes: int = field(default=0)
-
-
-def _losses(signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared hinge loss and its derivative by the signed margin y * (w.x + b)."""
-    gap = np.maximum(0.0, 1.0 - signed)
-    return gap * gap, -2.0 * gap
+    passes: int = 0
+    #: Wall seconds of the fit; in shared passes, its share of each.
+    seconds: float = 0.0
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +89,12 @@ def _unpack(block) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(block[name], kind) for name, kind in kinds)
 
 
+def _losses(signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared hinge loss and its derivative by the signed margin y * (w.x + b)."""
+    gap = np.maximum(0.0, 1.0 - signed)
+    return gap * gap, -2.0 * gap
+
+
 def _partial_sums(held_out: Sequence[int | None], weights) -> Callable:
     """(loss, gradient, intercept gradient) per problem, summed over one partition."""
 
@@ -105,9 +119,10 @@ def _partial_sums(held_out: Sequence[int | None], weights) -> Callable:
 
 
 def _add_up(blocks, run: Callable) -> np.ndarray:
-    """Sum of the partitions' vectors by a tree."""
+    """Sum of the partitions' vectors, straight or by a tree."""
     parts = blocks.mapPartitions(run)
-    return parts.treeReduce(np.add, depth=2 if parts.getNumPartitions() <= 1024 else 3)
+    n = parts.getNumPartitions()
+    return parts.reduce(np.add) if n <= STRAIGHT else parts.treeReduce(np.add, depth=2 if n <= 1024 else 3)
 
 
 class _Lbfgs:
@@ -128,6 +143,7 @@ class _Lbfgs:
         self.history: list[tuple[np.ndarray, np.ndarray]] = []
         self.iterations = 0
         self.passes = 0
+        self.seconds = 0.0
         self.done = False
         self.converged = False
 
@@ -204,7 +220,7 @@ class _Lbfgs:
     def result(self) -> Fit:
         return Fit(
             self.problem.name, self.problem.c, self.point[:-1], float(self.point[-1]),
-            self.value, self.iterations, self.converged, self.passes,
+            self.value, self.iterations, self.converged, self.passes, self.seconds,
         )
 
 
@@ -213,24 +229,77 @@ def _checked_label():
     return F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(F.raise_error(wrong)).alias("label")
 
 
+def _tasks_for(rows: DataFrame) -> int:
+    """Tasks that a pass over the rows is worth."""
+    nonzeros = rows.agg(F.sum(F.size("indices")).cast("long")).first()[0] or 0
+    return max(1, -(-nonzeros // NONZEROS_PER_TASK))
+
+
+def side_by_side(spark, work: Callable, items: Sequence, most: int = CONCURRENT_FITS) -> list:
+    """``work`` on every item from its own thread, each in a fair-scheduler pool of its own (which counts where the cluster schedules fairly)."""
+
+    def run(numbered):
+        i, item = numbered
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i}")
+        try:
+            return work(item)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    if len(items) == 1:
+        return [work(items[0])]
+    with ThreadPoolExecutor(min(most, max(1, len(items)))) as threads:
+        # Wrapped one by one, as a wrapper hands the same copy of the properties to all its threads.
+        return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(run), item) for item in enumerate(items)]]
+
+
 def _fit_logistic(
     rows: DataFrame, problems: Sequence[Problem], n_features: int, tolerance: float, max_iterations: int
 ) -> list[Fit]:
-    """Logistic fits by Spark ML on vectors stored once; its blocks stay in the JVM."""
+    """Logistic fits by Spark ML on vectors stored once, side by side; its blocks stay in the JVM."""
     path = scratch_path(rows.sparkSession, "vectors")
-    checked = rows.select(_checked_label(), "fold", "indices", "values")
+    checked = rows.select(_checked_label(), "fold", "indices", "values").coalesce(_tasks_for(rows))
     vectors = ml_vectors(checked.withColumn("label", F.col("label").cast("double")), n_features, path)
     counts = {r["fold"]: r["count"] for r in vectors.groupBy("fold").count().collect()}
-    fits = []
-    for p in problems:
+
+    def fit(p: Problem) -> Fit:
+        start = time.perf_counter()
         seen = vectors if p.held_out is None else vectors.where(F.col("fold") != p.held_out)
         n = sum(v for k, v in counts.items() if k != p.held_out)
-        model = fit_logistic_ml(seen, p.c, n, max_iterations, min(1e-8, tolerance * 1e-4))
+        model = fit_logistic_ml(seen, p.c, n, max_iterations, tolerance * ML_TOLERANCE)
         summary = model.summary
         loss = p.c * n * float(summary.objectiveHistory[-1])
-        done = summary.totalIterations < max_iterations
-        fits.append(Fit(p.name, p.c, model.coefficients.toArray(), float(model.intercept), loss, summary.totalIterations, done, summary.totalIterations + 1))
-    return fits
+        steps = summary.totalIterations
+        seconds = time.perf_counter() - start
+        return Fit(p.name, p.c, model.coefficients.toArray(), float(model.intercept), loss, steps, steps < max_iterations, steps + 1, seconds)
+
+    return side_by_side(rows.sparkSession, fit, problems)
+
+
+def _fit_squared_hinge(
+    rows: DataFrame, problems: Sequence[Problem], n_features: int, tolerance: float, max_iterations: int
+) -> list[Fit]:
+    """Quasi-Newton fits of all problems in shared passes over packed blocks."""
+    checked = rows.select(_checked_label(), "fold", "indices", "values").coalesce(_tasks_for(rows))
+    packed = checked.mapInArrow(_pack, "y binary, fold binary, row binary, idx binary, val binary")
+    # The loop runs per partition on plain buffers; lost blocks come back from the stored rows.
+    blocks = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    sc, penalised = rows.sparkSession.sparkContext, np.ones(n_features + 1)
+    try:
+        searches = [_Lbfgs(p, penalised, tolerance, max_iterations) for p in problems]
+        while open_ := [s for s in searches if not s.done]:
+            start = time.perf_counter()
+            weights = sc.broadcast(np.array([s.trial for s in open_]))
+            sums = _add_up(blocks, _partial_sums([s.problem.held_out for s in open_], weights))
+            weights.unpersist()
+            for search, part in zip(open_, sums, strict=True):
+                search.feed(part)
+            share = (time.perf_counter() - start) / len(open_)
+            for search in open_:
+                search.seconds += share
+    finally:
+        blocks.unpersist()
+    return [s.result() for s in searches]
 
 
 def fit_linear(
@@ -248,35 +317,14 @@ def fit_linear(
     """
     if kind not in MAX_ITERATIONS:
         raise ValueError(f"unknown loss {kind!r}")
-    penalised = np.ones(n_features + 1)
     limit = max_iterations or MAX_ITERATIONS[kind]
     if "fold" not in rows.columns:
         rows = rows.withColumn("fold", F.lit(0))
-    if kind == "logistic":
-        fits = _fit_logistic(rows, problems, n_features, tolerance, limit)
-        if unfinished := [f.name for f in fits if not f.converged]:
-            warnings.warn(f"not converged: {', '.join(unfinished)}", stacklevel=2)
-        return fits
-    packed = rows.select(_checked_label(), "fold", "indices", "values").mapInArrow(
-        _pack, "y binary, fold binary, row binary, idx binary, val binary"
-    )
-    # The loop runs per partition on plain buffers; lost blocks come back from the stored rows.
-    blocks = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK)
-    sc = rows.sparkSession.sparkContext
-    try:
-        searches = [_Lbfgs(p, penalised, tolerance, limit) for p in problems]
-        while open_ := [s for s in searches if not s.done]:
-            weights = sc.broadcast(np.array([s.trial for s in open_]))
-            held_out = [s.problem.held_out for s in open_]
-            sums = _add_up(blocks, _partial_sums(held_out, weights))
-            weights.unpersist()
-            for search, part in zip(open_, sums):
-                search.feed(part)
-    finally:
-        blocks.unpersist()
-    if unfinished := [s.problem.name for s in searches if not s.converged]:
+    fit = _fit_logistic if kind == "logistic" else _fit_squared_hinge
+    fits = fit(rows, problems, n_features, tolerance, limit)
+    if unfinished := [f.name for f in fits if not f.converged]:
         warnings.warn(f"not converged: {', '.join(unfinished)}", stacklevel=2)
-    return [s.result() for s in searches]
+    return fits
 
 
 def fit_logistic_ml(train: DataFrame, c: float, n_rows: int, max_iterations: int = 1000, tolerance: float = 1e-8):
@@ -356,8 +404,10 @@ def tune(
 ) -> Tuning:
     """Fit every C on train, score all of them on validation, keep the best F1.
 
-    The test split has no place in the signature. The first grid entry wins ties.
+    Every candidate keeps its metrics and the seconds of its fit (``fit_s``). The test split has no place in the
+    signature, and a frame that reads it is refused. The first grid entry wins ties.
     """
+    refuse_split({"train": train, "validation": validation})
     spark = train.sparkSession
     problems = [Problem(f"C={c:g}", c) for c in grid]
     fits = fit_linear(train, problems, kind, n_features, tolerance, max_iterations)
@@ -366,81 +416,103 @@ def tune(
     )
     metrics = classification_metrics(long_predictions(scored, id_col, ["label"]), ["model"])
     entries = spark.createDataFrame(
-        [(i, f.name, f.c, f.iterations, f.converged) for i, f in enumerate(fits)],
-        "grid_pos int, model string, C double, iterations int, converged boolean",
+        [(i, f.name, f.c, f.iterations, f.converged, round(f.seconds, 3)) for i, f in enumerate(fits)],
+        "grid_pos int, model string, C double, iterations int, converged boolean, fit_s double",
     )
     table = entries.join(metrics, "model", "left").drop("model")
     chosen = best_setting(table).first()
     return Tuning(table, fits[chosen["grid_pos"]], fits)
 
 
+#: Step lengths tried in one pass of a sigmoid fit, the longest that helps is taken.
+LADDER = (1.0, 0.5, 0.25, 0.125, 1 / 64, 1 / 4096)
+
+
+def _margin_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            arrays = (batch.column("fold").to_numpy().astype(np.int32), batch.column("label").to_numpy() == 1, batch.column("margin").to_numpy().astype(np.float64))
+            yield pa.RecordBatch.from_pydict({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("fold", "label", "margin"), arrays, strict=True)})
+
+
+def _sigmoid_sums(folds: np.ndarray, targets: np.ndarray, asked) -> Callable:
+    """Per (length, fold): loss, gradient and curvature of the sigmoid's two numbers, summed over one partition."""
+
+    def run(blocks) -> Iterator[np.ndarray]:
+        candidates = asked.value  # (lengths, folds, 2)
+        total = np.zeros((len(candidates), len(folds), 6))
+        for block in blocks:
+            place = np.searchsorted(folds, np.frombuffer(block["fold"], np.int32))
+            target = targets[place, np.where(np.frombuffer(block["label"], bool), 0, 1)]
+            margin = np.frombuffer(block["margin"], np.float64)
+            for out, ab in zip(total, candidates, strict=True):
+                z = ab[place, 0] * margin + ab[place, 1]
+                # -(t log p + (1-t) log(1-p)) with p = 1 / (1 + e^z), written without overflow
+                loss = np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z))) - (1 - target) * z
+                p = _falling(z)
+                d, h = target - p, p * (1 - p)
+                for i, x in enumerate((loss, d * margin, d, h * margin * margin, h * margin, h)):
+                    out[:, i] += np.bincount(place, weights=x, minlength=len(folds))
+        yield total
+
+    return run
+
+
+def _falling(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + e^z) without overflow."""
+    small = np.exp(-np.abs(z))
+    return np.where(z > 0, small, 1.0) / (1.0 + small)
+
+
 def _platt(scored: DataFrame, max_steps: int = 100, tolerance: float = 1e-10) -> dict[int, tuple[float, float]]:
     """Sigmoid ``1 / (1 + exp(a * margin + b))`` per fold with smoothed targets.
 
-    Newton steps for all folds together; each is one small aggregate over
-    (fold, margin, label).
+    Newton steps for all folds together. A pass over the packed margins answers for a whole
+    ladder of step lengths, so a step that is too long costs no pass of its own.
     """
-    sizes = {
-        r["fold"]: (r["pos"], r["neg"])
+    sizes = sorted(
+        (r["fold"], r["pos"], r["neg"])
         for r in scored.groupBy("fold")
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
         .collect()
-    }
-    params = {k: (0.0, float(np.log((neg + 1.0) / (pos + 1.0)))) for k, (pos, neg) in sizes.items()}
-    targets = {k: ((pos + 1.0) / (pos + 2.0), 1.0 / (neg + 2.0)) for k, (pos, neg) in sizes.items()}
-
-    def lookup(values: dict[int, float]):
-        return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("fold"))
-
-    def pick(table, i):
-        return {k: float(v[i]) for k, v in table.items()}
-
-    def loss_terms(candidate):
-        z = lookup(pick(candidate, 0)) * F.col("margin") + lookup(pick(candidate, 1))
-        target = F.when(F.col("label") == 1, lookup(pick(targets, 0))).otherwise(lookup(pick(targets, 1)))
-        # -(t log p + (1-t) log(1-p)) with p = 1 / (1 + e^z), written without overflow
-        soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
-        return z, target, soft - (1 - target) * z
-
-    def evaluate(candidate):
-        z, target, loss = loss_terms(candidate)
-        frame = scored.select("fold", "margin", (1.0 / (1.0 + F.exp(z))).alias("p"), target.alias("t"), loss.alias("l"))
-        d, h, m = F.col("t") - F.col("p"), F.col("p") * (1 - F.col("p")), F.col("margin")
-        return {
-            r["fold"]: r
-            for r in frame.groupBy("fold")
-            .agg(
-                F.sum("l").alias("loss"), F.sum(d * m).alias("ga"), F.sum(d).alias("gb"),
-                F.sum(h * m * m).alias("haa"), F.sum(h * m).alias("hab"), F.sum(h).alias("hbb"),
-            )
-            .collect()
-        }
+    )
+    folds = np.array([k for k, _, _ in sizes], np.int32)
+    pos, neg = (np.array([s[i] for s in sizes], float) for i in (1, 2))
+    targets = np.stack([(pos + 1.0) / (pos + 2.0), 1.0 / (neg + 2.0)], axis=1)
+    params = np.stack([np.zeros(len(folds)), np.log((neg + 1.0) / (pos + 1.0))], axis=1)
+    sc = scored.sparkSession.sparkContext
+    packed = scored.select("fold", "label", "margin").mapInArrow(_margin_blocks, "fold binary, label binary, margin binary")
+    blocks = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK)
 
-    state = evaluate(params)
-    open_ = set(params)
-    for _ in range(max_steps):
-        steps = {}
-        for k in open_:
-            s = state[k]
-            hessian = np.array([[s["haa"], s["hab"]], [s["hab"], s["hbb"]]]) + 1e-12 * np.eye(2)
-            steps[k] = -np.linalg.solve(hessian, np.array([s["ga"], s["gb"]]))
-        pending, size = set(open_), 1.0
-        while pending:
-            trial = {
-                k: tuple(np.array(params[k]) + size * steps[k]) if k in pending else params[k] for k in params
-            }
-            new = evaluate(trial)
-            for k in list(pending):
-                if new[k]["loss"] <= state[k]["loss"] + 1e-12 or size < 1e-8:
-                    moved = np.max(np.abs(size * steps[k]))
-                    if moved <= tolerance * (1 + np.max(np.abs(params[k]))) or size < 1e-8:
-                        open_.discard(k)
-                    params[k], state[k] = trial[k], new[k]
-                    pending.discard(k)
-            size /= 2
-        if not open_:
-            return params
-    raise RuntimeError(f"sigmoids of folds {sorted(open_)} not finished after {max_steps} steps")
+    def evaluate(candidates):
+        asked = sc.broadcast(candidates)
+        sums = _add_up(blocks, _sigmoid_sums(folds, targets, asked))
+        asked.unpersist()
+        return sums
+
+    try:
+        state = evaluate(params[None])[0]
+        open_ = np.ones(len(folds), bool)
+        for _ in range(max_steps):
+            steps = np.zeros_like(params)
+            for k in np.flatnonzero(open_):
+                _, ga, gb, haa, hab, hbb = state[k]
+                steps[k] = -np.linalg.solve(np.array([[haa, hab], [hab, hbb]]) + 1e-12 * np.eye(2), np.array([ga, gb]))
+            trials = params + np.array(LADDER)[:, None, None] * steps
+            sums = evaluate(trials)
+            for k in np.flatnonzero(open_):
+                helped = np.flatnonzero(sums[:, k, 0] <= state[k, 0] + 1e-12)
+                best = int(helped[0]) if len(helped) else len(LADDER) - 1
+                moved = np.max(np.abs(trials[best, k] - params[k]))
+                # No length helps only where rounding decides.
+                open_[k] = len(helped) > 0 and moved > tolerance * (1 + np.max(np.abs(params[k])))
+                if len(helped):
+                    params[k], state[k] = trials[best, k], sums[best, k]
+            if not open_.any():
+                return {int(k): (float(a), float(b)) for k, (a, b) in zip(folds, params, strict=True)}
+    finally:
+        blocks.unpersist()
+    raise RuntimeError(f"sigmoids of folds {folds[open_].tolist()} not finished after {max_steps} steps")
 
 
 @dataclass
@@ -461,11 +533,7 @@ def calibrate(
         rows, coefficient_matrix(fits), intercepts_of(fits), id_col, ["label", "fold"]
     )
     own = F.element_at("margins", F.concat(F.lit("fold="), F.col("fold").cast("string")))
-    held_out = scored.select("fold", "label", own.alias("margin")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Calibrated(fits, _platt(held_out))
-    finally:
-        held_out.unpersist()
+    return Calibrated(fits, _platt(scored.select("fold", "label", own.alias("margin")).coalesce(_tasks_for(train))))
 
 
 def calibrated_probabilities(

@@ -12,7 +12,7 @@ from reviewloom.operators.evaluation import classification_metrics
 from reviewloom.operators.features import TfidfSettings, fit_vocabulary, tfidf_vectors
 from reviewloom.operators.linear import long_predictions, vector_margins
 from reviewloom.operators.training import (
-    C_GRID, Fit, Tuning, coefficient_matrix, intercepts_of, model_table, tune,
+    C_GRID, Fit, Tuning, coefficient_matrix, intercepts_of, model_table, side_by_side, tune,
 )
 from reviewloom.sinks.tables import save_models, save_vocabulary
 from reviewloom.storage import materialise, scratch_path
@@ -43,22 +43,25 @@ def build_features(
     train = splits["train"]
     path = vocabulary_path or scratch_path(train.sparkSession, "vocabulary")
     vocabulary = save_vocabulary(fit_vocabulary(train, id_col, text_col, settings), path)
-    rows = {}
+    rows, folder = {}, scratch_path(train.sparkSession, "features")
     for name, frame in splits.items():
-        # The label travels with the text, so no join is needed afterwards.
+        # The label travels with the text, so no join is needed afterwards. The folder keeps the name of the
+        # split, by which tuning refuses frames it must not see.
         vectors = tfidf_vectors(frame, vocabulary, id_col, text_col, keep=["label"])
-        rows[name] = materialise(vectors, f"features-{name}")
+        rows[name] = materialise(vectors, "features", f"{folder}/split={name}")
     return Features(vocabulary, vocabulary.count(), rows)
 
 
 def tune_models(
     features: Features, grid: Sequence[float] = C_GRID, id_col: str = "id", models: Sequence[str] = tuple(KINDS)
 ) -> dict[str, Tuning]:
-    """Tune every model on train and validation rows; test is not an input."""
-    return {
-        name: tune(features.rows["train"], features.rows["validation"], KINDS[name], features.n_features, grid, id_col)
-        for name in models
-    }
+    """Tune every model on train and validation rows, side by side; test is not an input."""
+    train, validation = features.rows["train"], features.rows["validation"]
+
+    def one(name: str) -> Tuning:
+        return tune(train, validation, KINDS[name], features.n_features, grid, id_col)
+
+    return dict(zip(models, side_by_side(train.sparkSession, one, models), strict=True))
 
 
 def store_models(spark: SparkSession, tuned: dict[str, Tuning], vocabulary: DataFrame, path: str) -> None:

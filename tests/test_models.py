@@ -175,3 +175,40 @@ def test_labels_outside_the_contract_are_an_error(spark, label):
     rows = frame(spark, x, y).union(spark.createDataFrame([(99, label, [0], [1.0])], "id int, label int, indices array<int>, values array<double>"))
     with pytest.raises(Exception, match="labels of a fit must be 0 or 1"):
         tr.fit_linear(rows, [tr.Problem("c", 1.0)], "logistic", 3)
+
+
+def test_passes_use_few_tasks_for_few_rows(spark):
+    x, y = dense(4)
+    assert tr._tasks_for(frame(spark, x, y, 24)) == 1
+    fit = tr.fit_linear(frame(spark, x, y, 24), [tr.Problem("c", 300.0)], "squared_hinge", 3)[0]
+    assert fit.converged and fit.seconds > 0 and fit.passes < 60
+
+
+def test_grid_keeps_the_seconds_of_every_candidate(spark):
+    x, y = dense(3)
+    rows = frame(spark, x, y)
+    for kind in ("logistic", "squared_hinge"):
+        grid = tr.tune(rows, rows, kind, 3, grid=[0.1, 1.0, 10.0]).grid.orderBy("grid_pos").collect()
+        assert [r["C"] for r in grid] == [0.1, 1.0, 10.0] and all(r["fit_s"] > 0 for r in grid)
+
+
+def test_fits_run_side_by_side(spark):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+    seen = tr.side_by_side(spark, lambda i: (both.wait(), spark.sparkContext.getLocalProperty("spark.scheduler.pool"))[1], [0, 1])
+    assert seen == ["fit-0", "fit-1"] and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_sigmoids_of_separated_margins(spark):
+    """Margins far apart and a fold with one class: the ladder finds steps that help."""
+    rows = [(1, i % 2, 40.0 if i % 2 else -40.0) for i in range(60)] + [(2, 1, float(i)) for i in range(20)] + [(3, i % 2, 0.01 * i) for i in range(30)]
+    scored = spark.createDataFrame(rows, "fold int, label int, margin double").repartition(3)
+    found = tr._platt(scored)
+    for k, (a, b) in found.items():
+        own = [(label, m) for fold, label, m in rows if fold == k]
+        pos = sum(label for label, _ in own)
+        hi, lo = (pos + 1) / (pos + 2), 1 / (len(own) - pos + 2)
+        t, m = np.array([hi if label else lo for label, _ in own]), np.array([v for _, v in own])
+        p = 1 / (1 + np.exp(a * m + b))
+        assert abs((t - p).sum()) < 1e-6 and abs(((t - p) * m).sum()) < 1e-4
