@@ -15,7 +15,7 @@ from reviewloom.functions.cleaning import add_clean_columns, word_count
 from reviewloom.sinks.tables import write_split_csv, write_splits
 from reviewloom.sources.corpus import scan_csv_splits, scan_labelled_directory, scan_processed
 from reviewloom.sources.manifest import artifact_sizes, checksums, file_manifest
-from reviewloom.storage import scratch_path
+from reviewloom.storage import materialise, scratch_path
 
 TABLES = [
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
@@ -68,7 +68,49 @@ def manifest(spark, sf_dir):
     return file_manifest(spark, sf_dir, {(parent, scale): len(TABLES), (parent, "absent"): 1}, "*.parquet")
 
 
+CLASSES = ("pos", "neg", "unsup")
+#: Files expected of each split and class of the written pages; most are wrong on purpose.
+EXPECTED_PAGES = {("train", "pos"): 55, ("train", "neg"): 40, ("train", "unsup"): 1, ("test", "pos"): 42, ("test", "neg"): 0, ("test", "absent"): 0}
+
+
+def _page_files(spark, sf_dir, classes=CLASSES):
+    """One file for each page below split/class, by digits of a digest of its id."""
+    root = scratch_path(spark, "page-files")
+    digest = F.md5(F.col("page_id").cast("string"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.coalesce("html", F.lit("")).alias("html"),
+        F.when(F.substring(digest, 1, 1) < "8", "train").otherwise("test").alias("split"),
+        F.when(F.substring(digest, 2, 1) < "6", "pos").when(F.substring(digest, 2, 1) < "c", "neg").otherwise("unsup").alias("class"),
+    )
+    pages = materialise(pages, "pages")
+    for split in ("train", "test"):
+        for name in classes:
+            rows = pages.where((F.col("split") == split) & (F.col("class") == name)).select("html")
+            # The text sink ends every file with a line break.
+            rows.write.option("maxRecordsPerFile", 1).text(f"{root}/{split}/{name}")
+    return root
+
+
+def page_manifest(spark, sf_dir):
+    return file_manifest(spark, _page_files(spark, sf_dir), EXPECTED_PAGES)
+
+
+def page_checksums(spark, sf_dir):
+    """Length and checksum of every written file; files above 1 kB are read in chunks."""
+    return checksums(spark, _page_files(spark, sf_dir), "*.txt", large=1024).select("n_bytes", "sha1")
+
+
+def page_artifacts(spark, sf_dir):
+    """Sizes of folders and of groups of them."""
+    root = _page_files(spark, sf_dir)
+    folders = {name: [f"{root}/train/{name}"] for name in CLASSES}
+    return artifact_sizes(spark, folders | {"labelled": [f"{root}/{s}/{c}" for s in ("train", "test") for c in ("pos", "neg")], "all": [root]})
+
+
 QUERIES = {
+    "page_manifest": page_manifest,
+    "page_checksums": page_checksums,
+    "page_artifacts": page_artifacts,
     "directory_scan": directory_scan,
     "csv_scan": csv_scan,
     "write_read_splits": write_read_splits,
@@ -79,7 +121,23 @@ QUERIES = {
     ),
 }
 
+_PAGES = """p AS MATERIALIZED (SELECT coalesce(html, '') || chr(10) AS content,
+    CASE WHEN substr(md5(CAST(page_id AS VARCHAR)), 1, 1) < '8' THEN 'train' ELSE 'test' END AS split,
+    CASE WHEN substr(md5(CAST(page_id AS VARCHAR)), 2, 1) < '6' THEN 'pos' WHEN substr(md5(CAST(page_id AS VARCHAR)), 2, 1) < 'c' THEN 'neg'
+    ELSE 'unsup' END AS class FROM pages)"""
+_MEGABYTES = "round(sum(strlen(content)) / 1048576.0, 3)"
+
 ORACLES = {
+    "page_manifest": f"""WITH {_PAGES}, wanted(split, class, expected) AS (VALUES {", ".join(f"('{s}', '{c}', CAST({n} AS BIGINT))" for (s, c), n in EXPECTED_PAGES.items())}),
+        found AS (SELECT split, class, count(*) AS n FROM p GROUP BY ALL)
+        SELECT split, class, coalesce(n, 0) AS n_files, expected, CASE WHEN class <> 'unsup' THEN coalesce(n, 0) = expected END AS matches
+        FROM wanted LEFT JOIN found USING (split, class)""",
+    "page_checksums": f"WITH {_PAGES} SELECT strlen(content) AS n_bytes, sha1(content) AS sha1 FROM p",
+    "page_artifacts": f"""WITH {_PAGES}, parts AS (
+        SELECT class AS artifact, {_MEGABYTES} AS mb FROM p WHERE split = 'train' GROUP BY class
+        UNION ALL SELECT 'labelled', {_MEGABYTES} FROM p WHERE class <> 'unsup' GROUP BY split, class
+        UNION ALL SELECT 'all', {_MEGABYTES} FROM p)
+        SELECT artifact, round(sum(mb), 3) AS size_mb FROM parts GROUP BY artifact""",
     "directory_scan": f"""WITH {SQL_LABELLED} SELECT
         regexp_replace(text, '\\r\\n?', chr(10), 'g') || chr(10) AS text_raw, label, split
         FROM labelled WHERE label IN (0, 1)""",
