@@ -26,7 +26,7 @@ from reviewloom.storage import materialise
 RUN = "node long, space byte, radix int, key long, block binary"
 RADIX_BITS, BLOCK = 6, 4096
 FAN_IN, STEP = 1024, 1 << 18
-HEAD = struct.Struct("<IHB")
+HEAD = "<IHB"  # rows, width, with keys
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -43,12 +43,12 @@ def pack_block(keys: np.ndarray | None, values: np.ndarray) -> bytes:
     body = _planes(values.astype("<f8"))
     if keys is not None:
         body = _planes(np.diff(keys, prepend=keys[:1]).astype("<i8")) + body
-    return HEAD.pack(n, width, keys is not None) + zstandard.ZstdCompressor(level=3).compress(body)
+    return struct.pack(HEAD, n, width, keys is not None) + zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def unpack_block(key: int, blob: bytes) -> tuple[np.ndarray | None, np.ndarray]:
-    n, width, keyed = HEAD.unpack_from(blob)
-    body = zstandard.ZstdDecompressor().decompress(blob[HEAD.size :])
+    n, width, keyed = struct.unpack_from(HEAD, blob)
+    body = zstandard.ZstdDecompressor().decompress(blob[struct.calcsize(HEAD) :])
     keys = key + np.cumsum(_from_planes(body[: 8 * n], n, "<i8").ravel()) if keyed else None
     return keys, _from_planes(body[8 * n * keyed :], n, "<f8").reshape(n, width)
 

@@ -1,21 +1,21 @@
 """Language-model scores from a weighted backoff automaton over word n-grams.
 
-Counts. Every word of the training documents is counted, and so is the end token. Words at
-or above the share ``frequent`` of all tokens (at most 1 / frequent of them, whatever the
-corpus) are looked up inside the tasks. Every pair and triple that occurs twice (or reaches the
-share ``kept``, if one is given) becomes an arc; their tables grow with the corpus.
+Counts. Every word of the training documents is counted, and so is the end token; every pair and triple that
+occurs at least ``least`` times is an arc. A triple is counted only where both of its pairs are arcs, which
+loses none, as a triple is never more frequent than its pairs.
 
-Automaton. A state is a kept n-gram of up to two words or the empty history. It has an arc
+Automaton. A state is an n-gram of up to two words that is known, or the empty history. It has an arc
 for each kept continuation, with the discounted probability; its failure arc leads to
-its longest proper suffix that is a state and weighs the mass left over, so that probabilities
+its longest proper suffix and weighs the mass left over, so that probabilities
 add up to one. The empty state knows every word: (count + 1) / (N + V + 1).
 
-Scores. Weights are pushed to the n-grams: an n-gram that is read pays its own state's failure
-arc in advance, and the arc of a kept n-gram pays back the failure arc of its history and what
-the shorter history would have given. The weight of a text is then a plain sum over the words,
-pairs and triples in it. Weights of the n-grams at or above ``frequent`` go to the tasks; the
-others, below it by definition, are a table that the distinct n-grams of each text
-are joined with by hash, so that no key of that join is hot.
+Scores. A text is read once from left to right: the state in hand either has an arc for the next word, or its
+failure arc is paid and followed until one has. Tasks never hold the automaton but the part of
+it that their texts can touch. Texts are stored as chunks of word numbers; a chunk asks for its own distinct
+n-grams (see ``key_exchange``): first for the counts of words and pairs, then of triples between kept pairs, and last
+for the failure weights of its states. What a state's arcs give out is added up in the same exchange: each n-gram
+is owned by one of the chunks that hold it, which contributes its probability to the n-gram's history.
+Chunks lie in buckets by number, so the three returns meet them without moving them.
 
 Rows: null texts are empty, an empty text has the end token; held-out and null-id
 rows are scored but not learned from; repeated rows count as often as they occur; with
@@ -25,21 +25,27 @@ compared by 64-bit hash.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import bucket_bit, byte_column, mix64
-from reviewloom.storage import materialise
+from reviewloom.llm.key_exchange import FAN_IN, RUN, STEP, answer_arrays, batches_of, by_chunk, exchange, run_rows
+from reviewloom.storage import materialise, scratch_path
 
 END = np.int64(np.uint64(0x5EED0FEED0FEED01).view(np.int64))  # hash value that stands for the end token
-FREQUENT, KEPT, DISCOUNT = 1e-6, 0.0, 0.5
-SLICE = 2_048  # texts whose n-grams are held at a time
+DISCOUNT = 0.5
 LEAST = 1e-12  # mass left over where all has been given out
+#: Bytes of text of a chunk (a longer text is one by itself), and its most texts.
+CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 16
+#: Key spaces of the exchanges: one number of the whole corpus, words, pairs, triples.
+WHOLE, WORDS, PAIRS, TRIPLES = range(4)
 
 
 def hashed(data: bytes) -> np.ndarray:
@@ -51,193 +57,249 @@ def hashed(data: bytes) -> np.ndarray:
     return out
 
 
-def batch_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens, number of tokens of each text)."""
-    parts = [hashed(x) for x in texts]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array([len(p) for p in parts], np.int64)
-
-
-def sliced(batches):
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
-
-
 def gram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Keys of n-grams from the keys of their first and last parts (words of a pair, pairs of a triple)."""
     left, right = left.view(np.uint64), right.view(np.uint64)
     return mix64(mix64(left ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + right).view(np.int64)
 
 
-def batch_grams(tokens: np.ndarray, owner: np.ndarray):
-    """(owner, key, first part, last part) of all pairs, then of all triples."""
-    key, n = tokens, len(tokens)
-    for order in (2, 3):
-        # Keys across the end of a text are made and left out.
-        part, n = key, max(0, len(tokens) - order + 1)
-        key = gram_keys(part[:n], part[1 : n + 1])
-        at = np.flatnonzero(owner[:n] == owner[order - 1 : order - 1 + n])
-        yield order, owner[at], key[at], part[at], part[at + 1]
+def pack_chunk(texts: list[bytes], training: np.ndarray) -> bytes:
+    """Distinct word keys, the word numbers of all texts end to end, their lengths, and which texts are learned from."""
+    parts = [hashed(x) for x in texts]
+    words, numbers = np.unique(np.concatenate(parts), return_inverse=True)
+    arrays = (words, (numbers & 255).astype("u1"), (numbers >> 8).astype("<u4"), np.array([len(p) for p in parts], "<i8"), training.astype("u1"))
+    head = np.array([len(words), len(numbers), len(parts)], "<i8")
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+
+
+class Chunk:
+    """Texts of a chunk as word numbers, and its distinct pairs and triples of kept pairs."""
+
+    def __init__(self, blob: bytes):
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        n_words, n_tokens, n_texts = np.frombuffer(data, "<i8", 3).tolist()
+        at, out = 24, []
+        for kind, n in (("<i8", n_words), ("u1", n_tokens), ("<u4", n_tokens), ("<i8", n_texts), ("u1", n_texts)):
+            out.append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        self.words, low, high, self.lengths, training = out
+        self.tokens = low.astype(np.int64) + (high.astype(np.int64) << 8)
+        self.owner = np.repeat(np.arange(n_texts), self.lengths)
+        self.learned = training.astype(bool)[self.owner]
+        # Positions of pairs: both words in one text.
+        self.at = np.flatnonzero(self.owner[1:] == self.owner[:-1])
+        keys = gram_keys(self.words[self.tokens[self.at]], self.words[self.tokens[self.at + 1]])
+        self.pairs, first, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        # First and last word of each distinct pair.
+        self.head, self.tail = self.tokens[self.at[first]], self.tokens[self.at[first] + 1]
+
+    def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training occurrences of the distinct words and pairs."""
+        return (np.bincount(self.tokens, self.learned, len(self.words)), np.bincount(self.pair, self.learned[self.at], len(self.pairs)))
+
+    def find_triples(self, kept: np.ndarray) -> np.ndarray:
+        """Distinct triples whose pairs are both kept; returns their training occurrences."""
+        follows = (self.at[1:] == self.at[:-1] + 1) & kept[self.pair[:-1]] & kept[self.pair[1:]]
+        place = np.flatnonzero(follows)
+        keys = gram_keys(self.pairs[self.pair[place]], self.pairs[self.pair[place + 1]])
+        self.triples, first, triple = np.unique(keys, return_index=True, return_inverse=True)
+        # First and last pair of each distinct triple.
+        self.front, self.back = self.pair[place[first]], self.pair[place[first] + 1]
+        return np.bincount(triple, self.learned[self.at[place]], len(self.triples))
+
+
+class Automaton:
+    """The part of the automaton that a chunk's texts can touch.
+
+    Numbers of states: the empty one, then the chunk's words, then its pairs.
+    """
+
+    def __init__(self, chunk: Chunk, least: float, answers: list[dict[int, np.ndarray]]):
+        counts, triples = answers[0], answers[1]
+        self.total, self.distinct = counts[WHOLE][0, 0], triples[WHOLE][0, 0]
+        self.chunk, self.words = chunk, counts[WORDS][:, 0]
+        self.pairs, own_pairs = _columns(counts.get(PAIRS))
+        # Only a word as frequent as an arc can be the history of one.
+        self.kept, self.asked = self.pairs >= least, self.words >= least
+        chunk.find_triples(self.kept)
+        self.triples, own_triples = _columns(triples.get(TRIPLES))
+        self.strong = self.triples >= least
+        self.single = (self.words + 1.0) / (self.total + self.distinct + 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # Kept n-grams have kept histories; the others are never read.
+            self.pair_share = (self.pairs - DISCOUNT) / self.words[chunk.head]
+            self.triple_share = (self.triples - DISCOUNT) / self.pairs[chunk.front]
+        self.owned = (own_pairs > 0) & self.kept, (own_triples > 0) & self.strong
+
+    def given_out(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(key space, keys, sums) of the states that can have arcs: what the n-grams owned here give, by their own and by the shorter history."""
+        chunk, (pairs, triples) = self.chunk, (np.flatnonzero(m) for m in self.owned)
+        words = [np.bincount(chunk.head[pairs], x[pairs], len(chunk.words)) for x in (self.pair_share, self.single[chunk.tail])]
+        below = self.pair_share[chunk.back] if len(chunk.back) else self.triple_share
+        states = [np.bincount(chunk.front[triples], x[triples], len(chunk.pairs)) for x in (self.triple_share, below)]
+        asked = self.asked
+        return [(WORDS, chunk.words[asked], np.stack(words, 1)[asked]), (PAIRS, chunk.pairs[self.kept], np.stack(states, 1)[self.kept])]
+
+    def compile(self, fails: dict[int, np.ndarray]) -> None:
+        chunk, n = self.chunk, len(self.chunk.words)
+        fail = np.zeros(1 + n + len(chunk.pairs))
+        fail[1 : n + 1][self.asked] = fails[WORDS][:, 0] if WORDS in fails else 0.0
+        fail[n + 1 :][self.kept] = fails[PAIRS][:, 0] if PAIRS in fails else 0.0
+        suffix = np.concatenate([np.zeros(n + 1, np.int64), 1 + chunk.tail])
+        pairs, triples = np.flatnonzero(self.kept), np.flatnonzero(self.strong)
+        keys = np.concatenate([(1 + chunk.head[pairs]) * n + chunk.tail[pairs], (1 + n + chunk.front[triples]) * n + chunk.tail[chunk.back[triples]]])
+        weights = np.log10(np.concatenate([self.pair_share[pairs], self.triple_share[triples]]))
+        targets = np.concatenate([1 + n + pairs, 1 + n + chunk.back[triples]])
+        self.arcs = dict(zip(keys.tolist(), zip(weights.tolist(), targets.tolist(), strict=True), strict=True))
+        self.fail, self.suffix = fail.tolist(), suffix.tolist()
+        self.start = np.log10(self.single).tolist()
+
+    def weight(self, tokens: list[int]) -> float:
+        """Weight of the path that reads the words, from the empty state on."""
+        arcs, fail, suffix, start, n = self.arcs, self.fail, self.suffix, self.start, len(self.start)
+        state, total = 0, 0.0
+        for word in tokens:
+            while state:
+                arc = arcs.get(state * n + word)
+                if arc is not None:
+                    total += arc[0]
+                    state = arc[1]
+                    break
+                total += fail[state]
+                state = suffix[state]
+            else:
+                total += start[word]
+                state = word + 1
+        return total
+
+
+def _columns(answers: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, owned here) of an exchange with one number a key."""
+    return (answers[:, 0], answers[:, 1]) if answers is not None else (np.zeros(0), np.zeros(0))
+
+
+def store_chunks(docs: DataFrame, name: str, chunk_bytes: int) -> DataFrame:
+    """Chunks (``node``, ``ids``, ``held_out``, ``blob``) as a table in buckets by node."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def work(batches):
+        node = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, data = batch.column(0), byte_column(batch, "text")
+            training, held_out = (np.array(batch.column(batch.schema.get_field_index(c)).to_pylist(), bool) for c in ("training", "held_out"))
+            start = 0
+            while start < len(data):
+                end, size = start, 0
+                while end < len(data) and end - start < CHUNK_ROWS and (end == start or size + len(data[end]) <= chunk_bytes):
+                    size += len(data[end])
+                    end += 1
+                n = pa.array([0, end - start], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([node], pa.int64()), pa.ListArray.from_arrays(n, ids.slice(start, end - start)),
+                    pa.ListArray.from_arrays(n, pa.array(held_out[start:end])), pa.array([pack_chunk(data[start:end], training[start:end])], pa.binary()),
+                ], names=["node", "ids", "held_out", "blob"])
+                start, node = end, node + 1
+
+    spark, bit = docs.sparkSession, bucket_bit(modulus=7)
+    texts = docs.select(
+        "doc_id", F.col("text").cast("string").alias("text"), F.coalesce(bit != 2, F.lit(False)).alias("training"), F.coalesce(bit == 2, F.lit(False)).alias("held_out")
+    )
+    chunks = texts.mapInArrow(work, f"node long, ids array<{kind}>, held_out array<boolean>, blob binary")
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks.write.bucketBy(buckets, "node").option("path", scratch_path(spark, "lm-chunks")).saveAsTable(name)
+    return spark.table(name)
 
-def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in sorted ``keys``, found or not)."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
 
+def score_texts(docs: DataFrame, least: int = 2, chunk_bytes: int = CHUNK_BYTES, fan_in: int = FAN_IN, step: int = STEP) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
+    spark, name = docs.sparkSession, f"lm_chunks_{uuid.uuid4().hex}"
+    try:
+        chunks = store_chunks(docs, name, chunk_bytes)
+        return _scored(chunks, docs.schema["doc_id"].dataType.simpleString(), least, fan_in, step)
+    finally:
+        # The files stay in the scratch folder; only the name goes.
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-@dataclass
-class Head:
-    """What the tasks hold: sorted hashes of frequent words with counts and failure weights,
-    and sorted keys of frequent pairs and triples with their pushed weights."""
 
-    words: np.ndarray
-    counts: np.ndarray
-    fails: np.ndarray
-    grams: np.ndarray
-    weights: np.ndarray
-    unknown: float
+def _scored(chunks: DataFrame, kind: str, least: int, fan_in: int, step: int) -> DataFrame:
+    n_chunks = chunks.count()
 
+    def sums(space, values):
+        return values
 
-def fit(docs: DataFrame, frequent: float = FREQUENT, kept: float = KEPT):
-    """(head, table of the other n-grams ``key``, ``base``, ``extra``, ``known``, number of training tokens) from rows
-    outside the held-out part. ``base``: log10(count + 1) of a word; ``extra``: what the automaton adds for the n-gram."""
-    training = docs.where(bucket_bit(modulus=7) != 2).select("text")
+    def left_over(space, values):
+        """log10 weight of a state's failure arc; zero for a state without arcs."""
+        given, below = values[:, 0], values[:, 1]
+        return np.where(given > 0, np.log10(np.maximum(1 - given, LEAST) / np.maximum(1 - below, LEAST)), 0.0)[:, None]
 
-    def words(batches):
-        for batch in batches:
-            tokens, _ = batch_tokens(byte_column(batch, "text"))
-            value, count = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["word", "c"])
-
-    counted = materialise(training.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, hot = max(2.0, kept * total), max(2.0, frequent * total)
-    top = counted.where(F.col("c") >= hot).toArrow().sort_by("word")
-    hashes, counts = top["word"].to_numpy(), top["c"].to_numpy()
-    rare = counted.where(F.col("c") < hot)
-
-    def grams(batches):
-        for batch in sliced(batches):
-            tokens, lengths = batch_tokens(byte_column(batch, "text"))
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            at, found = look_up(hashes, tokens)
-            # A kept n-gram has no word rarer than itself; words that are not frequent may have any count below.
-            strong = np.where(found, counts[at] >= least if len(counts) else False, hot > least)
-            weak = np.cumsum(~strong)
-            for order, _, key, left, right in batch_grams(tokens, np.where(strong, owner, -1 - weak)):
-                _, first, count = np.unique(key, return_index=True, return_counts=True)
-                orders = pa.array(np.full(len(first), order, np.int8))
-                yield pa.RecordBatch.from_arrays([orders, pa.array(left[first]), pa.array(right[first]), pa.array(count)], names=["n", "first", "last", "c"])
-
-    summed = training.mapInArrow(grams, "n byte, first long, last long, c long").groupBy("n", "first", "last").agg(F.sum("c").alias("c"))
-
-    def keyed(batches):
-        for batch in batches:
-            key = gram_keys(batch.column(1).to_numpy(), batch.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "key"])
+    def one(number: float) -> np.ndarray:
+        return np.array([[number]], float)
 
-    known = materialise(summed.where(F.col("c") >= least).mapInArrow(keyed, "n byte, first long, last long, c long, key long"), "lm-grams")
+    whole = np.zeros(1, np.int64)
 
-    def with_word(rows: DataFrame, column: str, values: np.ndarray, name: str, others: DataFrame) -> DataFrame:
-        """``rows`` with a value of a word: of frequent ones inside the tasks, of the others by a join with ``word``, ``name``."""
-        kind = others.schema[name].dataType.simpleString()
+    def ask_words_and_pairs(batches):
+        def rows():
+            for batch in batches:
+                for node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    chunk = Chunk(blob)
+                    words, pairs = chunk.own_counts()
+                    yield from run_rows(node, WHOLE, whole, one(words.sum()))
+                    yield from run_rows(node, WORDS, chunk.words, words[:, None])
+                    yield from run_rows(node, PAIRS, chunk.pairs, pairs[:, None])
+
+        yield from batches_of(rows())
+
+    counts = exchange(chunks.select("node", "blob").mapInArrow(ask_words_and_pairs, RUN), n_chunks, sums, "lm-counts", fan_in, step)
 
-        def work(batches):
+    def ask_triples(batches):
+        def rows():
             for batch in batches:
-                at, found = look_up(hashes, batch.column(batch.schema.get_field_index(column)).to_numpy())
-                value = pa.array(values[at] if len(values) else np.zeros(len(at), values.dtype), mask=~found)
-                yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, name])
-
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        found = rows.mapInArrow(work, f"{fields}, {name} {kind}")
-        joined = found.where(F.col(name).isNull()).drop(name).join(others.withColumnRenamed("word", column), column)
-        return found.where(F.col(name).isNotNull()).unionByName(joined)
-
-    def left_over(rows: DataFrame) -> DataFrame:
-        """log10 of the failure weight of each history ``first``, from ``p`` and ``below`` of its arcs."""
-        mass = lambda c: F.greatest(1 - F.sum(c), F.lit(LEAST))
-        return rows.groupBy("first").agg(F.log10(mass("p") / mass("below")).alias("fail"))
-
-    pairs = with_word(known.where("n = 2").drop("n"), "first", counts, "seen", rare.withColumnRenamed("c", "seen"))
-    pairs = with_word(pairs, "last", counts, "single", rare.withColumnRenamed("c", "single"))
-    pairs = pairs.select("first", "key", "c", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), ((F.col("single") + 1.0) / (total + distinct + 1)).alias("below"))
-    pairs = materialise(pairs, "lm-pairs")
-    fail = materialise(left_over(pairs), "lm-word-states")
-
-    # Failure weights of frequent words, in the order of their hashes; no state, no cost.
-    of_rare = rare.join(fail.withColumnRenamed("first", "word"), "word", "left").withColumn("fail", F.coalesce("fail", F.lit(0.0)))
-    of_rare = materialise(of_rare, "lm-rare-words")
-    strong = fail.join(counted.where(F.col("c") >= hot).select(F.col("word").alias("first")), "first").toArrow()
-    fails = np.zeros(len(hashes))
-    fails[look_up(hashes, strong["first"].to_numpy())[0]] = strong["fail"].to_numpy()
-
-    # The first pair of a kept triple is its history, the last pair is kept too.
-    triples = known.where("n = 3").drop("n")
-    triples = triples.join(pairs.select(F.col("key").alias("first"), F.col("c").alias("seen")), "first")
-    triples = triples.join(pairs.select(F.col("key").alias("last"), F.col("p").alias("below")), "last")
-    triples = materialise(triples.select("first", "key", "c", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), "below"), "lm-triples")
-    fail_of_pair = materialise(left_over(triples), "lm-pair-states")
-    pairs = with_word(pairs, "first", fails, "back", of_rare.select("word", F.col("fail").alias("back")))
-    arc = F.log10("p") - F.log10("below") - F.col("back")
-    pairs = pairs.join(fail_of_pair.withColumnRenamed("first", "key"), "key", "left").select(
-        "key", "c", (arc + F.coalesce("fail", F.lit(0.0))).alias("extra")
-    )
-    triples = triples.join(fail_of_pair.withColumnRenamed("fail", "back"), "first").select("key", "c", arc.alias("extra"))
-    weights = materialise(pairs.unionByName(triples), "lm-weights")
-    top = weights.where(F.col("c") >= hot).select("key", "extra").toArrow().sort_by("key")
-    head = Head(hashes, counts, fails, top["key"].to_numpy(), top["extra"].to_numpy(), float(np.log10(total + distinct + 1)))
-    tail = weights.where(F.col("c") < hot).select("key", F.lit(0.0).alias("base"), "extra", F.lit(0).alias("known")).unionByName(
-        of_rare.select(F.col("word").alias("key"), F.log10(F.col("c") + 1).alias("base"), F.col("fail").alias("extra"), F.lit(1).alias("known"))
-    )
-    return head, tail, int(total)
+                for node, blob, got in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                    chunk, answers = Chunk(blob), answer_arrays(got)
+                    words, owned = _columns(answers[WORDS])
+                    # Distinct words of the training texts, each told by its owner.
+                    yield from run_rows(node, WHOLE, whole, one(((words > 0) & (owned > 0)).sum()))
+                    pairs, _ = _columns(answers.get(PAIRS))
+                    triples = chunk.find_triples(pairs >= least)
+                    yield from run_rows(node, TRIPLES, chunk.triples, triples[:, None])
+
+        yield from batches_of(rows())
+
+    with_counts = chunks.select("node", "blob").join(by_chunk(counts, "counts"), "node").select("node", "blob", "counts")
+    triples = exchange(with_counts.mapInArrow(ask_triples, RUN), n_chunks, sums, "lm-triples", fan_in, step)
+
+    def ask_failures(batches):
+        def rows():
+            for batch in batches:
+                for node, blob, *got in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                    automaton = Automaton(Chunk(blob), least, [answer_arrays(x) for x in got])
+                    for space, keys, values in automaton.given_out():
+                        yield from run_rows(node, space, keys, values)
 
+        yield from batches_of(rows())
 
-def score_texts(docs: DataFrame, frequent: float = FREQUENT, kept: float = KEPT) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    head, tail, total = fit(docs, frequent, kept)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    with_triples = with_counts.join(by_chunk(triples, "triples"), "node").select("node", "blob", "counts", "triples")
+    fails = exchange(with_triples.mapInArrow(ask_failures, RUN), n_chunks, left_over, "lm-failures", fan_in, step)
 
-    def work(batches):
-        for batch in sliced(batches):
-            tokens, lengths = batch_tokens(byte_column(batch, "text"))
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            at, found = look_up(head.words, tokens)
-            known = np.bincount(owner, found, len(lengths)).astype(np.int64)
-            base = np.bincount(owner[found], np.log10(head.counts[at[found]] + 1.0), len(lengths)) - head.unknown * lengths
-            extra = np.bincount(owner[found], head.fails[at[found]], len(lengths))
-            owners, keys = [owner[~found]], [tokens[~found]]
-            for _, own, key, _, _ in batch_grams(tokens, owner):
-                at, found = look_up(head.grams, key)
-                extra += np.bincount(own[found], head.weights[at[found]], len(lengths))
-                owners.append(own[~found]), keys.append(key[~found])
-            # The others once for each text: their weights come by a join.
-            pair = np.stack([np.concatenate(owners), np.concatenate(keys)])
-            pair = pair[:, np.lexsort(pair[::-1])]
-            new = np.ones(pair.shape[1], bool)
-            new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
-            at = np.flatnonzero(new)
-            times = np.diff(np.concatenate((at, [pair.shape[1]]))).astype(np.int32)
-            cuts = np.searchsorted(pair[0, at], np.arange(len(lengths) + 1)).astype(np.int32)
-            arrays = [
-                batch.column(batch.schema.get_field_index("doc_id")), pa.array(lengths), pa.array(known), pa.array(base), pa.array(extra),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(pair[1, at])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times)),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "in_head", "sum_base", "sum_extra", "keys", "times"])
-
-    schema = f"doc_id {kind}, n_tokens long, in_head long, sum_base double, sum_extra double, keys array<long>, times array<int>"
-    scored = docs.select("doc_id", "text").mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = materialise(scored, "lm-scored")
-    asked = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    found = asked.join(tail, "key").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("known")).alias("more"), F.sum(F.col("times") * F.col("base")).alias("gain"),
-        F.sum(F.col("times") * F.col("extra")).alias("arcs"),
-    )
-    gained = F.col("sum_base") + F.coalesce("gain", F.lit(0.0))
-    return scored.drop("keys", "times").join(found, "row", "left").select(
-        "doc_id", F.coalesce(bucket_bit(modulus=7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("in_head") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        gained.alias("base_score"), (gained + F.col("sum_extra") + F.coalesce("arcs", F.lit(0.0))).alias("score"),
-    )
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blob, counts, triples, fails = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("blob", "counts", "triples", "fails"))
+                chunk = Chunk(blob)
+                automaton = Automaton(chunk, least, [answer_arrays(counts), answer_arrays(triples)])
+                automaton.compile(answer_arrays(fails))
+                n, tokens = len(chunk.lengths), chunk.tokens.tolist()
+                ends = np.cumsum(chunk.lengths).tolist()
+                weights = [automaton.weight(tokens[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                known = np.bincount(chunk.owner, automaton.words[chunk.tokens] > 0, n).astype(np.int64)
+                base = np.bincount(chunk.owner, np.log10(automaton.single)[chunk.tokens], n)
+                ids, held_out = (batch.column(batch.schema.get_field_index(c)).slice(i, 1).flatten() for c in ("ids", "held_out"))
+                total = np.full(n, int(automaton.total), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, held_out, *[pa.array(x) for x in (chunk.lengths.astype(np.int64), known, total, base)], pa.array(weights, pa.float64())],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    rows = chunks.join(by_chunk(counts, "counts"), "node").join(by_chunk(triples, "triples"), "node").join(by_chunk(fails, "fails"), "node", "left")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return materialise(rows.select("ids", "held_out", "blob", "counts", "triples", "fails").mapInArrow(score, schema), "lm-scores")
