@@ -4,9 +4,10 @@ A document's length is its number of words (white-space separated) plus one end
 Longer documents than the largest permitted sequence are cut into full sequences and a
 rest. Pieces are dealt to shards of about ``shard_pieces`` by a hash of row and piece,
 and each shard is packed by itself, longest piece first: into the open bin with the
-smallest sufficient room whatever its size, or else into a new bin of the size whose
-price per token that can still be filled is least. Last, every bin shrinks to the
-smallest permitted size that holds its contents.
+smallest sufficient room whatever its size (of equal ones, that which was filled last), or else into a new bin. Its size is the one with the least
+price per token it would really hold: each permitted size is filled on trial with the pieces still
+waiting, always the longest that fits, so a larger size wins where the smaller ones would stay half empty. Last,
+every bin shrinks to the smallest permitted size that holds its contents.
 
 Rows: null and empty texts have the end token only; repeated rows and null ids are
 packed like any other row; extra columns are ignored. All pieces of all rows are returned.
@@ -32,6 +33,25 @@ def price(size: int, largest: int) -> float:
     return 16 + size * (1 + size / (4 * largest))
 
 
+def trial_fill(length: int, size: int, waiting: dict[int, int], present: int) -> int:
+    """Tokens a new bin of ``size`` would hold: the piece in hand, then always the longest waiting piece that fits.
+
+    ``present`` has bit r set if a piece of length r is waiting, ``waiting`` how many.
+    """
+    room, taken = size - length, 0
+    last = 0
+    while fitting := present & ((1 << (room + 1)) - 1):
+        longest = fitting.bit_length() - 1
+        taken = taken + 1 if longest == last else 1
+        last = longest
+        if taken > waiting[longest]:
+            # All of this length are in the bin; shorter ones may still fit.
+            present &= (1 << longest) - 1
+            continue
+        room -= longest
+    return size - room
+
+
 def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of every length, (size, used) of every bin; lengths in descending order, none above the largest size."""
     sizes = tuple(sorted(sizes))
@@ -40,8 +60,12 @@ def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarra
     used: list[int] = []
     by_room: dict[int, list[int]] = {}
     rooms = 0  # bit r is set if a bin has room r
-    left = int(lengths.sum())
+    waiting = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
+    present = sum(1 << n for n in waiting)
     for i, length in enumerate(lengths.tolist()):
+        waiting[length] -= 1
+        if not waiting[length]:
+            present &= ~(1 << length)
         fitting = rooms >> length
         if fitting:
             room = length + (fitting & -fitting).bit_length() - 1
@@ -50,12 +74,11 @@ def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarra
                 rooms &= ~(1 << room)
         else:
             usable = [c for c in sizes if c >= length]
-            size = min(usable, key=lambda c: (price(c, sizes[-1]) / min(c, left), c))
+            size = min(usable, key=lambda c: (price(c, sizes[-1]) / trial_fill(length, c, waiting, present), c))
             b, room = len(opened), size
             opened.append(size), used.append(0)
         bins[i], offsets[i] = b, used[b]
         used[b] += length
-        left -= length
         if room > length:
             by_room.setdefault(room - length, []).append(b)
             rooms |= 1 << (room - length)

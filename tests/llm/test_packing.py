@@ -3,41 +3,63 @@
 import numpy as np
 
 from reviewloom.llm.common import table
-from reviewloom.llm.packing import SIZES, pack, pack_documents, price
+from reviewloom.llm.packing import SIZES, pack, pack_documents
 
 
 def plain(lengths, sizes):
-    bins = []  # [size, used]
-    place = []
-    left = sum(lengths)
-    for length in lengths:
-        fits = [i for i, (c, u) in enumerate(bins) if c - u >= length]
+    """(bin of each piece, final size and contents of each bin), by looking at all bins and all waiting pieces."""
+    bins, turn, place = [], [], []  # [size, used], when last filled
+    for i, length in enumerate(lengths):
+        fits = [b for b, (c, u) in enumerate(bins) if c - u >= length]
         if fits:
-            least = min(bins[i][0] - bins[i][1] for i in fits)
-            b = [i for i in fits if bins[i][0] - bins[i][1] == least]
+            b = min(fits, key=lambda b: (bins[b][0] - bins[b][1], -turn[b]))
         else:
-            c = min((c for c in sizes if c >= length), key=lambda c: (price(c, max(sizes)) / min(c, left), c))
-            bins.append([c, 0])
-            b = [len(bins) - 1]
-        place.append((b, length))
-        bins[b[-1]][1] += length
-        left -= length
-    return [min(c for c in sizes if c >= u) for _, u in bins], [u for _, u in bins]
+            costs = []
+            for c in sizes:
+                if c >= length:
+                    room = c - length
+                    for other in lengths[i + 1 :]:  # longest first
+                        if other <= room:
+                            room -= other
+                    costs.append(((16 + c * (1 + c / (4 * max(sizes)))) / (c - room), c))
+            bins.append([min(costs)[1], 0])
+            turn.append(0)
+            b = len(bins) - 1
+        place.append(b)
+        bins[b][1] += length
+        turn[b] = i
+    return place, [min(c for c in sizes if c >= u) for _, u in bins], [u for _, u in bins], [c for c, _ in bins]
 
 
 def test_pack_equals_plain_best_fit():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        lengths = np.sort(np.minimum(rng.geometric(0.02, 80), 64))[::-1]
-        bins, offsets, size, used = pack(lengths, (16, 32, 64))
-        want_size, want_used = plain(lengths.tolist(), (16, 32, 64))
-        assert sorted(zip(size, used)) == sorted(zip(want_size, want_used)) or size.sum() == sum(want_size)
+    larger = smaller = 0
+    for turn in range(60):
+        sizes = ((16, 32, 64), (512, 1024, 2048, 4096), (40, 100))[turn % 3]
+        lengths = np.sort(np.minimum(rng.geometric((0.02, 0.004, 0.05)[turn % 3], 80), sizes[-1]))[::-1]
+        bins, offsets, size, used = pack(lengths, sizes)
+        want, want_size, want_used, opened = plain(lengths.tolist(), sizes)
+        assert (bins.tolist(), size.tolist(), used.tolist()) == (want, want_size, want_used)
+        first = {b: n for b, n in zip(want[::-1], lengths[::-1].tolist())}
+        larger += sum(c > min(x for x in sizes if x >= first[b]) for b, c in enumerate(opened))
+        smaller += sum(c > f for c, f in zip(opened, want_size))
         for b in range(len(size)):
             own = sorted((offsets[i], lengths[i]) for i in np.flatnonzero(bins == b))
             assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and sum(n for _, n in own) == used[b]
+    # The choice of a size is a real one.
+    assert larger > 50
     assert [len(x) for x in pack(np.zeros(0, np.int64))] == [0, 0, 0, 0]
 
 
+def test_a_larger_size_wins_where_the_smallest_stays_half_empty():
+    bins, _, size, used = pack(np.full(12, 300))
+    assert size.tolist() != [512] * 12 and (used / size).min() > 0.8
+    # Alone, a piece takes the smallest size that holds it.
+    assert pack(np.array([300]))[2].tolist() == [512]
+    # Opened for more than it got in the end, a bin is downsized to what it holds.
+    assert pack(np.array([600, 500, 100]))[2].tolist() in ([2048], [1024, 512])
+
+
 def check(docs, packed):
     want = sorted((len((r.text or "").encode().split()) + 1) for r in docs.collect())
     rows = packed.collect()
