@@ -4,17 +4,16 @@ Two gated recurrent layers read a window of bytes from either end; at every byte
 their states give a probability for each language, and a document's probabilities are
 the mean over all its bytes. The network is trained in numpy by backpropagation through
 time on windows of a bounded sample: about ``per_language`` documents of each language,
-chosen by a hash of the id, a few windows of each. Inference reads whole texts as
+chosen by a hash of id and text, a few windows of each. Inference reads whole texts as
 windows side by side, the longest first, so that a document may have any length.
 
 Rows: a text that is null or has no letter is ``und`` with score 0; so is every
 text if there is nothing to learn from; rows with a null lang are only predicted; repeated
-rows are sampled together; a null id is never an example. Extra columns are ignored.
+rows are one example; a null id is never an example. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,11 @@ from pyspark.sql import functions as F
 from reviewloom.llm.common import bucket_bit
 
 WINDOW, HIDDEN, BLOCK = 64, 8, 2048
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter of any script (digits in other forms, such as fractions and numerals, are none)."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass
@@ -201,14 +204,16 @@ def fit_language_id(docs: DataFrame, per_language: int = 250, windows: int = 6)
     if not counts:
         return fit_network([], [])
     share = [x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, per_language / n))))]
-    chosen = own.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < F.element_at(F.create_map(*share), F.col("lang")))
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1_000_000))
+    # Rows that repeat an id and its text are one example.
+    chosen = own.where(part < F.element_at(F.create_map(*share), F.col("lang"))).select("doc_id", "lang", "text").distinct()
 
     def cut(batches):
         for batch in batches:
             pieces, langs = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
-                if not LETTER.search(text or ""):
+                if not has_letter(text):
                     continue
                 span = max(0, len(data) - WINDOW)
                 for i in range(min(windows, 1 + span // WINDOW)):  # spread over the whole text
@@ -227,7 +232,7 @@ def predict_language(docs: DataFrame, network: Network) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            texts = [t if t and LETTER.search(t) else "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            texts = [t if has_letter(t) else "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             if network.languages:
                 p = network.probabilities([t.encode() for t in texts])
                 best, score = p.argmax(axis=1), np.minimum(p.max(axis=1), 1.0)

@@ -51,7 +51,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, "en"), (2, "12 .. _", "en"), (None, "the and of it", "en"), (3, "der und das ist", "de"), (3, "der und das ist", None), (5, "the of " * 150_000, "en")]
+    rows = [(1, None, "en"), (2, "12 .. _ ½ ² Ⅷ ①", "en"), (None, "the and of it", "en"), (3, "der und das ist", "de"), (3, "der und das ist", None), (5, "the of " * 150_000, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "0 as score")
     got = predict_language(docs, fit_language_id(docs)).collect()
     assert [r.lang_pred for r in got if r.doc_id in (1, 2)] == ["und", "und"] and len(got) == 6
