@@ -17,11 +17,17 @@ from reviewloom.storage import materialise
 SEED = 42
 VALIDATION_FRACTION = 0.10
 FOLDS = 5
+#: Labels a split may have; its cut keys, a handful for each, are broadcast.
+MOST_LABELS = 10_000
 
 
 def _stored_keys(df: DataFrame, id_col: str, label_col: str, keys: DataFrame | None) -> DataFrame:
-    """(id, label) of all rows; written once, because sizes and cuts read it several times."""
-    return keys if keys is not None else materialise(df.select(id_col, label_col), "split-keys")
+    """(id, label) of all rows; written once, because sizes and cuts read it several times. Ids that repeat are an error."""
+    keys = keys if keys is not None else materialise(df.select(id_col, label_col), "split-keys")
+    repeated = keys.groupBy(id_col).count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"id {repeated[0][0]!r} occurs {repeated[0][1]} times; sizes of splits are exact only for unique ids")
+    return keys
 
 
 def _keyed(keys: DataFrame, id_col: str, label_col: str, seed: int) -> DataFrame:
@@ -33,7 +39,9 @@ def _keyed(keys: DataFrame, id_col: str, label_col: str, seed: int) -> DataFrame
 def _label_sizes(keys: DataFrame, label_col: str) -> DataFrame:
     """(grp, size), a row for each label that occurs; a null label is an error."""
     sizes = keys.groupBy(F.col(label_col).alias("grp")).agg(F.count("*").alias("size"))
-    rows = sizes.collect()
+    rows = sizes.limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels; a split by label is for a column of classes")
     unlabelled = sum(r["size"] for r in rows if r["grp"] is None)
     if unlabelled:
         raise ValueError(f"{unlabelled} rows have no label; give them one or leave them out before the split")

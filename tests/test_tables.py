@@ -171,3 +171,15 @@ def test_timing_statistics(spark):
         assert r["median_ms"] == pytest.approx(statistics.median(s), abs=6e-4)
         assert r["mean_ms"] == pytest.approx(statistics.fmean(s), abs=6e-4)
     assert got["two hundred"]["p95_ms"] == 191.0
+
+
+def test_repeated_ids_and_labels_without_end_are_refused(spark, monkeypatch):
+    from reviewloom.operators import splitting
+
+    rows = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0)], "id int, label int")
+    for split in (splitting.stratified_split, splitting.stratified_sample, splitting.stratified_folds):
+        with pytest.raises(ValueError, match="id 3 occurs 2 times"):
+            split(rows)
+    monkeypatch.setattr(splitting, "MOST_LABELS", 5)
+    with pytest.raises(ValueError, match="more than 5 labels"):
+        splitting.stratified_split(spark.createDataFrame([(i, i % 6) for i in range(20)], "id int, label int"))
