@@ -1,7 +1,7 @@
-"""Sums over 64-bit keys that many chunks of the corpus hold, and their way back to these chunks.
+"""Sums over 56-bit keys that many chunks of the corpus hold, and their way back to these chunks.
 
-A chunk sends each of its distinct keys once, in blocks of rising keys (differences as byte planes under
-zstd, about six bytes a key), dealt by key space and the top bits of the key. A merge opens
+A chunk sends each of its distinct keys once, in blocks of rising keys (differences and numbers as byte planes under
+zstd, about five bytes a key), dealt by key space and the top bits of the key. A merge opens
 the blocks of its runs in key order, adds up what equal keys carry and answers every run, block by
 block, so that a chunk reads its answers in the order of its own keys and no key travels back. With more
 than ``fan_in`` runs, runs are merged in levels and the answers walk the same levels back; a task then
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from reviewloom.storage import materialise
 
 RUN = "node long, space byte, radix int, key long, block binary"
-RADIX_BITS, BLOCK = 6, 4096
-FAN_IN, STEP = 1024, 1 << 18
-HEAD = "<IHB"  # rows, width, with keys
+KEY_BITS, RADIX_BITS, BLOCK = 56, 6, 2048
+FAN_IN, STEP = 1024, 1 << 17
+HEAD = "<IBB"  # rows, width, with keys
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -38,19 +38,19 @@ def _from_planes(data: bytes, n: int, kind: str) -> np.ndarray:
 
 
 def pack_block(keys: np.ndarray | None, values: np.ndarray) -> bytes:
-    """(n, width) numbers, with or without their rising keys (the first one is kept outside)."""
+    """(n, width) whole numbers from zero on, with or without their rising keys (the first one is kept outside)."""
     n, width = values.shape
-    body = _planes(values.astype("<f8"))
+    body = b"".join(_planes(values[:, i].astype("<u8")) for i in range(width))
     if keys is not None:
         body = _planes(np.diff(keys, prepend=keys[:1]).astype("<i8")) + body
-    return struct.pack(HEAD, n, width, keys is not None) + zstandard.ZstdCompressor(level=3).compress(body)
+    return struct.pack(HEAD, n, width, keys is not None) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack_block(key: int, blob: bytes) -> tuple[np.ndarray | None, np.ndarray]:
     n, width, keyed = struct.unpack_from(HEAD, blob)
     body = zstandard.ZstdDecompressor().decompress(blob[struct.calcsize(HEAD) :])
-    keys = key + np.cumsum(_from_planes(body[: 8 * n], n, "<i8").ravel()) if keyed else None
-    return keys, _from_planes(body[8 * n * keyed :], n, "<f8").reshape(n, width)
+    columns = [_from_planes(body[8 * n * i : 8 * n * (i + 1)], n, "<i8").ravel() for i in range(keyed + width)]
+    return (key + np.cumsum(columns[0]) if keyed else None), np.stack(columns[keyed:], axis=1)
 
 
 def _blocks(node, space: int, radix: int, keys: np.ndarray, values: np.ndarray, keyed: bool) -> Iterator[tuple]:
@@ -60,9 +60,8 @@ def _blocks(node, space: int, radix: int, keys: np.ndarray, values: np.ndarray,
 
 
 def run_rows(node: int, space: int, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
-    """Rows of ``RUN`` for the rising distinct ``keys`` (signed) of a chunk and their (n, width) ``values``."""
-    half = 1 << RADIX_BITS - 1
-    cuts = np.searchsorted(keys, np.arange(1 - half, half, dtype=np.int64) << 64 - RADIX_BITS)
+    """Rows of ``RUN`` for the rising distinct ``keys`` (below 2 ** KEY_BITS) of a chunk and their (n, width) ``values``."""
+    cuts = np.searchsorted(keys, np.arange(1, 1 << RADIX_BITS, dtype=np.int64) << KEY_BITS - RADIX_BITS)
     for radix, (lo, hi) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)):
         yield from _blocks(node, space, radix, keys[lo:hi], values[lo:hi], True)
 
@@ -87,7 +86,11 @@ class _Merge:
 
     def __init__(self):
         self.heap: list[tuple[int, int, object, np.ndarray, np.ndarray]] = []
-        self.count = self.turn = 0
+        self.count = self.left = self.turn = 0
+
+    def full(self, step: int) -> bool:
+        """Whether enough has come in since the last time to take some: open blocks stay open anyway."""
+        return self.count > max(step, 2 * self.left)
 
     def add(self, run, keys: np.ndarray, values: np.ndarray) -> None:
         heapq.heappush(self.heap, (int(keys[0]), self.turn, run, keys, values))
@@ -103,9 +106,15 @@ class _Merge:
             self.count -= len(keys)
             if cut < len(keys):
                 self.add(run, keys[cut:], values[cut:])
+        self.left = self.count
         return parts
 
 
+def _added(place: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    """Column sums by place; whole numbers, exact below 2 ** 53."""
+    return np.stack([np.bincount(place, numbers[:, i], n) for i in range(numbers.shape[1])], axis=1).astype(np.int64)
+
+
 def _answers(parts, finish: Callable | None, space: int) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
     """(run, keys, answers) of every run; the last column says whether the run is the one that owns the key."""
     given = [p for p in parts if p[0] is None]
@@ -117,11 +126,9 @@ def _answers(parts, finish: Callable | None, space: int) -> Iterator[tuple[objec
         answer = np.concatenate([p[2] for p in given])[order[np.searchsorted(known[order], keys)]]
         answer, owned = answer[:, :-1], answer[:, -1]
     else:
-        width = waiting[0][2].shape[1]
-        numbers = np.concatenate([p[2] for p in waiting])
-        sums = np.stack([np.bincount(place, numbers[:, i], len(keys)) for i in range(width)], axis=1)
-        answer, owned = finish(space, sums), np.ones(len(keys))
-    owner = np.zeros(len(every))
+        sums = _added(place, np.concatenate([p[2] for p in waiting]), len(keys))
+        answer, owned = finish(space, sums), np.ones(len(keys), np.int64)
+    owner = np.zeros(len(every), np.int64)
     owner[first] = owned
     by_run: dict[object, list[tuple]] = {}
     at = 0
@@ -135,8 +142,7 @@ def _answers(parts, finish: Callable | None, space: int) -> Iterator[tuple[objec
 
 def _sums(parts) -> tuple[np.ndarray, np.ndarray]:
     keys, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-    numbers = np.concatenate([p[2] for p in parts])
-    return keys, np.stack([np.bincount(place, numbers[:, i], len(keys)) for i in range(numbers.shape[1])], axis=1)
+    return keys, _added(place, np.concatenate([p[2] for p in parts]), len(keys))
 
 
 def _merged(runs: DataFrame, finish: Callable | None, up: bool, keyed: bool, step: int) -> DataFrame:
@@ -162,7 +168,7 @@ def _merged(runs: DataFrame, finish: Callable | None, up: bool, keyed: bool, ste
                         if merge:
                             yield from out(merge.take(None))
                         group, merge = (parent, space, radix), _Merge()
-                    elif merge.count > step:
+                    elif merge.full(step):
                         yield from out(merge.take(key))
                     merge.add(node, *unpack_block(key, blob))
             if merge:
@@ -179,7 +185,7 @@ def _merged(runs: DataFrame, finish: Callable | None, up: bool, keyed: bool, ste
 
 
 def exchange(runs: DataFrame, n_runs: int, finish: Callable[[int, np.ndarray], np.ndarray], purpose: str, fan_in: int = FAN_IN, step: int = STEP) -> DataFrame:
-    """Answers to all runs, stored: ``finish(space, sums)`` for each key, then whether this run owns the key (one does)."""
+    """Answers to all runs, stored: ``finish(space, sums)`` for each key, then whether this run owns the key (one does). Whole numbers from zero on."""
     if n_runs <= fan_in:
         found = _merged(runs.withColumn("parent", F.lit(0).cast("long")), finish, False, False, step)
         return materialise(found, purpose)

@@ -13,14 +13,15 @@ Scores. A text is read once from left to right: the state in hand either has an
 failure arc is paid and followed until one has. Tasks never hold the automaton but the part of
 it that their texts can touch. Texts are stored as chunks of word numbers; a chunk asks for its own distinct
 n-grams (see ``key_exchange``): first for the counts of words and pairs, then of triples between kept pairs, and last
-for the failure weights of its states. What a state's arcs give out is added up in the same exchange: each n-gram
-is owned by one of the chunks that hold it, which contributes its probability to the n-gram's history.
+for what the arcs of its states give out. That is added up in the same exchange as whole numbers: each n-gram
+is owned by one of the chunks that hold it, which contributes its counts to the n-gram's history. A chunk does not ask
+about a history that occurs less than ``least`` times elsewhere: it holds all of its arcs itself.
 Chunks lie in buckets by number, so the three returns meet them without moving them.
 
 Rows: null texts are empty, an empty text has the end token; held-out and null-id
 rows are scored but not learned from; repeated rows count as often as they occur; with
 no training row every word is unknown. Extra columns are ignored. Words and n-grams are
-compared by 64-bit hash.
+compared by 56-bit hash.
 """
 
 from __future__ import annotations
@@ -36,23 +37,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import bucket_bit, byte_column, mix64
-from reviewloom.llm.key_exchange import FAN_IN, RUN, STEP, answer_arrays, batches_of, by_chunk, exchange, run_rows
+from reviewloom.llm.key_exchange import FAN_IN, KEY_BITS, RUN, STEP, answer_arrays, batches_of, by_chunk, exchange, run_rows
 from reviewloom.storage import materialise, scratch_path
 
-END = np.int64(np.uint64(0x5EED0FEED0FEED01).view(np.int64))  # hash value that stands for the end token
+HASH = np.uint64((1 << KEY_BITS) - 1)
+END = np.int64(0x5EED0FEED0FEED)  # hash value that stands for the end token
 DISCOUNT = 0.5
 LEAST = 1e-12  # mass left over where all has been given out
 #: Bytes of text of a chunk (a longer text is one by itself), and its most texts.
-CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 16
+CHUNK_BYTES, CHUNK_ROWS = 5 << 20, 1 << 16
 #: Key spaces of the exchanges: one number of the whole corpus, words, pairs, triples.
 WHOLE, WORDS, PAIRS, TRIPLES = range(4)
+#: Kinds of states, and the weight (of no probability) of an arc that is not there.
+EMPTY, WORD, PAIR = range(3)
+NO_ARC = 1.0
 
 
 def hashed(data: bytes) -> np.ndarray:
     """Hashes of the lower-cased words and the end token."""
     words = data.lower().split()
     out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    out[:-1] = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & HASH).view(np.int64)
     out[-1] = END
     return out
 
@@ -60,14 +65,16 @@ def hashed(data: bytes) -> np.ndarray:
 def gram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Keys of n-grams from the keys of their first and last parts (words of a pair, pairs of a triple)."""
     left, right = left.view(np.uint64), right.view(np.uint64)
-    return mix64(mix64(left ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + right).view(np.int64)
+    return (mix64(mix64(left ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + right) & HASH).view(np.int64)
 
 
 def pack_chunk(texts: list[bytes], training: np.ndarray) -> bytes:
     """Distinct word keys, the word numbers of all texts end to end, their lengths, and which texts are learned from."""
     parts = [hashed(x) for x in texts]
     words, numbers = np.unique(np.concatenate(parts), return_inverse=True)
-    arrays = (words, (numbers & 255).astype("u1"), (numbers >> 8).astype("<u4"), np.array([len(p) for p in parts], "<i8"), training.astype("u1"))
+    # Rising keys as differences, whose high bytes are alike.
+    keys = np.ascontiguousarray(np.diff(words, prepend=0).view(np.uint8).reshape(-1, 8).T)
+    arrays = (keys, (numbers & 255).astype("u1"), (numbers >> 8).astype("<u4"), np.array([len(p) for p in parts], "<i8"), training.astype("u1"))
     head = np.array([len(words), len(numbers), len(parts)], "<i8")
     return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
 
@@ -82,7 +89,8 @@ class Chunk:
         for kind, n in (("<i8", n_words), ("u1", n_tokens), ("<u4", n_tokens), ("<i8", n_texts), ("u1", n_texts)):
             out.append(np.frombuffer(data, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        self.words, low, high, self.lengths, training = out
+        keys, low, high, self.lengths, training = out
+        self.words = np.cumsum(np.ascontiguousarray(keys.view(np.uint8).reshape(8, -1).T).view("<i8").ravel())
         self.tokens = low.astype(np.int64) + (high.astype(np.int64) << 8)
         self.owner = np.repeat(np.arange(n_texts), self.lengths)
         self.learned = training.astype(bool)[self.owner]
@@ -105,22 +113,20 @@ class Chunk:
         self.triples, first, triple = np.unique(keys, return_index=True, return_inverse=True)
         # First and last pair of each distinct triple.
         self.front, self.back = self.pair[place[first]], self.pair[place[first] + 1]
+        # Where they end, among all tokens.
+        self.triple, self.triple_end = triple, self.at[place] + 2
         return np.bincount(triple, self.learned[self.at[place]], len(self.triples))
 
 
 class Automaton:
-    """The part of the automaton that a chunk's texts can touch.
-
-    Numbers of states: the empty one, then the chunk's words, then its pairs.
-    """
+    """The part of the automaton that a chunk's texts can touch: states are the empty history, the chunk's words, and its kept pairs."""
 
     def __init__(self, chunk: Chunk, least: float, answers: list[dict[int, np.ndarray]]):
         counts, triples = answers[0], answers[1]
-        self.total, self.distinct = counts[WHOLE][0, 0], triples[WHOLE][0, 0]
+        self.total, self.distinct = int(counts[WHOLE][0, 0]), int(triples[WHOLE][0, 0])
         self.chunk, self.words = chunk, counts[WORDS][:, 0]
         self.pairs, own_pairs = _columns(counts.get(PAIRS))
-        # Only a word as frequent as an arc can be the history of one.
-        self.kept, self.asked = self.pairs >= least, self.words >= least
+        self.kept = self.pairs >= least
         chunk.find_triples(self.kept)
         self.triples, own_triples = _columns(triples.get(TRIPLES))
         self.strong = self.triples >= least
@@ -131,51 +137,89 @@ class Automaton:
             self.triple_share = (self.triples - DISCOUNT) / self.pairs[chunk.front]
         self.owned = (own_pairs > 0) & self.kept, (own_triples > 0) & self.strong
 
+        # Histories that have arcs which this chunk may not hold: as often as an arc outside of it.
+        words, pairs = chunk.own_counts()
+        self.asked = {WORDS: self.words - words >= least, PAIRS: self.kept & (self.pairs - pairs >= least)}
+
+    def arcs_of(self, pairs: np.ndarray, triples: np.ndarray) -> dict[int, np.ndarray]:
+        """What some pairs and triples give to their histories, as whole numbers (n, 3): sum of their counts, their
+        number, and the sum of the counts they have by the shorter history (of words, plus one each)."""
+        chunk = self.chunk
+        words = (self.pairs[pairs], np.ones(len(pairs)), self.words[chunk.tail[pairs]] + 1)
+        states = (self.triples[triples], np.ones(len(triples)), self.pairs[chunk.back[triples]])
+        return {
+            WORDS: np.stack([np.bincount(chunk.head[pairs], x, len(chunk.words)) for x in words], 1),
+            PAIRS: np.stack([np.bincount(chunk.front[triples], x, len(chunk.pairs)) for x in states], 1),
+        }
+
     def given_out(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(key space, keys, sums) of the states that can have arcs: what the n-grams owned here give, by their own and by the shorter history."""
-        chunk, (pairs, triples) = self.chunk, (np.flatnonzero(m) for m in self.owned)
-        words = [np.bincount(chunk.head[pairs], x[pairs], len(chunk.words)) for x in (self.pair_share, self.single[chunk.tail])]
-        below = self.pair_share[chunk.back] if len(chunk.back) else self.triple_share
-        states = [np.bincount(chunk.front[triples], x[triples], len(chunk.pairs)) for x in (self.triple_share, below)]
-        asked = self.asked
-        return [(WORDS, chunk.words[asked], np.stack(words, 1)[asked]), (PAIRS, chunk.pairs[self.kept], np.stack(states, 1)[self.kept])]
+        """(key space, keys, numbers): what the n-grams owned here give, and the histories asked about."""
+        own = self.arcs_of(*map(np.flatnonzero, self.owned))
+        sent = {space: self.asked[space] | (own[space][:, 1] > 0) for space in own}
+        keys = {WORDS: self.chunk.words, PAIRS: self.chunk.pairs}
+        return [(space, keys[space][sent[space]], own[space][sent[space]]) for space in own]
+
+    def failures(self, answers: dict[int, np.ndarray]) -> list[np.ndarray]:
+        """log10 weights of the failure arcs of all words and pairs of the chunk; zero for a state without arcs."""
+        chunk = self.chunk
+        here, own = self.arcs_of(np.flatnonzero(self.kept), np.flatnonzero(self.strong)), self.arcs_of(*map(np.flatnonzero, self.owned))
+        out = []
+        for space, size in ((WORDS, self.words), (PAIRS, self.pairs)):
+            sums = here[space]
+            sent = self.asked[space] | (own[space][:, 1] > 0)
+            # The answer counts all arcs, wherever they are held; without one all are held here.
+            if space in answers:
+                sums[sent] = answers[space][:, :3]
+            given, number, below = sums.T
+            if space == WORDS:
+                below = below / (self.total + self.distinct + 1.0)
+            else:
+                below = (below - DISCOUNT * number) / np.maximum(self.words[chunk.tail], 1)
+            given = (given - DISCOUNT * number) / np.maximum(size, 1)
+            out.append(np.where(number > 0, np.log10(np.maximum(1 - given, LEAST) / np.maximum(1 - below, LEAST)), 0.0))
+        return out
 
     def compile(self, fails: dict[int, np.ndarray]) -> None:
-        chunk, n = self.chunk, len(self.chunk.words)
-        fail = np.zeros(1 + n + len(chunk.pairs))
-        fail[1 : n + 1][self.asked] = fails[WORDS][:, 0] if WORDS in fails else 0.0
-        fail[n + 1 :][self.kept] = fails[PAIRS][:, 0] if PAIRS in fails else 0.0
-        suffix = np.concatenate([np.zeros(n + 1, np.int64), 1 + chunk.tail])
-        pairs, triples = np.flatnonzero(self.kept), np.flatnonzero(self.strong)
-        keys = np.concatenate([(1 + chunk.head[pairs]) * n + chunk.tail[pairs], (1 + n + chunk.front[triples]) * n + chunk.tail[chunk.back[triples]]])
-        weights = np.log10(np.concatenate([self.pair_share[pairs], self.triple_share[triples]]))
-        targets = np.concatenate([1 + n + pairs, 1 + n + chunk.back[triples]])
-        self.arcs = dict(zip(keys.tolist(), zip(weights.tolist(), targets.tolist(), strict=True), strict=True))
-        self.fail, self.suffix = fail.tolist(), suffix.tolist()
-        self.start = np.log10(self.single).tolist()
-
-    def weight(self, tokens: list[int]) -> float:
-        """Weight of the path that reads the words, from the empty state on."""
-        arcs, fail, suffix, start, n = self.arcs, self.fail, self.suffix, self.start, len(self.start)
-        state, total = 0, 0.0
-        for word in tokens:
-            while state:
-                arc = arcs.get(state * n + word)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += fail[state]
-                state = suffix[state]
-            else:
-                total += start[word]
-                state = word + 1
+        """Resolve the arcs at every token: the weights of those that read it from a pair, a word and the empty state
+        (``NO_ARC`` where there is none), and what the failure arcs of the states that end in it cost."""
+        chunk, n = self.chunk, len(self.chunk.tokens)
+        words, pairs = self.failures(fails)
+        self.from_pair, self.from_word, self.pair_fails = np.full(n, NO_ARC), np.full(n, NO_ARC), np.zeros(n)
+        end, kept = chunk.at + 1, self.kept[chunk.pair]
+        self.from_word[end[kept]] = np.log10(self.pair_share)[chunk.pair[kept]]
+        self.pair_fails[end[kept]] = pairs[chunk.pair[kept]]
+        strong = self.strong[chunk.triple]
+        self.from_pair[chunk.triple_end[strong]] = np.log10(self.triple_share)[chunk.triple[strong]]
+        self.from_empty, self.word_fails = np.log10(self.single)[chunk.tokens], words[chunk.tokens]
+
+    def weight(self, start: int, end: int) -> float:
+        """Weight of the path that reads the tokens of a text from left to right, beginning in the empty state."""
+        state, total = EMPTY, 0.0
+        pair_cost = word_cost = 0.0  # of the failure arcs of the state in hand and of its suffix
+        for by_pair, by_word, by_none, pair_fail, word_fail in zip(
+            *[x[start:end].tolist() for x in (self.from_pair, self.from_word, self.from_empty, self.pair_fails, self.word_fails)], strict=True
+        ):
+            if state == PAIR:
+                if by_pair != NO_ARC:
+                    total += by_pair
+                    pair_cost, word_cost = pair_fail, word_fail
+                    continue
+                total += pair_cost
+                state = WORD
+            if state == WORD:
+                if by_word != NO_ARC:
+                    total += by_word
+                    state, pair_cost, word_cost = PAIR, pair_fail, word_fail
+                    continue
+                total += word_cost
+            total += by_none
+            state, word_cost = WORD, word_fail
         return total
 
 
 def _columns(answers: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, owned here) of an exchange with one number a key."""
-    return (answers[:, 0], answers[:, 1]) if answers is not None else (np.zeros(0), np.zeros(0))
+    return (answers[:, 0], answers[:, 1]) if answers is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def store_chunks(docs: DataFrame, name: str, chunk_bytes: int) -> DataFrame:
@@ -227,13 +271,8 @@ def _scored(chunks: DataFrame, kind: str, least: int, fan_in: int, step: int) ->
     def sums(space, values):
         return values
 
-    def left_over(space, values):
-        """log10 weight of a state's failure arc; zero for a state without arcs."""
-        given, below = values[:, 0], values[:, 1]
-        return np.where(given > 0, np.log10(np.maximum(1 - given, LEAST) / np.maximum(1 - below, LEAST)), 0.0)[:, None]
-
-    def one(number: float) -> np.ndarray:
-        return np.array([[number]], float)
+    def one(number) -> np.ndarray:
+        return np.array([[int(number)]])
 
     whole = np.zeros(1, np.int64)
 
@@ -279,7 +318,7 @@ def _scored(chunks: DataFrame, kind: str, least: int, fan_in: int, step: int) ->
         yield from batches_of(rows())
 
     with_triples = with_counts.join(by_chunk(triples, "triples"), "node").select("node", "blob", "counts", "triples")
-    fails = exchange(with_triples.mapInArrow(ask_failures, RUN), n_chunks, left_over, "lm-failures", fan_in, step)
+    fails = exchange(with_triples.mapInArrow(ask_failures, RUN), n_chunks, sums, "lm-failures", fan_in, step)
 
     def score(batches):
         for batch in batches:
@@ -288,9 +327,8 @@ def _scored(chunks: DataFrame, kind: str, least: int, fan_in: int, step: int) ->
                 chunk = Chunk(blob)
                 automaton = Automaton(chunk, least, [answer_arrays(counts), answer_arrays(triples)])
                 automaton.compile(answer_arrays(fails))
-                n, tokens = len(chunk.lengths), chunk.tokens.tolist()
-                ends = np.cumsum(chunk.lengths).tolist()
-                weights = [automaton.weight(tokens[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                n, ends = len(chunk.lengths), np.cumsum(chunk.lengths).tolist()
+                weights = [automaton.weight(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 known = np.bincount(chunk.owner, automaton.words[chunk.tokens] > 0, n).astype(np.int64)
                 base = np.bincount(chunk.owner, np.log10(automaton.single)[chunk.tokens], n)
                 ids, held_out = (batch.column(batch.schema.get_field_index(c)).slice(i, 1).flatten() for c in ("ids", "held_out"))
