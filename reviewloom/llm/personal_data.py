@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +163,13 @@ def segments(text: str, a: int, b: int) -> tuple[list[int], list[list[tuple[int,
     n = len(bounds) - 1
     ends: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in range(n + 1)]
     window = text[a:b]
-    mailed = [m.span() for m in SPELLED.finditer(window)]
-    sign = {i for s, e in mailed for i in range(n) if bounds[i] < a + e and bounds[i + 1] > a + s}
+    sign: set[int] = set()
+    for m in SPELLED.finditer(window):
+        # The pieces that a sign touches, from the one it begins in.
+        i = bisect_right(bounds, a + m.start()) - 1
+        while i < n and bounds[i] < a + m.end():
+            sign.add(i)
+            i += 1
     for i in range(n):
         c = text[bounds[i]]
         numeric = c in DIGITS or c in "+("
@@ -279,8 +285,12 @@ def apart(spans: list[list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: s[1])
 
 
-def train(docs: DataFrame, sample_docs: int = 3_000, examples: int = 1_500) -> np.ndarray:
-    """Fit on stretches of about ``sample_docs`` documents, chosen by a hash of id and text."""
+def train(docs: DataFrame, sample_docs: int = 3_000, examples: int = 1_500, per_text: int = 8, longest: int = 200) -> np.ndarray:
+    """Fit on stretches of about ``sample_docs`` documents, chosen by a hash of id and text.
+
+    The bounds of the training sample: the first ``per_text`` stretches of a text, the first ``longest``
+    characters of each, and ``examples`` of these in the order of a hash. Spans are looked for in whole texts.
+    """
     total = docs.count()
     part = int(1_000_000 * min(1.0, sample_docs / max(1, total)))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < part).where("text rlike '[0-9@]'")
@@ -289,8 +299,8 @@ def train(docs: DataFrame, sample_docs: int = 3_000, examples: int = 1_500) -> n
         for batch in batches:
             cut = []
             for text in batch.column(0).to_pylist():
-                for a, b in stretches(text)[:8]:
-                    cut.append(text[max(0, a - 60) : min(b, a + 200) + 60])
+                for a, b in stretches(text)[:per_text]:
+                    cut.append(text[max(0, a - 60) : min(b, a + longest) + 60])
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], names=["text"])
 
     rows = chosen.select("text").mapInArrow(work, "text string").distinct().toPandas()["text"].tolist()
@@ -307,12 +317,19 @@ def train(docs: DataFrame, sample_docs: int = 3_000, examples: int = 1_500) -> n
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """Pattern spans, and pattern spans plus those the random field adds, by kind."""
     base = base_spans(text)
-    taken = [s for own in base for s in own]
+    # What the patterns cover, as rising intervals apart from each other.
+    starts: list[int] = []
+    ends: list[int] = []
+    for x, y in sorted(s for own in base for s in own):
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x), ends.append(y)
     whole = [list(own) for own in base]
     for a, b in stretches(text):
-        near = [s for s in taken if s[0] < b and s[1] > a]
         for kind, x, y in best_path(text, a, b, weights):
-            if all(y <= s or x >= e for s, e in near):
+            i = bisect_right(ends, x)
+            if i == len(starts) or y <= starts[i]:
                 whole[kind].append((x, y))
     return base, [sorted(own) for own in whole]
 
