@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reviewloom.llm.common import byte_column
 
@@ -208,7 +209,7 @@ def matches(codes: np.ndarray, sets: list[Patterns]) -> list[tuple]:
 
 def pattern_blocks(benchmark: DataFrame, **settings):
     """Patterns of the benchmark, at most about ``BLOCK_CHARACTERS`` characters at a time."""
-    own = benchmark.select("item_id", "text").where("text is not null")
+    own = benchmark.select("item_id", "text").where("text is not null").distinct()
     size = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_CHARACTERS
     for i in range(blocks):
@@ -226,6 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType
+    item_type = to_arrow_type(item_kind)
     schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, begin long, end long, edits int, patterns int"
 
     def scan(patterns: list[Patterns]):
@@ -238,7 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
                         rows.append(hit), source.append(i)
                 if rows:
                     item, begin, end, edits, count = zip(*rows, strict=True)
-                    arrays = [ids.take(pa.array(source)), pa.array(item), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32()), pa.array(count, pa.int32())]
+                    arrays = [ids.take(pa.array(source)), pa.array(item, item_type), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32()), pa.array(count, pa.int32())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "begin", "end", "edits", "patterns"])
 
         return docs.select("doc_id", "text").mapInArrow(work, schema)

@@ -1,6 +1,7 @@
 """Benchmark passages against a plain edit-distance search."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
 from reviewloom.llm.decontamination import align, build, candidates, contaminated, drop_contaminated, grams, matches, normal
@@ -62,6 +63,9 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, benchmark).collect()}
     assert got == {(None, 1), (3, 1), (3, 4)}
     assert {r.doc_id for r in drop_contaminated(docs, benchmark).collect()} == {1, 2, 4}
+    for kind in ("int", "string", "double"):
+        typed = contaminated(docs, benchmark.withColumn("item_id", F.col("item_id").cast(kind)))
+        assert typed.schema["item_id"].dataType.simpleString() == kind and typed.count() == 3
     assert contaminated(docs, benchmark.limit(0)).count() == 0 and contaminated(docs.limit(0), benchmark).count() == 0
 
 
