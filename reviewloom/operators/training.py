@@ -229,10 +229,10 @@ def _checked_label():
     return F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(F.raise_error(wrong)).alias("label")
 
 
-def _tasks_for(rows: DataFrame) -> int:
-    """Tasks that a pass over the rows is worth."""
+def _tasks_for(rows: DataFrame, problems: int = 1) -> int:
+    """Tasks that a pass over the rows is worth, for so many problems at once."""
     nonzeros = rows.agg(F.sum(F.size("indices")).cast("long")).first()[0] or 0
-    return max(1, -(-nonzeros // NONZEROS_PER_TASK))
+    return max(1, -(-nonzeros * problems // NONZEROS_PER_TASK))
 
 
 def side_by_side(spark, work: Callable, items: Sequence, most: int = CONCURRENT_FITS) -> list:
@@ -280,7 +280,7 @@ def _fit_squared_hinge(
     rows: DataFrame, problems: Sequence[Problem], n_features: int, tolerance: float, max_iterations: int
 ) -> list[Fit]:
     """Quasi-Newton fits of all problems in shared passes over packed blocks."""
-    checked = rows.select(_checked_label(), "fold", "indices", "values").coalesce(_tasks_for(rows))
+    checked = rows.select(_checked_label(), "fold", "indices", "values").coalesce(_tasks_for(rows, len(problems)))
     packed = checked.mapInArrow(_pack, "y binary, fold binary, row binary, idx binary, val binary")
     # The loop runs per partition on plain buffers; lost blocks come back from the stored rows.
     blocks = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK)
