@@ -245,18 +245,18 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def with_faults(rows: DataFrame) -> DataFrame:
     """Add ``blank``, ``late`` (role and text stand at an earlier turn) and ``cut`` (the last visible character ends no sentence)."""
-    rows = materialise(
+    # Not stored: both uses read the source again, which is cheaper than a copy of all texts.
+    rows = (
         rows.withColumn("blank", ~F.col("text").rlike(f"[^{BLANK[1:]}"))
         .withColumn("cut", ~F.col("text").rlike(rf"[.!?]{BLANK}*\z"))
-        .withColumn("digest", F.when(~F.col("gone") & ~F.col("blank"), F.sha2("text", 256))),
-        "conversation-rows",
+        .withColumn("digest", F.when(~F.col("gone") & ~F.col("blank"), F.unhex(F.sha2("text", 256))))
     )
     turn = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
     repeated = (
         rows.where("digest is not null").groupBy("conv_id", "role", "digest")
         .agg(F.min(turn).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    # Stored, so that the join reads two plain tables and a hot group of rows can be split.
+    # Stored, so that the join has two plain sides and a hot group of rows can be split.
     repeated = materialise(repeated, "conversation-repeats").toDF("r_conv", "r_role", "r_digest", "first")
     same = F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("role") == F.col("r_role")) & (F.col("digest") == F.col("r_digest"))
     late = F.coalesce(turn > F.col("first"), F.lit(False))
