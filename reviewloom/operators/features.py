@@ -7,7 +7,7 @@ map-side sums; a transform is map-only while the vocabulary fits in a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,6 +23,9 @@ from reviewloom.storage import materialise
 
 # A vocabulary row takes about 50 bytes in a task.
 BROADCAST_TERMS = 1_000_000
+# Tokens (or the vocabulary's size, if larger, as each look-up hashes it anew) a task works on at once, whatever the length of
+# the texts in an Arrow batch: about 100 bytes each.
+TOKENS_AT_ONCE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -159,10 +162,25 @@ def term_table(vocabulary: DataFrame, extra: Sequence[str] = (), most: int = BRO
     )
 
 
+def list_lengths(lists: pa.ListArray) -> np.ndarray:
+    """Entries of each list, none for null."""
+    return np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def bounded_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices whose lists have at most ``most`` entries together (a longer list is alone)."""
+    upto = np.cumsum(list_lengths(batch.column(column)))
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _known_weights(tokens: pa.ListArray, table: TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, position in the vocabulary, weight) of the known terms of a batch, in that order."""
-    lengths = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.int64)
-    words, row = tokens.flatten(), np.repeat(np.arange(len(tokens)), lengths)
+    words, row = tokens.flatten(), np.repeat(np.arange(len(tokens)), list_lengths(tokens))
     found, rows = [words], [row]
     if len(words) > 1:
         same = row[1:] == row[:-1]
@@ -183,11 +201,12 @@ def map_rows(df: DataFrame, table: TermTable, id_col: str, text_col: str, keep:
 
     def work(batches):
         held = TermTable(*shared.value)
+        names = [*kept, *[part.strip().split()[0] for part in schema.split("; ")]]
         for batch in batches:
-            tokens = batch.column(batch.schema.get_field_index("__tokens"))
-            arrays = output(batch.num_rows, *_known_weights(tokens, held), held)
-            names = [*kept, *[part.strip().split()[0] for part in schema.split("; ")]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *arrays], names=names)
+            place = batch.schema.get_field_index
+            for part in bounded_slices(batch, place("__tokens"), max(TOKENS_AT_ONCE, len(held.terms))):
+                arrays = output(part.num_rows, *_known_weights(part.column(place("__tokens")), held), held)
+                yield pa.RecordBatch.from_arrays([*[part.column(place(c)) for c in kept], *arrays], names=names)
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
     tokens = tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("__tokens")

@@ -212,3 +212,22 @@ def test_sigmoids_of_separated_margins(spark):
         t, m = np.array([hi if label else lo for label, _ in own]), np.array([v for _, v in own])
         p = 1 / (1 + np.exp(a * m + b))
         assert abs((t - p).sum()) < 1e-6 and abs(((t - p) * m).sum()) < 1e-4
+
+
+def test_long_batches_are_worked_on_in_slices():
+    import pyarrow as pa
+
+    lists = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c"] * 2, ["d"] * 2, []], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), lists], names=["id", "t"])
+    parts = list(ft.bounded_slices(batch.slice(0), 1, 4))
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert [p.column("id").to_pylist() for p in ft.bounded_slices(batch.slice(3), 1, 100)] == [[3, 4, 5, 6]]
+    assert list(ft.bounded_slices(batch.slice(0, 0), 1, 4)) == []
+
+
+def test_a_slice_for_each_few_tokens_gives_the_same_rows(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS * 3)), "id int, t string").coalesce(1)
+    vocabulary = ft.fit_vocabulary(df, "id", "t")
+    whole = ft.tfidf_vectors(df, vocabulary, "id", "t").collect()
+    monkeypatch.setattr(ft, "TOKENS_AT_ONCE", 2)
+    assert ft.tfidf_vectors(df, vocabulary, "id", "t").collect() == whole
