@@ -2,9 +2,9 @@
 
 Spark ML has no squared-hinge model. One pass over the stored feature rows yields loss and gradient of every open
 problem at once: all grid values of C, or all calibration folds, share each
-scan. A pass takes as many tasks as the rows are worth; tasks return one vector per partition, added up on the way to
-the driver, which holds only vectors as long as the vocabulary. Logistic candidates are independent Spark ML fits, run
-side by side.
+scan. A pass takes as many tasks as the rows are worth, up to the cores; the vectors of the tasks are added up slice by
+slice on the executors, and the driver gets one sum, as long as the vocabulary for each problem. Logistic candidates are
+independent Spark ML fits, run side by side.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import warnings
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.evaluation import best_setting, classification_metrics
-from reviewloom.operators.features import BROADCAST_TERMS, ml_vectors
+from reviewloom.operators.features import BROADCAST_TERMS, bounded_slices, list_lengths, ml_vectors
 from reviewloom.operators.linear import long_predictions, vector_margins
 from reviewloom.operators.lineage import refuse_split
 from reviewloom.operators.splitting import FOLDS, SEED, stratified_folds
@@ -35,8 +36,10 @@ MAX_ITERATIONS = {"logistic": 1000, "squared_hinge": 5000}
 TOLERANCE = 5e-5
 #: Non-zero features a task works through in a pass; fewer rows get fewer tasks, as a pass lasts milliseconds.
 NONZEROS_PER_TASK = 1_000_000
-#: Up to so many partitions send their sums straight to the driver, more are added up in a tree.
-STRAIGHT = 16
+#: Non-zero features of a stored block (its arrays stay in a core's cache), and the most of a task (about a gigabyte).
+NONZEROS_PER_BLOCK, MOST_NONZEROS_PER_TASK = 1 << 18, 1 << 26
+#: Sums of a pass that have at most so many bytes in all go straight to the driver, larger ones are added up before.
+STRAIGHT_BYTES = 1 << 19
 #: Logistic fits that run at the same time.
 CONCURRENT_FITS = 4
 #: Spark ML's own tolerance for each unit of ours: 1e-6 at the default.
@@ -69,24 +72,24 @@ class Fit:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of sparse rows as plain buffers: one row per Arrow batch."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        lengths = np.diff(batch.column("indices").offsets.to_numpy())
-        buffers = {
-            "y": np.where(batch.column("label").to_numpy() == 1, 1.0, -1.0),
-            "fold": batch.column("fold").to_numpy().astype(np.int32),
-            "row": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths),
-            "idx": batch.column("indices").flatten().to_numpy(),
-            "val": batch.column("values").flatten().to_numpy(),
-        }
-        yield pa.RecordBatch.from_pydict(
-            {name: pa.array([b.tobytes()], pa.binary()) for name, b in buffers.items()}
-        )
-
-
-def _unpack(block) -> tuple[np.ndarray, ...]:
-    kinds = (("y", np.float64), ("fold", np.int32), ("row", np.int32), ("idx", np.int32), ("val", np.float64))
-    return tuple(np.frombuffer(block[name], kind) for name, kind in kinds)
+        for part in bounded_slices(batch, batch.schema.get_field_index("indices"), NONZEROS_PER_BLOCK):
+            buffers = {
+                "y": np.where(part.column("label").to_numpy() == 1, 1.0, -1.0),
+                "fold": part.column("fold").to_numpy().astype(np.int32),
+                "n": list_lengths(part.column("indices")).astype(np.int32),
+                "idx": part.column("indices").flatten().to_numpy(),
+                "val": part.column("values").flatten().to_numpy(),
+            }
+            yield pa.RecordBatch.from_pydict(
+                {name: pa.array([b.tobytes()], pa.binary()) for name, b in buffers.items()}
+            )
+
+
+def _unpack(blocks) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of the blocks, the form that is kept: they are read in every pass, and arrays are pickled as they lie in memory."""
+    kinds = (("y", np.float64), ("fold", np.int32), ("n", np.int32), ("idx", np.int32), ("val", np.float64))
+    for block in blocks:
+        yield tuple(np.frombuffer(block[name], kind) for name, kind in kinds)
 
 
 def _losses(signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,27 +105,47 @@ def _partial_sums(held_out: Sequence[int | None], weights) -> Callable:
         w = weights.value  # (problems, d + 1), intercept last
         d = w.shape[1] - 1
         total = np.zeros((w.shape[0], d + 2))
-        for y, fold, row, idx, val in map(_unpack, blocks):
+        for y, fold, n, idx, val in blocks:
+            # Converted once for all problems, as counting takes whole words.
+            row, idx = np.repeat(np.arange(len(n)), n), idx.astype(np.intp)
             for p in range(w.shape[0]):
-                margin = np.bincount(row, weights=val * w[p][idx], minlength=len(y)) + w[p][d]
+                margin = np.bincount(row, weights=val * w[p].take(idx), minlength=len(y)) + w[p][d]
                 loss, slope = _losses(y * margin)
                 if held_out[p] is not None:
                     seen = fold != held_out[p]
                     loss, slope = loss * seen, slope * seen
                 pull = slope * y
                 total[p, 0] += loss.sum()
-                total[p, 1 : d + 1] += np.bincount(idx, weights=val * pull[row], minlength=d)
+                total[p, 1 : d + 1] += np.bincount(idx, weights=val * np.repeat(pull, n), minlength=d)
                 total[p, d + 1] += pull.sum()
         yield total
 
     return run
 
 
-def _add_up(blocks, run: Callable) -> np.ndarray:
-    """Sum of the partitions' vectors, straight or by a tree."""
-    parts = blocks.mapPartitions(run)
-    n = parts.getNumPartitions()
-    return parts.reduce(np.add) if n <= STRAIGHT else parts.treeReduce(np.add, depth=2 if n <= 1024 else 3)
+def _add_up(blocks, run: Callable, n_bytes: int) -> np.ndarray:
+    """Sum of the partitions' arrays of about ``n_bytes`` each, always in the order of the partitions.
+
+    Larger ones meet slice by slice on the executors, so that the driver gets one sum whatever the number of tasks.
+    """
+    n = blocks.getNumPartitions()
+    if n == 1 or n * n_bytes <= STRAIGHT_BYTES:
+        return blocks.mapPartitions(run).reduce(np.add)
+
+    def cut(i, part):
+        for total in run(part):
+            for k, piece in enumerate(np.array_split(total, n, axis=-1)):
+                yield k, (i, piece)
+
+    def add(pieces):
+        ordered = sorted(((k, i, piece) for k, (i, piece) in pieces), key=lambda x: x[:2])
+        if ordered:
+            yield ordered[0][0], reduce(np.add, [piece for _, _, piece in ordered])
+
+    sums = blocks.mapPartitionsWithIndex(cut).partitionBy(n, int).mapPartitions(add)
+    found = dict(sums.collect())
+    sums.cleanShuffleDependencies()  # or the files of all passes wait for the driver's next collection
+    return np.concatenate([found[k] for k in range(n)], axis=-1)
 
 
 class _Lbfgs:
@@ -232,7 +255,9 @@ def _checked_label():
 def _tasks_for(rows: DataFrame, problems: int = 1) -> int:
     """Tasks that a pass over the rows is worth, for so many problems at once."""
     nonzeros = rows.agg(F.sum(F.size("indices")).cast("long")).first()[0] or 0
-    return max(1, -(-nonzeros * problems // NONZEROS_PER_TASK))
+    # More tasks than cores would only make more vectors to add up.
+    most = max(rows.sparkSession.sparkContext.defaultParallelism, -(-nonzeros // MOST_NONZEROS_PER_TASK))
+    return max(1, min(most, -(-nonzeros * problems // NONZEROS_PER_TASK)))
 
 
 def side_by_side(spark, work: Callable, items: Sequence, most: int = CONCURRENT_FITS) -> list:
@@ -281,16 +306,16 @@ def _fit_squared_hinge(
 ) -> list[Fit]:
     """Quasi-Newton fits of all problems in shared passes over packed blocks."""
     checked = rows.select(_checked_label(), "fold", "indices", "values").coalesce(_tasks_for(rows, len(problems)))
-    packed = checked.mapInArrow(_pack, "y binary, fold binary, row binary, idx binary, val binary")
-    # The loop runs per partition on plain buffers; lost blocks come back from the stored rows.
-    blocks = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    packed = checked.mapInArrow(_pack, "y binary, fold binary, n binary, idx binary, val binary")
+    # The loop runs per partition on plain arrays; lost blocks come back from the stored rows.
+    blocks = packed.rdd.mapPartitions(_unpack).persist(StorageLevel.MEMORY_AND_DISK)
     sc, penalised = rows.sparkSession.sparkContext, np.ones(n_features + 1)
     try:
         searches = [_Lbfgs(p, penalised, tolerance, max_iterations) for p in problems]
         while open_ := [s for s in searches if not s.done]:
             start = time.perf_counter()
             weights = sc.broadcast(np.array([s.trial for s in open_]))
-            sums = _add_up(blocks, _partial_sums([s.problem.held_out for s in open_], weights))
+            sums = _add_up(blocks, _partial_sums([s.problem.held_out for s in open_], weights), 8 * len(open_) * (n_features + 2))
             weights.unpersist()
             for search, part in zip(open_, sums, strict=True):
                 search.feed(part)
@@ -486,7 +511,7 @@ def _platt(scored: DataFrame, max_steps: int = 100, tolerance: float = 1e-10) ->
 
     def evaluate(candidates):
         asked = sc.broadcast(candidates)
-        sums = _add_up(blocks, _sigmoid_sums(folds, targets, asked))
+        sums = _add_up(blocks, _sigmoid_sums(folds, targets, asked), 8 * 6 * len(candidates) * len(folds))
         asked.unpersist()
         return sums
 

@@ -214,6 +214,32 @@ def test_sigmoids_of_separated_margins(spark):
         assert abs((t - p).sum()) < 1e-6 and abs(((t - p) * m).sum()) < 1e-4
 
 
+def test_a_pass_sends_one_sum_to_the_driver(spark, monkeypatch):
+    import pickle
+
+    from pyspark import RDD
+
+    sent, collect = [], RDD.collect
+
+    def recorded(self):
+        found = collect(self)
+        sent.append(len(pickle.dumps(found)))
+        return found
+
+    rng, width, problems = np.random.default_rng(5), 20_000, [tr.Problem(f"C={c:g}", c) for c in (1.0, 10.0)]
+    # One row without any feature; indices up to the last one.
+    lists = [[], *(sorted(rng.choice(width, 30, replace=False).tolist()) for _ in range(199)), [width - 1]]
+    rows = [(i, i % 2, x, [1.0 / (1 + j) for j in range(len(x))]) for i, x in enumerate(lists)]
+    rows = spark.createDataFrame(rows, "id int, label int, indices array<int>, values array<double>").repartition(6)
+    few = tr.fit_linear(rows, problems, "squared_hinge", width)
+    monkeypatch.setattr(tr, "NONZEROS_PER_TASK", 100)
+    monkeypatch.setattr(RDD, "collect", recorded)
+    many = tr.fit_linear(rows, problems, "squared_hinge", width)
+    assert len(sent) > 3 and max(sent) < 1.2 * len(problems) * 8 * (width + 2)
+    for a, b in zip(few, many, strict=True):
+        assert b.loss == pytest.approx(a.loss, rel=1e-6) and b.weights == pytest.approx(a.weights, abs=1e-3)
+
+
 def test_long_batches_are_worked_on_in_slices():
     import pyarrow as pa
 
