@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewloom.catalog.inputs import (
-    SQL_LABELLED, documents, labelled, sql_classical, sql_transformer, sql_word_count, table,
+    SQL_LABELLED, documents, labelled, sql_classical, sql_transformer, sql_word_count, table, text_table,
 )
 from reviewloom.functions.cleaning import add_clean_columns, word_count
+from reviewloom.sinks.files import write_text_files
 from reviewloom.sinks.tables import write_split_csv, write_splits
 from reviewloom.sources.corpus import scan_csv_splits, scan_labelled_directory, scan_processed
 from reviewloom.sources.manifest import artifact_sizes, checksums, file_manifest
-from reviewloom.storage import materialise, scratch_path
+from reviewloom.storage import materialise, scratch_path, spread
 
 TABLES = [
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
@@ -26,13 +27,10 @@ TABLES = [
 def directory_scan(spark, sf_dir):
     """Labelled documents as one file per row below split/class, scanned back."""
     root = scratch_path(spark, "tree")
-    rows = labelled(spark, sf_dir).where(F.col("label").isin(0, 1))
-    for split in ("train", "test"):
-        for folder, label in (("pos", 1), ("neg", 0)):
-            # The text sink ends every file with a line break.
-            rows.where((F.col("split") == split) & (F.col("label") == label)).select("text").write.option(
-                "maxRecordsPerFile", 1
-            ).text(f"{root}/{split}/{folder}")
+    folder = F.concat("split", F.lit("/"), F.when(F.col("label") == 1, "pos").otherwise("neg"))
+    rows = labelled(spark, sf_dir).where(F.col("label").isin(0, 1)).select(folder.alias("folder"), "text")
+    rows = materialise(rows, "labelled")
+    write_text_files(spread(rows), root, [f"{split}/{name}" for split in ("train", "test") for name in ("pos", "neg")])
     return scan_labelled_directory(spark, root, "docs").select("text_raw", "label", "split")
 
 
@@ -77,17 +75,13 @@ def _page_files(spark, sf_dir, classes=CLASSES):
     """One file for each page below split/class, by digits of a digest of its id."""
     root = scratch_path(spark, "page-files")
     digest = F.md5(F.col("page_id").cast("string"))
-    pages = table(spark, sf_dir, "pages").select(
-        F.coalesce("html", F.lit("")).alias("html"),
-        F.when(F.substring(digest, 1, 1) < "8", "train").otherwise("test").alias("split"),
-        F.when(F.substring(digest, 2, 1) < "6", "pos").when(F.substring(digest, 2, 1) < "c", "neg").otherwise("unsup").alias("class"),
+    split = F.when(F.substring(digest, 1, 1) < "8", "train").otherwise("test")
+    name = F.when(F.substring(digest, 2, 1) < "6", "pos").when(F.substring(digest, 2, 1) < "c", "neg").otherwise("unsup")
+    pages = text_table(spark, sf_dir, "pages", "page_id").select(
+        F.concat(split, F.lit("/"), name).alias("folder"), F.coalesce("html", F.lit("")).alias("text")
     )
     pages = materialise(pages, "pages")
-    for split in ("train", "test"):
-        for name in classes:
-            rows = pages.where((F.col("split") == split) & (F.col("class") == name)).select("html")
-            # The text sink ends every file with a line break.
-            rows.write.option("maxRecordsPerFile", 1).text(f"{root}/{split}/{name}")
+    write_text_files(spread(pages), root, [f"{split}/{name}" for split in ("train", "test") for name in classes])
     return root
 
 

@@ -89,3 +89,31 @@ def test_checksums_in_chunks(spark, tmp_path):
 
     got = {r["n_bytes"]: r["sha1"] for r in checksums(spark, str(tmp_path), large=10).collect()}
     assert got == {len(data): hashlib.sha1(data).hexdigest(), 1: hashlib.sha1(b"x").hexdigest()}
+
+
+def test_text_files_of_rows(spark, tmp_path):
+    from reviewloom.sinks.files import write_text_files
+
+    rows = [("train/pos", "a\r\nb"), ("train/pos", "a\r\nb"), ("test/neg", None), ("train/neg", "é"), ("other", "left out"), (None, "no folder")]
+    df = spark.createDataFrame(rows, "folder string, text string").repartition(3)
+    for root in (str(tmp_path / "plain"), f"file:{tmp_path}/uri"):
+        write_text_files(df, root, ["train/pos", "train/neg", "test/pos", "test/neg"])
+        found = scan_labelled_directory(spark, root, "c").select("split", "label", "text_raw").collect()
+        assert sorted(tuple(r) for r in found) == [("test", 0, "\n"), ("train", 0, "é\n"), ("train", 1, "a\nb\n"), ("train", 1, "a\nb\n")]
+    assert (tmp_path / "plain" / "test" / "pos").is_dir() and not (tmp_path / "plain" / "other").exists()
+
+
+def test_page_files_are_written_by_all_cores_in_one_pass(spark, tmp_path):
+    from urllib.parse import urlsplit
+
+    from reviewloom.catalog.sources import _page_files, page_checksums
+
+    html = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id % 7 > 0 THEN concat('<p>', id) END AS html")
+    html.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    root = urlsplit(_page_files(spark, str(tmp_path))).path
+    import pathlib
+
+    writers = {p.name.split("-")[0 if p.name[0].isdigit() else 1] for p in pathlib.Path(root).glob("*/*/*.txt")}
+    assert len(writers) > 1
+    want = sorted(hashlib.sha1((f"<p>{i}" if i % 7 else "").encode() + b"\n").hexdigest() for i in range(400))
+    assert sorted(r["sha1"] for r in page_checksums(spark, str(tmp_path)).collect()) == want
