@@ -37,7 +37,7 @@ TOLERANCE = 5e-5
 #: Non-zero features a task works through in a pass; fewer rows get fewer tasks, as a pass lasts milliseconds.
 NONZEROS_PER_TASK = 1_000_000
 #: Non-zero features of a stored block (its arrays stay in a core's cache), and the most of a task (about a gigabyte).
-NONZEROS_PER_BLOCK, MOST_NONZEROS_PER_TASK = 1 << 18, 1 << 26
+NONZEROS_PER_BLOCK, MOST_NONZEROS_PER_TASK = 1 << 17, 1 << 26
 #: Sums of a pass that have at most so many bytes in all go straight to the driver, larger ones are added up before.
 STRAIGHT_BYTES = 1 << 19
 #: Logistic fits that run at the same time.
@@ -106,17 +106,24 @@ def _partial_sums(held_out: Sequence[int | None], weights) -> Callable:
         d = w.shape[1] - 1
         total = np.zeros((w.shape[0], d + 2))
         for y, fold, n, idx, val in blocks:
-            # Converted once for all problems, as counting takes whole words.
-            row, idx = np.repeat(np.arange(len(n)), n), idx.astype(np.intp)
+            # Converted once for all problems, as counting takes whole words; products lie in one buffer.
+            idx, product = idx.astype(np.intp), np.empty(len(val))
+            filled = np.flatnonzero(n)
+            starts = (np.cumsum(n) - n)[filled]
             for p in range(w.shape[0]):
-                margin = np.bincount(row, weights=val * w[p].take(idx), minlength=len(y)) + w[p][d]
+                # Clipping spares a copy of the result; every index is within the vocabulary.
+                np.multiply(val, w[p].take(idx, out=product, mode="clip"), out=product)
+                margin = np.full(len(y), w[p][d])
+                if len(filled):
+                    margin[filled] += np.add.reduceat(product, starts)
                 loss, slope = _losses(y * margin)
                 if held_out[p] is not None:
                     seen = fold != held_out[p]
                     loss, slope = loss * seen, slope * seen
                 pull = slope * y
                 total[p, 0] += loss.sum()
-                total[p, 1 : d + 1] += np.bincount(idx, weights=val * np.repeat(pull, n), minlength=d)
+                np.multiply(val, np.repeat(pull, n), out=product)
+                total[p, 1 : d + 1] += np.bincount(idx, weights=product, minlength=d)
                 total[p, d + 1] += pull.sum()
         yield total
 
@@ -148,6 +155,15 @@ def _add_up(blocks, run: Callable, n_bytes: int) -> np.ndarray:
     return np.concatenate([found[k] for k in range(n)], axis=-1)
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """Inner product without BLAS: its threads gain nothing at these lengths, and wait spinning on cores that tasks use."""
+    return float(np.einsum("i,i->", a, b))
+
+
+def _norm(a: np.ndarray) -> float:
+    return _dot(a, a) ** 0.5
+
+
 class _Lbfgs:
     """State of one minimisation, advanced one evaluation at a time."""
 
@@ -173,7 +189,7 @@ class _Lbfgs:
     def _objective(self, sums: np.ndarray) -> tuple[float, np.ndarray]:
         held = self.trial * self.mask
         return (
-            0.5 * float(held @ held) + self.problem.c * sums[0],
+            0.5 * _dot(held, held) + self.problem.c * sums[0],
             held + self.problem.c * sums[1:],
         )
 
@@ -181,25 +197,25 @@ class _Lbfgs:
         q = self.gradient.copy()
         kept = []
         for s, g in reversed(self.history):
-            a = (s @ q) / (g @ s)
+            a = _dot(s, q) / _dot(g, s)
             q -= a * g
             kept.append(a)
         if self.history:
             s, g = self.history[-1]
-            q *= (s @ g) / (g @ g)
+            q *= _dot(s, g) / _dot(g, g)
         for (s, g), a in zip(self.history, reversed(kept)):
-            q += s * (a - (g @ q) / (g @ s))
+            q += s * (a - _dot(g, q) / _dot(g, s))
         return -q
 
     def _start_search(self) -> None:
         self.direction = self._direction()
-        self.slope = float(self.gradient @ self.direction)
+        self.slope = _dot(self.gradient, self.direction)
         if self.slope >= 0:  # stale curvature: fall back to steepest descent
             self.history.clear()
             self.direction = -self.gradient
-            self.slope = -float(self.gradient @ self.gradient)
+            self.slope = -_dot(self.gradient, self.gradient)
         self.low, self.high = 0.0, np.inf
-        self.step = 1.0 if self.history else 1.0 / max(1.0, float(np.linalg.norm(self.gradient)))
+        self.step = 1.0 if self.history else 1.0 / max(1.0, _norm(self.gradient))
         self.trial = self.point + self.step * self.direction
 
     def feed(self, sums: np.ndarray) -> None:
@@ -208,13 +224,13 @@ class _Lbfgs:
         value, gradient = self._objective(sums)
         if self.gradient is None:
             self.value, self.gradient = value, gradient
-            self.scale = max(np.linalg.norm(gradient), 1e-300)
+            self.scale = max(_norm(gradient), 1e-300)
             self._check()
             return
         # Weak Wolfe conditions by bisection.
         if value > self.value + 1e-4 * self.step * self.slope:
             self.high = self.step
-        elif float(gradient @ self.direction) < 0.9 * self.slope:
+        elif _dot(gradient, self.direction) < 0.9 * self.slope:
             self.low = self.step
         else:
             self._accept(value, gradient)
@@ -227,14 +243,14 @@ class _Lbfgs:
 
     def _accept(self, value: float, gradient: np.ndarray) -> None:
         s, g = self.trial - self.point, gradient - self.gradient
-        if s @ g > 1e-12 * (g @ g):
+        if _dot(s, g) > 1e-12 * _dot(g, g):
             self.history = [*self.history[1 - self.MEMORY :], (s, g)]
         self.point, self.value, self.gradient = self.trial, value, gradient
         self.iterations += 1
         self._check()
 
     def _check(self) -> None:
-        self.converged = bool(np.linalg.norm(self.gradient) <= self.tolerance * self.scale)
+        self.converged = bool(_norm(self.gradient) <= self.tolerance * self.scale)
         if self.converged or self.iterations >= self.max_iterations:
             self.done = True
         else:
@@ -252,11 +268,11 @@ def _checked_label():
     return F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(F.raise_error(wrong)).alias("label")
 
 
-def _tasks_for(rows: DataFrame, problems: int = 1) -> int:
-    """Tasks that a pass over the rows is worth, for so many problems at once."""
+def _tasks_for(rows: DataFrame, problems: int = 1, beside: int = 1) -> int:
+    """Tasks that a pass over the rows is worth, for so many problems at once; ``beside`` such passes share the cores."""
     nonzeros = rows.agg(F.sum(F.size("indices")).cast("long")).first()[0] or 0
     # More tasks than cores would only make more vectors to add up.
-    most = max(rows.sparkSession.sparkContext.defaultParallelism, -(-nonzeros // MOST_NONZEROS_PER_TASK))
+    most = max(-(-rows.sparkSession.sparkContext.defaultParallelism // beside), -(-nonzeros // MOST_NONZEROS_PER_TASK))
     return max(1, min(most, -(-nonzeros * problems // NONZEROS_PER_TASK)))
 
 
@@ -286,6 +302,8 @@ def _fit_logistic(
     checked = rows.select(_checked_label(), "fold", "indices", "values").coalesce(_tasks_for(rows))
     vectors = ml_vectors(checked.withColumn("label", F.col("label").cast("double")), n_features, path)
     counts = {r["fold"]: r["count"] for r in vectors.groupBy("fold").count().collect()}
+    # Fits that run at the same time share the cores; with a task on every core for each of them, tasks would only wait.
+    vectors = vectors.coalesce(_tasks_for(rows, beside=min(CONCURRENT_FITS, len(problems))))
 
     def fit(p: Problem) -> Fit:
         start = time.perf_counter()

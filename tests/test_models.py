@@ -257,3 +257,63 @@ def test_a_slice_for_each_few_tokens_gives_the_same_rows(spark, monkeypatch):
     whole = ft.tfidf_vectors(df, vocabulary, "id", "t").collect()
     monkeypatch.setattr(ft, "TOKENS_AT_ONCE", 2)
     assert ft.tfidf_vectors(df, vocabulary, "id", "t").collect() == whole
+
+
+def test_logistic_fits_that_run_together_share_the_cores(spark, monkeypatch):
+    tasks, plain = [], tr.fit_logistic_ml
+
+    def seen(train, *args):
+        tasks.append(train.rdd.getNumPartitions())
+        return plain(train, *args)
+
+    x, y = dense(6)
+    rows, problems = frame(spark, x, y, 24), [tr.Problem(f"C={c:g}", c) for c in (0.1, 1.0, 10.0, 100.0)]
+    alone = [tr.fit_linear(rows, [p], "logistic", 3, tolerance=1e-9)[0] for p in problems]
+    monkeypatch.setattr(tr, "NONZEROS_PER_TASK", 1)  # rows worth a task on every core
+    monkeypatch.setattr(tr, "fit_logistic_ml", seen)
+    together = tr.fit_linear(rows, problems, "logistic", 3, tolerance=1e-9)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and len(tasks) == 4 and max(tasks) <= -(-cores // 4)
+    for a, b in zip(alone, together, strict=True):
+        assert b.weights == pytest.approx(a.weights, abs=1e-5) and b.intercept == pytest.approx(a.intercept, abs=1e-5)
+
+
+def test_sums_of_blocks_with_rows_without_features():
+    """Empty rows at the start, between and at the end, a block of nothing else, and a fold that is left out."""
+    rng, d = np.random.default_rng(1), 4
+
+    class Weights:
+        value = rng.normal(size=(2, d + 1))
+
+    blocks, expected = [], np.zeros((2, d + 2))
+    for lists in ([[], [0, 3], [], [1], []], [[], []], [[2, 3]]):
+        y, fold, n = rng.choice([-1.0, 1.0], len(lists)), rng.integers(0, 2, len(lists)).astype(np.int32), np.array([len(x) for x in lists], np.int32)
+        idx = np.array([i for x in lists for i in x], np.int32)
+        val = rng.random(len(idx))
+        blocks.append((y, fold, n, idx, val))
+        x = np.zeros((len(lists), d))
+        x[np.repeat(np.arange(len(lists)), n), idx] = val
+        for p, out in enumerate((None, 1)):
+            w, kept = Weights.value[p], np.ones(len(y)) if out is None else fold != out
+            gap = np.maximum(0.0, 1 - y * (x @ w[:d] + w[d])) * kept
+            expected[p] += [gap @ gap, *(-2 * (gap * y) @ x), -2 * gap @ y]
+    assert next(tr._partial_sums([None, 1], Weights)(blocks)) == pytest.approx(expected, abs=1e-12)
+
+
+def test_steps_of_the_search_start_no_threads_of_blas(monkeypatch):
+    """Those threads spin on the cores of the tasks: no product of long vectors goes through BLAS."""
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            raise AssertionError("product by BLAS")
+
+        dot = __rmatmul__ = __matmul__
+
+    rng, d = np.random.default_rng(2), 50
+    search = tr._Lbfgs(tr.Problem("c", 1.0), np.ones(d).view(Watched), 1e-9, 100)
+    search.point = search.trial = search.point.view(Watched)
+    target = rng.normal(size=d)
+    while not search.done and search.passes < 200:
+        gap = np.asarray(search.trial) - target
+        search.feed(np.concatenate([[gap @ gap], 2 * gap]).view(Watched))
+    assert search.converged and np.asarray(search.point) == pytest.approx(target * 2 / 3, abs=1e-6)
