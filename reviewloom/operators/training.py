@@ -4,7 +4,7 @@ Spark ML has no squared-hinge model. One pass over the stored feature rows yield
 problem at once: all grid values of C, or all calibration folds, share each
 scan. A pass takes as many tasks as the rows are worth, up to the cores; the vectors of the tasks are added up slice by
 slice on the executors, and the driver gets one sum, as long as the vocabulary for each problem. Logistic candidates are
-independent Spark ML fits, run side by side.
+independent Spark ML fits, run side by side on shares of the cores.
 """
 
 from __future__ import annotations
@@ -303,7 +303,7 @@ def _fit_logistic(
     vectors = ml_vectors(checked.withColumn("label", F.col("label").cast("double")), n_features, path)
     counts = {r["fold"]: r["count"] for r in vectors.groupBy("fold").count().collect()}
     # Fits that run at the same time share the cores; with a task on every core for each of them, tasks would only wait.
-    vectors = vectors.coalesce(_tasks_for(rows, beside=min(CONCURRENT_FITS, len(problems))))
+    vectors = vectors.coalesce(_tasks_for(rows, beside=min(CONCURRENT_FITS, max(1, len(problems)))))
 
     def fit(p: Problem) -> Fit:
         start = time.perf_counter()
