@@ -1,7 +1,7 @@
 """TF-IDF features: vocabulary fitted on train, reused frozen everywhere else.
 
-Terms of a document are counted inside its row, so no shuffle is keyed by
-(document, term). The only large shuffle of a fit is the one by term, after
+Terms of a document are counted inside its row, those of a fit in slices of many rows, so no shuffle
+is keyed by (document, term). The only large shuffle of a fit is the one by term, after
 map-side sums; a transform is map-only while the vocabulary fits in a task.
 """
 
@@ -92,12 +92,32 @@ def term_frequency(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _term_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df, cf) of the token lists of each slice of a batch: rows with the term, and its occurrences."""
+    for batch in batches:
+        for part in bounded_slices(batch, 0, TOKENS_AT_ONCE):
+            lists = part.column(0)
+            row, coded = np.repeat(np.arange(len(lists)), list_lengths(lists)), lists.flatten().dictionary_encode()
+            words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            same = row[1:] == row[:-1]
+            # Pairs as numbers: only those that differ are joined to strings.
+            pairs, pair = np.unique(code[:-1][same] * len(words) + code[1:][same], return_inverse=True)
+            left, right = (words.take(pa.array(half)) for half in np.divmod(pairs, max(1, len(words))))
+            for terms, rows, place in ((words, row, code), (pc.binary_join_element_wise(left, right, " "), row[1:][same], pair)):
+                size = max(1, len(terms))
+                in_rows = np.bincount(np.unique(rows * size + place) % size, minlength=len(terms))
+                counts = (in_rows, np.bincount(place, minlength=len(terms)))
+                yield pa.RecordBatch.from_arrays([terms, *(pa.array(c, pa.int64()) for c in counts)], names=["term", "df", "cf"])
+
+
 def document_frequency(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, df, cf): documents with the term, and its occurrences."""
+    """(term, df, cf): documents with the term, and its occurrences. Each row is a document, also if ids repeat."""
+    tokens = df.select(tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     return (
-        term_frequency(df, id_col, text_col)
+        # Summed up in slices of many rows before anything is shuffled.
+        tokens.mapInArrow(_term_sums, "term string, df long, cf long")
         .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     )
 
 

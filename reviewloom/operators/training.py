@@ -3,13 +3,17 @@
 Spark ML has no squared-hinge model. One pass over the stored feature rows yields loss and gradient of every open
 problem at once: all grid values of C, or all calibration folds, share each
 scan. A pass takes as many tasks as the rows are worth, up to the cores; the vectors of the tasks are added up slice by
-slice on the executors, and the driver gets one sum, as long as the vocabulary for each problem. Logistic candidates are
+slice on the executors, and the driver gets one sum, as long as the vocabulary for each problem. Where the shared folder is
+a local or mounted one, passes map the rows from files, so that no pass carries them through a socket. Logistic candidates are
 independent Spark ML fits, run side by side on shares of the cores.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
 import time
+import uuid
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -18,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel, TaskContext, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ from reviewloom.operators.features import BROADCAST_TERMS, bounded_slices, list_
 from reviewloom.operators.linear import long_predictions, vector_margins
 from reviewloom.operators.lineage import refuse_split
 from reviewloom.operators.splitting import FOLDS, SEED, stratified_folds
-from reviewloom.storage import scratch_path
+from reviewloom.storage import local_folder, scratch_path
 
 # The grid, and the iteration limits of the two models.
 C_GRID = (0.01, 0.1, 1.0, 10.0, 30.0, 100.0, 300.0)
@@ -69,27 +73,57 @@ class Fit:
     seconds: float = 0.0
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of sparse rows as plain buffers: one row per Arrow batch."""
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Blocks of sparse rows as arrays: label sign, fold and number of entries of the rows, then all entries."""
     for batch in batches:
         for part in bounded_slices(batch, batch.schema.get_field_index("indices"), NONZEROS_PER_BLOCK):
-            buffers = {
+            yield {
                 "y": np.where(part.column("label").to_numpy() == 1, 1.0, -1.0),
                 "fold": part.column("fold").to_numpy().astype(np.int32),
                 "n": list_lengths(part.column("indices")).astype(np.int32),
                 "idx": part.column("indices").flatten().to_numpy(),
                 "val": part.column("values").flatten().to_numpy(),
             }
-            yield pa.RecordBatch.from_pydict(
-                {name: pa.array([b.tobytes()], pa.binary()) for name, b in buffers.items()}
-            )
+
+
+_KINDS = (("y", np.float64), ("fold", np.int32), ("n", np.int32), ("idx", np.int32), ("val", np.float64))
+_STORED = pa.schema([(name, pa.list_(pa.from_numpy_dtype(kind))) for name, kind in _KINDS])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as plain buffers: one row per Arrow batch."""
+    for block in _blocks_of(batches):
+        yield pa.RecordBatch.from_pydict({name: pa.array([b.tobytes()], pa.binary()) for name, b in block.items()})
 
 
 def _unpack(blocks) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays of the blocks, the form that is kept: they are read in every pass, and arrays are pickled as they lie in memory."""
-    kinds = (("y", np.float64), ("fold", np.int32), ("n", np.int32), ("idx", np.int32), ("val", np.float64))
     for block in blocks:
-        yield tuple(np.frombuffer(block[name], kind) for name, kind in kinds)
+        yield tuple(np.frombuffer(block[name], kind) for name, kind in _KINDS)
+
+
+def _write_blocks(folder: str) -> Callable:
+    """Blocks of a task in one Arrow file of their own, a block for each record batch; gives (part, file)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A name for each attempt: what a lost attempt has left is never read.
+        name = f"{folder}/{uuid.uuid4().hex}.arrow"
+        with pa.OSFile(name, "wb") as out, pa.ipc.new_file(out, _STORED) as stored:
+            for block in _blocks_of(batches):
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), pa.array(b)) for b in block.values()]
+                stored.write_batch(pa.RecordBatch.from_arrays(lists, schema=_STORED))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name]})
+
+    return run
+
+
+def _map_blocks(names: Iterator[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of the stored blocks, without a copy: the pages are those of the file."""
+    for name in names:
+        with pa.memory_map(name) as source:
+            stored = pa.ipc.open_file(source)
+            for i in range(stored.num_record_batches):
+                yield tuple(column.flatten().to_numpy() for column in stored.get_batch(i).columns)
 
 
 def _losses(signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +145,8 @@ def _partial_sums(held_out: Sequence[int | None], weights) -> Callable:
             filled = np.flatnonzero(n)
             starts = (np.cumsum(n) - n)[filled]
             for p in range(w.shape[0]):
-                # Clipping spares a copy of the result; every index is within the vocabulary.
-                np.multiply(val, w[p].take(idx, out=product, mode="clip"), out=product)
+                # This mode spares a copy of the result and a comparison; every index is within the vocabulary.
+                np.multiply(val, w[p].take(idx, out=product, mode="wrap"), out=product)
                 margin = np.full(len(y), w[p][d])
                 if len(filled):
                     margin[filled] += np.add.reduceat(product, starts)
@@ -322,13 +356,22 @@ def _fit_logistic(
 def _fit_squared_hinge(
     rows: DataFrame, problems: Sequence[Problem], n_features: int, tolerance: float, max_iterations: int
 ) -> list[Fit]:
-    """Quasi-Newton fits of all problems in shared passes over packed blocks."""
+    """Quasi-Newton fits of all problems in shared passes over blocks of the rows."""
+    spark = rows.sparkSession
+    sc, penalised = spark.sparkContext, np.ones(n_features + 1)
     checked = rows.select(_checked_label(), "fold", "indices", "values").coalesce(_tasks_for(rows, len(problems)))
-    packed = checked.mapInArrow(_pack, "y binary, fold binary, n binary, idx binary, val binary")
-    # The loop runs per partition on plain arrays; lost blocks come back from the stored rows.
-    blocks = packed.rdd.mapPartitions(_unpack).persist(StorageLevel.MEMORY_AND_DISK)
-    sc, penalised = rows.sparkSession.sparkContext, np.ones(n_features + 1)
+    folder = local_folder(spark, scratch_path(spark, "blocks"))
+    if folder:
+        os.makedirs(folder)
+    else:
+        # The loop runs per partition on plain arrays; lost blocks come back from the stored rows.
+        packed = checked.mapInArrow(_pack, "y binary, fold binary, n binary, idx binary, val binary")
+        blocks = packed.rdd.mapPartitions(_unpack).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if folder:
+            written = checked.mapInArrow(_write_blocks(folder), "part int, file string").collect()  # a name for each task
+            files = [r["file"] for r in sorted(written, key=lambda r: r["part"])]
+            blocks = sc.parallelize(files, max(1, len(files))).mapPartitions(_map_blocks)
         searches = [_Lbfgs(p, penalised, tolerance, max_iterations) for p in problems]
         while open_ := [s for s in searches if not s.done]:
             start = time.perf_counter()
@@ -341,7 +384,10 @@ def _fit_squared_hinge(
             for search in open_:
                 search.seconds += share
     finally:
-        blocks.unpersist()
+        if folder:
+            shutil.rmtree(folder, ignore_errors=True)
+        else:
+            blocks.unpersist()
     return [s.result() for s in searches]
 
 

@@ -62,3 +62,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(hadoop_path)
     return found is not None and len(found) > 0
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder in a local or mounted file system, whose files tasks can map into memory; None in other stores."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None

@@ -317,3 +317,57 @@ def test_steps_of_the_search_start_no_threads_of_blas(monkeypatch):
         gap = np.asarray(search.trial) - target
         search.feed(np.concatenate([[gap @ gap], 2 * gap]).view(Watched))
     assert search.converged and np.asarray(search.point) == pytest.approx(target * 2 / 3, abs=1e-6)
+
+
+def test_passes_map_the_rows_from_files(spark, monkeypatch):
+    """No pass carries the rows from the JVM to Python; both ways give the same bits, and no file is left."""
+    from pathlib import Path
+
+    from pyspark import RDD
+
+    from reviewloom.storage import shared_root
+
+    rng, width, problems = np.random.default_rng(7), 500, [tr.Problem(f"C={c:g}", c) for c in (0.1, 10.0)]
+    lists = [[], None, *(sorted(rng.choice(width, 20, replace=False).tolist()) for _ in range(300)), [width - 1]]
+    rows = [(i, i % 2, x, None if x is None else [1.0 / (1 + j) for j in range(len(x))]) for i, x in enumerate(lists)]
+    rows = spark.createDataFrame(rows, "id int, label int, indices array<int>, values array<double>").repartition(5)
+    kept, persist = [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, *args: (kept.append(self), persist(self, *args))[1])
+    monkeypatch.setattr(tr, "NONZEROS_PER_TASK", 1000)
+    mapped = tr.fit_linear(rows, problems, "squared_hinge", width)
+    assert not kept and not list(Path(shared_root(spark)).glob("blocks-*"))
+    monkeypatch.setattr(tr, "local_folder", lambda *_: None)
+    carried = tr.fit_linear(rows, problems, "squared_hinge", width)
+    assert kept
+    for a, b in zip(mapped, carried, strict=True):
+        assert a.converged and a.iterations == b.iterations and a.weights.tolist() == b.weights.tolist()
+
+
+def test_folders_of_other_stores_are_not_mapped(spark, tmp_path):
+    from reviewloom.storage import local_folder
+
+    assert local_folder(spark, str(tmp_path)) == local_folder(spark, f"file://{tmp_path}") == str(tmp_path)
+    spark.conf.set("spark.hadoop.fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    assert local_folder(spark, "viewfs://store/in/x") is None
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_term_sums_of_slices(monkeypatch, most):
+    """Frequencies of slices add up to those of the rows: empty, null and repeated ones, pairs inside a row only."""
+    import pyarrow as pa
+
+    lists = [["b", "a", "b", "a"], [], None, ["a"], ["a", "b"], ["b", "a", "b", "a"], ["é", "中"]]
+    df, cf = Counter(), Counter()
+    for tokens in lists:
+        terms = Counter((tokens or []) + [f"{a} {b}" for a, b in zip(tokens or [], (tokens or [])[1:])])
+        cf.update(terms)
+        df.update(terms.keys())
+    monkeypatch.setattr(ft, "TOKENS_AT_ONCE", most)
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["tokens"])
+    got_df, got_cf = Counter(), Counter()
+    for part in ft._term_sums([batch, batch.slice(0, 0)]):
+        for r in part.to_pylist():
+            got_df[r["term"]] += r["df"]
+            got_cf[r["term"]] += r["cf"]
+    assert (got_df, got_cf) == (df, cf)
